@@ -3,18 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridseek.llm import simhash
+from gridseek.llm import chat, decontaminate, secrets, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets and linked credential parts of every document."""
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in every document."""
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("items")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash_near_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat an earlier passage."""
+    return substring.substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, formatted and read back."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(chat.PROBE_TEXT).alias("text"),
+    )
+    return chat.chat_digests(turns.union(probe))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op5_secret_scan,
+        op6_decontamination,
+        op7_simhash_near_dedup,
+        op9_substring_dedup,
+        op10_chat_format,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op5_secret_scan": secrets.oracle_sql(), "op10_chat_format": chat.ORACLE_SQL}
