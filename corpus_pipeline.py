@@ -3,17 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridseek.llm import simhash
+from gridseek.llm import decontaminate, lines, packing, quality, simhash
 from gridseek.plans.durable import materialize
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring lines go but for their first place; ``n_chars`` follows where a text changed."""
+    cleaned = lines.drop_recurring_lines(docs)
+    n_chars = F.when(F.col("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", n_chars).drop("__lines", "__gone")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: one document of each component stays."""
+    """One document of each group of near-duplicates stays, the one of the least id."""
     return simhash.drop_near_duplicates(docs)
 
 
-STAGES = [("simhash near-dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bin of every piece of the documents that are left."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("line dedup", line_dedup),
+    ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", best_fit_packing),
+]
+#: SQL cannot express the classifier, the fingerprints and the packing; the tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -119,7 +119,7 @@ def nearest(
     asks = asking.select("cid").distinct().join(classes.select("cid", "vec"), "cid")
     parts, sides = max(1, -(-n // block_rows)), max(1, -(-asking.select("cid").distinct().count() // query_rows))
     block = lambda m: F.pmod(F.xxhash64("cid"), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     dealt = classes.select("cid", "vec", F.lit(False).alias("asks"), block(parts).alias("part"), every(sides).alias("side")).union(
         asks.select("cid", "vec", F.lit(True).alias("asks"), every(parts).alias("part"), block(sides).alias("side"))
     )

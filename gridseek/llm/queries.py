@@ -5,13 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridseek.llm import chat, decontaminate, secrets, simhash, substring
+from gridseek.llm import ann, chat, decontaminate, licenses, lines, packing, quality, secrets, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What recurring line templates leave of every document."""
+    return lines.line_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin of every piece of every document."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets and linked credential parts of every document."""
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
@@ -28,6 +48,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, found or inherited."""
+    files = _table(spark, sf_dir, "documents").withColumn("__path", licenses.document_path())
+    return licenses.scan_licenses(files, path_col="__path")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeat an earlier passage."""
     return substring.substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
@@ -48,11 +74,16 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_quality_classifier,
+        op2_line_dedup,
+        op3_nearest_neighbours,
+        op4_best_fit_packing,
         op5_secret_scan,
         op6_decontamination,
         op7_simhash_near_dedup,
+        op8_license_scan,
         op9_substring_dedup,
         op10_chat_format,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op5_secret_scan": secrets.oracle_sql(), "op10_chat_format": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": lines.ORACLE_SQL, "op8_license_scan": licenses.oracle_sql(), "op5_secret_scan": secrets.oracle_sql(), "op10_chat_format": chat.ORACLE_SQL}
