@@ -78,9 +78,9 @@ def grid_patches(spark, sf_dir):
     f"""WITH {_sql_images(128)}, f AS (SELECT *, CAST(id % 40 AS INT) AS flat, 2 * n_cols - 1 AS wide FROM gr),
 g AS (SELECT *, flat < n_rows * n_cols + CASE WHEN layered THEN (n_rows - 1) * (n_cols - 1) ELSE 0 END AS inside, flat < (n_rows - 1) * wide AS body FROM f),
 h AS (SELECT *, CASE WHEN NOT inside THEN NULL WHEN NOT layered THEN flat // n_cols WHEN body THEN flat // wide ELSE n_rows - 1 END AS r FROM g),
-k AS (SELECT *, CASE WHEN NOT inside THEN NULL WHEN NOT layered THEN flat - r * n_cols ELSE flat - r * wide END AS at FROM h)
-SELECT id, flat, CASE WHEN inside THEN CASE WHEN layered AND body AND at % 2 = 1 THEN 'overlap' ELSE 'main' END END AS kind,
-CAST(r AS INT) AS "row", CAST(CASE WHEN layered AND body THEN at // 2 ELSE at END AS INT) AS col FROM k"""
+k AS (SELECT *, CASE WHEN NOT inside THEN NULL WHEN NOT layered THEN flat - r * n_cols ELSE flat - r * wide END AS slot FROM h)
+SELECT id, flat, CASE WHEN inside THEN CASE WHEN layered AND body AND slot % 2 = 1 THEN 'overlap' ELSE 'main' END END AS kind,
+CAST(r AS INT) AS "row", CAST(CASE WHEN layered AND body THEN slot // 2 ELSE slot END AS INT) AS col FROM k"""
 )
 def flat_to_unified(spark, sf_dir):
     """Places of flat numbers, null outside the grid."""
