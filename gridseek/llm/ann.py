@@ -4,7 +4,7 @@ The largest inner product is turned into the smallest distance by one more compo
 vector to the largest norm. Each block of vectors keeps one sorted array per random projection. Around a
 query's own projections windows open; virtual rehashing widens them step by step, and a vector that falls
 into the windows of at least ``THRESHOLD`` of the projections becomes a candidate. Widening ends once a
-block has ``k`` and ``SHARE`` of its vectors as candidates, whose inner products are then computed exactly.
+block has ``TIMES`` times ``k`` and ``SHARE`` of its vectors as candidates, whose inner products are then computed exactly.
 
 Equal vectors are one class with its least ids, so that a vector held by a third of all rows is indexed
 and searched once. Blocks of classes and blocks of queries have fixed sizes; every pair of blocks is one
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from gridseek.plans.durable import materialize
 
-PROJECTIONS, SEED = 96, 17
+PROJECTIONS, SEED = 128, 17
 #: Share of the projections that have to collide, first half-width of the windows in usual distances and its growth,
-#: and share of a block that is verified.
-THRESHOLD, FIRST, GROWTH, SHARE = 0.6, 0.7, 1.04, 0.25
+#: and the candidates that end the widening: so many times ``k`` and this share of a block.
+THRESHOLD, FIRST, GROWTH, TIMES, SHARE = 0.6, 0.7, 1.04, 16, 0.25
 BLOCK_ROWS, QUERY_ROWS = 8192, 4096
 
 
@@ -45,7 +45,7 @@ def collide(data: np.ndarray, queries: np.ndarray, k: int, norm: float, chunk: i
     spread = (_lifted(data, norm) @ lines).T
     order = np.argsort(spread, axis=1, kind="stable")
     places = np.take_along_axis(spread, order, axis=1)
-    need, enough = int(np.ceil(THRESHOLD * PROJECTIONS)), min(n, k + int(SHARE * n))
+    need, enough = int(np.ceil(THRESHOLD * PROJECTIONS)), min(n, TIMES * k + int(SHARE * n))
     for at in range(0, len(queries), chunk):
         asked = queries[at : at + chunk]
         centre = np.hstack([asked, np.zeros((len(asked), 1))]) @ lines

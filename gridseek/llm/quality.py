@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 #: Labelled rows that the machine is fitted on at most.
 SAMPLE = 6000
 WORD_SLOTS, RANK = 1 << 14, 6
-EPOCHS, BATCH, RATE, DECAY, SEED = 6, 64, 0.02, 1e-4, 5
+#: Passes over the sample and least number of steps, so that a small sample is passed more often.
+EPOCHS, STEPS, BATCH, RATE, DECAY, SEED = 6, 400, 64, 0.02, 1e-4, 5
 CUTOFF = 0.3
 #: Upper ends of the ranges that each statistic is cut into.
 RANGES = {
@@ -116,7 +117,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Machin
     machine = Machine(float(np.log(share / (1 - share))), np.zeros(SLOTS), draw.normal(0, 0.02, (SLOTS, RANK)))
     first = [np.zeros((SLOTS, RANK + 1)), np.zeros((SLOTS, RANK + 1))]
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(len(rows), BATCH))) if rows else 0):
         order = draw.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
