@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridseek.functions import image
+from gridseek.functions.image import IMAGE, encode_row
+from gridseek.functions.parsing import pixel_count
 from gridseek.operators import fidelity, grid, knn, levels, localize, raster, regions, retrieval, rollup, sampling, tiling
 from gridseek.operators.vectors import dot, normalized, top_k
 
@@ -130,8 +135,6 @@ def query_dims(spark, sf_dir):
 SELECT id, t, CASE upper(regexp_extract(t, '^([0-9]+)([MmKk]?)$', 2)) WHEN 'M' THEN 1000000 WHEN 'K' THEN 1000 ELSE 1 END * TRY_CAST(nullif(regexp_extract(t, '^([0-9]+)([MmKk]?)$', 1), '') AS BIGINT) AS n FROM q""")
 def pixel_counts(spark, sf_dir):
     """Numbers of pixels written like 16M or 4K."""
-    from gridseek.functions.parsing import pixel_count
-
     t = F.explode(F.array(*map(F.lit, ("16M", "4K", "1500", "bad", "2k"))))
     return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), t.alias("t")).withColumn("n", pixel_count(F.col("t")))
 
@@ -766,3 +769,48 @@ def apply_homography(spark, sf_dir):
 def decompose_homography(spark, sf_dir):
     """M23."""
     return _homographies(spark, sf_dir).select("id", *[F.round(c, 6).alias(n) for n, c in localize.decompose_homography(F.col("h")).items()])
+
+
+# Rows without SQL: images made of vectors, and point pairs of orders.
+
+
+def _pictures(spark, sf_dir) -> DataFrame:
+    @F.pandas_udf(IMAGE)
+    def picture(vectors: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in vectors:
+            tile = np.kron(np.asarray(v, dtype=float).reshape(8, 8), np.ones((4, 4)))
+            out.append(encode_row(np.clip(np.dstack([tile, tile.T, -tile]) * 300 + 128, 0, 255)))
+        return pd.DataFrame(out, columns=IMAGE.names)
+
+    return _t(spark, sf_dir, "embeddings").select("vec_id", picture("embedding").alias("image"))
+
+
+@_query()
+def spectral_stats(spark, sf_dir):
+    """M3-M5, A12, W9."""
+    both = [image.statistic_udf(f)("image").alias(n) for n, f in (("centroid", image.spectral_centroid), ("autocorr", image.autocorr_length))]
+    return _pictures(spark, sf_dir).select("vec_id", *both)
+
+
+@_query()
+def microscope_effects(spark, sf_dir):
+    """M11-M20."""
+    out = image.image_udf(image.microscope_photo)("image")
+    return _pictures(spark, sf_dir).select("vec_id", F.sha2(out["data"], 256).alias("digest"))
+
+
+@_query()
+def encoded_pictures(spark, sf_dir):
+    """X14, X15, D20."""
+    return image.encode_images(_pictures(spark, sf_dir), image.ColorLayout).select("vec_id", "feat")
+
+
+@_query()
+def ransac_fit(spark, sf_dir):
+    """Groups of orders whose points follow one transform but for every fifth."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    qx, qy = (k * 37 % 1000).cast("double"), (k * k * 91 % 997).cast("double")
+    off = F.when(k % 5 == 0, (k % 300 + 40).cast("double")).otherwise(0.0)
+    pairs = _t(spark, sf_dir, "orders").select((c % 50).alias("group_id"), qx.alias("qx"), qy.alias("qy"), (1.1 * qx + 0.1 * qy + 30 + off).alias("cx"), (0.9 * qy - 0.05 * qx + 12 + off).alias("cy"))
+    return localize.ransac(pairs, trials=60).select("group_id", "success", "inliers", "matches")
