@@ -1 +1 @@
-"""Package."""
+"""Functions on images and strings."""

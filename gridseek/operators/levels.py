@@ -45,12 +45,11 @@ def mpp_of(props: Column) -> Column:
 def matching_level(asked: DataFrame, levels: DataFrame, tol: float = 1e-3) -> DataFrame:
     """``asked`` and the first ``level`` whose downsample is within ``tol`` of ``want_ds``, or null.
 
-    Levels are a few rows for each slide and are broadcast.
+    The levels of a slide are a few rows.
     """
-    rows = asked.withColumn("__row", F.monotonically_increasing_id())
-    near = F.abs(F.col("ds") - F.col("want_ds")) / F.greatest(F.col("want_ds"), F.lit(1e-9)) < tol
-    found = rows.join(F.broadcast(levels.select("level", "ds")), near, "left")
-    return found.groupBy(*asked.columns, "__row").agg(F.min("level").alias("level")).drop("__row")
+    held = levels.agg(F.array_sort(F.collect_list(F.struct("level", "ds"))).alias("__levels"))
+    near = lambda x: F.abs(x["ds"] - F.col("want_ds")) / F.greatest(F.col("want_ds"), F.lit(1e-9)) < tol
+    return asked.join(F.broadcast(held), F.lit(True)).withColumn("level", F.get(F.filter("__levels", near), 0)["level"]).drop("__levels")
 
 
 def best_level(asked: DataFrame, levels: DataFrame) -> DataFrame:

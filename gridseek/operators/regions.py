@@ -1,31 +1,41 @@
 """Bounding-box algebra (F5, F6, J8, J9, A11, X1, X2). Boxes are ``(index, x, y, w, h)``.
 
-Overlaps and containments are found by cells: boxes are listed in every cell of a coarse raster that
-they touch, meet others of the same cell by an equi-join and are compared there, so that no box meets
-all others. A pair counts only in the first cell that both touch.
+Overlaps and containments are found by cells of a pyramid: a box is listed in the cells of its own size
+(four at most) and asks for others in the cells of its own and all larger sizes, so that neither a large
+box lists many cells nor does a box meet all others. A pair counts only in the first cell that both touch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseek.operators.components import connected_components
 
 
-def _celled(boxes: DataFrame, cell: int) -> DataFrame:
-    span = lambda a, n: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(a) + F.greatest(F.col(n), F.lit(1)) - 1) / cell)))
-    return boxes.withColumn("cx", span("x", "w")).withColumn("cy", span("y", "h"))
+def _cells(at: str, side: str) -> Column:
+    """Cells along an axis, at the size ``2 ** level``, that a box touches."""
+    size = F.pow(F.lit(2.0), F.col("level"))
+    last = F.col(at) + F.greatest(F.col(side), F.lit(1)) - 1
+    return F.explode(F.sequence(F.floor(F.col(at) / size), F.floor(last / size)))
 
 
-def touching(boxes: DataFrame, cell: int = 64) -> DataFrame:
+def touching(boxes: DataFrame) -> DataFrame:
     """Pairs ``a.index < b.index`` of boxes that share pixels, as ``(a, b)`` structs."""
-    held = _celled(boxes, cell)
-    a = held.select("cx", "cy", F.struct("index", "x", "y", "w", "h").alias("a"))
-    b = held.select("cx", "cy", F.struct("index", "x", "y", "w", "h").alias("b"))
-    pairs = a.join(b, ["cx", "cy"]).where("a.index < b.index AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")
-    first = [F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / cell) for c in ("x", "y")]
-    return pairs.where((F.col("cx") == first[0]) & (F.col("cy") == first[1])).select("a", "b")
+    own = F.ceil(F.log2(F.greatest("w", "h", F.lit(1)).cast("double"))).cast("int")
+    sized = boxes.select("x", "y", "w", "h", F.struct("index", "x", "y", "w", "h").alias("box"), own.alias("own"))
+    cells = lambda df: df.withColumn("cx", _cells("x", "w")).withColumn("cy", _cells("y", "h"))
+    held = cells(sized.withColumn("level", F.col("own"))).select("level", "cx", "cy", F.col("box").alias("b"))
+    top = F.broadcast(sized.agg(F.max("own").alias("top")))  # one row
+    asks = cells(sized.join(top, F.lit(True)).withColumn("level", F.explode(F.sequence(F.col("own"), F.col("top")))))
+    asks = asks.select("level", "cx", "cy", "own", F.col("box").alias("a"))
+    pairs = asks.join(held, ["level", "cx", "cy"]).where("own < level OR (own = level AND a.index < b.index)")
+    pairs = pairs.where("a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")
+    size = F.pow(F.lit(2.0), F.col("level"))
+    first = [F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / size) for c in ("x", "y")]
+    pairs = pairs.where((F.col("cx") == first[0]) & (F.col("cy") == first[1]))
+    turned = F.col("a.index") > F.col("b.index")
+    return pairs.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
 
 
 _A_IN_B = "a.x >= b.x AND a.y >= b.y AND a.x + a.w <= b.x + b.w AND a.y + a.h <= b.y + b.h"

@@ -41,11 +41,9 @@ def zero_non_finite(df: DataFrame, vec: str = "feat") -> DataFrame:
 
 
 def _block_best(rows: pd.DataFrame, k: int, digits: int, skip_self: bool) -> pd.DataFrame:
-    asks = rows["asks"].to_numpy(dtype=bool)
-    bank, asked = rows[~asks].sort_values("id"), rows[asks]
+    bank, asked, x, q = _sides(rows)
     if not len(bank) or not len(asked):
         return pd.DataFrame({"query_id": [], "ref_id": [], "sim": []})
-    x, q = (np.stack(r["vec"].to_numpy()).astype(np.float64) for r in (bank, asked))
     ids, out = bank["id"].to_numpy(), []
     for at in range(0, len(q), 256):
         sims = np.round(q[at : at + 256] @ x.T, digits)
@@ -60,6 +58,17 @@ def _block_best(rows: pd.DataFrame, k: int, digits: int, skip_self: bool) -> pd.
     return pd.concat(out)
 
 
+def _dealt(queries: DataFrame, bank: DataFrame, vec: str, extra: list[str]) -> DataFrame:
+    """Both sides in blocks, each pair of blocks one group ``(part, side)``; ``extra`` columns are the queries' only."""
+    sides, parts = max(1, -(-queries.count() // QUERY_ROWS)), max(1, -(-bank.count() // BANK_ROWS))
+    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col(vec).alias("vec"), F.lit(True).alias("asks"), *extra, every(parts).alias("part"), block("query_id", sides).alias("side"))
+    empty = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in extra]
+    held = bank.select(F.col("ref_id").cast("long").alias("id"), F.col(vec).alias("vec"), F.lit(False).alias("asks"), *empty, block("ref_id", parts).alias("part"), every(sides).alias("side"))
+    return asked.union(held)
+
+
 def top_k(
     queries: DataFrame, bank: DataFrame, k: int, vec: str = "feat", skip_self: bool = False, digits: int = DIGITS
 ) -> DataFrame:
@@ -69,18 +78,56 @@ def top_k(
     ``ref_id``. Both sides are cut into blocks; each pair of blocks is one matrix product that returns
     ``k`` rows for a query, so that neither side is broadcast and no pair is shuffled.
     """
-    sides, parts = max(1, -(-queries.count() // QUERY_ROWS)), max(1, -(-bank.count() // BANK_ROWS))
-    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col(vec).alias("vec"), F.lit(True).alias("asks"), every(parts).alias("part"), block("query_id", sides).alias("side"))
-    held = bank.select(F.col("ref_id").cast("long").alias("id"), F.col(vec).alias("vec"), F.lit(False).alias("asks"), block("ref_id", parts).alias("part"), every(sides).alias("side"))
-    best = asked.union(held).groupBy("part", "side").applyInPandas(
+    best = _dealt(queries, bank, vec, []).groupBy("part", "side").applyInPandas(
         partial(_block_best, k=k, digits=digits, skip_self=skip_self), "query_id long, ref_id long, sim double"
     )
     rank = Window.partitionBy("query_id").orderBy(F.desc("sim"), "ref_id")
     return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "sim")
 
 
+def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
+    asks = rows["asks"].to_numpy(dtype=bool)
+    bank, asked = rows[~asks], rows[asks]
+    x, q = (np.stack(r["vec"].to_numpy()).astype(np.float64) if len(r) else np.zeros((0, 0)) for r in (bank, asked))
+    return bank, asked, x, q
+
+
+def _block_ahead(rows: pd.DataFrame, digits: int) -> pd.DataFrame:
+    bank, asked, x, q = _sides(rows)
+    if not len(bank) or not len(asked):
+        return pd.DataFrame({"query_id": [], "ahead": []})
+    ids, out = bank["id"].to_numpy(), []
+    for qid, v, target, sim in zip(asked["id"], q, asked["target_id"], asked["target_sim"]):
+        row = np.round(x @ v, digits)
+        out.append((qid, int((((row > sim) | ((row == sim) & (ids < target))) & (ids != qid)).sum())))
+    return pd.DataFrame(out, columns=["query_id", "ahead"])
+
+
+def places_of(queries: DataFrame, bank: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """``(query_id, place)``: how many bank rows come before ``target_id`` in each query's ranking.
+
+    ``queries`` is ``(query_id, feat, target_id, target_sim)``, with the target's similarity rounded to
+    ``digits``. Blocks return one count for a query; no ranking is ever written out.
+    """
+    counts = _dealt(queries, bank, "feat", ["target_id", "target_sim"]).groupBy("part", "side").applyInPandas(partial(_block_ahead, digits=digits), "query_id long, ahead long")
+    return counts.groupBy("query_id").agg(F.sum("ahead").alias("place"))
+
+
+def _block_pairs(rows: pd.DataFrame, digits: int) -> pd.DataFrame:
+    bank, asked, x, q = _sides(rows)
+    if not len(bank) or not len(asked):
+        return pd.DataFrame({"a": [], "b": [], "sim": []})
+    a, b = asked["id"].to_numpy(), bank["id"].to_numpy()
+    i, j = np.nonzero(a[:, None] < b[None, :])
+    return pd.DataFrame({"a": a[i], "b": b[j], "sim": np.round(q @ x.T, digits)[i, j]})
+
+
+def pair_similarities(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """``(a, b, sim)`` of all pairs a < b of ``(id, feat)``; quadratic by its meaning, for some thousand rows."""
+    sides = [df.select(F.col("id").alias(c), "feat") for c in ("query_id", "ref_id")]
+    return _dealt(*sides, "feat", []).groupBy("part", "side").applyInPandas(partial(_block_pairs, digits=digits), "a long, b long, sim double")
+
+
 def average_ranks(df: DataFrame, value: str, out: str, low: float = -1.0, high: float = 1.0, ranges: int = 4096) -> DataFrame:
     """``df`` and the rank of ``value`` over all rows, ties at their mean, without a global window.
 

@@ -1 +1 @@
-"""Package."""
+"""Slides, images, tile lists and feature caches."""

@@ -1 +1 @@
-"""Package."""
+"""Queries that arrive as a stream."""
