@@ -708,12 +708,12 @@ def error_metrics(spark, sf_dir):
 
 # Benchmark runs from line items.
 
-_SQL_RUNS = "ru AS (SELECT l_returnflag AS flag, l_linestatus AS stat, l_linenumber AS bs, round(sum(l_extendedprice) / sum(l_quantity), 6) AS pps FROM lineitem GROUP BY ALL)"
+_SQL_RUNS = "ru AS (SELECT l_returnflag AS flag, l_linestatus AS stat, l_linenumber AS bs, sum(l_extendedprice) / sum(l_quantity) AS pps FROM lineitem GROUP BY ALL)"
 
 
 def _runs(spark, sf_dir) -> DataFrame:
     keys = [F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("stat"), F.col("l_linenumber").alias("bs")]
-    return _t(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("pps"))
+    return _t(spark, sf_dir, "lineitem").groupBy(*keys).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("pps"))
 
 
 @_query(f"WITH {_SQL_RUNS}, m AS (SELECT flag, bs, round(avg(pps), 4) AS mean FROM ru GROUP BY ALL) SELECT flag, (SELECT bs FROM m i WHERE i.flag = m.flag ORDER BY mean DESC, bs LIMIT 1) AS best, max(mean) AS best_mean, min(mean) AS worst_mean FROM m GROUP BY flag")
