@@ -118,6 +118,25 @@ def patches(grids: DataFrame, overlap: bool = True) -> DataFrame:
     ).drop("__rows", "__cols", "__both")
 
 
+def region_patches(regions: DataFrame, tile: int, ds: float, level: int | None = None, overlap: bool = True) -> DataFrame:
+    """Tiles of boxes ``(region_index, x, y, w, h)`` of level 0, in the level's pixels.
+
+    Origins and sizes are cut towards zero separately; a region smaller than a tile gives none. For a
+    whole slide pass its size as region 0.
+    """
+    cut = lambda c: (F.col(c) / ds).cast("int")
+    given = regions.select(
+        "region_index", cut("w").alias("width"), cut("h").alias("height"), cut("x").alias("x_off"), cut("y").alias("y_off"),
+        F.lit(tile).alias("tile"), F.lit(float(ds)).alias("ds"), F.lit(level).cast("int").alias("level"),
+    )
+    return patches(given, overlap)
+
+
+def layer_summary(tiles: DataFrame, *keys: str) -> DataFrame:
+    """Tiles and covered pixels by the given keys and layer."""
+    return tiles.groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size_px").cast("long") * F.col("size_px")).alias("pixels"))
+
+
 def query_size(ratio: Column, megapixels: Column) -> tuple[Column, Column]:
     """Width and height in pixels of an image of a ratio ``'a:b'`` and so many million pixels."""
     a, b = (F.split(ratio, ":")[i].cast("double") for i in (0, 1))

@@ -47,9 +47,22 @@ def matching_level(asked: DataFrame, levels: DataFrame, tol: float = 1e-3) -> Da
 
     The levels of a slide are a few rows.
     """
+    found = matching_levels(asked, levels, tol)
+    return found.withColumn("level", F.get("__all", F.lit(0))).drop("__all")
+
+
+def wrong_levels(asked: DataFrame, levels: DataFrame, tol: float = 1e-3) -> DataFrame:
+    """Rows whose own ``level`` isn't that of ``want_ds`` though another level is (F10); none matching is accepted."""
+    found = matching_levels(asked, levels, tol)
+    return found.where((F.size("__all") > 0) & ~F.array_contains("__all", F.col("level"))).drop("__all")
+
+
+def matching_levels(asked: DataFrame, levels: DataFrame, tol: float = 1e-3) -> DataFrame:
+    """``asked`` and ``__all``: every level whose downsample is within ``tol`` of ``want_ds``."""
     held = levels.agg(F.array_sort(F.collect_list(F.struct("level", "ds"))).alias("__levels"))
     near = lambda x: F.abs(x["ds"] - F.col("want_ds")) / F.greatest(F.col("want_ds"), F.lit(1e-9)) < tol
-    return asked.join(F.broadcast(held), F.lit(True)).withColumn("level", F.get(F.filter("__levels", near), 0)["level"]).drop("__levels")
+    every = F.transform(F.filter("__levels", near), lambda x: x["level"])
+    return asked.join(F.broadcast(held), F.lit(True)).withColumn("__all", every).drop("__levels")
 
 
 def best_level(asked: DataFrame, levels: DataFrame) -> DataFrame:

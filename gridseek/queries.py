@@ -181,6 +181,37 @@ def halo_tiles(spark, sf_dir):
     return out.select("id", "i", "j", "y0", "y1", "x0", "x1", "wy0", "wy1", "wx0", "wx1")
 
 
+_SQL_REGIONS = """rg AS (SELECT p_partkey AS region_index, p_partkey * 37 % 4001 AS x, p_partkey * 91 % 3989 AS y, p_size * 40 AS w, (p_partkey % 50 + 1) * 30 AS h FROM part),
+rs AS (SELECT region_index, CAST(trunc(x / 2.5) AS INT) AS x0, CAST(trunc(y / 2.5) AS INT) AS y0, CAST(trunc(w / 2.5) AS INT) // 128 AS n_cols, CAST(trunc(h / 2.5) AS INT) // 128 AS n_rows FROM rg),
+rp AS (SELECT region_index, 'main' AS kind, x0 + 128 * c AS x, y0 + 128 * r AS y FROM rs, LATERAL (SELECT unnest(range(n_rows)) AS r), LATERAL (SELECT unnest(range(n_cols)) AS c)
+UNION ALL SELECT region_index, 'overlap', x0 + 128 * c + 64, y0 + 128 * r + 64 FROM rs, LATERAL (SELECT unnest(range(n_rows - 1)) AS r), LATERAL (SELECT unnest(range(n_cols - 1)) AS c) WHERE n_rows > 1 AND n_cols > 1)"""
+
+
+def _regions(spark, sf_dir) -> DataFrame:
+    k = F.col("p_partkey")
+    p = _t(spark, sf_dir, "part")
+    return p.select(k.alias("region_index"), (k * 37 % 4001).alias("x"), (k * 91 % 3989).alias("y"), (F.col("p_size") * 40).alias("w"), ((k % 50 + 1) * 30).alias("h"))
+
+
+@_query(f"WITH {_SQL_REGIONS} SELECT region_index, kind, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM rp")
+def region_patches(spark, sf_dir):
+    """Tiles of regions at a level."""
+    return grid.region_patches(_regions(spark, sf_dir), 128, 2.5, 1).select("region_index", "kind", "x", "y")
+
+
+@_query(f"WITH {_SQL_REGIONS} SELECT region_index, kind, count(*) AS n, count(*) * 16384 AS pixels FROM rp GROUP BY ALL")
+def layer_summary(spark, sf_dir):
+    """G14."""
+    return grid.layer_summary(grid.region_patches(_regions(spark, sf_dir), 128, 2.5, 1), "region_index")
+
+
+@_query(f"WITH {_sql_images(256)}, n AS (SELECT id, n_rows * n_cols + CASE WHEN layered THEN (n_rows - 1) * (n_cols - 1) ELSE 0 END AS n FROM gr), f AS (SELECT id, unnest(range(n)) AS i FROM n) SELECT id, CAST(i // 4 AS INT) AS batch, count(*) AS n FROM f GROUP BY ALL")
+def patch_batches(spark, sf_dir):
+    """W11."""
+    tiles = grid.patches(_images(spark, sf_dir, 256))
+    return tiles.groupBy("id", tiling.batch_of(F.col("flat_idx"), 4).alias("batch")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # Levels. A level is a region of the tables.
 
 _SQL_LEVELS = "lv AS (SELECT r_regionkey AS level, pow(4.0, r_regionkey) AS ds, 0.25 * pow(4.0, r_regionkey) AS mpp FROM region)"
@@ -208,6 +239,15 @@ def level_for_downsample(spark, sf_dir):
     return levels.best_level(exact, _levels(spark, sf_dir)).select("id", "exact_level", F.col("level").alias("best_level"))
 
 
+@_query(f"""WITH {_SQL_LEVELS}, q AS (SELECT n_nationkey AS id, CAST(n_nationkey % 6 AS INT) AS level, pow(4.0, n_nationkey % 7) AS want FROM nation)
+SELECT id, level FROM q WHERE EXISTS (SELECT 1 FROM lv WHERE abs(ds - want) / greatest(want, 1e-9) < 1e-3) AND NOT EXISTS (SELECT 1 FROM lv WHERE lv.level = q.level AND abs(ds - want) / greatest(want, 1e-9) < 1e-3)""")
+def wrong_levels(spark, sf_dir):
+    """F10."""
+    n = F.col("n_nationkey")
+    asked = _t(spark, sf_dir, "nation").select(n.alias("id"), (n % 6).alias("level"), F.pow(F.lit(4.0), n % 7).alias("want_ds"))
+    return levels.wrong_levels(asked, _levels(spark, sf_dir)).select("id", "level")
+
+
 @_query(f"""WITH {_SQL_LEVELS}, q AS (SELECT n_nationkey AS id, 0.1 * pow(1.6, n_nationkey) AS want FROM nation),
 c AS (SELECT id, want, level, mpp, abs(mpp - want) <= 0.05 * want AS near FROM q, lv WHERE abs(mpp - want) <= 0.05 * want OR mpp > want),
 f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY level) = 1)
@@ -288,6 +328,14 @@ def weighted_knn_level(spark, sf_dir):
     return levels.weighted_log_mean(near, ["id"]).select("id", F.round("estimate", 6).alias("estimate"))
 
 
+@_query("SELECT l_returnflag AS flag, array_to_string(list(l_linenumber || ':' || n ORDER BY l_linenumber), ',') AS spread FROM (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY flag")
+def level_spread(spark, sf_dir):
+    """A24."""
+    n = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("level")).agg(F.count(F.lit(1)).alias("stat"))
+    spread = levels.level_spread(n.withColumn("mpp", F.lit(0.0)), ["flag"])
+    return spread.select("flag", F.array_join(F.transform("spread", lambda x: F.concat_ws(":", x["level"].cast("string"), x["stat"].cast("string"))), ",").alias("spread"))
+
+
 # Nearest neighbours. Queries are the vectors that 25 divides, the bank is the rest.
 
 

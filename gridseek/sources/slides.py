@@ -118,3 +118,8 @@ def cached_features(wanted: DataFrame, path: str, encode, keys: tuple[str, ...]
         missing = wanted  # the first use of the cache
     encode(missing).select(*schema.names).write.mode("append").parquet(path)
     return wanted.join(spark.read.schema(schema).parquet(path), list(keys))
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """A summary table as CSV with a header (SNK2)."""
+    summary.write.mode("overwrite").option("header", True).csv(path)
