@@ -27,17 +27,24 @@ _KEY = ("k1", "k2")
 
 def masked(line: Column) -> Column:
     """The line with single spaces and its tokens that hold a digit as fields; blank lines are empty."""
-    plain = F.trim(F.regexp_replace(line, r"[ \t\r]+", " "))
-    return F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", FIELD)
+    odd = line.contains("  ") | line.contains("\t") | line.contains("\r")
+    plain = F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\r]+", " ")).otherwise(line))
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, mark, parts)``: documents and their lines."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.posexplode(F.split(text, "\n", -1)).alias("line", "raw"))
-    rows = rows.select(*_DOC, "line", masked(F.col("raw")).alias("template")).where("template <> ''")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.split(text, "\n", -1).alias("parts"))
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, mark, line, k1, k2, leaf)`` of every line that isn't blank."""
+    rows = _rows(docs, id_col, text_col).select(*_DOC, F.posexplode("parts").alias("line", "raw"))
+    rows = rows.where(F.col("raw").rlike(r"[^ \t\r]")).select(*_DOC, "line", masked(F.col("raw")).alias("template"))
     tokens = F.length("template") - F.length(F.replace("template", F.lit(" "))) + 1
     leaf = F.xxhash64(tokens, F.substring_index("template", " ", LEAD))
-    return rows.select(*_DOC, "line", F.xxhash64("template").alias("k1"), F.xxhash64("template", F.lit(2)).alias("k2"), leaf.alias("leaf"), "template")
+    return rows.select(*_DOC, "line", F.xxhash64("template").alias("k1"), F.xxhash64("template", F.lit(2)).alias("k2"), leaf.alias("leaf"))
 
 
 def _templates(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col: str, min_docs: int) -> DataFrame:
@@ -48,10 +55,13 @@ def _templates(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col: s
     leaves = lines.groupBy("leaf").agg(F.sum("docs").alias("held")).where(F.col("held") >= min_docs).select("leaf")
     lines = materialize(lines.join(leaves, "leaf"))
 
-    heads = broadcast_if_small(lines.select(*_KEY, "docs", *(F.col(f"first.{c}").alias(f"first_{c}") for c in (*_DOC, "line"))))
-    every = _lines(docs, id_col, text_col)
-    at = [every[c] == heads[c] for c in _KEY] + [every[c].eqNullSafe(heads[f"first_{c}"]) for c in (*_DOC, "line")]
-    cut = every.join(heads, at).select(every["k1"], every["k2"], "leaf", "docs", "template").dropDuplicates([*_KEY])
+    # one text for each line that is left: documents that hold a first place give the lines there
+    pick = F.struct(F.col("first.line").alias("line"), *_KEY, "leaf", "docs")
+    heads = lines.groupBy(F.col("first.id").alias("id2"), F.col("first.mark").alias("mark2")).agg(F.collect_list(pick).alias("picks"))
+    heads = broadcast_if_small(materialize(heads))
+    held = _rows(docs, id_col, text_col).join(heads, F.col("id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2")))
+    told = F.transform("picks", lambda p: F.struct(*[p[c].alias(c) for c in (*_KEY, "leaf", "docs")], F.get("parts", p["line"]).alias("raw")))
+    cut = held.select(F.explode(told).alias("p")).select("p.*").withColumn("template", masked(F.col("raw"))).dropDuplicates([*_KEY])
     tokens = cut.select(*_KEY, "leaf", "docs", F.posexplode(F.split("template", " ")).alias("at", "token"))
     tokens = materialize(tokens)
     common = tokens.where(F.col("token") != FIELD).groupBy("leaf", "at", "token").agg(F.sum("docs").alias("held"))
@@ -70,7 +80,7 @@ def _templates(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col: s
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """``(id, mark, gone)``: numbers from 0 of the lines to drop, for documents that have some."""
-    occurrences = materialize(_lines(docs, id_col, text_col).drop("template"))
+    occurrences = materialize(_lines(docs, id_col, text_col))
     templates = broadcast_if_small(_templates(docs, occurrences, id_col, text_col, min_docs))
     gone = occurrences.join(templates, [*_KEY]).where(~F.struct(*_DOC, "line").eqNullSafe(F.col("first")))
     return gone.groupBy(*_DOC).agg(F.collect_set("line").alias("gone"))
@@ -84,18 +94,17 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first. An empty table stays one; other columns pass.
     """
     gone = recurring_lines(docs, id_col, text_col, min_docs).withColumnsRenamed({"id": "__id", "mark": "__mark", "gone": "__lost"})
-    marked = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = marked.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lost"))
-    cleaned = F.when(F.col("__lost").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    return joined.withColumns(
-        {
-            "__lines": F.size(lines).cast("long"),
-            "__gone": F.size(F.coalesce("__lost", F.array().cast("array<int>"))).cast("long"),
-            text_col: cleaned,
-        }
-    ).drop("__id", "__mark", "__own", "__lost")
+    # the lines are cut before the join, so that reading one by its number doesn't cut the text again
+    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    marked = docs.withColumns({"__own": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "__null": F.col(text_col).isNull(), "__parts": parts})
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    joined = marked.select(*columns, "__own", "__null", "__parts").join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left")
+    lost = F.coalesce("__lost", F.array().cast("array<int>"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), lost)
+    cleaned = F.when(F.size(lost) == 0, F.array_join("__parts", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__parts", i)), "\n"))
+    text = F.when(~F.col("__null"), cleaned).alias(text_col)
+    ordered = [text if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*ordered, F.size("__parts").cast("long").alias("__lines"), F.size(lost).cast("long").alias("__gone"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
