@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, BLOCK = 20, 10
-#: Multiplier of the rolling hash, and those of the mixing function (odd constants of the 64-bit golden ratio kind).
+#: Multiplier of the rolling hash, and those of the mixing function (the finaliser of SplitMix64). Fixed values.
 _BASE, _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bits of a block's hash that are sent; a chance match only costs a comparison of windows.
 BLOCK_BITS = 40
