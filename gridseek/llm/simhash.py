@@ -200,8 +200,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their component: the one of the least id, once.
 
-    Columns are those of ``docs``. Rows with a null id stay only where no row of the component has an id.
+    Columns are those of ``docs``. Rows that repeat an id and a text come out once; rows of one id with
+    different texts are told apart and stay where that id is the least. Rows with a null id stay only
+    where no row of the component has an id.
     """
     stay = near_duplicates(docs, id_col, text_col).select(F.col("component_id").alias("__stay")).distinct()
-    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    marked = docs.withColumn("__mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
+    return kept.dropDuplicates([id_col, "__mark"]).drop("__mark")

@@ -389,6 +389,8 @@ def test_near_duplicates_odd(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
     kept = simhash.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 6, 7]
+    twins = docs(spark, ["one text of its own", "something else entirely here", "something else entirely here"], [5, 5, 5])
+    assert sorted(r["text"] for r in simhash.drop_near_duplicates(twins).collect()) == ["one text of its own", "something else entirely here"]
 
 
 def test_bk_tree():
