@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from gridseek.plans.durable import materialize
 
-PROJECTIONS, SEED = 128, 17
+PROJECTIONS, SEED = 112, 17
 #: Share of the projections that have to collide, first half-width of the windows in usual distances and its growth,
 #: and the candidates that end the widening: so many times ``k`` and this share of a block.
-THRESHOLD, FIRST, GROWTH, TIMES, SHARE = 0.6, 0.7, 1.04, 16, 0.25
-BLOCK_ROWS, QUERY_ROWS = 8192, 4096
+THRESHOLD, FIRST, GROWTH, TIMES, SHARE = 0.6, 0.74, 1.04, 16, 0.25
+BLOCK_ROWS, QUERY_ROWS = 32_768, 1024
 
 
 def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
@@ -38,13 +38,15 @@ def _lifted(x: np.ndarray, norm: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(rest)[:, None]])
 
 
-def collide(data: np.ndarray, queries: np.ndarray, k: int, norm: float, chunk: int = 256):
-    """For each query the positions of the candidates in ``data``."""
+def collide(data: np.ndarray, queries: np.ndarray, k: int, norm: float, chunk: int = 128):
+    """For each query the positions of the candidates in ``data``, which has at most 65 536 rows."""
     n, dim = data.shape
     lines = np.random.default_rng(SEED).standard_normal((dim + 1, PROJECTIONS))
     spread = (_lifted(data, norm) @ lines).T
     order = np.argsort(spread, axis=1, kind="stable")
     places = np.take_along_axis(spread, order, axis=1)
+    ranks = np.empty((PROJECTIONS, n), dtype=np.uint16)  # of each vector in each sorted array
+    np.put_along_axis(ranks, order, np.arange(n, dtype=np.uint16)[None, :], axis=1)
     need, enough = int(np.ceil(THRESHOLD * PROJECTIONS)), min(n, TIMES * k + int(SHARE * n))
     for at in range(0, len(queries), chunk):
         asked = queries[at : at + chunk]
@@ -60,10 +62,11 @@ def collide(data: np.ndarray, queries: np.ndarray, k: int, norm: float, chunk: i
                 bounds[1, line, live] = np.searchsorted(place, c[live] + width[live], side="right")
             for q in live.tolist():
                 row = counts[q]
-                for o, low, high, old_low, old_high in zip(order, *bounds[:, :, q].tolist(), *before[:, :, q].tolist()):
-                    if fresh:
-                        row[o[low:high]] += 1
-                    else:  # only the two rings that the wider window adds
+                if fresh:  # a rank lies in the window if its distance from the lower end, wrapped, is below the width
+                    for rank, low, high in zip(ranks, *bounds[:, :, q].tolist()):
+                        row += np.subtract(rank, np.uint16(low % 65536)) < high - low if high - low < n else np.uint8(1)
+                else:  # only the two rings that the wider window adds
+                    for o, low, high, old_low, old_high in zip(order, *bounds[:, :, q].tolist(), *before[:, :, q].tolist()):
                         row[o[low:old_low]] += 1
                         row[o[old_high:high]] += 1
             fresh = False
