@@ -32,9 +32,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, held: int | None = None) -> DataFrame:
     """``broadcast(df)`` if a written table has at most ``rows`` rows, else ``df`` for a shuffle join.
 
-    ``df`` should come from :func:`materialize`, so that counting it reads Parquet footers only.
+    ``df`` should come from :func:`materialize`, so that counting it reads Parquet footers only. Where rows
+    hold lists, ``held`` gives the number of their elements, which counts instead.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if (df.count() if held is None else held) <= rows else df
