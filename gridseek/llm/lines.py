@@ -58,7 +58,8 @@ def _templates(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col: s
     # one text for each line that is left: documents that hold a first place give the lines there
     pick = F.struct(F.col("first.line").alias("line"), *_KEY, "leaf", "docs")
     heads = lines.groupBy(F.col("first.id").alias("id2"), F.col("first.mark").alias("mark2")).agg(F.collect_list(pick).alias("picks"))
-    heads = broadcast_if_small(materialize(heads))
+    heads = materialize(heads)
+    heads = broadcast_if_small(heads, held=heads.agg(F.sum(F.size("picks"))).first()[0] or 0)
     held = _rows(docs, id_col, text_col).join(heads, F.col("id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2")))
     told = F.transform("picks", lambda p: F.struct(*[p[c].alias(c) for c in (*_KEY, "leaf", "docs")], F.get("parts", p["line"]).alias("raw")))
     cut = held.select(F.explode(told).alias("p")).select("p.*").withColumn("template", masked(F.col("raw"))).dropDuplicates([*_KEY])

@@ -204,7 +204,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     different texts are told apart and stay where that id is the least. Rows with a null id stay only
     where no row of the component has an id.
     """
-    stay = near_duplicates(docs, id_col, text_col).select(F.col("component_id").alias("__stay")).distinct()
-    marked = docs.withColumn("__mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
-    return kept.dropDuplicates([id_col, "__mark"]).drop("__mark")
+    # a struct is a join key that may be null inside, so that one shuffle by it serves the join and the repeats
+    stay = near_duplicates(docs, id_col, text_col).select(F.struct(F.col("component_id").alias("id")).alias("__key")).distinct()
+    marked = docs.withColumns({"__key": F.struct(F.col(id_col).alias("id")), "__mark": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    return marked.join(stay, "__key", "left_semi").dropDuplicates(["__key", "__mark"]).drop("__key", "__mark")
