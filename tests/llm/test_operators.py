@@ -417,6 +417,34 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.union(df)).count() == 14
 
 
+def test_licenses_whole_texts_headers_and_names(spark):
+    kept = dict(licenses.whole_texts())
+    assert all(any(a in t.lower() for a in licenses.ANCHORS) for _, t in [*licenses.HEADERS, *kept.items()])
+    mit = "Copyright (c) 2020 Foo Bar\n\n" + kept["MIT"]
+    apache = "\n".join([
+        "# Licensed under the Apache License, Version 2.0 (the \"License\");", "# you may not use this file except in compliance with the License.",
+        "# You may obtain a copy of the License at", "#", "#     http://www.apache.org/licenses/LICENSE-2.0", "", "import os", *(f"x{i} = {i}" for i in range(40)),
+    ])
+    gnu = lambda full: "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU " + full + "\n * the License, or (at your option) any later version.\n */\nint x;"
+    cases = [
+        ("m/any", mit, "MIT"), ("m/code", "x = 1\ny = 2", "MIT"), ("a/x.py", apache, "Apache-2.0"), ("a/y.py", "y = 1\nz = 2", None),
+        ("g/x", gnu("General Public License as published by\n * the Free Software Foundation, either version 2 of"), "GPL-2.0"),
+        ("g/y", gnu("Lesser General Public License as published by\n * the Free Software Foundation, either version 3 of"), "LGPL-3.0"),
+        ("s/1", "MIT License", "MIT"), ("s/2", "// SPDX-License-Identifier: Apache-2.0\nint x;\nint y;\nint z;", "Apache-2.0"), ("s/3", "BSD 3-Clause License", "BSD-3-Clause"),
+        ("s/4", "Copyright (c) 2020, Foo. All rights reserved.", "LicenseRef-Proprietary"), ("s/5", "BSD 2-Clause License", "BSD-2-Clause"),
+        ("s/6", "This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"), ("s/7", "Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        ("s/8", "GNU Lesser General Public License, version 3", "LGPL-3.0"), ("s/9", "Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+        ("s/12", "The MIT License (MIT)", "MIT"), ("t/1", "Mit.", None), ("t/2", "zlib", None),
+        ("s/10", "This work is licensed under the GNU General Public License, version 7.", None), ("s/11", "Copyright (c) 2020, Foo. All rights reserved.\nMIT License", "MIT"),
+        ("n/COPYING", "For the terms see below,\nas they were agreed\nwith the authors.\nBSD 3-Clause License", "BSD-3-Clause"), ("n/z", "word", "BSD-3-Clause"),
+        *((f"w{i}/f", t, n) for i, (n, t) in enumerate(kept.items())), *((f"w{i}/g", "some code", n) for i, n in enumerate(kept)),
+    ]
+    df = spark.createDataFrame([(i, t, p) for i, (p, t, _) in enumerate(cases)], "doc_id long, text string, path string")
+    got = by_id(licenses.scan_licenses(df))
+    assert [got[i]["license"] for i in range(len(cases)) if not cases[i][0].startswith("s/10")] == [n for p, _, n in cases if p != "s/10"]
+    assert got[18]["evidence"] != "notice" and got[1]["evidence"] == "inherited"
+
+
 def test_licenses_odd(spark, odd):
     assert licenses.scan_licenses(odd.withColumn("__path", licenses.document_path()), path_col="__path").count() == len(ODD)
 
