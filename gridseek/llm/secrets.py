@@ -22,9 +22,18 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
-#: Of the method: parts that count only together.
-USER = r"""(user|username|login|client_?id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{3,})"""
-ENDPOINT = r"(https?|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp|ftp)://[A-Za-z0-9_.:/@?=&%-]{4,}"
+#: Of the method: parts that count only together. The SQL has their lower case only.
+_SQL_USER = r"""(user|username|login|client_?id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{3,})"""
+_SQL_ENDPOINT = r"(https?|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp|ftp)://[A-Za-z0-9_.:/@?=&%-]{4,}"
+
+
+def _either(words: str) -> str:
+    """A pattern of words with its letters in either case, as classes."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+USER = "(" + _either("user|username|login|client_?id|account") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{3,})"""
+ENDPOINT = "(" + _either("https?|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp|ftp") + r")://[A-Za-z0-9_.:/@?=&%-]{4,}"
 MIN_ASSIGN, MIN_ACCESS, MIN_WEAK = 12, 18, 6
 SCOPE = 200
 #: In the order of spans that start together.
@@ -138,7 +147,7 @@ def _sql_kind(name: str, pattern: str) -> str:
 
 def oracle_sql() -> str:
     """The same in DuckDB's SQL."""
-    kinds = ",\n".join(_sql_kind(n, p) for n, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("usr", USER), ("endpt", ENDPOINT)))
+    kinds = ",\n".join(_sql_kind(n, p) for n, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("usr", _SQL_USER), ("endpt", _SQL_ENDPOINT)))
     assign = ASSIGN.replace("'", "''")
     return f"""WITH d AS (SELECT row_number() OVER () rid, doc_id, coalesce(text, '') t FROM documents),
 {kinds},

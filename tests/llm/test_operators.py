@@ -278,6 +278,13 @@ def test_secrets_linked(spark):
     assert [s.split(":")[0] for s in got[4]["spans"].split(",")] == ["key", "assign"]
 
 
+def test_secrets_linked_in_either_case(spark):
+    texts = ["DB_USER=admin\nDB_PASSWORD=hunter22\nDB_URL=HTTPS://db.example.org/x", "Username: bob, Password: hunter22", "CLIENT_ID=abc123 CLIENT_SECRET=hunter22", "DB_USER=admin"]
+    got = by_id(secrets.scan_secrets(docs(spark, texts)))
+    kinds = [[s.split(":")[0] for s in got[i]["spans"].split(",") if s] for i in range(4)]
+    assert kinds == [["user", "short", "endpoint"], ["user", "short"], ["user", "short"], []]
+
+
 def test_secrets_odd(spark, odd, empty):
     assert sorted((r["doc_id"] or 0) for r in secrets.scan_secrets(odd).collect()) == sorted(i or 0 for i in ODD_IDS)
     assert secrets.scan_secrets(empty).count() == 0
