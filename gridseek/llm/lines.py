@@ -5,7 +5,8 @@ their number of tokens and their first ``LEAD`` tokens. In a leaf, a token that
 at least ``MIN_DOCS`` documents is constant and any other is a field, so that lines which differ in fields
 only share a template. A template that recurs in ``MIN_DOCS`` documents and is constant in at least
 ``SHARE`` of its tokens is dropped everywhere but where it stands first, so that of copied documents one
-keeps its text.
+keeps its text. A line that recurs in ``MIN_DOCS`` documents as it stands is a template of its own where its
+masked form is none, whatever digits it holds.
 
 Lines travel as 128-bit keys with their counts; only lines of leaves that are full enough, once each, are
 cut into tokens.
@@ -25,10 +26,15 @@ _DOC = ("id", "mark")
 _KEY = ("k1", "k2")
 
 
+def spaced(line: Column) -> Column:
+    """The line with single spaces; blank lines are empty."""
+    odd = line.contains("  ") | line.contains("\t") | line.contains("\r")
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\r]+", " ")).otherwise(line))
+
+
 def masked(line: Column) -> Column:
     """The line with single spaces and its tokens that hold a digit as fields; blank lines are empty."""
-    odd = line.contains("  ") | line.contains("\t") | line.contains("\r")
-    plain = F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\r]+", " ")).otherwise(line))
+    plain = spaced(line)
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
 
 
@@ -39,12 +45,14 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, mark, line, k1, k2, leaf)`` of every line that isn't blank."""
+    """``(id, mark, line, k1, k2, leaf, v1, v2)`` of every line that isn't blank; ``v1`` and ``v2`` are null without a digit."""
     rows = _rows(docs, id_col, text_col).select(*_DOC, F.posexplode("parts").alias("line", "raw"))
-    rows = rows.where(F.col("raw").rlike(r"[^ \t\r]")).select(*_DOC, "line", masked(F.col("raw")).alias("template"))
+    rows = rows.where(F.col("raw").rlike(r"[^ \t\r]")).select(*_DOC, "line", masked(F.col("raw")).alias("template"), spaced(F.col("raw")).alias("plain"))
     tokens = F.length("template") - F.length(F.replace("template", F.lit(" "))) + 1
     leaf = F.xxhash64(tokens, F.substring_index("template", " ", LEAD))
-    return rows.select(*_DOC, "line", F.xxhash64("template").alias("k1"), F.xxhash64("template", F.lit(2)).alias("k2"), leaf.alias("leaf"))
+    digits = F.col("template") != F.col("plain")
+    verbatim = [F.when(digits, F.xxhash64("plain")).alias("v1"), F.when(digits, F.xxhash64("plain", F.lit(2))).alias("v2")]
+    return rows.select(*_DOC, "line", F.xxhash64("template").alias("k1"), F.xxhash64("template", F.lit(2)).alias("k2"), leaf.alias("leaf"), *verbatim)
 
 
 def _templates(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col: str, min_docs: int) -> DataFrame:
@@ -79,11 +87,23 @@ def _templates(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col: s
     return materialize(trees.join(recurring.select("tree", "first"), "tree").select(*_KEY, "first"))
 
 
+def _verbatim(occurrences: DataFrame, min_docs: int) -> DataFrame:
+    """``(v1, v2, first)`` of lines with digits that recur as they stand."""
+    once = occurrences.where("v1 IS NOT NULL").groupBy("v1", "v2", *_DOC).agg(F.min("line").alias("line"))
+    found = once.groupBy("v1", "v2").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(*_DOC, "line")).alias("first"))
+    return materialize(found.where(F.col("docs") >= min_docs).select("v1", "v2", "first"))
+
+
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """``(id, mark, gone)``: numbers from 0 of the lines to drop, for documents that have some."""
     occurrences = materialize(_lines(docs, id_col, text_col))
     templates = broadcast_if_small(_templates(docs, occurrences, id_col, text_col, min_docs))
-    gone = occurrences.join(templates, [*_KEY]).where(~F.struct(*_DOC, "line").eqNullSafe(F.col("first")))
+    place = F.struct(*_DOC, "line")
+    gone = occurrences.join(templates, [*_KEY]).where(~place.eqNullSafe(F.col("first"))).select(*_DOC, "line")
+    # of lines that a template covers its first place stays, so these don't count again
+    others = occurrences.where("v1 IS NOT NULL").join(templates.select(*_KEY), [*_KEY], "left_anti")
+    verbatim = broadcast_if_small(_verbatim(others, min_docs))
+    gone = gone.union(others.join(verbatim, ["v1", "v2"]).where(~place.eqNullSafe(F.col("first"))).select(*_DOC, "line"))
     return gone.groupBy(*_DOC).agg(F.collect_set("line").alias("gone"))
 
 

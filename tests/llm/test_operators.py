@@ -102,6 +102,16 @@ def test_lines_templates(spark):
     assert all("may copy" not in got[i]["text"] for i in range(1, 6)) and got[6]["text"] == texts[6]
 
 
+def test_lines_verbatim_whatever_their_digits(spark):
+    log = "2024-01-02 10:11:12 E42 7001"
+    call = "Call 555-0100 or 555-0199"
+    texts = [f"Body {chr(97 + i)} stays.\n{log}\n{call}" for i in range(6)] + [f"Other {chr(97 + i)}\n2024-01-0{i} 1{i}:00 E{i} 900{i}" for i in range(6)]
+    got = by_id(lines.drop_recurring_lines(docs(spark, texts)))
+    assert got[0]["text"] == texts[0]
+    assert [got[i]["text"] for i in range(1, 6)] == [f"Body {chr(97 + i)} stays." for i in range(1, 6)]
+    assert [got[i]["text"] for i in range(6, 12)] == texts[6:]
+
+
 def test_lines_odd(spark, odd, empty):
     out = lines.drop_recurring_lines(odd).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", r["text"] is None) for r in out) == sorted((i is None, i or 0, t or "", t is None) for i, t in zip(ODD_IDS, ODD))
