@@ -483,24 +483,34 @@ def rotated_best(spark, sf_dir):
     return out
 
 
-# Masks. Events by quarter of a day and by three users are cells.
+# Masks. Events by quarter of a day and by three users are cells. An image is at least as large as the SQL's,
+# and grows with the cells of the table, which the SQL cuts.
 
 WIDTH, HEIGHT = 120, 8192
 _SQL_MASK = f"""mk AS (SELECT CAST(floor(user_id / 3.0) AS INT) AS y, CAST(floor((epoch(ts) - 1704067200) / 21600) AS INT) AS x FROM events GROUP BY ALL HAVING count(*) >= 3),
 m AS (SELECT * FROM mk WHERE x BETWEEN 0 AND {WIDTH - 1} AND y BETWEEN 0 AND {HEIGHT - 1})"""
 
 
-def _mask(spark, sf_dir, least: int = 3) -> DataFrame:
-    e = _t(spark, sf_dir, "events")
+def _event_cells(spark, sf_dir) -> DataFrame:
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200
-    cells = e.groupBy(F.floor(F.col("user_id") / 3).cast("int").alias("y"), F.floor(seconds / 21600).cast("int").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    return cells.where((F.col("n") >= least) & F.col("x").between(0, WIDTH - 1) & F.col("y").between(0, HEIGHT - 1)).select("y", "x")
+    return _t(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 3).cast("int").alias("y"), F.floor(seconds / 21600).cast("int").alias("x"))
+
+
+def _mask(spark, sf_dir, least: int = 3) -> DataFrame:
+    cells = _event_cells(spark, sf_dir).groupBy("y", "x").agg(F.count(F.lit(1)).alias("n"))
+    return cells.where((F.col("n") >= least) & (F.col("x") >= 0) & (F.col("y") >= 0)).select("y", "x")
+
+
+def _size(spark, sf_dir) -> tuple[int, int]:
+    """Width and height of the mask's image, by one aggregate row."""
+    x, y = _event_cells(spark, sf_dir).agg(F.max("x"), F.max("y")).first()
+    return max(WIDTH, (x or 0) + 1), max(HEIGHT, (y or 0) + 1)
 
 
 @_query(f"WITH {_SQL_MASK} SELECT round(count(*) / {float(WIDTH * HEIGHT)}, 9) AS fraction FROM m")
 def mask_fraction(spark, sf_dir):
     """F4."""
-    return raster.mask_fraction(_mask(spark, sf_dir), WIDTH, HEIGHT).select(F.round("fraction", 9).alias("fraction"))
+    return raster.mask_fraction(_mask(spark, sf_dir), *_size(spark, sf_dir)).select(F.round("fraction", 9).alias("fraction"))
 
 
 @_query(f"WITH {_SQL_MASK} SELECT y, x FROM m WHERE x BETWEEN 10 AND 69 AND y < 25")
@@ -519,7 +529,7 @@ def tile_coverage(spark, sf_dir):
     tiles = p.select(
         F.col("p_partkey").alias("tile_id"), (F.col("p_partkey") % 130 - 5).alias("x"), (F.col("p_partkey") * 7 % 60 - 5).alias("y"), (1 + F.col("p_size") % 20).alias("w"), (1 + F.col("p_partkey") % 15).alias("h")
     )
-    return raster.coverage(tiles, _mask(spark, sf_dir), WIDTH, HEIGHT).select("tile_id", F.round("covered", 9).alias("covered"))
+    return raster.coverage(tiles, _mask(spark, sf_dir), *_size(spark, sf_dir)).select("tile_id", F.round("covered", 9).alias("covered"))
 
 
 @_query(f"""WITH {_SQL_MASK}, m4 AS (SELECT CAST(floor(user_id / 3.0) AS INT) AS y, CAST(floor((epoch(ts) - 1704067200) / 21600) AS INT) AS x FROM events GROUP BY ALL HAVING count(*) >= 4),
@@ -527,7 +537,7 @@ u AS (SELECT y, x FROM m UNION ALL SELECT y, x FROM m4 WHERE x BETWEEN 0 AND {WI
 SELECT round(count(*) / {float(WIDTH * HEIGHT)}, 9) AS disagreement FROM (SELECT y, x FROM u GROUP BY ALL HAVING count(*) = 1)""")
 def mask_xor(spark, sf_dir):
     """A23, S4."""
-    return raster.disagreement(_mask(spark, sf_dir), _mask(spark, sf_dir, 4), WIDTH, HEIGHT).select(F.round("disagreement", 9).alias("disagreement"))
+    return raster.disagreement(_mask(spark, sf_dir), _mask(spark, sf_dir, 4), *_size(spark, sf_dir)).select(F.round("disagreement", 9).alias("disagreement"))
 
 
 _SQL_STEPS = "d(k) AS (SELECT unnest(range(-1, 2)))"
@@ -542,13 +552,14 @@ def _sql_erode(name: str, src: str) -> str:
 @_query(f"WITH {_SQL_MASK}, {_SQL_STEPS}, {_SQL_DILATE} SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM di")
 def mask_dilated(spark, sf_dir):
     """W6."""
-    return raster.dilate(_mask(spark, sf_dir), WIDTH, HEIGHT, 1)
+    return raster.dilate(_mask(spark, sf_dir), *_size(spark, sf_dir), 1)
 
 
 @_query(f"WITH {_SQL_MASK}, {_SQL_STEPS}, {_SQL_DILATE}, {_sql_erode('er', 'di')} SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM er")
 def mask_closed(spark, sf_dir):
     """Closing."""
-    return raster.erode(raster.dilate(_mask(spark, sf_dir), WIDTH, HEIGHT, 1), WIDTH, HEIGHT, 1)
+    size = _size(spark, sf_dir)
+    return raster.erode(raster.dilate(_mask(spark, sf_dir), *size, 1), *size, 1)
 
 
 _SQL_COMPONENTS = f"""WITH RECURSIVE {_SQL_MASK}, l AS (SELECT y, x, CAST(y AS BIGINT) * 2147483648 + x AS lab FROM m),
@@ -690,7 +701,7 @@ def sampled_tiles(spark, sf_dir):
     """X3, W8, F3, F7."""
     r = F.col("r_regionkey")
     boxes = _t(spark, sf_dir, "region").select(r.alias("index"), (r * 300).alias("x"), (r * 100).alias("y"), F.lit(4000).alias("w"), F.lit(2000).alias("h"))
-    return sampling.sample_tiles(boxes, _mask(spark, sf_dir), [(0, 1.0), (1, 4.0)], _SAMPLE_N, _SAMPLE_TILE, _SAMPLE_DS, WIDTH, HEIGHT, 0.2)
+    return sampling.sample_tiles(boxes, _mask(spark, sf_dir), [(0, 1.0), (1, 4.0)], _SAMPLE_N, _SAMPLE_TILE, _SAMPLE_DS, *_size(spark, sf_dir), 0.2)
 
 
 @_query("""WITH s AS (SELECT l_linenumber AS level, l_orderkey AS try, max(l_quantity) AS deviation, max(l_extendedprice) AS stat FROM lineitem GROUP BY ALL),

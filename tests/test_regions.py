@@ -82,3 +82,14 @@ def test_morphology(spark):
 def test_components_of_an_empty_mask(spark):
     assert raster.components(spark.createDataFrame([], "y int, x int")).count() == 0
     assert raster.otsu(spark.createDataFrame([], "g int")).count() == 0
+
+
+def test_masks_hold_late_events_and_many_users(spark, tmp_path):
+    from gridseek.queries import QUERIES
+
+    days = spark.range(3).select(F.explode(F.array(F.lit(0), F.lit(40))).alias("day"), F.explode(F.array(F.lit(0), F.lit(30_000))).alias("user_id"), "id")
+    ts = F.timestamp_seconds(1704067200 + F.col("day") * 86400)
+    days.select(F.col("user_id").cast("long"), ts.alias("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(tuple(r) for r in QUERIES["mask_components"](spark, str(tmp_path)).select("area").collect()) == [(1,)] * 4
+    assert QUERIES["mask_fraction"](spark, str(tmp_path)).first()[0] == round(4 / (161 * 10_001), 9)
+    assert {(r["y"], r["x"]) for r in QUERIES["mask_dilated"](spark, str(tmp_path)).collect()} >= {(10_000, 160), (9_999, 159), (0, 0)}
