@@ -1,5 +1,5 @@
 """Plan helpers: durable intermediate tables and size-checked broadcasts."""
 
-from gridseek.plans.durable import broadcast_if_small, materialize, shared_dir
+from gridseek.plans.durable import broadcast_if_small, discard, materialize, release, shared_dir, unused
 
-__all__ = ["broadcast_if_small", "materialize", "shared_dir"]
+__all__ = ["broadcast_if_small", "discard", "materialize", "release", "shared_dir", "unused"]
