@@ -1,12 +1,13 @@
 """SimHash near-duplicates: 64-bit fingerprints, BK-trees and connected components (operator 7).
 
 A document's fingerprint is the bitwise majority of the XXH64 values of its three-word shingles. Two
-fingerprints that differ in at most ``RADIUS`` bits are linked. The distinct fingerprints are dealt out
-by combinations of bit blocks (any two within the radius agree on two of five blocks), so that every
-link lies inside one dealt group; a group's BK-tree has children keyed by their integer Hamming
-distance to the parent and a search follows only edges within the radius. Groups above ``SHARD`` rows
-are split into salted shards, whose trees are searched by the other shards. A task sends on one edge to
-the local root for each fingerprint rather than all pairs.
+fingerprints that differ in at most ``RADIUS`` bits are linked. Distinct fingerprints are dealt into groups of
+about ``GROUP`` values so that every link lies inside one: of ``RADIUS + s`` bit blocks any two linked values
+agree on ``s``, and a group is a choice of blocks with the first bits of each. A group has a BK-tree, or one
+for each of its shards of ``SHARD`` values, with children keyed by their integer Hamming distance to the
+parent; a search follows only edges within the radius. A task holds many groups and builds and searches
+their trees together, level by level. It sends on one edge to the local root for each fingerprint rather than
+all pairs.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridseek.operators.components import connected_components
-from gridseek.plans.durable import materialize
+from gridseek.operators.components import connected_components, local_roots
+from gridseek.plans.durable import broadcast_if_small, materialize, unused
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Widths of the bit blocks, from the low end.
-BLOCKS = (13, 13, 13, 13, 12)
-#: Rows of a group that one tree holds.
-SHARD = 20_000
+#: Values that a group is to have if fingerprints were spread evenly, and values that one tree holds at most.
+GROUP, SHARD = 512, 20_000
+#: Values of whole groups that a task searches at once.
+TASK_VALUES = 100_000
 _SPREAD = np.array([sum((v >> i & 1) << (8 * i) for i in range(8)) for v in range(256)], dtype=np.uint64)
 
 
@@ -77,35 +78,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), _fingerprint(F.col(text_col)).alias("fp"))
 
 
-class BKTree:
-    """A BK-tree over distinct 64-bit values, built and searched level by level."""
+class BKForest:
+    """BK-trees over the distinct 64-bit values of each group, built and searched level by level."""
 
-    def __init__(self, values: np.ndarray):
-        n = len(values)
+    def __init__(self, values: np.ndarray, group: np.ndarray):
         self.values = values
-        order, parent, dist = np.arange(n), np.full(n, -1), np.zeros(n, dtype=np.int64)
-        keys, kids = [], []
+        order, dist = np.arange(len(values)), np.zeros(len(values), dtype=np.int64)
+        parent = -1 - group.astype(np.int64)  # the roots' parents are the groups
+        keys, kids = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         while len(order):
             slot, first, inverse = np.unique(parent[order] * 65 + dist[order], return_index=True, return_inverse=True)
             chosen = order[first]  # the first value of each (parent, distance) becomes the node there
-            if parent[chosen[0]] >= 0:
-                keys.append(slot)
-                kids.append(chosen)
+            keys.append(slot)
+            kids.append(chosen)
             owner = chosen[inverse]
             rest = owner != order
             order, owner = order[rest], owner[rest]
             parent[order] = owner
             dist[order] = np.bitwise_count(values[order] ^ values[owner])
-        keys, kids = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (keys, kids))
+        keys, kids = np.concatenate(keys), np.concatenate(kids)
         by_key = np.argsort(keys, kind="stable")
         self.keys, self.kids = keys[by_key], kids[by_key]
 
-    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query position, value position) at Hamming distance ``radius`` or less."""
-        if not len(self.values):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        q, node = np.arange(len(queries)), np.zeros(len(queries), dtype=np.int64)
-        found = []
+    def within(self, queries: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query position, value position) of a group at Hamming distance ``radius`` or less."""
+        root = (-1 - group.astype(np.int64)) * 65
+        at = np.minimum(np.searchsorted(self.keys, root), max(len(self.keys) - 1, 0))
+        q = np.flatnonzero(self.keys[at] == root) if len(self.keys) else np.zeros(0, dtype=np.int64)
+        node = self.kids[at[q]]
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
         while len(q):
             d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
             near = d <= radius
@@ -118,63 +119,77 @@ class BKTree:
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _join_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Unite the sets of ``a[i]`` and ``b[i]``; ``root`` points to the least member known of each set."""
-    while True:
-        while not np.array_equal(up := root[root], root):
-            root[:] = up
-        x, y = root[a], root[b]
-        apart = x != y
-        if not apart.any():
-            return
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-
-
-def local_edges(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (value, least value of its local set) for links inside ``left``, or from ``right`` to ``left``."""
-    tree, ask = BKTree(left), left if right is None else right
-    every = left if right is None else np.concatenate([left, right])
-    place = np.arange(len(every))
-    shift = 0 if right is None else len(left)
-    for at in range(0, len(ask), chunk):
-        q, node = tree.within(ask[at : at + chunk], radius)
-        _join_roots(place, q + at + shift, node)
-    _join_roots(place, place, place)
-    tied = np.flatnonzero(place != np.arange(len(every)))
-    return every[tied], every[place[tied]]
-
-
-def _group_edges(rows: pd.DataFrame) -> pd.DataFrame:
-    values, shard = rows["fp"].to_numpy().view(np.uint64), rows["shard"].to_numpy()
-    low, high = shard.min(), shard.max()
-    if rows["one"].iloc[0]:
-        src, dst = local_edges(np.unique(values), None)
-    else:
-        src, dst = local_edges(np.unique(values[shard == low]), np.unique(values[shard == high]))
-    return pd.DataFrame({"src": src.view(np.int64), "dst": dst.view(np.int64)})
-
-
-def block_keys(fp: str = "fp") -> "F.Column":
-    """Keys of which any two values within ``RADIUS`` bits share one: pairs of the five bit blocks."""
-    starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    parts = [F.shiftrightunsigned(F.col(fp), s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(starts, BLOCKS)]
-    pairs = combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS)
-    return F.array(*[(F.lit(k) * (1 << 52) + parts[i] * (1 << 13) + parts[j]).cast("long") for k, (i, j) in enumerate(pairs)])
-
-
-def linked_fingerprints(fps: DataFrame, shard: int = SHARD) -> DataFrame:
+def group_edges(values: np.ndarray, group: np.ndarray, held: np.ndarray, asks: np.ndarray, radius: int = RADIUS, chunk: int = 4096):
+    """Star edges (value, least value of its local set) for the links of each group from ``asks`` to ``held`` rows."""
+    forest, asked, owner = BKForest(values[held], group[held]), values[asks], group[asks]
+    src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(asked), chunk):
+        q, node = forest.within(asked[at : at + chunk], owner[at : at + chunk], radius)
+        a, b = asked[q + at].view(np.int64), forest.values[node].view(np.int64)
+        a, b = local_roots(a[a != b], b[a != b])
+        src.append(a)
+        dst.append(b)
+    return local_roots(np.concatenate(src), np.concatenate(dst))
+
+
+def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges of rows ``(key, a, b, shard, fp)`` sorted by group, some whole groups at a time."""
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch])
+        rest = rows
+        if len(rows) >= TASK_VALUES:
+            last = rows[["key", "a", "b"]].iloc[-1]
+            open_ = (rows["key"] == last["key"]) & (rows["a"] == last["a"]) & (rows["b"] == last["b"])
+            rest = rows[open_]
+            if len(rest) < len(rows):
+                yield _found(rows[~open_])
+    if rest is not None and len(rest):
+        yield _found(rest)
+
+
+def _found(rows: pd.DataFrame) -> pd.DataFrame:
+    k, a, b, shard = (rows[c].to_numpy() for c in ("key", "a", "b", "shard"))
+    new = np.ones(len(rows), dtype=np.int64)
+    new[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    src, dst = group_edges(rows["fp"].to_numpy().view(np.uint64), np.cumsum(new), shard == a, shard == b)
+    return pd.DataFrame({"src": src, "dst": dst})
+
+
+def block_keys(bits: int, fp: str = "fp") -> "F.Column":
+    """Keys of ``bits`` bits or a little more of which any two values within ``RADIUS`` bits share one."""
+    shared = next(s for s in (1, 2, 3) if s == 3 or bits <= s * (64 // (RADIUS + s)))
+    blocks = RADIUS + shared
+    wide = 64 // blocks
+    used = min(-(-bits // shared), wide)  # of each block
+    parts = [F.shiftrightunsigned(F.col(fp), i * wide).bitwiseAND(F.lit((1 << used) - 1)) for i in range(blocks)]
+    keys = []
+    for k, chosen in enumerate(combinations(range(blocks), shared)):
+        key = F.lit(k).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, used).bitwiseOR(parts[i])
+        keys.append(key)
+    return F.array(*keys)
+
+
+def linked_fingerprints(fps: DataFrame, shard: int = SHARD, group: int = GROUP) -> DataFrame:
     """Edges ``(src, dst)`` that connect all distinct ``fp`` values within the radius of each other."""
-    dealt = fps.select("fp").distinct().select("fp", F.explode(block_keys()).alias("key"))
-    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = dealt.join(sizes, "key").withColumn("shards", F.ceil(F.col("n") / shard).cast("int"))
-    held = held.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    asked = held.select("fp", "key", F.col("mine").alias("shard"), other.alias("other"))
-    asked = asked.select(
-        "fp", "key", "shard", F.least("shard", "other").alias("a"), F.greatest("shard", "other").alias("b")
-    ).withColumn("one", F.col("a") == F.col("b"))
-    return asked.groupBy("key", "a", "b").applyInPandas(_group_edges, "src long, dst long").distinct()
+    values = materialize(fps.select("fp").distinct())
+    bits = max(1, int(np.ceil(np.log2(max(values.count(), 1) / group + 1))))
+    dealt = values.select("fp", F.explode(block_keys(bits)).alias("key"))
+    large = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard)
+    large = broadcast_if_small(materialize(large.select("key", F.ceil(F.col("n") / shard).cast("int").alias("shards"))))
+    held = dealt.join(large, "key", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    held = held.withColumn("shard", F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int"))
+    asked = held.select("fp", "key", "shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other"))
+    asked = asked.select("key", F.least("shard", "other").alias("a"), F.greatest("shard", "other").alias("b"), "shard", "fp")
+    sorted_ = asked.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    return sorted_.mapInPandas(_edges, "src long, dst long")
+
+
+def fingerprint_roots(fps: DataFrame, shard: int = SHARD) -> DataFrame:
+    """``(node, component)``: linked ``fp`` values and the least value that each can reach."""
+    return connected_components(linked_fingerprints(fps, shard))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
@@ -187,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = materialize(docs.select(F.col(id_col).alias("id"), _fingerprint(F.col(text_col)).alias("fp")))
     least = fps.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = connected_components(linked_fingerprints(fps, shard))
+    roots = fingerprint_roots(fps, shard)
     named = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     named = materialize(named)
     owner = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -204,7 +219,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     different texts are told apart and stay where that id is the least. Rows with a null id stay only
     where no row of the component has an id.
     """
+    key, mark = unused(docs.columns, "key", "mark")
     # a struct is a join key that may be null inside, so that one shuffle by it serves the join and the repeats
-    stay = near_duplicates(docs, id_col, text_col).select(F.struct(F.col("component_id").alias("id")).alias("__key")).distinct()
-    marked = docs.withColumns({"__key": F.struct(F.col(id_col).alias("id")), "__mark": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    return marked.join(stay, "__key", "left_semi").dropDuplicates(["__key", "__mark"]).drop("__key", "__mark")
+    stay = near_duplicates(docs, id_col, text_col).select(F.struct(F.col("component_id").alias("id")).alias(key)).distinct()
+    marked = docs.withColumns({key: F.struct(F.col(id_col).alias("id")), mark: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    return marked.join(stay, key, "left_semi").dropDuplicates([key, mark]).drop(key, mark)
