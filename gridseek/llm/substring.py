@@ -3,35 +3,43 @@
 Windows of ``WINDOW`` words that also start earlier are removed. Every document's non-overlapping blocks
 of ``BLOCK`` words are the index, and every rolling block of all documents probes it: a repeated window
 holds one whole index block of its earlier place, whatever the alignment. Anchors are blocks with a hit
-outside their own place; each is extended to the windows around it whose rolling blocks all recur, and
-the windows themselves are compared by longer hashes and by (document, start). Overlapping removed
-windows add up to the maximal repeats.
-
-Documents are dealt once into shards by a hash of their id. A shard sends its hashes sorted, without
-local copies and delta-coded, one binary cell for each hash range, so that neither a hot passage nor a
-large group of copies makes a hot task, and gets back one bit for each hash it sent.
+outside their own place. A hit is extended to both sides over the rolling blocks that recur as well, and of
+that stretch the windows are compared, by 128 bits of hash, and by (document, start). Removed windows that
+overlap add up to the maximal repeats.
+
+Tasks read the texts as they come and cut them into shards of ``SHARD_WORDS`` words, whatever their ids. Words
+are read once: a shard keeps word numbers and the hashes of its vocabulary. It sends its block hashes sorted,
+without local copies and delta-coded, one binary cell for each hash range, so that neither a hot passage nor a
+large group of copies makes a hot task, and gets back one bit for each hash it sent. Ranges are as many as the
+bytes of the texts ask for.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gridseek.plans.durable import broadcast_if_small, materialize
 
 WINDOW, BLOCK = 20, 10
 #: Multiplier of the rolling hash, and those of the mixing function (the finaliser of SplitMix64). Fixed values.
 _BASE, _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bits of a block's hash that are sent; a chance match only costs a comparison of windows.
 BLOCK_BITS = 40
-#: Words that the per-task memo of word hashes holds.
-MEMO = 300_000
-_NULL_ID = np.iinfo(np.int64).min
+#: Words of a shard, and bytes of text for each hash range.
+SHARD_WORDS, RANGE_BYTES = 1_000_000, 12_000_000
+#: Stands for a null id, which sorts first.
+_NULL_ID = -(1 << 63)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -40,19 +48,6 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(words: list[bytes], memo: dict) -> np.ndarray:
-    """64-bit hashes of the words."""
-    if len(memo) > MEMO:
-        memo.clear()
-    out = []
-    for w in words:
-        h = memo.get(w)
-        if h is None:
-            h = memo[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
-
-
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
     """Unmixed polynomial hash of every run of ``n`` values; none if there are fewer."""
     if len(h) < n:
@@ -87,24 +82,42 @@ def unpack_bits(cell: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), dtype=np.uint8), count=n).astype(bool)
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Compressed byte planes."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unsqueezed(cell: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+_BODY = (("ids", np.int64), ("marks", np.int64), ("sizes", np.int64), ("codes", np.uint32), ("vocabulary", np.uint64))
+
+
 class _Shard:
-    """The documents of one shard in order, and the hashes of their rolling blocks."""
-
-    def __init__(self, ids: pd.Series, texts: pd.Series):
-        ids = ids.astype("Int64").fillna(_NULL_ID).to_numpy(dtype=np.int64)
-        self.order = np.argsort(ids, kind="stable")
-        self.ids = ids[self.order]
-        memo: dict[bytes, int] = {}
-        self.words = []
-        for i in self.order:
-            text = texts.iloc[i]
-            self.words.append(word_hashes(text.encode("utf-8", "surrogatepass").split() if text else [], memo))
-        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.blocks_of = np.maximum(self.sizes - BLOCK + 1, 0)
-        self.raw = np.concatenate([rolling(w, BLOCK) for w in self.words] or [np.zeros(0, np.uint64)])
-        self.words = None
+    """Documents of one shard as word numbers, and the hashes of their rolling blocks."""
+
+    def __init__(self, ids: np.ndarray, marks: np.ndarray, sizes: np.ndarray, codes: np.ndarray, vocabulary: np.ndarray):
+        self.body = {"ids": ids, "marks": marks, "sizes": sizes, "codes": codes, "vocabulary": vocabulary}
+        self.ids, self.marks, self.sizes = ids, marks, sizes
+        self.blocks_of = np.maximum(sizes - BLOCK + 1, 0)
         self.begin = np.cumsum(self.blocks_of) - self.blocks_of
-        self.offset = np.arange(len(self.raw)) - np.repeat(self.begin, self.blocks_of)
+        self.offset = np.arange(self.blocks_of.sum()) - np.repeat(self.begin, self.blocks_of)
+        places = np.repeat(np.cumsum(sizes) - sizes, self.blocks_of) + self.offset  # blocks don't run over two documents
+        self.raw = rolling(vocabulary[codes], BLOCK)[places] if len(places) else np.zeros(0, np.uint64)
+
+    @classmethod
+    def of_texts(cls, ids: list[int], marks: list[int], texts: list[list[bytes]]) -> "_Shard":
+        known: dict[bytes, int] = {}
+        codes = np.array([known.setdefault(w, len(known)) for words in texts for w in words], dtype=np.uint32)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+        return cls(np.array(ids, np.int64), np.array(marks, np.int64), np.array([len(w) for w in texts], np.int64), codes, hashes)
+
+    @classmethod
+    def of_row(cls, row: pd.Series) -> "_Shard":
+        return cls(*(_unsqueezed(row[name], kind) for name, kind in _BODY))
 
     def blocks(self) -> tuple[np.ndarray, ...]:
         """Distinct block hashes in order, which of them recur here, which are index blocks; each place's number among them."""
@@ -127,10 +140,10 @@ class _Shard:
         return doc[at], self.offset[at]
 
     def window_hashes(self, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A 64-bit hash of each given window, and 16 bits more."""
+        """Two 64-bit hashes of each given window."""
         at = self.begin[doc] + start
         left, right = self.raw[at], self.raw[at + WINDOW - BLOCK]
-        return _mix(left * _power(_BASE, WINDOW - BLOCK) + right), (_mix(left ^ _MIX_A) * _MIX_B + _mix(right)) >> np.uint64(48)
+        return _mix(left * _power(_BASE, WINDOW - BLOCK) + right), _mix(left ^ _MIX_A) * _MIX_B + _mix(right)
 
 
 def _cells(value: np.ndarray, bits: int, buckets: int) -> list[tuple[int, slice]]:
@@ -140,15 +153,41 @@ def _cells(value: np.ndarray, bits: int, buckets: int) -> list[tuple[int, slice]
     return [(b, slice(x, y)) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
 
 
-def _send_blocks(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    if not len(rows):
-        return pd.DataFrame({"bucket": [], "shard": [], "n": [], "cell": [], "again": [], "index": []})
-    value, again, index, _ = _Shard(rows["id"], rows["text"]).blocks()
-    shard = int(rows["shard"].iloc[0])
-    return pd.DataFrame(
-        [(b, shard, s.stop - s.start, pack(value[s]), pack_bits(again[s]), pack_bits(index[s])) for b, s in _cells(value, BLOCK_BITS, buckets)],
-        columns=["bucket", "shard", "n", "cell", "again", "index"],
-    )
+_ENCODED = T.StructType(
+    [
+        T.StructField("shard", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType()),
+        *(T.StructField(c, T.BinaryType()) for c in ("cell", "again", "index", *(name for name, _ in _BODY))),
+    ]
+)
+
+
+def _rows_of(shard: _Shard, number: int, buckets: int) -> pd.DataFrame:
+    """The cells of a shard's block hashes, and a row of no bucket with its word numbers."""
+    value, again, index, _ = shard.blocks()
+    cells = [
+        {"shard": number, "bucket": b, "n": s.stop - s.start, "cell": pack(value[s]), "again": pack_bits(again[s]), "index": pack_bits(index[s])}
+        for b, s in _cells(value, BLOCK_BITS, buckets)
+    ]
+    body = {"shard": number, "bucket": -1, "n": len(shard.ids)} | {name: _squeezed(shard.body[name]) for name, _ in _BODY}
+    return pd.DataFrame([*cells, body], columns=_ENCODED.names)
+
+
+def _encode(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
+    """Cut a task's texts into shards and read their words."""
+    number = TaskContext.get().partitionId() << 32
+    ids, marks, texts, size = [], [], [], 0
+    for batch in batches:
+        for i, mark, text in zip(batch["key"], batch["mark"], batch["text"]):
+            ids.append(i)
+            marks.append(mark)
+            texts.append(text.encode("utf-8", "surrogatepass").split() if text else [])
+            size += len(texts[-1])
+            if size >= SHARD_WORDS:
+                yield _rows_of(_Shard.of_texts(ids, marks, texts), number, buckets)
+                number += 1
+                ids, marks, texts, size = [], [], [], 0
+    if ids:
+        yield _rows_of(_Shard.of_texts(ids, marks, texts), number, buckets)
 
 
 def _match_blocks(rows: pd.DataFrame) -> pd.DataFrame:
@@ -179,7 +218,7 @@ def _read_masks(masks: pd.DataFrame, names: tuple[str, ...]) -> list[np.ndarray]
 
 def _candidates(rows: pd.DataFrame, masks: pd.DataFrame) -> tuple:
     """The shard, its candidate windows (document, start) and, by hash, the distinct ones with their least place."""
-    shard = _Shard(rows["id"], rows["text"])
+    shard = _Shard.of_row(rows.iloc[0])
     inverse = shard.blocks()[3]
     recurs, anchor = _read_masks(masks, ("recurs", "anchor"))
     doc, start = shard.windows(recurs[inverse], anchor[inverse])
@@ -199,29 +238,21 @@ def _send_windows(rows: pd.DataFrame, masks: pd.DataFrame, buckets: int) -> pd.D
         return pd.DataFrame([], columns=_WINDOW_COLUMNS)
     shard, doc, start, order, first, _, high, low = _candidates(rows, masks)
     ids, at = shard.ids[doc[order[first]]], start[order[first]]
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    planes = lambda x: squeeze(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes())
-    high, low = high[first], low[first].astype(np.uint16)
+    high, low = high[first], low[first]
     return pd.DataFrame(
         [
-            (b, int(rows["shard"].iloc[0]), s.stop - s.start, pack(high[s]), planes(low[s]), planes(ids[s]), planes(at[s].astype(np.uint32)))
+            (b, int(rows["shard"].iloc[0]), s.stop - s.start, pack(high[s]), _squeezed(low[s]), _squeezed(ids[s]), _squeezed(at[s].astype(np.uint32)))
             for b, s in _cells(high, 64, buckets)
         ],
         columns=_WINDOW_COLUMNS,
     )
 
 
-def _planes(cells: pd.Series, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    read = zstandard.ZstdDecompressor().decompress
-    return np.concatenate([np.ascontiguousarray(np.frombuffer(read(c), np.uint8).reshape(width, -1).T).view(kind).ravel() for c in cells])
-
-
 def _match_windows(rows: pd.DataFrame) -> pd.DataFrame:
     """For each cell, which windows have an equal one at an earlier place in another shard."""
     n = rows["n"].to_numpy(dtype=np.int64)
     high = np.concatenate([unpack(c) for c in rows["cell"]])
-    low, ids, start = (_planes(rows[c], k) for c, k in (("low", np.uint16), ("ids", np.int64), ("start", np.uint32)))
+    low, ids, start = (np.concatenate([_unsqueezed(x, k) for x in rows[c]]) for c, k in (("low", np.uint64), ("ids", np.int64), ("start", np.uint32)))
     order = np.lexsort((start, ids, low, high))
     h, l, d, s = high[order], low[order], ids[order], start[order]
     new = np.ones(len(order), dtype=bool)
@@ -234,71 +265,79 @@ def _match_windows(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _removed(rows: pd.DataFrame, masks: pd.DataFrame, later: pd.DataFrame) -> tuple["_Shard", list[np.ndarray]]:
-    """Masks of the words to remove, in the shard's order of documents."""
-    if not len(masks):
-        shard = _Shard(rows["id"], rows["text"])
-        return shard, [np.zeros(n, dtype=bool) for n in shard.sizes]
-    shard, doc, start, order, first, group, _, _ = _candidates(rows, masks)
+_RANGES = "key long, mark long, starts array<int>, ends array<int>"
+
+
+def _removed(rows: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
+    """The word ranges that go, of the documents that lose some."""
+    blocks, later = masks[masks["recurs"].notna()], masks[masks["later"].notna()]
+    if not len(rows) or not len(blocks):
+        return pd.DataFrame([], columns=["key", "mark", "starts", "ends"])
+    shard, doc, start, order, first, group, _, _ = _candidates(rows, blocks)
     (elsewhere,) = _read_masks(later, ("later",))
     ids, at = shard.ids[doc[order]], start[order]
     lead = first[group] if len(order) else first
     gone = elsewhere[group] | (ids != ids[lead]) | (at != at[lead]) if len(order) else np.zeros(0, dtype=bool)
-    base = np.concatenate([[0], np.cumsum(shard.sizes + 1)])
+    base = np.concatenate([[0], np.cumsum(shard.sizes + 1)])  # a gap after each document
     edge = np.zeros(base[-1] + 1, dtype=np.int64)
     place = base[doc[order[gone]]] + at[gone]
     np.add.at(edge, place, 1)
     np.add.at(edge, place + WINDOW, -1)
-    covered = np.cumsum(edge) > 0
-    return shard, [covered[b : b + n] for b, n in zip(base, shard.sizes)]
+    change = np.diff((np.cumsum(edge) > 0).astype(np.int8), prepend=np.int8(0))
+    begin, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    owner = np.searchsorted(base, begin, side="right") - 1
+    losers, cut = np.unique(owner, return_index=True)
+    parts = zip(np.split(begin - base[owner], cut[1:]), np.split(end - base[owner], cut[1:])) if len(losers) else ()
+    out = [(shard.ids[d], shard.marks[d], a.tolist(), b.tolist()) for d, (a, b) in zip(losers, parts)]
+    return pd.DataFrame(out, columns=["key", "mark", "starts", "ends"])
 
 
-def _finish(rows: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.reset_index(drop=True)
-    blocks, later = masks[masks["recurs"].notna()], masks[masks["later"].notna()]
-    out = []
-    if len(rows):
-        shard, gone = _removed(rows, blocks, later)
-        for i, mask in zip(shard.order, gone):
-            text = rows["text"].iloc[i]
+_KEPT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType())])
+
+
+def _kept_udf(with_text: bool):
+    @F.pandas_udf(_KEPT)
+    def kept(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, first, last in zip(texts, starts, ends):
             words = text.encode("utf-8", "surrogatepass").split() if text else []
-            kept = words if not mask.any() else [words[k] for k in np.flatnonzero(~mask)]
-            body = b" ".join(kept)
-            out.append((rows["id"].iloc[i], len(words), len(words) - len(kept), hashlib.sha256(body).hexdigest(), body.decode("utf-8", "replace") if rows["keep"].iloc[i] else None))
-    return pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept_sha256", "kept"]).astype({"id": "Int64"})
+            left, at = words, 0
+            if first is not None:
+                left = []
+                for a, b in zip(first, last):
+                    left += words[at:a]
+                    at = b
+                left += words[at:]
+            body = b" ".join(left)
+            out.append((len(words), len(words) - len(left), hashlib.sha256(body).hexdigest(), body.decode("utf-8", "replace") if with_text else None))
+        return pd.DataFrame(out, columns=_KEPT.names)
+
+    return kept
 
 
-def substring_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, parts: int | None = None
-) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``(id, n_words, n_removed, kept_sha256[, kept])`` for every row of ``docs``.
 
     A word goes if a window of ``WINDOW`` words that covers it also starts earlier: in a row of smaller
     id, or of the same id at an earlier start. Null and empty texts have no words. A null id sorts before
     all others. Rows that repeat an id and a text stand at the same place, so neither removes the other.
-    ``parts`` (the session's shuffle partitions by default) is the number of shards and of hash ranges;
-    size it so that a shard has a few million words.
+    An empty table gives none; other columns are ignored.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(parts)).cast("int").alias("shard"),
-        F.col(id_col).cast("long").alias("id"),
-        F.col(text_col).alias("text"),
-        F.lit(with_text).alias("keep"),
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.withColumns({"key": F.coalesce("id", F.lit(_NULL_ID)), "mark": F.xxhash64(F.coalesce("text", F.lit("")))})
+    buckets = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // range_bytes))
+    encoded = materialize(rows.drop("id").mapInPandas(partial(_encode, buckets=buckets), _ENCODED))
+    bodies = encoded.where("bucket < 0").select("shard", *(name for name, _ in _BODY)).groupBy("shard")
+    sent = encoded.where("bucket >= 0").select("bucket", "shard", "n", "cell", "again", "index")
+    blocks = materialize(sent.groupBy("bucket").applyInPandas(_match_blocks, "shard long, bucket int, n long, recurs binary, anchor binary"))
+    windows = bodies.cogroup(blocks.groupBy("shard")).applyInPandas(
+        partial(_send_windows, buckets=buckets), "bucket int, shard long, n long, cell binary, low binary, ids binary, start binary"
     )
-    shards = dealt.repartition(parts, "shard").groupBy("shard")
-    sent = shards.applyInPandas(
-        partial(_send_blocks, buckets=parts), "bucket int, shard int, n long, cell binary, again binary, index binary"
-    )
-    blocks = sent.groupBy("bucket").applyInPandas(_match_blocks, "shard int, bucket int, n long, recurs binary, anchor binary")
-    windows = shards.cogroup(blocks.groupBy("shard")).applyInPandas(
-        partial(_send_windows, buckets=parts), "bucket int, shard int, n long, cell binary, low binary, ids binary, start binary"
-    )
-    later = windows.groupBy("bucket").applyInPandas(_match_windows, "shard int, bucket int, n long, later binary")
+    later = windows.groupBy("bucket").applyInPandas(_match_windows, "shard long, bucket int, n long, later binary")
     masks = blocks.unionByName(later, allowMissingColumns=True)
-    out = shards.cogroup(masks.groupBy("shard")).applyInPandas(
-        _finish, "id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    )
+    ranges = bodies.cogroup(masks.groupBy("shard")).applyInPandas(_removed, _RANGES).dropDuplicates(["key", "mark"])
+    ranges = materialize(ranges)
+    ranges = broadcast_if_small(ranges, held=ranges.agg(F.sum(F.size("starts") + 2)).first()[0] or 0)
+    told = rows.join(ranges, ["key", "mark"], "left").select("id", _kept_udf(with_text)("text", "starts", "ends").alias("told"))
     names = ["n_words", "n_removed", "kept_sha256", *["kept"] * with_text]
-    return out.select(F.col("id").alias(id_col), *names)
+    return told.select(F.col("id").alias(id_col), *(F.col(f"told.{n}").alias(n) for n in names))
