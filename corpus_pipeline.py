@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridseek.llm import decontaminate, lines, packing, quality, simhash
-from gridseek.plans.durable import materialize
+from gridseek.plans.durable import materialize, unused
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,9 +16,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go but for their first place; ``n_chars`` follows where a text changed."""
-    cleaned = lines.drop_recurring_lines(docs)
-    n_chars = F.when(F.col("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cleaned.withColumn("n_chars", n_chars).drop("__lines", "__gone")
+    had, went = unused(docs.columns, "lines", "gone")
+    cleaned = lines.drop_recurring_lines(docs, counts=(had, went))
+    n_chars = F.when(F.col(went) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", n_chars).drop(had, went)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
