@@ -10,21 +10,24 @@ id; scoring runs over every whole text.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridseek.plans.durable import unused
+
 #: Labelled rows that the machine is fitted on at most.
 SAMPLE = 6000
 WORD_SLOTS, RANK = 1 << 14, 6
-#: Passes over the sample and least number of steps, so that a small sample is passed more often.
-EPOCHS, STEPS, BATCH, RATE, DECAY, SEED = 6, 400, 64, 0.02, 1e-4, 5
+#: Steps of the fit, whatever the sample's size, rows of a step, and its rates.
+STEPS, BATCH, RATE, DECAY, SEED = 600, 64, 0.02, 1e-4, 5
 CUTOFF = 0.3
 #: Upper ends of the ranges that each statistic is cut into.
 RANGES = {
@@ -43,51 +46,54 @@ RANGES = {
 }
 _OFFSET = dict(zip(RANGES, WORD_SLOTS + np.cumsum([0, *(len(r) + 1 for r in RANGES.values())])[:-1]))
 SLOTS = WORD_SLOTS + sum(len(r) + 1 for r in RANGES.values())
+_MARKS = b"!#$%&*|~^@_=+<>/\\"
 _ODD = bytes(b for b in range(128) if not chr(b).isalnum() and chr(b) not in " \t\n\r.,;:!?'\"()-")
 
 
-def statistics(text: str, words: list[bytes], counts: Counter, declared: float | None) -> dict[str, float]:
-    """Structure of a whole text; all shares are 0 for an empty one."""
-    raw = text.encode("utf-8", "surrogatepass")
+def _slots_of(known: dict[bytes, int], words: list[bytes]) -> list[int]:
+    """Hash slots of words; ``known`` keeps those of the task up to a bound."""
+    if len(known) > 500_000:
+        known.clear()
+    for word in words:
+        if word not in known:
+            known[word] = zlib.crc32(word.lower()) % WORD_SLOTS
+    return [known[w] for w in words]
+
+
+def statistics(text: str, raw: bytes, words: list[bytes], distinct: int, most: int, declared: float | None) -> tuple[float, ...]:
+    """Structure of a whole text, in the order of ``RANGES``; all shares are 0 for an empty one."""
     n, size = max(len(words), 1), max(len(raw), 1)
     lines = text.split("\n")
-    letters = sum(map(len, words))
-    ends = Counter(w[-1:] for w in words)
-    return {
-        "symbols": (size - len(raw.translate(None, _ODD))) / size,
-        "upper": (len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))) / size,
-        "digits": (len(raw) - len(raw.translate(None, b"0123456789"))) / size,
-        "distinct": len(counts) / n,
-        "repeats": sum(map(bytes.__eq__, words, words[1:])) / n,
-        "top": max(counts.values(), default=0) / n,
-        "word_length": letters / n,
-        "marks": sum(c for e, c in ends.items() if e in b"!#$%&*|~^@_=+<>/\\") / n,
-        "lines": len(set(lines)) / len(lines),
-        "stops": (ends[b"."] + ends[b"?"]) / n,
-        "words": len(words),
-        "declared": -2 if declared is None or declared != declared else float(declared),
-    }
-
-
-def features(text: str | None, declared: float | None, memo: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    ends = Counter(w[-1] for w in words)
+    return (
+        (size - len(raw.translate(None, _ODD))) / size if raw else 0.0,
+        (len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))) / size,
+        (len(raw) - len(raw.translate(None, b"0123456789"))) / size,
+        distinct / n,
+        sum(map(bytes.__eq__, words, words[1:])) / n,
+        most / n,
+        sum(map(len, words)) / n,
+        sum(c for e, c in ends.items() if e in _MARKS) / n,
+        len(set(lines)) / len(lines),
+        (ends[ord(".")] + ends[ord("?")]) / n,
+        len(words),
+        -2 if declared is None or declared != declared else float(declared),
+    )
+
+
+def features(text: str | None, declared: float | None, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of a document."""
     text = text or ""
-    raw = text.encode("utf-8", "surrogatepass").split()
-    counts = Counter(raw)
-    held: Counter = Counter()
-    for word, count in counts.items():
-        slot = memo.get(word)
-        if slot is None:
-            if len(memo) > 500_000:
-                memo.clear()
-            slot = memo[word] = zlib.crc32(word.lower()) % WORD_SLOTS
-        held[slot] += count
-    slots = np.fromiter(held, np.int32, len(held))
-    values = np.fromiter(held.values(), np.float64, len(held))
+    raw = text.encode("utf-8", "surrogatepass")
+    words = raw.split()
+    counts = Counter(words)
+    place = np.array(_slots_of(known, list(counts)), dtype=np.int64)
+    slots, at = np.unique(place, return_inverse=True)
+    values = np.bincount(at, weights=np.fromiter(counts.values(), np.float64, len(counts)), minlength=len(slots)) if len(place) else np.zeros(0)
     values /= max(np.sqrt((values**2).sum()), 1.0)
-    told = statistics(text, raw, counts, declared)
-    ranges = [_OFFSET[k] + int(np.searchsorted(RANGES[k], v, side="left")) for k, v in told.items()]
-    return np.concatenate([slots, np.array(ranges, np.int32)]), np.concatenate([values, np.full(len(ranges), 0.5)])
+    told = statistics(text, raw, words, len(counts), max(counts.values(), default=0), declared)
+    ranges = [offset + bisect_left(ends, v) for offset, ends, v in zip(_OFFSET.values(), RANGES.values(), told)]
+    return np.concatenate([slots, ranges]).astype(np.int32), np.concatenate([values, np.full(len(ranges), 0.5)])
 
 
 @dataclass
@@ -117,9 +123,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Machin
     machine = Machine(float(np.log(share / (1 - share))), np.zeros(SLOTS), draw.normal(0, 0.02, (SLOTS, RANK)))
     first = [np.zeros((SLOTS, RANK + 1)), np.zeros((SLOTS, RANK + 1))]
     step = 0
-    for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(len(rows), BATCH))) if rows else 0):
+    while rows and step < STEPS:
         order = draw.permutation(len(rows))
-        for at in range(0, len(order), BATCH):
+        for at in range(0, min(len(order), (STEPS - step) * BATCH), BATCH):
             chosen = order[at : at + BATCH]
             slots, values = (np.concatenate([rows[i][k] for i in chosen]) for k in (0, 1))
             sizes = np.array([len(rows[i][0]) for i in chosen])
@@ -160,22 +166,27 @@ def _features(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Dat
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> Machine:
-    """Fit on at most ``sample`` labelled documents outside the held-out fifth; the bound also bounds the broadcast."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col("quality").alias("__label"))
-    known = known.dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), _length(docs, length_col)).join(F.broadcast(known), "__id")
-    rows = rows.select("__id", "__label", _features("__text", "__length").alias("f")).select("__id", "__label", "f.*").toPandas()
-    rows = rows.sort_values(["__id", "slots"], kind="stable").drop_duplicates("__id")
+    """Fit on at most ``sample`` labelled documents outside the held-out fifth; the bound also bounds what is broadcast and collected.
+
+    An id with several labels has that of their majority, 0 at a tie; of rows that repeat an id the one of
+    the least hash of its text counts.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id"))
+    known = known.agg((F.avg("quality") > 0.5).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _length(docs, length_col).alias("declared"))
+    row = F.struct(F.xxhash64("text").alias("mark"), "text", "declared")
+    one = told.join(F.broadcast(known), "id").groupBy("id", "label").agg(F.min(row).alias("row"))
+    rows = one.select("id", "label", _features("row.text", "row.declared").alias("f")).select("id", "label", "f.*").toPandas().sort_values("id")
     made = [(np.frombuffer(s, np.int32), np.frombuffer(v, np.float64)) for s, v in zip(rows["slots"], rows["values"])]
-    return fit(made, rows["__label"].to_numpy(dtype=np.float64))
+    return fit(made, rows["label"].to_numpy(dtype=np.float64))
 
 
-def _length(docs: DataFrame, length_col: str):
-    return (F.col(length_col).cast("double") if length_col in docs.columns else F.lit(None).cast("double")).alias("__length")
+def _length(docs: DataFrame, length_col: str) -> Column:
+    return (F.col(length_col) if length_col in docs.columns else F.lit(None)).cast("double")
 
 
-def with_score(docs: DataFrame, machine: Machine, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """``docs`` and a column ``__score``."""
+def with_score(docs: DataFrame, machine: Machine, name: str, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` and a column ``name`` that none of theirs has."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf(T.DoubleType())
@@ -194,8 +205,7 @@ def with_score(docs: DataFrame, machine: Machine, text_col: str = "text", length
                 out.append(_scored(machine, held))
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    length = F.col(length_col).cast("double") if length_col in docs.columns else F.lit(None).cast("double")
-    return docs.withColumn("__score", score(F.col(text_col), length))
+    return docs.withColumn(name, score(F.col(text_col), _length(docs, length_col)))
 
 
 def _scored(machine: Machine, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -211,13 +221,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_c
     scored each; without labels every document scores about one half; other columns are ignored.
     """
     rows = docs.select(id_col, text_col, *[c for c in ("n_chars",) if c in docs.columns])
-    scored = with_score(rows, train(docs, labels, sample, id_col, text_col), text_col)
-    return scored.select(
-        id_col, held_out(id_col).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= CUTOFF).cast("int").alias("predicted")
-    )
+    (name,) = unused(rows.columns, "score")
+    scored = with_score(rows, train(docs, labels, sample, id_col, text_col), name, text_col)
+    return scored.select(id_col, held_out(id_col).alias("held_out"), F.col(name).alias("score"), (F.col(name) >= CUTOFF).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with their columns."""
-    scored = with_score(docs, train(docs, labels, id_col=id_col, text_col=text_col), text_col)
-    return scored.where(F.col("__score") >= CUTOFF).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that the classifier accepts, with their columns.
+
+    Null and empty texts, null ids and repeated rows are judged like any other; an empty table stays one.
+    """
+    (name,) = unused(docs.columns, "score")
+    return with_score(docs, train(docs, labels, id_col=id_col, text_col=text_col), name, text_col).where(F.col(name) >= CUTOFF).drop(name)
