@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridseek.llm.folds import starts_of
 from gridseek.plans.durable import materialize
 
 #: Fixed by the contract.
@@ -46,18 +47,16 @@ _SPANS = "array<struct<start:bigint,rank:int,end:bigint>>"
 
 def _matches(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches as ``(start, end, match)`` in code points, in order."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    none = F.array().cast("array<struct<start:bigint,end:bigint,m:string>>")
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     steps = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(F.length(g).cast("long").alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,m:string>>").alias("out"))
+    starts = starts_of(F.transform(steps, lambda x: x["gap"] + F.length(x["m"])))
 
-    def step(state: Column, x: Column) -> Column:
-        first = state["at"] + x["gap"]
-        last = first + F.length(x["m"])
-        return F.struct(last.alias("at"), F.concat(state["out"], F.array(F.struct(first.alias("start"), last.alias("end"), x["m"].alias("m")))).alias("out"))
+    def span(x: Column, at: Column) -> Column:
+        first = at + x["gap"]
+        return F.struct(first.alias("start"), (first + F.length(x["m"])).alias("end"), x["m"].alias("m"))
 
-    spans = F.aggregate(steps, start, step, lambda state: state["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(start["out"])
+    return F.when(text.rlike(pattern), F.zip_with(steps, starts, span)).otherwise(none)
 
 
 def _as_spans(matches: Column, kind: str, keep) -> Column:
