@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridseek.llm.folds import cut
+
 START, END, JOIN = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>"
 LOSS_ROLE = "assistant"
 _SEGMENT = "struct<text:string,loss:boolean>"
@@ -33,11 +35,11 @@ def unescape_role(role: Column) -> Column:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """``(conv_id, formatted, segments)`` of ``(conv_id, turn, role, text)`` rows.
+    """``(conv_id, formatted, mask)`` of ``(conv_id, turn, role, text)`` rows.
 
     Turns stand by ``turn``, ties by role and text; a null turn comes first. Null texts and roles are
-    empty. Rows of a null ``conv_id`` make one conversation. ``segments`` are the parts of ``formatted``
-    in order, with the loss mask: the texts of the assistant. Other columns are ignored. A conversation
+    empty. Rows of a null ``conv_id`` make one conversation. ``mask`` cuts ``formatted`` into
+    ``(n_chars, loss)`` parts in order; those of the assistant's texts count for the loss. Other columns are ignored. A conversation
     is one row of the result, so that it has to fit into one, as in any format of whole conversations.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -52,7 +54,14 @@ def format_chats(turns: DataFrame) -> DataFrame:
         return F.array(frame(opened), body, frame(closed)).cast(f"array<{_SEGMENT}>")
 
     talks = talks.select("conv_id", F.flatten(F.transform("turns", framed)).alias("segments"))
-    return talks.select("conv_id", F.array_join(F.col("segments.text"), "").alias("formatted"), "segments")
+    mask = F.transform("segments", lambda s: F.struct(F.length(s["text"]).cast("long").alias("n_chars"), s["loss"].alias("loss")))
+    return talks.select("conv_id", F.array_join(F.col("segments.text"), "").alias("formatted"), mask.alias("mask"))
+
+
+def loss_texts(formatted: Column, mask: Column) -> Column:
+    """The parts of ``formatted`` under the loss mask, as they stand there."""
+    parts = F.zip_with(mask, cut(formatted, F.transform(mask, lambda m: m["n_chars"])), lambda m, t: F.struct(m["loss"].alias("loss"), t.alias("text")))
+    return F.transform(F.filter(parts, lambda x: x["loss"]), lambda x: x["text"])
 
 
 def read_chats(formatted: Column) -> Column:
@@ -74,7 +83,7 @@ def chat_digests(turns: DataFrame) -> DataFrame:
         "conv_id",
         "formatted",
         read_chats(F.col("formatted")).alias("read"),
-        F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "").alias("loss"),
+        F.array_join(F.transform(loss_texts(F.col("formatted"), F.col("mask")), unescape), "").alias("loss"),
     )
     written = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return talks.select(
