@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridseek.plans.durable import broadcast_if_small, materialize
+from gridseek.plans.durable import broadcast_if_small, materialize, unused
 
 MIN_DOCS, LEAD, SHARE = 5, 3, 0.6
 FIELD = "<*>"
@@ -73,9 +73,12 @@ def _templates(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col: s
     cut = held.select(F.explode(told).alias("p")).select("p.*").withColumn("template", masked(F.col("raw"))).dropDuplicates([*_KEY])
     tokens = cut.select(*_KEY, "leaf", "docs", F.posexplode(F.split("template", " ")).alias("at", "token"))
     tokens = materialize(tokens)
-    common = tokens.where(F.col("token") != FIELD).groupBy("leaf", "at", "token").agg(F.sum("docs").alias("held"))
-    common = common.where(F.col("held") >= min_docs).select("leaf", "at", "token", F.lit(True).alias("constant"))
-    told = tokens.join(common, ["leaf", "at", "token"], "left").withColumn("token", F.when(F.col("constant"), F.col("token")).otherwise(FIELD))
+    # the first tokens are those of the whole leaf, which is full enough; only further ones are counted
+    further = tokens.where((F.col("token") != FIELD) & (F.col("at") >= LEAD)).groupBy("leaf", "at", "token").agg(F.sum("docs").alias("held"))
+    common = materialize(further.where(F.col("held") >= min_docs).select("leaf", "at", "token", F.lit(True).alias("seen")))
+    first = F.when((F.col("at") < LEAD) & (F.col("token") != FIELD), True)
+    told = tokens.join(broadcast_if_small(common), ["leaf", "at", "token"], "left").withColumn("constant", F.coalesce(first, "seen"))
+    told = told.withColumn("token", F.when(F.col("constant"), F.col("token")).otherwise(FIELD))
     trees = told.groupBy(*_KEY, "leaf").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda t: t["token"]), " ").alias("tree"),
         (F.count("constant") / F.count(F.lit(1))).alias("share"),
@@ -107,35 +110,37 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return gone.groupBy(*_DOC).agg(F.collect_set("line").alias("gone"))
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with ``text`` free of recurring lines, and columns ``__lines`` and ``__gone``: how many there were and went.
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, counts: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with ``text`` free of recurring lines; ``counts`` names two more columns, how many lines there were and went.
 
     Every row stays, if with an empty text. Null texts stay null. Blank lines are never dropped. Rows
-    that repeat an id and a text are documents of their own that lose the same lines; null ids come
-    first. An empty table stays one; other columns pass.
+    that repeat an id and a text lose the same lines and count as one document towards ``min_docs``; null
+    ids come first. An empty table stays one; other columns pass.
     """
-    gone = recurring_lines(docs, id_col, text_col, min_docs).withColumnsRenamed({"id": "__id", "mark": "__mark", "gone": "__lost"})
+    name = dict(zip(("id", "mark", "lost", "own", "null", "parts"), unused([*docs.columns, *(counts or ())], "id", "mark", "lost", "own", "null", "parts")))
+    gone = recurring_lines(docs, id_col, text_col, min_docs).withColumnsRenamed({"id": name["id"], "mark": name["mark"], "gone": name["lost"]})
     # the lines are cut before the join, so that reading one by its number doesn't cut the text again
-    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    marked = docs.withColumns({"__own": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "__null": F.col(text_col).isNull(), "__parts": parts})
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    joined = marked.select(*columns, "__own", "__null", "__parts").join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left")
-    lost = F.coalesce("__lost", F.array().cast("array<int>"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), lost)
-    cleaned = F.when(F.size(lost) == 0, F.array_join("__parts", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__parts", i)), "\n"))
-    text = F.when(~F.col("__null"), cleaned).alias(text_col)
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    marked = docs.withColumns({name["own"]: F.xxhash64(whole), name["null"]: F.col(text_col).isNull(), name["parts"]: F.split(whole, "\n", -1)}).drop(text_col)
+    joined = marked.join(gone, F.col(id_col).eqNullSafe(F.col(name["id"])) & (F.col(name["own"]) == F.col(name["mark"])), "left")
+    parts, lost = F.col(name["parts"]), F.coalesce(F.col(name["lost"]), F.array().cast("array<int>"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), lost)
+    cleaned = F.when(F.size(lost) == 0, F.array_join(parts, "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    text = F.when(~F.col(name["null"]), cleaned).alias(text_col)
     ordered = [text if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*ordered, F.size("__parts").cast("long").alias("__lines"), F.size(lost).cast("long").alias("__gone"))
+    told = [F.size(x).cast("long").alias(c) for x, c in zip((parts, lost), counts or ())]
+    return joined.select(*ordered, *told)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_lines, n_removed, kept_sha256, kept_chars)`` of every row."""
-    rows = drop_recurring_lines(docs.select(id_col, text_col), id_col, text_col)
+    lines, gone = unused([id_col, text_col], "n_lines", "n_removed")
+    rows = drop_recurring_lines(docs.select(id_col, text_col), id_col, text_col, counts=(lines, gone))
     text = F.coalesce(F.col(text_col), F.lit(""))
     return rows.select(
         id_col,
-        F.col("__lines").alias("n_lines"),
-        F.col("__gone").alias("n_removed"),
+        F.col(lines).alias("n_lines"),
+        F.col(gone).alias("n_removed"),
         F.sha2(text, 256).alias("kept_sha256"),
         F.length(text).cast("long").alias("kept_chars"),
     )
