@@ -24,7 +24,7 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridseek.plans.durable import materialize
+from gridseek.plans.durable import broadcast_if_small, materialize
 
 #: Sentences by which licences are declared. Fixed values.
 TEMPLATES = (
@@ -242,7 +242,7 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     homes = homes.groupBy(folder.alias("folder")).agg(least.alias("given"))
     above = told.where(F.col("own").isNull() & F.col("path").isNotNull()).select("path").distinct()
     above = above.select("path", F.posexplode(ancestors(F.col("path"))).alias("depth", "folder"))
-    near = above.join(homes, "folder").groupBy("path").agg(F.max_by("given", "depth").alias("given"))
+    near = above.join(broadcast_if_small(materialize(homes)), "folder").groupBy("path").agg(F.max_by("given", "depth").alias("given"))
     out = told.join(near.withColumnRenamed("path", "path2"), F.col("path") == F.col("path2"), "left")
     chosen = F.coalesce("own", "given")
     evidence = F.when(F.col("own").isNotNull(), "notice").when(F.col("given").isNotNull(), "inherited")
