@@ -3,9 +3,12 @@
 Each task turns its documents, in shards of a bounded number of words, into a suffix array over word
 numbers and binary-searches every suffix of the benchmark items in it. The best place gives the longest
 verbatim match of a suffix; the range of suffixes that begin with a whole window gives every place
-where the window occurs. Only runs of benchmark words that are long enough for the shortest window are
-sorted, as no other training suffix can match one. The benchmark is broadcast in blocks of
-``BLOCK_WORDS`` words at most; more blocks are further rounds over a written table.
+where the window occurs, and the neighbours of a place among the test suffixes its longest match. Suffixes are
+compared by hashes of their prefixes, so that a long item that was copied costs no more steps than its
+length has bits; windows are compared word by word in the end. Only runs of benchmark words that are long
+enough for the shortest window are sorted, as no other training suffix can hold one. The benchmark is
+broadcast in blocks of ``BLOCK_WORDS`` words at most; more blocks are further rounds, which write the hits of
+the texts that have some.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridseek.plans.durable import materialize
+from gridseek.plans.durable import broadcast_if_small, materialize, unused
 
 WINDOW = 13
 #: A document is contaminated if its hit words, times this, are at least its words.
@@ -37,6 +40,37 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_KEEP).split() if text else []
 
 
+#: Odd multiplier of the prefix hashes and those of the mixing function. Fixed values.
+_BASE, _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+class Prefixes:
+    """Hashes of all parts of a sequence of word numbers."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens = tokens
+        h = (tokens.astype(np.uint64) + np.uint64(1)) * _MIX_A
+        h = (h ^ (h >> np.uint64(29))) * _MIX_B
+        ahead = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(tokens), _BASE))])
+        back = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum((h ^ (h >> np.uint64(32))) * ahead[:-1], dtype=np.uint64)])
+        self.back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(tokens), back))])
+
+    def part(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (self.sums[at + size] - self.sums[at]) * self.back[at]
+
+
+def common(a: Prefixes, at: np.ndarray, b: Prefixes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Common lengths, up to ``size``, of the parts of ``a`` from ``at`` and of ``b`` from ``start``."""
+    low, high = np.zeros(len(at), dtype=np.int64), np.minimum(size, np.minimum(len(a.tokens) - at, len(b.tokens) - start))
+    while len(live := np.flatnonzero(low < high)):
+        mid = (low[live] + high[live] + 1) // 2
+        same = a.part(at[live], mid) == b.part(start[live], mid)
+        low[live] = np.where(same, mid, low[live])
+        high[live] = np.where(same, high[live], mid - 1)
+    return low
+
+
 @dataclass
 class TestIndex:
     """The items of one block: word numbers from 1, items one after another, each followed by a 0."""
@@ -64,6 +98,10 @@ class TestIndex:
         self.whole = self.left >= self.need
         self.longest = int(sizes.max(initial=0))
         self.shortest = int(np.minimum(sizes, WINDOW).min(initial=WINDOW))
+        self.prefixes = Prefixes(self.flat)
+        rank = np.empty(len(self.flat), dtype=np.int64)
+        rank[suffix_array(self.flat, self.longest + 1)] = np.arange(len(self.flat))
+        self.order = np.argsort(rank[self.start])  # of the suffixes that begin with a word
 
 
 def runs_of(tokens: np.ndarray, least: int) -> np.ndarray:
@@ -87,52 +125,79 @@ def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
             return np.argsort(rank, kind="stable")
 
 
-def _compare(train: np.ndarray, at: np.ndarray, test: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Common length up to ``size`` of the suffixes at ``at`` and ``start``, and the sign of train minus test there."""
-    same, sign = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
-    live, step = np.arange(len(at)), 0
-    while len(live := live[size[live] > step]):
-        differ = train[np.minimum(at[live] + step, len(train) - 1)].astype(np.int64) - test[start[live] + step]
-        sign[live] = np.sign(differ)
-        live = live[differ == 0]
-        step += 1
-        same[live] = step
-    return same, sign
-
-
-def _bound(train: np.ndarray, order: np.ndarray, test: np.ndarray, start: np.ndarray, size: np.ndarray, after: bool) -> np.ndarray:
+def _bound(train: Prefixes, order: np.ndarray, test: Prefixes, start: np.ndarray, size: np.ndarray, after: bool) -> np.ndarray:
     """Binary search: the first suffix not below (or, ``after``, above) each test prefix."""
     low, high = np.zeros(len(start), dtype=np.int64), np.full(len(start), len(order), dtype=np.int64)
     while len(live := np.flatnonzero(low < high)):
         mid = (low[live] + high[live]) // 2
-        _, sign = _compare(train, order[mid], test, start[live], size[live])
+        at, begin, n = order[mid], start[live], size[live]
+        same = common(train, at, test, begin, n)
+        inside = np.minimum(same, n - 1)
+        sign = np.where(same == n, 0, np.sign(train.tokens[np.minimum(at + inside, len(train.tokens) - 1)].astype(np.int64) - test.tokens[begin + inside]))
         right = sign <= 0 if after else sign < 0
         low[live[right]] = mid[right] + 1
         high[live[~right]] = mid[~right]
     return low
 
 
-def search(tokens: np.ndarray, index: TestIndex) -> dict[str, np.ndarray]:
+@dataclass
+class Found:
+    """What a shard of documents and a block of the benchmark share."""
+
+    best: np.ndarray  # the longest match of each test suffix
+    where: np.ndarray  # and its place
+    groups: list[np.ndarray]  # the items of each window that occurs
+    spots: np.ndarray  # places of occurrences
+    sizes: np.ndarray  # words of the window there
+    group: np.ndarray  # and its number
+    longest: np.ndarray  # the longest match that begins there
+    suffix: np.ndarray  # and its test suffix
+
+
+def search(tokens: np.ndarray, index: TestIndex) -> Found:
     """Longest match and its place for every test suffix, and all places of every whole window."""
     places = runs_of(tokens, index.shortest)
     gap = np.flatnonzero(np.diff(places) != 1) + 1
-    train = np.append(np.insert(tokens[places], gap, 0), 0).astype(np.int32)
+    train = Prefixes(np.append(np.insert(tokens[places], gap, 0), 0).astype(np.int32))
     back = np.append(np.insert(places, gap, -1), -1)
-    order = suffix_array(train, index.longest)
-    order = order[train[order] > 0]
-    best, where = np.zeros(len(index.start), dtype=np.int64), np.full(len(index.start), -1, dtype=np.int64)
-    if len(order) and len(index.start):
-        at = _bound(train, order, index.flat, index.start, index.left, False)
-        for near in (at - 1, at):
-            inside = (near >= 0) & (near < len(order))
-            spot = order[np.clip(near, 0, len(order) - 1)]
-            same, _ = _compare(train, spot, index.flat, index.start, np.where(inside, index.left, 0))
-            better = same > best
-            best[better], where[better] = same[better], back[spot[better]]
+    order = suffix_array(train.tokens, index.longest + 1)
+    order = order[train.tokens[order] > 0]
+    n = len(index.start)
+    best, where, nothing = np.zeros(n, dtype=np.int64), np.full(n, -1, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    if not len(order) or not n:
+        return Found(best, where, [], nothing, nothing, nothing, nothing, nothing)
+    at = _bound(train, order, index.prefixes, index.start, index.left, False)
+    for near in (at - 1, at):
+        spot = order[np.clip(near, 0, len(order) - 1)]
+        same = common(train, spot, index.prefixes, index.start, np.where((near >= 0) & (near < len(order)), index.left, 0))
+        better = same > best
+        best[better], where[better] = same[better], back[spot[better]]
+
     found = np.flatnonzero(index.whole & (best >= index.need))
-    low = _bound(train, order, index.flat, index.start[found], index.need[found], False)
-    high = _bound(train, order, index.flat, index.start[found], index.need[found], True)
-    return {"best": best, "where": where, "found": found, "low": low, "high": high, "spots": back[order]}
+    low = _bound(train, order, index.prefixes, index.start[found], index.need[found], False)
+    # windows of the same words have the same range, which is listed once
+    _, first, group = np.unique(low * (WINDOW + 1) + index.need[found], return_index=True, return_inverse=True)
+    high = _bound(train, order, index.prefixes, index.start[found[first]], index.need[found[first]], True)
+    by_group = np.argsort(group, kind="stable")
+    groups = np.split(index.owner[found[by_group]], np.cumsum(np.bincount(group, minlength=len(first)))[:-1]) if len(found) else []
+    many = high - low[first]
+    ranks = np.repeat(low[first] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    own = np.repeat(np.arange(len(first)), many)
+    begin, size = index.start[found[first]][own], index.need[found[first]][own]
+    exact = np.ones(len(own), dtype=bool)
+    for k in range(WINDOW):
+        exact &= (k >= size) | (train.tokens[np.minimum(order[ranks] + k, len(train.tokens) - 1)] == index.flat[np.minimum(begin + k, len(index.flat) - 1)])
+    ranks, own, size = ranks[exact], own[exact], size[exact]
+
+    # of all test suffixes those next to a place in order have the longest match there
+    after = np.searchsorted(at[index.order], ranks, side="right")
+    longest, suffix = np.zeros(len(ranks), dtype=np.int64), np.zeros(len(ranks), dtype=np.int64)
+    for near in (after - 1, after):
+        test = index.order[np.clip(near, 0, n - 1)]
+        same = common(train, order[ranks], index.prefixes, index.start[test], np.where((near >= 0) & (near < n), index.left[test], 0))
+        better = same > longest
+        longest[better], suffix[better] = same[better], test[better]
+    return Found(best, where, groups, back[order[ranks]], size, own, longest, suffix)
 
 
 def _shards(texts: pd.Series, vocabulary: dict[bytes, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -159,45 +224,46 @@ def _joined(held: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.nd
     return np.concatenate(held), np.cumsum(n + 1) - n - 1, n
 
 
+_LONGEST = ("match_words", "match_place", "match_item", "match_item_place")
 _HITS = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
-        T.StructField("starts", T.ArrayType(T.LongType())),
-        T.StructField("ends", T.ArrayType(T.LongType())),
-        T.StructField("items", T.ArrayType(T.LongType())),
+        *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("starts", "ends", "items")),
+        *(T.StructField(c, T.LongType()) for c in _LONGEST),
     ]
 )
 
 
-def _hits(texts: pd.Series, index: TestIndex) -> pd.DataFrame:
-    """For each document its words, the runs of hit words and the items with windows there."""
+def _hits(texts: pd.Series, index: TestIndex) -> list[tuple]:
+    """For each document its words, the runs of hit words, the items with windows there and the longest match."""
     out = []
     for tokens, begin, sizes in _shards(texts, index.vocabulary):
         got = search(tokens, index)
-        n = got["high"] - got["low"]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        spot = got["spots"][np.repeat(got["low"], n) + step] if len(step) else step
-        window = np.repeat(got["found"], n)
         edge = np.zeros(len(tokens) + 1, dtype=np.int64)
-        np.add.at(edge, spot, 1)
-        np.add.at(edge, spot + index.need[window], -1)
+        np.add.at(edge, got.spots, 1)
+        np.add.at(edge, got.spots + got.sizes, -1)
         change = np.diff(np.concatenate([[0], (np.cumsum(edge)[:-1] > 0).astype(np.int8), [0]]))
         first, last = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
-        doc = np.searchsorted(begin, first, side="right") - 1
-        pairs = np.unique((np.searchsorted(begin, spot, side="right") - 1) * len(index.names) + index.owner[window]) if len(spot) else np.zeros(0, np.int64)
-        run = np.searchsorted(doc, np.arange(len(sizes) + 1))
-        item = np.searchsorted(pairs, np.arange(len(sizes) + 1) * len(index.names))
+        run = np.searchsorted(np.searchsorted(begin, first, side="right") - 1, np.arange(len(sizes) + 1))
+        doc = np.searchsorted(begin, got.spots, side="right") - 1
+        by_doc = np.lexsort((got.spots, -got.longest, doc))
+        cut = np.searchsorted(doc[by_doc], np.arange(len(sizes) + 1))
         for i, size in enumerate(sizes.tolist()):
-            a, b = slice(run[i], run[i + 1]), slice(item[i], item[i + 1])
-            names = [index.names[k] for k in pairs[b] % max(len(index.names), 1)]
-            out.append((size, (first[a] - begin[i]).tolist(), (last[a] - begin[i]).tolist(), names))
-    return pd.DataFrame(out, columns=["n_words", "starts", "ends", "items"])
+            if run[i] == run[i + 1]:
+                out.append((size, [], [], [], 0, None, None, None))
+                continue
+            a, mine = slice(run[i], run[i + 1]), by_doc[cut[i] : cut[i + 1]]
+            items = np.unique(np.concatenate([got.groups[g] for g in np.unique(got.group[mine]).tolist()]))
+            top = mine[0]  # the longest, of equal ones the first
+            match = (int(got.longest[top]), int(got.spots[top] - begin[i]), index.names[index.owner[got.suffix[top]]], int(index.place[got.suffix[top]]))
+            out.append((size, (first[a] - begin[i]).tolist(), (last[a] - begin[i]).tolist(), sorted({index.names[k] for k in items.tolist()}), *match))
+    return out
 
 
 def _hits_udf(shared):
     @F.pandas_udf(_HITS)
     def hits(texts: pd.Series) -> pd.DataFrame:
-        return _hits(texts, shared.value)
+        return pd.DataFrame(_hits(texts, shared.value), columns=_HITS.names).astype({c: "Int64" for c in _LONGEST})
 
     return hits
 
@@ -210,24 +276,30 @@ _REPORT = T.StructType(
         T.StructField("items_sha256", T.StringType()),
         T.StructField("contaminated", T.BooleanType()),
         T.StructField("longest_run", T.LongType()),
+        *(T.StructField(c, T.LongType()) for c in _LONGEST),
         T.StructField("items", T.ArrayType(T.LongType())),
     ]
 )
 
 
-def _report(n_words: int, spans: list[tuple[int, int]], items: list[int]) -> tuple:
-    """Merge the runs found by all blocks and judge the document."""
+def _report(n_words: int, parts: list[tuple]) -> tuple:
+    """Merge what all blocks found, ``(starts, ends, items, longest match)``, and judge the document."""
     hit = longest = 0
     begin = end = -1
-    for a, b in sorted(spans):
+    for a, b in sorted((a, b) for starts, ends, *_ in parts for a, b in zip(starts, ends)):
         if a > end:
             begin, end = a, a
         hit += max(b - end, 0)
         end = max(end, b)
         longest = max(longest, end - begin)
-    names = sorted({str(i): i for i in items}.items())
+    names = sorted({str(i): i for _, _, items, *_ in parts for i in items}.items())
     digest = hashlib.sha256(",".join(k for k, _ in names).encode()).hexdigest()
-    return n_words, hit, len(names), digest, hit > 0 and SHARE * hit >= n_words, longest, [i for _, i in names]
+    match = min((tuple(m) for *_, m in parts if m[0]), key=lambda m: (-m[0], *m[1:]), default=(0, None, None, None))
+    return n_words, hit, len(names), digest, hit > 0 and SHARE * hit >= n_words, longest, *match, [i for _, i in names]
+
+
+def _reports(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_REPORT.names).astype({c: "Int64" for c in _LONGEST})
 
 
 def _test_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[TestIndex]:
@@ -246,8 +318,8 @@ def _test_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words
     yield TestIndex(held)
 
 
-def _with_report(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, block_words: int) -> DataFrame:
-    """``docs`` and a struct column ``__report``."""
+def _with_report(docs: DataFrame, benchmark: DataFrame, name: str, text_col: str, item_col: str, item_text: str, block_words: int) -> DataFrame:
+    """``docs`` and a struct column ``name``, which is none of theirs."""
     spark = docs.sparkSession.sparkContext
     blocks = _test_blocks(benchmark, item_col, item_text, block_words)
     index = next(blocks)
@@ -257,30 +329,36 @@ def _with_report(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col:
 
         @F.pandas_udf(_REPORT)
         def judged(texts: pd.Series) -> pd.DataFrame:
-            hits = _hits(texts, shared.value)
-            rows = [_report(n, list(zip(s, e)), i) for n, s, e, i in hits.itertuples(index=False)]
-            return pd.DataFrame(rows, columns=_REPORT.names)
-
-        return docs.withColumn("__report", judged(F.col(text_col)))
-    out, names, rounds = docs, [], [index, following]
-    while rounds:
-        shared = spark.broadcast(rounds.pop(0))
-        names.append(f"__hits{len(names)}")
-        out = materialize(out.withColumn(names[-1], _hits_udf(shared)(F.col(text_col))))
+            return _reports([_report(n, [(a, b, items, match)]) for n, a, b, items, *match in _hits(texts, shared.value)])
+
+        return docs.withColumn(name, judged(F.col(text_col)))
+
+    # hits depend on the text alone, which its two hashes name
+    keys = [F.xxhash64(text_col).alias("k1"), F.xxhash64(F.col(text_col), F.lit(2)).alias("k2")]
+    found = None
+    while index is not None:
+        shared = spark.broadcast(index)
+        hits = docs.select(*keys, _hits_udf(shared)(F.col(text_col)).alias("hits")).where(F.size("hits.starts") > 0).dropDuplicates(["k1", "k2"])
+        part = materialize(hits)
         shared.unpersist()
-        if not rounds and (index := next(blocks, None)) is not None:
-            rounds.append(index)
-    merged = F.struct(
-        F.col(f"{names[0]}.n_words").alias("n_words"),
-        *(F.concat(*[F.col(f"{n}.{k}") for n in names]).alias(k) for k in ("starts", "ends", "items")),
-    )
+        found = part if found is None else found.union(part)
+        index, following = following, next(blocks, None)
+    found = materialize(found.groupBy("k1", "k2").agg(F.collect_list("hits").alias("hits")))  # one for each block at most
+    size = F.aggregate("hits", F.lit(0), lambda s, h: s + F.size(h["starts"]) + F.size(h["items"]))
+    k1, k2, held = unused([*docs.columns, name], "k1", "k2", "hits")
+    found = broadcast_if_small(found, held=found.agg(F.sum(size)).first()[0] or 0).withColumnsRenamed({"k1": k1, "k2": k2, "hits": held})
+    out = docs.withColumns({k1: keys[0], k2: keys[1]}).join(found, [k1, k2], "left")
 
     @F.pandas_udf(_REPORT)
-    def judged(hits: pd.DataFrame) -> pd.DataFrame:
-        rows = [_report(n, list(zip(s, e)), i) for n, s, e, i in hits.itertuples(index=False)]
-        return pd.DataFrame(rows, columns=_REPORT.names)
+    def merged(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, parts in zip(texts, hits):
+            parts = [] if parts is None else list(parts)
+            n = parts[0]["n_words"] if parts else len(words_of(text))
+            rows.append(_report(n, [(p["starts"], p["ends"], p["items"], [p[c] for c in _LONGEST]) for p in parts]))
+        return _reports(rows)
 
-    return out.withColumn("__report", judged(merged)).drop(*names)
+    return out.withColumn(name, merged(F.col(text_col), F.col(held))).drop(k1, k2, held)
 
 
 def contamination(
@@ -292,21 +370,28 @@ def contamination(
     item_text: str = "text",
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """``(id, n_words, n_hit, n_items, items_sha256, contaminated, longest_run, items)`` for every row.
+    """``(id, n_words, n_hit, n_items, items_sha256, contaminated, longest_run, match_..., items)`` for every row.
 
     A document word is hit if an occurrence of a window of an item covers it; an item shorter than a
-    window is one window. ``longest_run`` is the longest run of hit words. Null and wordless texts have
+    window is one window. ``longest_run`` is the longest run of hit words. ``match_words`` is the longest
+    verbatim match with an item that begins with a window, of equal ones the first in the document;
+    ``match_place`` is its first word there, ``match_item`` and ``match_item_place`` are an item and its word
+    that it begins with (of several any one). Null and wordless texts have
     no words and are clean; items without words or id count for nothing; an empty benchmark finds
     nothing; rows that repeat come out as often as they come in; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
-    return _with_report(rows, benchmark, "__text", item_col, item_text, block_words).select(id_col, "__report.*")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = _with_report(rows, benchmark, "report", "text", item_col, item_text, block_words)
+    return rows.select(F.col("id").alias(id_col), "report.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their columns."""
-    rows = _with_report(docs, benchmark, text_col, item_col, "text", BLOCK_WORDS)
-    return rows.where(~F.col("__report.contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that are not contaminated, with their columns.
+
+    Null and wordless texts, null ids and repeated rows stay or go like any other; an empty table stays one.
+    """
+    (name,) = unused(docs.columns, "report")
+    return _with_report(docs, benchmark, name, text_col, item_col, "text", BLOCK_WORDS).where(~F.col(f"{name}.contaminated")).drop(name)
 
 
 _MATCH = "item_id long, item_start long, n_words long, doc_id long, doc_start long"
@@ -315,8 +400,9 @@ _MATCH = "item_id long, item_start long, n_words long, doc_id long, doc_start lo
 def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The longest verbatim match of each item in the documents: ``(item_id, item_start, n_words, doc_id, doc_start)``.
 
-    Of equal lengths the least item start, document and document start win within a shard's choice of
-    places. Shorter matches than the shortest window are not reported.
+    Of equal lengths the least item start, document and document start of those that shards report win, each
+    of which reports one for a suffix. Matches without a run of benchmark words as long as the shortest window
+    are not looked for.
     """
     spark = docs.sparkSession.sparkContext
     found = None
@@ -329,15 +415,15 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 at = 0
                 for tokens, begin, sizes in _shards(batch["text"], index.vocabulary):
                     got = search(tokens, index)
-                    hit = np.flatnonzero(got["best"] > 0)
-                    doc = np.searchsorted(begin, got["where"][hit], side="right") - 1
+                    hit = np.flatnonzero(got.best > 0)
+                    doc = np.searchsorted(begin, got.where[hit], side="right") - 1
                     yield pd.DataFrame(
                         {
                             "item_id": np.array(index.names, dtype=np.int64)[index.owner[hit]],
                             "item_start": index.place[hit],
-                            "n_words": got["best"][hit],
+                            "n_words": got.best[hit],
                             "doc_id": batch["doc_id"].iloc[at : at + len(sizes)].to_numpy()[doc] if len(hit) else np.zeros(0, np.int64),
-                            "doc_start": got["where"][hit] - begin[doc] if len(hit) else np.zeros(0, np.int64),
+                            "doc_start": got.where[hit] - begin[doc] if len(hit) else np.zeros(0, np.int64),
                         }
                     )
                     at += len(sizes)
