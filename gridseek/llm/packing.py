@@ -20,6 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridseek.llm import simhash
+from gridseek.plans.durable import materialize
+
 CAPACITY, SHARD = 2048, 20_000
 _NO_LABEL = 0
 
@@ -127,25 +130,39 @@ def text_cluster(text: str = "text") -> Column:
     return F.when(plain != "", F.xxhash64(plain))
 
 
+def word_count(text: str = "text") -> Column:
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+
+
+def near_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``(id, n, source, cluster)`` of every row: near-duplicates, as operator 7 links them, are of one cluster; wordless texts of none."""
+    rows = docs.select(F.col(id_col).alias("id"), word_count(text_col).alias("n"), F.col(source_col).alias("source"), simhash.fingerprint(F.col(text_col)).alias("fp"))
+    rows = materialize(rows)
+    named = rows.join(simhash.fingerprint_roots(rows), F.col("fp") == F.col("node"), "left")
+    return named.select("id", "n", "source", F.when(F.col("n") > 0, F.coalesce("component", "fp")).alias("cluster"))
+
+
+def pack_rows(rows: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+    """The pieces of rows ``(id, n, source, cluster)``, see :func:`pack_documents`."""
+    rows = rows.select(F.col("id").cast("long"), "n", F.col("source").cast("string"), F.col("cluster").cast("long"))
+    shards = max(1, -(-rows.count() // shard))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "cluster", F.lit(4)), F.lit(shards)).cast("int"))
+    # pandas would turn long integers with gaps into doubles: clusters go as text
+    rows = rows.withColumn("cluster", F.col("cluster").cast("string"))
+    return rows.groupBy("shard").applyInPandas(partial(_pack, capacity=capacity), _PIECES)
+
+
 def pack_documents(
     docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     cluster: Column | None = None, shard: int = SHARD,
 ) -> DataFrame:
     """``(id, piece, start_word, n_words, bin_id, bin_offset)``: one row for each piece of every row of ``docs``.
 
-    Null and empty texts make a piece of no words. A null source conflicts with nothing. Rows that
-    repeat are of one cluster and so in different bins; if both their texts are wordless they may share
-    one. Null ids are packed too. An empty table gives no rows; other columns are ignored.
+    ``cluster`` is a column of long integers; without one equal texts are a cluster. Null and empty texts
+    make a piece of no words. A null source conflicts with nothing. Rows that repeat are of one cluster and
+    so in different bins; if both their texts are wordless they may share one. Null ids are packed too. An
+    empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n"),
-        F.col(source_col).cast("string").alias("source"),
-        (text_cluster(text_col) if cluster is None else cluster).cast("long").alias("cluster"),
-    )
-    shards = max(1, -(-docs.count() // shard))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "cluster", F.lit(4)), F.lit(shards)).cast("int"))
-    # pandas would turn long integers with gaps into doubles: clusters go as text
-    rows = rows.withColumn("cluster", F.col("cluster").cast("string"))
-    packed = rows.groupBy("shard").applyInPandas(partial(_pack, capacity=capacity), _PIECES)
-    return packed.withColumnRenamed("id", id_col)
+    label = text_cluster(text_col) if cluster is None else cluster
+    rows = docs.select(F.col(id_col).alias("id"), word_count(text_col).alias("n"), F.col(source_col).alias("source"), label.alias("cluster"))
+    return pack_rows(rows, capacity, shard).withColumnRenamed("id", id_col)
