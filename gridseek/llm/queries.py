@@ -28,8 +28,8 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bin of every piece of every document."""
-    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+    """The bin of every piece of every document; near-duplicates, as operator 7 finds them, are one cluster."""
+    return packing.pack_rows(packing.near_clusters(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +50,8 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence of every document, found or inherited."""
-    files = _table(spark, sf_dir, "documents").withColumn("__path", licenses.document_path())
-    return licenses.scan_licenses(files, path_col="__path")
+    files = _table(spark, sf_dir, "documents").select("doc_id", licenses.document_path().alias("path"), "text")
+    return licenses.scan_licenses(files)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,8 @@ def shingle_hashes(text: str | None) -> np.ndarray:
 
 
 @F.pandas_udf(T.LongType())
-def _fingerprint(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def fingerprint(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The fingerprints of texts, as signed integers."""
     for batch in texts:
         done, held, size = [], [], 0
         for text in batch:
@@ -75,7 +76,7 @@ def _fingerprint(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp)`` of every row. Null and wordless texts have fingerprint zero."""
-    return docs.select(F.col(id_col), _fingerprint(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col), fingerprint(F.col(text_col)).alias("fp"))
 
 
 class BKForest:
@@ -200,7 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component unless nothing else in it has an id. Repeated rows come out as often as they come in; an
     empty table gives an empty one; other columns are ignored.
     """
-    fps = materialize(docs.select(F.col(id_col).alias("id"), _fingerprint(F.col(text_col)).alias("fp")))
+    fps = materialize(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")))
     least = fps.groupBy("fp").agg(F.min("id").alias("first"))
     roots = fingerprint_roots(fps, shard)
     named = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))

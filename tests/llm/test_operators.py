@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridseek.llm import ann, chat, decontaminate, licenses, lines, packing, quality, secrets, simhash, substring
+from gridseek.llm import ann, chat, decontaminate, folds, licenses, lines, packing, quality, secrets, simhash, substring
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score int, shard string, id int, line int"
 
@@ -116,7 +116,7 @@ def test_lines_odd(spark, odd, empty):
     out = lines.drop_recurring_lines(odd).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", r["text"] is None) for r in out) == sorted((i is None, i or 0, t or "", t is None) for i, t in zip(ODD_IDS, ODD))
     assert lines.line_dedup(empty).count() == 0
-    assert {"score", "shard", "id", "line", "__lines", "__gone"} <= set(lines.drop_recurring_lines(odd).columns)
+    assert lines.drop_recurring_lines(odd).columns == odd.columns and lines.drop_recurring_lines(odd, counts=("had", "went")).columns == [*odd.columns, "had", "went"]
 
 
 def test_lines_copies_keep_one(spark):
@@ -274,6 +274,19 @@ def test_packing_rows(spark):
     _check_bins(out, {i: (len(t.split()), f"s{i % 5}", t) for i, t in enumerate(texts)}, 120)
 
 
+def test_packing_near_clusters_and_hot_labels(spark):
+    long = words(300, 8, 5000)
+    texts = [" ".join(long[:k] + ["changed"] + long[k + 1 :]) for k in range(0, 300, 10)] + [" ".join(words(20, i)) for i in range(30)] + ["", None]
+    df = docs(spark, texts).withColumn("source", F.when(F.col("doc_id") % 2 == 0, "hot"))
+    rows = packing.near_clusters(df)
+    fps, ids = [plain_fingerprint(t) for t in texts], list(range(len(texts)))
+    clusters = {r["id"]: r["cluster"] for r in rows.collect()}
+    want = plain_components(fps, ids)
+    assert all((clusters[i] == clusters[j]) == (want[i] == want[j]) for i in ids[:-2] for j in ids[:-2]) and clusters[60] is clusters[61] is None
+    out = [r.asDict() | {"doc_id": r["id"]} for r in packing.pack_rows(rows, 2048).collect()]
+    _check_bins(out, {i: (len((t or "").split()), "hot" if i % 2 == 0 else None, clusters[i]) for i, t in enumerate(texts)}, 2048)
+
+
 def test_packing_odd(spark, odd, empty):
     out = packing.pack_documents(odd, capacity=512).collect()
     assert len({(r["doc_id"], r["piece"], r["bin_id"]) for r in out}) == len(out) and sum(r["n_words"] for r in out) == sum(len((t or "").split()) for t in ODD)
@@ -336,6 +349,13 @@ def test_secrets_odd(spark, odd, empty):
     assert len(twice) == 2 and twice[0] == twice[1] and twice[0]["spans"].count(",") == 1
 
 
+def test_secrets_of_a_very_long_text(spark):
+    text = " ".join(f"{i:016x}" for i in range(20_000)) + " user=alice password=hunter22"
+    got = secrets.scan_secrets(docs(spark, [text])).first()
+    assert got["n_hex"] == 20_000 and got["base_sha256"] == hashlib.sha256(plain_secrets(text).encode()).hexdigest()
+    assert got["spans"].endswith(f"short:{len(text) - 17}:{len(text)}")
+
+
 # 6 decontamination
 
 
@@ -392,6 +412,23 @@ def test_longest_match(spark):
     assert [tuple(r) for r in got] == [(3, 5, 40, 0, 3)]
 
 
+def test_longest_match_of_a_document(spark):
+    w, v = words(60, 5, 10_000), words(50, 15, 10_000)
+    texts = ["p q " + " ".join(w[5:45]) + " s " + " ".join(v[:20]), " ".join(v[3:43] + w[:14]), "clean text", " ".join(w) + " " + " ".join(w)]
+    items = spark.createDataFrame([(3, " ".join(w)), (4, " ".join(v)), (5, " ".join(w[8:30]))], "item_id long, text string")
+    for block in (10, 10_000):
+        got = by_id(decontaminate.contamination(docs(spark, texts), items, block_words=block))
+        assert [tuple(got[i][c] for c in ("match_words", "match_place", "match_item", "match_item_place")) for i in range(4)] == [(40, 2, 3, 5), (40, 0, 4, 3), (0, None, None, None), (60, 0, 3, 0)]
+
+
+def test_long_copied_item_and_shared_windows(spark):
+    w = words(20_000, 16, 50_000)
+    items = spark.createDataFrame([(1, " ".join(w))] + [(i, "alpha beta") for i in range(10, 400)], "item_id long, text string")
+    texts = [" ".join(w), " ".join(["alpha beta gamma"] * 3000), " ".join(w[100:5000] + w[:4000])]
+    got = by_id(decontaminate.contamination(docs(spark, texts), items))
+    assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["match_words"]) for i in range(3)] == [(20_000, 1, 20_000), (6000, 390, 2), (8900, 1, 4900)]
+
+
 def test_suffix_array():
     t = np.random.default_rng(6).integers(0, 3, 200).astype(np.int32)
     got = decontaminate.suffix_array(t, 500)
@@ -565,6 +602,34 @@ def test_packed_values():
     assert np.array_equal(substring.unpack_bits(substring.pack_bits(bits), 77), bits)
 
 
+# columns with the names that operators use inside
+
+
+CLASHING = ("__id", "__mark", "__own", "__parts", "__null", "__lost", "__key", "__score", "__report", "__hits0", "__text", "id", "mark", "key", "own", "parts", "null", "lost", "score", "report", "hits", "lines", "gone", "line", "fp", "cluster", "shard", "n")
+
+
+def test_clashing_columns_pass(spark):
+    texts = [f"The owner of file {chr(97 + i)} may copy this line freely here\nBody {chr(97 + i)} of its own" for i in range(8)] + ["", None]
+    df = spark.createDataFrame([(i, t, "en", "s", 10, *[f"{c}-{i}" for c in CLASHING]) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "body c of its own"), (2, "body d")], "item_id long, text string")
+    same = lambda r: all(r[c] == f"{c}-{r['doc_id']}" for c in CLASHING)
+    for out in (quality.keep_quality(df, labels), lines.drop_recurring_lines(df), simhash.drop_near_duplicates(df), decontaminate.drop_contaminated(df, items)):
+        rows = out.collect()
+        assert out.columns == df.columns and rows and all(map(same, rows))
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(df, items).collect()} == {0, 1, 4, 5, 6, 7, 8, 9}
+    assert packing.pack_documents(df).count() == secrets.scan_secrets(df).count() == substring.substring_dedup(df).count() == len(texts)
+    assert licenses.scan_licenses(df, path_col="key").count() == chat.format_chats(df.selectExpr("doc_id conv_id", "n_chars turn", "lang role", "text", "key", "mark")).count() == len(texts)
+
+
+def test_quality_conflicting_labels_and_repeated_ids(spark):
+    texts = ["good words here", "bad words there"] * 10
+    df = docs(spark, texts + texts[:1] * 50, [*range(20), *[0] * 50])
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(20)] + [(0, 1, 0), (0, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    a, b = (by_id(quality.score_quality(x, y)) for x, y in ((df, labels), (df.repartition(7), labels.repartition(5))))
+    assert all(a[i]["score"] == b[i]["score"] for i in a)
+
+
 # 10 chats
 
 TURNS = [
@@ -576,12 +641,14 @@ TURNS = [
 
 def test_chats_round_trip(spark):
     df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumns({"turns": F.lit(1), "formatted": F.lit("x")})
-    talks = chat.format_chats(df).withColumn("read", chat.read_chats(F.col("formatted")))
+    talks = chat.format_chats(df)
+    talks = talks.withColumn("lost", chat.loss_texts(F.col("formatted"), F.col("mask"))).withColumn("read", chat.read_chats(F.col("formatted")))
     digests = by_id(chat.chat_digests(df), "conv_id")
     for r in talks.collect():
         turns = sorted(((t if t is not None else -1), role or "", text or "") for c, t, role, text in TURNS if c == r["conv_id"])
         assert [(x["role"], x["text"]) for x in r["read"]] == [t[1:] for t in turns]
         loss = "".join(t[2] for t in turns if t[1] == "assistant")
+        assert all("<|" not in t for t in r["lost"]) and [re.sub(r"<\\(\\*)\|", r"<\1|", t) for t in r["lost"]] == [t[2] for t in turns if t[1] == "assistant"]
         d = digests[r["conv_id"]]
         whole = "".join(f"{role}\n{text}\n" for _, role, text in turns)
         assert (d["n_turns"], d["turns_sha256"], d["loss_chars"], d["loss_sha256"], d["formatted_chars"]) == (
@@ -589,5 +656,23 @@ def test_chats_round_trip(spark):
         )
         runs = 1 + sum(a[1] != b[1] for a, b in zip(turns, turns[1:]))
         assert r["formatted"].count("<|im_start|>") == r["formatted"].count("<|im_end|>\n") == runs
-        assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
+        assert sum(m["n_chars"] for m in r["mask"]) == len(r["formatted"])
     assert chat.chat_digests(df.where("turn > 99")).count() == 0
+
+
+def test_chats_long(spark):
+    """One conversation of many turns, of which the marks of its mask are cut in linear time."""
+    n = 5000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("☃ <|t"), F.col("id").cast("string")).alias("text"))
+    loss = "".join(f"☃ <|t{i}" for i in range(n) if i % 3)
+    got = chat.chat_digests(turns).collect()
+    assert [(r["n_turns"], r["loss_chars"], r["loss_sha256"]) for r in got] == [(n, len(loss), hashlib.sha256(loss.encode()).hexdigest())]
+
+
+def test_folds(spark):
+    for n in (0, 1, 5, 128, 129, 1000):
+        sizes = [int(x) for x in np.random.default_rng(n).integers(0, 5, n)]
+        text = "".join(chr(0x1F600 + i % 70) if i % 7 == 0 else chr(97 + i % 26) for i in range(sum(sizes)))
+        r = spark.createDataFrame([(sizes, text)], "sizes array<long>, text string").select(folds.starts_of(F.col("sizes")).alias("at"), folds.cut(F.col("text"), F.col("sizes")).alias("parts")).first()
+        at = [sum(sizes[:i]) for i in range(n)]
+        assert r["at"] == at and r["parts"] == [text[a : a + s] for a, s in zip(at, sizes)]
