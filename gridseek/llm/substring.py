@@ -4,11 +4,12 @@ Windows of ``WINDOW`` words that also start earlier are removed. Every document'
 of ``BLOCK`` words are the index, and every rolling block of all documents probes it: a repeated window
 holds one whole index block of its earlier place, whatever the alignment. Anchors are blocks with a hit
 outside their own place. A hit is extended to both sides over the rolling blocks that recur as well, and of
-that stretch the windows are compared, by 128 bits of hash, and by (document, start). Removed windows that
+that stretch the windows are compared, by 96 bits of hash, and by (document, start). Removed windows that
 overlap add up to the maximal repeats.
 
-Tasks read the texts as they come and cut them into shards of ``SHARD_WORDS`` words, whatever their ids. Words
-are read once: a shard keeps word numbers and the hashes of its vocabulary. It sends its block hashes sorted,
+Tasks read the texts as they come and cut them into shards of ``SHARD_WORDS`` words, whatever their ids. Texts
+are read once: a shard is kept as word numbers and its vocabulary, from which the kept words are written in the
+end, so that texts are never shuffled. It sends its block hashes sorted,
 without local copies and delta-coded, one binary cell for each hash range, so that neither a hot passage nor a
 large group of copies makes a hot task, and gets back one bit for each hash it sent. Ranges are as many as the
 bytes of the texts ask for.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridseek.plans.durable import broadcast_if_small, materialize
+from gridseek.plans.durable import materialize
 
 WINDOW, BLOCK = 20, 10
 #: Multiplier of the rolling hash, and those of the mixing function (the finaliser of SplitMix64). Fixed values.
@@ -93,31 +94,34 @@ def _unsqueezed(cell: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-_BODY = (("ids", np.int64), ("marks", np.int64), ("sizes", np.int64), ("codes", np.uint32), ("vocabulary", np.uint64))
+_BODY = (("ids", np.int64), ("sizes", np.int64), ("codes", np.uint32))
 
 
 class _Shard:
     """Documents of one shard as word numbers, and the hashes of their rolling blocks."""
 
-    def __init__(self, ids: np.ndarray, marks: np.ndarray, sizes: np.ndarray, codes: np.ndarray, vocabulary: np.ndarray):
-        self.body = {"ids": ids, "marks": marks, "sizes": sizes, "codes": codes, "vocabulary": vocabulary}
-        self.ids, self.marks, self.sizes = ids, marks, sizes
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, words: list[bytes]):
+        self.ids, self.sizes, self.codes, self.words = ids, sizes, codes, words
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         self.blocks_of = np.maximum(sizes - BLOCK + 1, 0)
         self.begin = np.cumsum(self.blocks_of) - self.blocks_of
         self.offset = np.arange(self.blocks_of.sum()) - np.repeat(self.begin, self.blocks_of)
         places = np.repeat(np.cumsum(sizes) - sizes, self.blocks_of) + self.offset  # blocks don't run over two documents
-        self.raw = rolling(vocabulary[codes], BLOCK)[places] if len(places) else np.zeros(0, np.uint64)
+        self.raw = rolling(hashes[codes], BLOCK)[places] if len(places) else np.zeros(0, np.uint64)
 
     @classmethod
-    def of_texts(cls, ids: list[int], marks: list[int], texts: list[list[bytes]]) -> "_Shard":
+    def of_texts(cls, ids: list[int], texts: list[list[bytes]]) -> "_Shard":
         known: dict[bytes, int] = {}
         codes = np.array([known.setdefault(w, len(known)) for words in texts for w in words], dtype=np.uint32)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
-        return cls(np.array(ids, np.int64), np.array(marks, np.int64), np.array([len(w) for w in texts], np.int64), codes, hashes)
+        return cls(np.array(ids, np.int64), np.array([len(w) for w in texts], np.int64), codes, list(known))
 
     @classmethod
     def of_row(cls, row: pd.Series) -> "_Shard":
-        return cls(*(_unsqueezed(row[name], kind) for name, kind in _BODY))
+        words = zstandard.ZstdDecompressor().decompress(row["words"]).split(b" ")
+        return cls(*(_unsqueezed(row[name], kind) for name, kind in _BODY), words if words != [b""] else [])
+
+    def row(self) -> dict[str, bytes]:
+        return {name: _squeezed(getattr(self, name)) for name, _ in _BODY} | {"words": zstandard.ZstdCompressor(level=1).compress(b" ".join(self.words))}
 
     def blocks(self) -> tuple[np.ndarray, ...]:
         """Distinct block hashes in order, which of them recur here, which are index blocks; each place's number among them."""
@@ -140,10 +144,10 @@ class _Shard:
         return doc[at], self.offset[at]
 
     def window_hashes(self, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of each given window."""
+        """A 64-bit hash of each given window, and 32 bits more."""
         at = self.begin[doc] + start
         left, right = self.raw[at], self.raw[at + WINDOW - BLOCK]
-        return _mix(left * _power(_BASE, WINDOW - BLOCK) + right), _mix(left ^ _MIX_A) * _MIX_B + _mix(right)
+        return _mix(left * _power(_BASE, WINDOW - BLOCK) + right), ((_mix(left ^ _MIX_A) * _MIX_B + _mix(right)) >> np.uint64(32)).astype(np.uint32)
 
 
 def _cells(value: np.ndarray, bits: int, buckets: int) -> list[tuple[int, slice]]:
@@ -156,7 +160,7 @@ def _cells(value: np.ndarray, bits: int, buckets: int) -> list[tuple[int, slice]
 _ENCODED = T.StructType(
     [
         T.StructField("shard", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType()),
-        *(T.StructField(c, T.BinaryType()) for c in ("cell", "again", "index", *(name for name, _ in _BODY))),
+        *(T.StructField(c, T.BinaryType()) for c in ("cell", "again", "index", *(name for name, _ in _BODY), "words")),
     ]
 )
 
@@ -168,26 +172,25 @@ def _rows_of(shard: _Shard, number: int, buckets: int) -> pd.DataFrame:
         {"shard": number, "bucket": b, "n": s.stop - s.start, "cell": pack(value[s]), "again": pack_bits(again[s]), "index": pack_bits(index[s])}
         for b, s in _cells(value, BLOCK_BITS, buckets)
     ]
-    body = {"shard": number, "bucket": -1, "n": len(shard.ids)} | {name: _squeezed(shard.body[name]) for name, _ in _BODY}
+    body = {"shard": number, "bucket": -1, "n": len(shard.ids)} | shard.row()
     return pd.DataFrame([*cells, body], columns=_ENCODED.names)
 
 
 def _encode(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
     """Cut a task's texts into shards and read their words."""
     number = TaskContext.get().partitionId() << 32
-    ids, marks, texts, size = [], [], [], 0
+    ids, texts, size = [], [], 0
     for batch in batches:
-        for i, mark, text in zip(batch["key"], batch["mark"], batch["text"]):
-            ids.append(i)
-            marks.append(mark)
+        for key, text in zip(batch["key"], batch["text"]):
+            ids.append(key)
             texts.append(text.encode("utf-8", "surrogatepass").split() if text else [])
             size += len(texts[-1])
             if size >= SHARD_WORDS:
-                yield _rows_of(_Shard.of_texts(ids, marks, texts), number, buckets)
+                yield _rows_of(_Shard.of_texts(ids, texts), number, buckets)
                 number += 1
-                ids, marks, texts, size = [], [], [], 0
+                ids, texts, size = [], [], 0
     if ids:
-        yield _rows_of(_Shard.of_texts(ids, marks, texts), number, buckets)
+        yield _rows_of(_Shard.of_texts(ids, texts), number, buckets)
 
 
 def _match_blocks(rows: pd.DataFrame) -> pd.DataFrame:
@@ -252,7 +255,7 @@ def _match_windows(rows: pd.DataFrame) -> pd.DataFrame:
     """For each cell, which windows have an equal one at an earlier place in another shard."""
     n = rows["n"].to_numpy(dtype=np.int64)
     high = np.concatenate([unpack(c) for c in rows["cell"]])
-    low, ids, start = (np.concatenate([_unsqueezed(x, k) for x in rows[c]]) for c, k in (("low", np.uint64), ("ids", np.int64), ("start", np.uint32)))
+    low, ids, start = (np.concatenate([_unsqueezed(x, k) for x in rows[c]]) for c, k in (("low", np.uint32), ("ids", np.int64), ("start", np.uint32)))
     order = np.lexsort((start, ids, low, high))
     h, l, d, s = high[order], low[order], ids[order], start[order]
     new = np.ones(len(order), dtype=bool)
@@ -265,54 +268,39 @@ def _match_windows(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-_RANGES = "key long, mark long, starts array<int>, ends array<int>"
-
-
-def _removed(rows: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
-    """The word ranges that go, of the documents that lose some."""
-    blocks, later = masks[masks["recurs"].notna()], masks[masks["later"].notna()]
-    if not len(rows) or not len(blocks):
-        return pd.DataFrame([], columns=["key", "mark", "starts", "ends"])
-    shard, doc, start, order, first, group, _, _ = _candidates(rows, blocks)
+def _gone(shard: _Shard, candidates: tuple, later: pd.DataFrame) -> np.ndarray:
+    """Which words of a shard go."""
+    doc, start, order, first, group = candidates
     (elsewhere,) = _read_masks(later, ("later",))
     ids, at = shard.ids[doc[order]], start[order]
     lead = first[group] if len(order) else first
     gone = elsewhere[group] | (ids != ids[lead]) | (at != at[lead]) if len(order) else np.zeros(0, dtype=bool)
-    base = np.concatenate([[0], np.cumsum(shard.sizes + 1)])  # a gap after each document
-    edge = np.zeros(base[-1] + 1, dtype=np.int64)
-    place = base[doc[order[gone]]] + at[gone]
+    edge = np.zeros(len(shard.codes) + 1, dtype=np.int64)
+    place = (np.cumsum(shard.sizes) - shard.sizes)[doc[order[gone]]] + at[gone]
     np.add.at(edge, place, 1)
     np.add.at(edge, place + WINDOW, -1)
-    change = np.diff((np.cumsum(edge) > 0).astype(np.int8), prepend=np.int8(0))
-    begin, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
-    owner = np.searchsorted(base, begin, side="right") - 1
-    losers, cut = np.unique(owner, return_index=True)
-    parts = zip(np.split(begin - base[owner], cut[1:]), np.split(end - base[owner], cut[1:])) if len(losers) else ()
-    out = [(shard.ids[d], shard.marks[d], a.tolist(), b.tolist()) for d, (a, b) in zip(losers, parts)]
-    return pd.DataFrame(out, columns=["key", "mark", "starts", "ends"])
-
-
-_KEPT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType())])
-
-
-def _kept_udf(with_text: bool):
-    @F.pandas_udf(_KEPT)
-    def kept(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, first, last in zip(texts, starts, ends):
-            words = text.encode("utf-8", "surrogatepass").split() if text else []
-            left, at = words, 0
-            if first is not None:
-                left = []
-                for a, b in zip(first, last):
-                    left += words[at:a]
-                    at = b
-                left += words[at:]
-            body = b" ".join(left)
-            out.append((len(words), len(words) - len(left), hashlib.sha256(body).hexdigest(), body.decode("utf-8", "replace") if with_text else None))
-        return pd.DataFrame(out, columns=_KEPT.names)
-
-    return kept
+    return np.cumsum(edge)[:-1] > 0
+
+
+_KEPT = "key long, n_words long, n_removed long, kept_sha256 string, kept string"
+
+
+def _finish(rows: pd.DataFrame, masks: pd.DataFrame, with_text: bool) -> pd.DataFrame:
+    """What is left of every document of a shard."""
+    blocks, later = masks[masks["recurs"].notna()], masks[masks["later"].notna()]
+    if len(blocks):
+        shard, *candidates, _, _ = _candidates(rows, blocks)
+        gone = _gone(shard, tuple(candidates), later)
+    else:  # no document is as long as a block
+        shard = _Shard.of_row(rows.iloc[0])
+        gone = np.zeros(len(shard.codes), dtype=bool)
+    words = np.array([*shard.words, None], dtype=object)  # an array of bytes would drop zeros at their ends
+    out, begin = [], np.cumsum(shard.sizes) - shard.sizes
+    for key, at, n in zip(shard.ids.tolist(), begin.tolist(), shard.sizes.tolist()):
+        left = shard.codes[at : at + n][~gone[at : at + n]]
+        body = b" ".join(words[left].tolist())
+        out.append((key, n, n - len(left), hashlib.sha256(body).hexdigest(), body.decode("utf-8", "replace") if with_text else None))
+    return pd.DataFrame(out, columns=["key", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -323,11 +311,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all others. Rows that repeat an id and a text stand at the same place, so neither removes the other.
     An empty table gives none; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.withColumns({"key": F.coalesce("id", F.lit(_NULL_ID)), "mark": F.xxhash64(F.coalesce("text", F.lit("")))})
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("key"), F.col(text_col).alias("text"))
     buckets = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // range_bytes))
-    encoded = materialize(rows.drop("id").mapInPandas(partial(_encode, buckets=buckets), _ENCODED))
-    bodies = encoded.where("bucket < 0").select("shard", *(name for name, _ in _BODY)).groupBy("shard")
+    encoded = materialize(rows.mapInPandas(partial(_encode, buckets=buckets), _ENCODED))
+    bodies = encoded.where("bucket < 0").select("shard", *(name for name, _ in _BODY), "words").groupBy("shard")
     sent = encoded.where("bucket >= 0").select("bucket", "shard", "n", "cell", "again", "index")
     blocks = materialize(sent.groupBy("bucket").applyInPandas(_match_blocks, "shard long, bucket int, n long, recurs binary, anchor binary"))
     windows = bodies.cogroup(blocks.groupBy("shard")).applyInPandas(
@@ -335,9 +322,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     later = windows.groupBy("bucket").applyInPandas(_match_windows, "shard long, bucket int, n long, later binary")
     masks = blocks.unionByName(later, allowMissingColumns=True)
-    ranges = bodies.cogroup(masks.groupBy("shard")).applyInPandas(_removed, _RANGES).dropDuplicates(["key", "mark"])
-    ranges = materialize(ranges)
-    ranges = broadcast_if_small(ranges, held=ranges.agg(F.sum(F.size("starts") + 2)).first()[0] or 0)
-    told = rows.join(ranges, ["key", "mark"], "left").select("id", _kept_udf(with_text)("text", "starts", "ends").alias("told"))
+    left = bodies.cogroup(masks.groupBy("shard")).applyInPandas(partial(_finish, with_text=with_text), _KEPT)
     names = ["n_words", "n_removed", "kept_sha256", *["kept"] * with_text]
-    return told.select(F.col("id").alias(id_col), *(F.col(f"told.{n}").alias(n) for n in names))
+    return left.select(F.when(F.col("key") != _NULL_ID, F.col("key")).alias(id_col), *names)
