@@ -1,12 +1,14 @@
-"""Functions on small images inside tasks: tile statistics, optical effects and encoders.
+"""Functions on small images inside tasks: tile statistics, optical effects and encoders.
 
 Images travel as ``struct<height int, width int, data binary>``, rows of RGB bytes. Effects are numpy
 functions of one image and a few numbers; :func:`image_udf` turns one into a vectorised column function.
+Statistics take a stack of gray images of one size; :func:`statistic_udf` hands them a batch's images by size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,47 +38,62 @@ def encode_row(pixels: np.ndarray) -> dict:
 
 
 def luma(pixels: np.ndarray) -> np.ndarray:
-    return pixels[:, :, :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114])
+    """Brightness as whole numbers (M8)."""
+    return np.floor(pixels[..., :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114]) + 0.5)
 
 
-def _windowed(gray: np.ndarray) -> np.ndarray:
-    gray = gray - gray.mean()
-    return gray * np.hanning(gray.shape[0])[:, None] * np.hanning(gray.shape[1])[None, :]
+@lru_cache(maxsize=16)
+def _taper(shape: tuple[int, int]) -> np.ndarray:
+    """Hann window over both axes (M3)."""
+    return np.outer(*(np.hanning(n) for n in shape))
 
 
-def spectral_centroid(pixels: np.ndarray) -> float:
-    """Power-weighted mean radius of the centred spectrum, in bins; the mean itself doesn't count."""
-    power = np.abs(np.fft.fftshift(np.fft.fft2(_windowed(luma(pixels))))) ** 2
-    y, x = np.indices(power.shape)
-    radius = np.floor(np.hypot(y - power.shape[0] // 2, x - power.shape[1] // 2)).astype(int)
-    profile = np.bincount(radius.ravel(), power.ravel()) / np.maximum(np.bincount(radius.ravel()), 1)
-    profile = profile[: min(power.shape) // 2]
-    profile[:1] = 0
-    return float((np.arange(len(profile)) * profile).sum() / (profile.sum() + 1e-9))
+@lru_cache(maxsize=16)
+def _rings(shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Whole radius of each bin of an unshifted spectrum, and the bins of each radius."""
+    f = [np.fft.fftfreq(n, 1 / n) for n in shape]
+    radius = np.hypot(f[0][:, None], f[1][None, :]).astype(np.int64)
+    return radius.ravel(), np.bincount(radius.ravel())
 
 
-def autocorr_length(pixels: np.ndarray) -> float:
-    """Distance at which the middle row of the autocorrelation falls below half; its length if never, 0 if flat."""
-    power = np.abs(np.fft.fft2(_windowed(luma(pixels)))) ** 2
-    line = np.fft.ifft2(power).real[0, : power.shape[1] // 2]
-    if not len(line) or line[0] <= 0:
-        return 0.0
-    below = np.flatnonzero(line / line[0] < 0.5)
-    return float(below[0] if len(below) else len(line))
+def spectral_centroid(gray: np.ndarray) -> np.ndarray:
+    """Mean radius of the tapered images' spectra, weighted by the mean power of each radius but 0."""
+    n, shape = len(gray), gray.shape[1:]
+    flat = gray - gray.mean(axis=(1, 2), keepdims=True)
+    power = np.abs(np.fft.fft2(flat * _taper(shape))) ** 2
+    radius, bins = _rings(shape)
+    slot = radius[None, :] + np.arange(n)[:, None] * len(bins)
+    profile = np.bincount(slot.ravel(), power.ravel(), minlength=n * len(bins)).reshape(n, -1) / bins
+    profile[:, 0] = 0
+    return profile @ np.arange(len(bins)) / (profile.sum(axis=1) + 1e-9)
+
+
+def autocorr_length(gray: np.ndarray) -> np.ndarray:
+    """First lag along the rows at which the autocorrelation is below half; all lags if none, 0 if flat."""
+    flat = gray - gray.mean(axis=(1, 2), keepdims=True)
+    lags = np.fft.ifft2(np.abs(np.fft.fft2(flat)) ** 2).real
+    most = lags.max(axis=(1, 2))
+    line = lags[:, 0, : -(-gray.shape[2] // 2)] / np.where(most > 0, most, 1)[:, None]
+    below = line < 0.5
+    first = np.where(below.any(axis=1), below.argmax(axis=1), line.shape[1])
+    return np.where(most > 0, first, 0).astype(np.float64)
 
 
 def adjust_color(pixels: np.ndarray, saturation: float = 1.0, contrast: float = 1.0, brightness: float = 0.0) -> np.ndarray:
-    """Saturation about the value of a pixel, then contrast and brightness."""
+    """Saturation times a factor, value times contrast plus brightness, both cut to their range; the hue stays."""
     x = pixels.astype(np.float64)
     high = x.max(axis=2, keepdims=True)
-    return as_rgb(np.round((high - (high - x) * saturation) * contrast + brightness))
+    spread = high - x.min(axis=2, keepdims=True)
+    share = np.clip(spread / np.maximum(high, 1) * saturation, 0, 1)
+    value = np.floor(np.clip(high * contrast + brightness, 0, 255))
+    return as_rgb(np.round(value * (1 - share * (high - x) / np.maximum(spread, 1))))
 
 
 def add_noise(pixels: np.ndarray, sigma: float, seed: int = 0) -> np.ndarray:
-    """Gaussian noise; none for a sigma of 0 or less."""
+    """Gaussian noise, cut to whole numbers; none for a sigma of 0 or less."""
     if sigma <= 0:
         return pixels
-    return as_rgb(np.round(pixels + np.random.default_rng(seed).normal(0, sigma, pixels.shape)))
+    return as_rgb((pixels + np.random.default_rng(seed).normal(0, sigma, pixels.shape)))
 
 
 def quantize(pixels: np.ndarray, step: int = 8) -> np.ndarray:
@@ -89,29 +106,26 @@ def quantize(pixels: np.ndarray, step: int = 8) -> np.ndarray:
     return as_rgb(np.round(out))
 
 
-def _centred(shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, float, float]:
-    cy, cx = shape[0] / 2, shape[1] / 2
-    y, x = np.indices(shape[:2])
-    return y - cy, x - cx, cy, cx
-
+def field_mask(pixels: np.ndarray, fill: int = 255) -> np.ndarray:
+    """Everything outside the largest circle around the middle pixel is filled."""
+    h, w = pixels.shape[:2]
+    y, x = np.ogrid[:h, :w]
+    inside = (y - h // 2) ** 2 + (x - w // 2) ** 2 <= (min(h, w) // 2) ** 2
+    return np.where(inside[:, :, None], pixels, np.uint8(fill))
 
-def field_mask(pixels: np.ndarray, fill: int = 0) -> np.ndarray:
-    """Everything outside the largest centred circle is filled."""
-    y, x, cy, cx = _centred(pixels.shape)
-    return np.where((np.hypot(y, x) <= min(cy, cx))[:, :, None], pixels, np.uint8(fill))
 
-
-def vignette(pixels: np.ndarray, strength: float) -> np.ndarray:
-    """Gain that falls off from the centre."""
-    y, x, cy, cx = _centred(pixels.shape)
-    fall = np.exp(-(y * y + x * x) / (2 * (0.8 * min(cy, cx)) ** 2))
-    return as_rgb(np.round(pixels * (1 - strength + strength * fall)[:, :, None]))
+def vignette(pixels: np.ndarray, strength: float = 0.4) -> np.ndarray:
+    """Gain that falls off from the centre; values are cut to whole numbers."""
+    h, w = pixels.shape[:2]
+    y, x = np.ogrid[:h, :w]
+    fall = np.exp(-((y - h / 2) ** 2 + (x - w / 2) ** 2) / (2 * (0.8 * min(h / 2, w / 2)) ** 2))
+    return as_rgb(pixels * (1 - strength + strength * fall)[:, :, None])
 
 
 def stage_shift(pixels: np.ndarray, dy: int, dx: int) -> np.ndarray:
-    """A shift by whole pixels; the border is reflected."""
+    """A shift by whole pixels; the border is mirrored with its edge repeated."""
     n = max(abs(dy), abs(dx), 1)
-    padded = np.pad(pixels, ((n, n), (n, n), (0, 0)), mode="reflect")
+    padded = np.pad(pixels, ((n, n), (n, n), (0, 0)), mode="symmetric")
     return padded[n - dy : n - dy + pixels.shape[0], n - dx : n - dx + pixels.shape[1]]
 
 
@@ -123,15 +137,22 @@ def _sampled(pixels: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (pixels[y0, x0] * (1 - fx) + pixels[y0, x1] * fx) * (1 - fy) + (pixels[y1, x0] * (1 - fx) + pixels[y1, x1] * fx) * fy
 
 
-def distort(pixels: np.ndarray, k: float) -> np.ndarray:
-    """Radial distortion, bilinear."""
-    y, x, cy, cx = _centred(pixels.shape)
-    scale = 1 + k * ((y / cy) ** 2 + (x / cx) ** 2)
-    return as_rgb(np.round(_sampled(pixels, y * scale + cy, x * scale + cx)))
+def distort(pixels: np.ndarray, k1: float = 0.2, k2: float = 0.0) -> np.ndarray:
+    """Lens distortion, bilinear: a pixel is read at its place over ``1 + k1 r^2 + k2 r^4``.
+
+    Radii are in half widths and heights from the centre; a positive ``k1`` gives a barrel.
+    """
+    cy, cx = ((n - 1) / 2 for n in pixels.shape[:2])
+    y, x = np.indices(pixels.shape[:2])
+    v, u = (y - cy) / (cy + 1e-6), (x - cx) / (cx + 1e-6)
+    square = u * u + v * v
+    scale = 1 + k1 * square + k2 * square * square
+    scale = np.where(np.abs(scale) < 1e-6, 1e-6, scale)
+    return as_rgb(np.round(_sampled(pixels, v / scale * cy + cy, u / scale * cx + cx)))
 
 
 def defocus(pixels: np.ndarray, radius: int) -> np.ndarray:
-    """Mean over a disk; the border is reflected."""
+    """Mean over a disk; the border is mirrored at its edge."""
     if radius <= 0:
         return pixels
     padded = np.pad(pixels.astype(np.float64), ((radius, radius), (radius, radius), (0, 0)), mode="reflect")
@@ -148,18 +169,60 @@ def chromatic(pixels: np.ndarray, shift: int) -> np.ndarray:
 
 
 def resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear, pixel centres aligned."""
+    """Bilinear, pixel centres aligned."""
     y = (np.arange(height) + 0.5) * pixels.shape[0] / height - 0.5
     x = (np.arange(width) + 0.5) * pixels.shape[1] / width - 0.5
     return as_rgb(np.round(_sampled(pixels, *np.meshgrid(y, x, indexing="ij"))))
 
 
+def _cubic(x: np.ndarray) -> np.ndarray:
+    """Catmull-Rom."""
+    return np.where(x < 1, 1.5 * x**3 - 2.5 * x**2 + 1, np.where(x < 2, -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2, 0.0))
+
+
+def _lanczos(x: np.ndarray) -> np.ndarray:
+    return np.where(x < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+
+
+#: Kernels by name, with their reach in pixels.
+KERNELS = {"bicubic": (_cubic, 2), "lanczos": (_lanczos, 3)}
+
+
+def _weights(old: int, new: int, kernel: str) -> np.ndarray:
+    """Rows of weights of the old pixels for each new one; kernels widen with the step where an image shrinks."""
+    shape, reach = KERNELS[kernel]
+    wide = max(old / new, 1.0)
+    centre = (np.arange(new) + 0.5) * old / new
+    apart = np.abs(np.arange(old)[None, :] + 0.5 - centre[:, None]) / wide
+    held = np.where(apart < reach, shape(apart), 0.0)
+    return held / held.sum(axis=1, keepdims=True)
+
+
+def resample(pixels: np.ndarray, height: int, width: int, kernel: str = "lanczos") -> np.ndarray:
+    """Separable resampling by a kernel."""
+    rows, cols = _weights(pixels.shape[0], height, kernel), _weights(pixels.shape[1], width, kernel)
+    return as_rgb(np.round(np.einsum("ij,jkc,lk->ilc", rows, pixels.astype(np.float64), cols, optimize=True)))
+
+
+#: Means and deviations that encoders expect. Fixed values.
+MEANS, DEVIATIONS = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def preprocess(pixels: np.ndarray, size: int = 256, crop: int = 224) -> np.ndarray:
+    """An encoder's input: the shorter side resized, the centre cut out, values standardised (M9)."""
+    h, w = pixels.shape[:2]
+    scaled = resample(pixels, *((size, max(1, size * w // h)) if h <= w else (max(1, size * h // w), size)), "bicubic")
+    top, left = ((n - crop + 1) // 2 for n in scaled.shape[:2])
+    part = scaled[max(top, 0) : max(top, 0) + crop, max(left, 0) : max(left, 0) + crop]
+    return ((part / 255.0 - MEANS) / DEVIATIONS).astype(np.float32)
+
+
 def microscope_photo(pixels: np.ndarray, seed: int = 0) -> np.ndarray:
-    """All effects in their fixed order."""
-    x = adjust_color(pixels, 0.9, 1.05, 3)
-    x = quantize(add_noise(x, 2.0, seed))
-    x = stage_shift(vignette(x, 0.25), 1, -1)
-    return chromatic(defocus(distort(x, 0.02), 1), 1)
+    """All effects in their fixed order and usual strength."""
+    dy, dx = np.random.default_rng(seed).integers(-3, 4, 2).tolist()
+    x = quantize(add_noise(adjust_color(pixels), 4.0, seed))
+    x = stage_shift(vignette(x), dy, dx)
+    return chromatic(defocus(distort(x), 2), 2)
 
 
 def image_udf(effect: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column | str], Column]:
@@ -172,12 +235,16 @@ def image_udf(effect: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column |
     return run
 
 
-def statistic_udf(stat: Callable[[np.ndarray], float]) -> Callable[[Column | str], Column]:
-    """A column function for a number of each image."""
+def statistic_udf(stat: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column | str], Column]:
+    """A column function for a number of each image; ``stat`` gets stacks of gray images of one size."""
 
     @F.pandas_udf(T.DoubleType())
     def run(images: pd.DataFrame) -> pd.Series:
-        return pd.Series([float(stat(decode(r))) for r in images.to_dict("records")], dtype="float64")
+        out = np.zeros(len(images))
+        for (h, w), at in images.groupby(["height", "width"]).indices.items():
+            stack = np.stack([np.frombuffer(d, np.uint8) for d in images["data"].to_numpy()[at]])
+            out[at] = stat(luma(stack.reshape(len(at), int(h), int(w), 3)))
+        return pd.Series(out)
 
     return run
 

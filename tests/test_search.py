@@ -126,7 +126,7 @@ def test_effects_without_strength_change_nothing():
         assert np.array_equal(effect(PICTURE), PICTURE)
     moved = image.stage_shift(PICTURE, 2, 3)
     assert np.array_equal(moved[2:, 3:], PICTURE[:-2, :-3])
-    assert image.field_mask(PICTURE)[0, 0].sum() == 0 and np.array_equal(image.field_mask(PICTURE)[24, 32], PICTURE[24, 32])
+    assert image.field_mask(PICTURE)[0, 0].tolist() == [255] * 3 and np.array_equal(image.field_mask(PICTURE)[24, 32], PICTURE[24, 32])
     assert image.microscope_photo(PICTURE).shape == PICTURE.shape
     with pytest.raises(ValueError):
         image.as_rgb(np.zeros((2, 2, 7)))
@@ -135,12 +135,83 @@ def test_effects_without_strength_change_nothing():
 
 def test_statistics():
     y, x = np.indices((64, 64))
-    waves = [np.repeat((128 + 100 * np.sin(2 * np.pi * x / p))[:, :, None], 3, axis=2) for p in (32, 8, 4)]
-    centre = [image.spectral_centroid(w) for w in waves]
-    assert centre == sorted(centre) and abs(centre[1] - 8) < 1
-    length = [image.autocorr_length(w) for w in waves]
+    waves = np.stack([128 + 100 * np.sin(2 * np.pi * x / p) for p in (32, 8, 4)])
+    centre = image.spectral_centroid(waves)
+    assert centre.tolist() == sorted(centre) and abs(centre[1] - 8) < 1
+    length = image.autocorr_length(waves).tolist()
     assert length == sorted(length, reverse=True)
-    assert image.autocorr_length(np.zeros((16, 16, 3))) == 0.0
+    assert image.autocorr_length(np.zeros((1, 16, 16))).tolist() == [0.0]
+
+
+@pytest.mark.parametrize("h, w", [(16, 16), (17, 24), (24, 17), (15, 15)])
+def test_statistics_by_definition(h, w):
+    """Discrete Fourier sums and lag products written out."""
+    g = np.random.default_rng(h * w).integers(0, 256, (h, w)).astype(float)
+    flat = g - g.mean()
+    lag = [sum(flat[i, j] * flat[i, (j + d) % w] for i in range(h) for j in range(w)) for d in range((w + 1) // 2)]
+    below = [d for d, v in enumerate(lag) if v / lag[0] < 0.5]
+    assert image.autocorr_length(g[None]).tolist() == [below[0] if below else len(lag)]
+    taper = flat * np.array([[(0.5 - 0.5 * np.cos(2 * np.pi * i / (h - 1))) * (0.5 - 0.5 * np.cos(2 * np.pi * j / (w - 1))) for j in range(w)] for i in range(h)])
+    rows, cols = (np.exp(-2j * np.pi * np.outer(np.arange(n), np.arange(n)) / n) for n in (h, w))
+    power = np.abs(rows @ taper @ cols.T) ** 2
+    held = {}
+    for i in range(h):
+        for j in range(w):
+            r = int(np.hypot((i + h // 2) % h - h // 2, (j + w // 2) % w - w // 2))
+            held.setdefault(r, []).append(power[i, j])
+    mean = {r: np.mean(v) for r, v in held.items() if r}
+    want = sum(r * v for r, v in mean.items()) / (sum(mean.values()) + 1e-9)
+    assert np.isclose(image.spectral_centroid(g[None])[0], want)
+
+
+@pytest.mark.parametrize("h, w", [(9, 12), (12, 9), (7, 7)])
+def test_effects_by_definition(h, w):
+    p = np.random.default_rng(h * 100 + w).integers(0, 256, (h, w, 3), dtype=np.uint8)
+    mirror = lambda i, n: -i - 1 if i < 0 else 2 * n - 1 - i if i >= n else i
+    shifted = image.stage_shift(p, -2, 3)
+    split = image.chromatic(p, 2)
+    round_ = image.field_mask(p)
+    dark = image.vignette(p, 0.4)
+    bent = image.distort(p, 0.3, 0.1)
+    hued = image.adjust_color(p, 1.7, 0.8, 12)
+    for y in range(h):
+        for x in range(w):
+            assert shifted[y, x].tolist() == p[mirror(y + 2, h), mirror(x - 3, w)].tolist()
+            assert split[y, x].tolist() == [p[y, mirror(x - 2, w), 0], p[y, x, 1], p[y, mirror(x + 2, w), 2]]
+            assert round_[y, x].tolist() == (p[y, x].tolist() if (y - h // 2) ** 2 + (x - w // 2) ** 2 <= (min(h, w) // 2) ** 2 else [255] * 3)
+            gain = 0.6 + 0.4 * np.exp(-((y - h / 2) ** 2 + (x - w / 2) ** 2) / (2 * (0.8 * min(h, w) / 2) ** 2))
+            assert dark[y, x].tolist() == [int(c * gain) for c in p[y, x].tolist()]
+            cy, cx = (h - 1) / 2, (w - 1) / 2
+            v, u = (y - cy) / (cy + 1e-6), (x - cx) / (cx + 1e-6)
+            f = 1 + 0.3 * (u * u + v * v) + 0.1 * (u * u + v * v) ** 2
+            sy, sx = v / f * cy + cy, u / f * cx + cx
+            i, j = int(np.floor(sy)), int(np.floor(sx))
+            near = [(p[min(i + a, h - 1), min(j + b, w - 1)].astype(float), (1 - abs(a - sy + i)) * (1 - abs(b - sx + j))) for a in (0, 1) for b in (0, 1)]
+            assert np.abs(bent[y, x] - sum(c * k for c, k in near)).max() <= 0.5 + 1e-6
+            high, low = int(p[y, x].max()), int(p[y, x].min())
+            s, value = min((high - low) / max(high, 1) * 1.7, 1.0), int(min(high * 0.8 + 12, 255))
+            assert np.abs(hued[y, x] - [value * (1 - s * (high - c) / max(high - low, 1)) for c in p[y, x].tolist()]).max() <= 0.5 + 1e-6
+
+
+def test_defocus_by_definition():
+    p = np.random.default_rng(8).integers(0, 256, (9, 11, 3), dtype=np.uint8)
+    steps = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 4]
+    fold = lambda i, n: -i if i < 0 else 2 * n - 2 - i if i >= n else i
+    got = image.defocus(p, 2)
+    for y in range(9):
+        for x in range(11):
+            want = np.mean([p[fold(y + a, 9), fold(x + b, 11)].astype(float) for a, b in steps], axis=0)
+            assert np.abs(got[y, x] - want).max() <= 0.5 + 1e-6
+
+
+def test_resampling():
+    flat = np.full((37, 53, 3), 91, dtype=np.uint8)
+    for kernel in image.KERNELS:
+        assert (image.resample(flat, 20, 71, kernel) == 91).all() and np.array_equal(image.resample(PICTURE, 48, 64, kernel), PICTURE)
+    ramp = np.repeat(np.arange(64, dtype=np.uint8)[None, :, None], 8, axis=0).repeat(3, axis=2) * 3
+    assert np.abs(image.resample(ramp, 8, 32)[4, 4:28, 0] - (np.arange(4, 28) * 6 + 1.5)).max() <= 1
+    made = image.preprocess(np.full((300, 500, 3), 255, dtype=np.uint8))
+    assert made.shape == (224, 224, 3) and np.allclose(made[0, 0], [(1 - m) / d for m, d in zip(image.MEANS, image.DEVIATIONS)])
 
 
 def _images(spark, arrays):
