@@ -23,7 +23,7 @@ def tile_counts(width: Column, height: Column, tile: Column) -> tuple[Column, Co
     return _int(F.floor(height / tile)), _int(F.floor(width / tile))
 
 
-def has_overlap(rows: Column, cols: Column, overlap: bool = True) -> Column:
+def has_overlap(rows: Column, cols: Column, overlap: bool | Column = True) -> Column:
     return F.lit(overlap) & (rows >= 2) & (cols >= 2)
 
 
@@ -88,7 +88,7 @@ def level0(value: Column, ds: Column) -> Column:
     return (value * ds).cast("int")
 
 
-def patches(grids: DataFrame, overlap: bool = True) -> DataFrame:
+def patches(grids: DataFrame, overlap: bool | Column = True) -> DataFrame:
     """All tiles of grids ``(width, height, tile[, x_off, y_off, ds, level, ...])``.
 
     Adds ``kind, row, col, y, x, size_px, flat_idx, u_row, u_col``; grids smaller than a tile give none.
@@ -164,6 +164,56 @@ def crop_window(
     }
 
 
+def crop(
+    grids: DataFrame, top: Column, left: Column, bottom: Column | None = None, right: Column | None = None, height: Column | None = None,
+    width: Column | None = None, unit: str = "grid", pad: Column | int = 0, pad_unit: str | None = None,
+) -> DataFrame:
+    """Crops of grids ``(width, height, tile[, x_off, y_off, ...])`` as new grids of whole tiles (X11).
+
+    Corners are rows and columns, or with ``unit="pixel"`` the level's global pixels; either the far corner or a
+    size is given. A padding in pixels is rounded up to tiles; crops are kept inside the grid. Adds ``r0, c0,
+    r1, c1``, the old grid's place ``old_rows, old_cols, layered``, and changes ``width, height, x_off, y_off``. Reading a crop without a tile is an error.
+    """
+    if (bottom is None) == (height is None) or (right is None) == (width is None):
+        raise ValueError("give either the far corner or the size")
+    pad_unit = pad_unit or unit
+    if unit not in ("grid", "pixel") or pad_unit not in ("grid", "pixel"):
+        raise ValueError(f"no unit {unit!r}, {pad_unit!r}")
+    bottom, right = (top + height, left + width) if bottom is None else (bottom, right)
+    given = grids
+    for name in ("x_off", "y_off"):
+        given = given if name in grids.columns else given.withColumn(name, F.lit(0))
+    pad = pad if isinstance(pad, Column) else F.lit(pad)
+    if unit == "pixel":
+        top, left = (pixel_to_grid(v, F.col(o), F.col("tile")) for v, o in ((top, "y_off"), (left, "x_off")))
+        bottom, right = (pixel_to_grid(v, F.col(o), F.col("tile"), True) for v, o in ((bottom, "y_off"), (right, "x_off")))
+    pad = F.ceil(pad / F.col("tile")) if pad_unit == "pixel" else pad
+    rows, cols = tile_counts(F.col("width"), F.col("height"), F.col("tile"))
+    told = given.withColumns({"old_rows": rows, "old_cols": cols, "layered": has_overlap(rows, cols)} | crop_window(top, left, bottom, right, pad, rows, cols))
+    empty = (F.col("r0") >= F.col("r1")) | (F.col("c0") >= F.col("c1"))
+    whole = lambda c: F.when(empty, F.raise_error(F.lit("the crop is empty"))).otherwise(_int(c))
+    return told.withColumns(
+        {
+            "height": whole((F.col("r1") - F.col("r0")) * F.col("tile")), "width": whole((F.col("c1") - F.col("c0")) * F.col("tile")),
+            "y_off": _int(F.col("y_off") + F.col("r0") * F.col("tile")), "x_off": _int(F.col("x_off") + F.col("c0") * F.col("tile")),
+        }
+    )
+
+
+def cropped_patches(crops: DataFrame) -> DataFrame:
+    """The tiles of :func:`crop`, of both layers if the old grid has them, and ``old_flat``, their number in the old grid."""
+    tiles = patches(crops, F.col("layered"))
+    row, col = F.col("row") + F.col("r0"), F.col("col") + F.col("c0")
+    main = flat_of_main(row, col, F.col("old_rows"), F.col("old_cols"), F.col("layered"))
+    return tiles.withColumn("old_flat", F.when(F.col("kind") == MAIN, main).otherwise(flat_of_overlap(row, col, F.col("old_cols"))))
+
+
+def layer_features(grid: DataFrame, features: DataFrame, kind: str, keys: tuple[str, ...] = ("map_id", "flat_idx")) -> DataFrame:
+    """``(map_id, row, col, feat)`` of one layer of a grid."""
+    one = grid.where(F.col("kind") == kind)
+    return one.join(features, list(keys)).select(*[k for k in keys if k != "flat_idx"], "row", "col", "feat")
+
+
 def search_window(local: Column, extent: Column, tile: Column, pad: Column, limit: Column) -> tuple[Column, Column]:
     """Start and end of a crop around a match: whole tiles of the query, padded by tiles, inside the region."""
     whole = F.ceil(extent / tile) * tile

@@ -10,9 +10,7 @@ from gridseek.operators.vectors import top_k
 
 def label_votes(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
     """``(query_id, label)``: the exact median label of the ``k`` most similar bank rows ``(ref_id, feat, label)``."""
-    near = top_k(queries, bank, k)
-    labels = bank.select("ref_id", F.col("label").cast("double").alias("label"))
-    return near.join(labels, "ref_id").groupBy("query_id").agg(F.median("label").alias("label"))
+    return top_k(queries, bank, k, carry="label").groupBy("query_id").agg(F.median("label").alias("label"))
 
 
 def label_estimate(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:

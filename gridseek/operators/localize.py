@@ -9,21 +9,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridseek.functions.keypoints import extract
 from gridseek.operators.vectors import top_k
 
 RATIO, THRESHOLD, LEAST_MATCHES = 0.75, 5.0, 4
 
 
 def ratio_matches(queries: DataFrame, bank: DataFrame, ratio: float = RATIO, digits: int = 9) -> DataFrame:
-    """``(query_id, ref_id, d1, d2)``: nearest descriptor by distance, if it is well below the second.
+    """``(query_id, ref_id, d1, d2)``: nearest descriptor by Euclidean distance, if it is well below the second.
 
-    Descriptors of unit length, so that the two nearest are the two most similar: d^2 = 2 - 2 sim. A bank
-    of one descriptor gives no match.
+    Descriptors may have any length. A bank of one descriptor gives no match.
     """
-    near = top_k(queries, bank, 2, digits=digits)
-    dist = F.round(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("sim"))), digits)
+    near = top_k(queries, bank, 2, digits=digits, metric="l2")
     order = Window.partitionBy("query_id").orderBy("rank")
-    both = near.withColumn("d1", dist).withColumn("d2", F.lead("d1").over(order)).where("rank = 1")
+    both = near.withColumn("d1", -F.col("sim")).withColumn("d2", F.lead("d1").over(order)).where("rank = 1")
     return both.where(F.col("d1") < ratio * F.col("d2")).select("query_id", "ref_id", "d1", "d2")
 
 
@@ -68,6 +67,45 @@ def _apart(h: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(d), d, np.inf)
 
 
+_PAIR = "group_id long, qx double, qy double, cx double, cy double"
+
+
+def _matched(asked: pd.DataFrame, held: pd.DataFrame, ratio: float) -> pd.DataFrame:
+    if not len(asked) or len(held) < 2:
+        return pd.DataFrame([], columns=["group_id", "qx", "qy", "cx", "cy"])
+    x, out = np.stack(held["desc"].to_numpy()).astype(np.float64), []
+    square = np.einsum("ij,ij->i", x, x)
+    for at in range(0, len(asked), 512):
+        part = asked.iloc[at : at + 512]
+        q = np.stack(part["desc"].to_numpy()).astype(np.float64)
+        near = np.argsort(square - 2 * q @ x.T, axis=1, kind="stable")[:, :2]
+        d1, d2 = (np.sqrt(((q - x[near[:, i]]) ** 2).sum(axis=1)) for i in (0, 1))
+        good = d1 < ratio * d2
+        found = held.iloc[near[good, 0]]
+        out.append(pd.DataFrame({"group_id": part["group_id"].to_numpy()[good], "qx": part["x"].to_numpy()[good], "qy": part["y"].to_numpy()[good], "cx": found["x"].to_numpy(), "cy": found["y"].to_numpy()}))
+    return pd.concat(out)
+
+
+def matched_keypoints(queries: DataFrame, crops: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """``(group_id, qx, qy, cx, cy)``: keypoints of each query matched with those of its own crop by the ratio rule.
+
+    Both sides are ``(group_id, x, y, desc)``. The keypoints of one query and its crop are one task's work, as a crop is
+    a few tiles; banks of any size go through :func:`ratio_matches`.
+    """
+    one = lambda df: df.select("group_id", "x", "y", "desc").groupBy("group_id")
+    return one(queries).cogroup(one(crops)).applyInPandas(partial(_matched, ratio=ratio), _PAIR)
+
+
+def refine(queries: DataFrame, crops: DataFrame, found: DataFrame, make, least: int = 10, trials: int = 500) -> DataFrame:
+    """``(group_id, x, y, refined)`` from images: keypoints, matches, transforms and the place they give.
+
+    ``queries`` and ``crops`` are ``(group_id, image)``, ``found`` as in :func:`localized`; ``make`` builds the extractor,
+    see :func:`gridseek.functions.keypoints.extract`.
+    """
+    pairs = matched_keypoints(extract(queries, make), extract(crops, make))
+    return localized(ransac(pairs, least=least, trials=trials), found)
+
+
 _FIT = "group_id long, success boolean, h array<double>, inliers long, matches long"
 
 

@@ -1,4 +1,6 @@
-"""Bounding-box algebra (F5, F6, J8, J9, A11, X1, X2). Boxes are ``(index, x, y, w, h)``.
+"""Bounding-box algebra (F5, F6, J8, J9, A11, X1, X2). Boxes are ``([slide,] index, x, y, w, h)``.
+
+``slide`` names a column that tells the boxes of several slides apart, of whole numbers below 2^31.
 
 Overlaps and containments are found by cells of a pyramid: a box is listed in the cells of its own size
 (four at most) and asks for others in the cells of its own and all larger sizes, so that neither a large
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseek.operators.components import connected_components
+from gridseek.plans.durable import unused
 
 
 def _cells(at: str, side: str) -> Column:
@@ -20,67 +23,79 @@ def _cells(at: str, side: str) -> Column:
     return F.explode(F.sequence(F.floor(F.col(at) / size), F.floor(last / size)))
 
 
-def touching(boxes: DataFrame) -> DataFrame:
-    """Pairs ``a.index < b.index`` of boxes that share pixels, as ``(a, b)`` structs."""
+def _keys(slide: str | None) -> list[str]:
+    return [slide] if slide else []
+
+
+def touching(boxes: DataFrame, slide: str | None = None) -> DataFrame:
+    """Pairs ``a.index < b.index`` of boxes of a slide that share pixels, as ``([slide,] a, b)`` with structs."""
+    by = _keys(slide)
     own = F.ceil(F.log2(F.greatest("w", "h", F.lit(1)).cast("double"))).cast("int")
-    sized = boxes.select("x", "y", "w", "h", F.struct("index", "x", "y", "w", "h").alias("box"), own.alias("own"))
+    sized = boxes.select(*by, "x", "y", "w", "h", F.struct("index", "x", "y", "w", "h").alias("box"), own.alias("own"))
     cells = lambda df: df.withColumn("cx", _cells("x", "w")).withColumn("cy", _cells("y", "h"))
-    held = cells(sized.withColumn("level", F.col("own"))).select("level", "cx", "cy", F.col("box").alias("b"))
+    held = cells(sized.withColumn("level", F.col("own"))).select(*by, "level", "cx", "cy", F.col("box").alias("b"))
     top = F.broadcast(sized.agg(F.max("own").alias("top")))  # one row
     asks = cells(sized.join(top, F.lit(True)).withColumn("level", F.explode(F.sequence(F.col("own"), F.col("top")))))
-    asks = asks.select("level", "cx", "cy", "own", F.col("box").alias("a"))
-    pairs = asks.join(held, ["level", "cx", "cy"]).where("own < level OR (own = level AND a.index < b.index)")
+    asks = asks.select(*by, "level", "cx", "cy", "own", F.col("box").alias("a"))
+    pairs = asks.join(held, [*by, "level", "cx", "cy"]).where("own < level OR (own = level AND a.index < b.index)")
     pairs = pairs.where("a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")
     size = F.pow(F.lit(2.0), F.col("level"))
     first = [F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / size) for c in ("x", "y")]
     pairs = pairs.where((F.col("cx") == first[0]) & (F.col("cy") == first[1]))
     turned = F.col("a.index") > F.col("b.index")
-    return pairs.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
+    return pairs.select(*by, F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
 
 
 _A_IN_B = "a.x >= b.x AND a.y >= b.y AND a.x + a.w <= b.x + b.w AND a.y + a.h <= b.y + b.h"
 _B_IN_A = "b.x >= a.x AND b.y >= a.y AND b.x + b.w <= a.x + a.w AND b.y + b.h <= a.y + a.h"
 
 
-def large_enough(boxes: DataFrame, min_ratio: float) -> DataFrame:
-    """Boxes of at least ``min_ratio`` of the largest area."""
-    most = boxes.agg(F.max(F.col("w") * F.col("h")).alias("__most"))
-    return boxes.join(F.broadcast(most), F.lit(True)).where(F.col("w") * F.col("h") >= F.col("__most") * min_ratio).drop("__most")
+def large_enough(boxes: DataFrame, min_ratio: float, slide: str | None = None) -> DataFrame:
+    """Boxes of at least ``min_ratio`` of the largest area of their slide."""
+    (name,) = unused(boxes.columns, "most")
+    most = boxes.groupBy(*_keys(slide)).agg(F.max(F.col("w") * F.col("h")).alias(name))
+    both = boxes.join(most, slide) if slide else boxes.join(F.broadcast(most), F.lit(True))
+    return both.where(F.col("w") * F.col("h") >= F.col(name) * min_ratio).select(*boxes.columns)
 
 
-def not_contained(boxes: DataFrame) -> DataFrame:
+def not_contained(boxes: DataFrame, slide: str | None = None) -> DataFrame:
     """Boxes that lie in no other box; equal boxes contain each other and both go."""
-    pairs = touching(boxes)
-    inner = pairs.where(_A_IN_B).select("a.index").union(pairs.where(_B_IN_A).select("b.index"))
-    return boxes.join(inner.distinct(), "index", "left_anti")
+    pairs, by = touching(boxes, slide), _keys(slide)
+    inner = pairs.where(_A_IN_B).select(*by, "a.index").union(pairs.where(_B_IN_A).select(*by, "b.index"))
+    return boxes.join(inner.distinct(), [*by, "index"], "left_anti")
 
 
-def filter_regions(boxes: DataFrame, min_ratio: float) -> DataFrame:
+def filter_regions(boxes: DataFrame, min_ratio: float, slide: str | None = None) -> DataFrame:
     """Large boxes that lie in no other large box."""
-    return not_contained(large_enough(boxes, min_ratio))
+    return not_contained(large_enough(boxes, min_ratio, slide), slide)
 
 
-def patchable(boxes: DataFrame, tile: int, ds: float) -> DataFrame:
+def patchable(boxes: DataFrame, tile: int, ds: float | Column) -> DataFrame:
     """Boxes that hold a tile of a level."""
     return boxes.where((F.col("w") >= tile * ds) & (F.col("h") >= tile * ds))
 
 
-def partial_overlaps(boxes: DataFrame) -> DataFrame:
-    """``(a, b)`` indexes, a < b, of boxes that overlap without one containing the other."""
-    kept = touching(boxes).where(f"NOT ({_A_IN_B}) AND NOT ({_B_IN_A})")
-    return kept.select(F.col("a.index").alias("a"), F.col("b.index").alias("b"))
+def partial_overlaps(boxes: DataFrame, slide: str | None = None) -> DataFrame:
+    """``([slide,] a, b)`` indexes, a < b, of boxes that overlap without one containing the other."""
+    kept = touching(boxes, slide).where(f"NOT ({_A_IN_B}) AND NOT ({_B_IN_A})")
+    return kept.select(*_keys(slide), F.col("a.index").alias("a"), F.col("b.index").alias("b"))
 
 
-def merge_overlapping(boxes: DataFrame) -> DataFrame:
-    """Boxes tied by partial overlaps become their common box, numbered by their least index."""
-    roots = connected_components(partial_overlaps(boxes), "a", "b")
-    named = boxes.join(roots, boxes["index"] == roots["node"], "left").withColumn("root", F.coalesce("component", "index"))
-    merged = named.groupBy("root").agg(
+def merge_overlapping(boxes: DataFrame, slide: str | None = None) -> DataFrame:
+    """Boxes tied by partial overlaps become their common box, numbered by their least index.
+
+    With a slide each one's boxes are numbered from 0, in one window a slide. Without one the boxes are those
+    of a single slide, and the window holds one row for each merged box of it.
+    """
+    by = _keys(slide)
+    node = lambda c: (F.col(slide).cast("long") * (1 << 32) if slide else F.lit(0)) + F.col(c).cast("long")
+    roots = connected_components(partial_overlaps(boxes, slide).select(node("a").alias("src"), node("b").alias("dst")))
+    named = boxes.withColumn("node", node("index")).join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    merged = named.groupBy(*by, "root").agg(
         F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"), F.count(F.lit(1)).alias("n")
     )
-    # regions of one slide, renumbered in order; the window holds one row for each merged box
-    number = (F.row_number().over(Window.orderBy("root")) - 1).cast("int")
-    return merged.select(number.alias("index"), "x", "y", (F.col("x1") - F.col("x")).alias("w"), (F.col("y1") - F.col("y")).alias("h"), "n")
+    number = (F.row_number().over(Window.partitionBy(*by).orderBy("root")) - 1).cast("int")
+    return merged.select(*by, number.alias("index"), "x", "y", (F.col("x1") - F.col("x")).alias("w"), (F.col("y1") - F.col("y")).alias("h"), "n")
 
 
 class RegionHistory:
@@ -111,6 +126,6 @@ class RegionHistory:
         return self.now
 
 
-def regions_for_level(boxes: DataFrame, tile: int, ds: float, min_ratio: float = 0.01) -> DataFrame:
+def regions_for_level(boxes: DataFrame, tile: int, ds: float | Column, min_ratio: float = 0.01, slide: str | None = None) -> DataFrame:
     """Boxes of a level for sampling: filtered, merged, patchable; nothing has to be restored."""
-    return patchable(merge_overlapping(filter_regions(boxes, min_ratio)), tile, ds)
+    return patchable(merge_overlapping(filter_regions(boxes, min_ratio, slide), slide), tile, ds)

@@ -1,51 +1,105 @@
 """Sliding-window similarity over feature grids.
 
-A feature grid is ``(region_index, kind, row, col, feat)``, a query kernel ``(q_row, q_col, feat)``. The
-kernel is laid over every window by an equi-join on the offset: each cell meets each kernel cell once and
-votes for the window that starts at ``(row - q_row, col - q_col)``; votes are pre-aggregated before the
-one shuffle.
+A feature grid is ``(region_index, kind, row, col, feat)``, a query kernel ``(q_row, q_col, feat)``. A kernel is
+laid over every window by one matrix product for each batch of grid cells: a cell votes for the window that
+starts at ``(row - q_row, col - q_col)``; votes are summed in the batch before the one shuffle. Keys of slides
+(columns of the grid) and of queries (columns of the kernel) run through all operators, so that many slides
+and many kernels are one job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
+from functools import partial
 
-from gridseek.operators.vectors import dot
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Cells up to which a kernel may be broadcast (an image of a few million pixels has some hundred tiles).
-KERNEL_CELLS = 20_000
+#: Bytes of kernel vectors that are sent to the tasks at once; larger kernels go in several parts.
+KERNEL_BYTES = 64 << 20
 _NONE = float("-inf")
 
 
-def window_similarity(grid: DataFrame, kernel: DataFrame) -> DataFrame:
-    """``(region_index, kind, out_r, out_c, score)``: mean inner product over every whole window."""
-    cells = kernel.count()
-    if cells > KERNEL_CELLS:
-        raise ValueError(f"a kernel of {cells} cells is not a query; cut it into several")
-    k = F.broadcast(kernel.select("q_row", "q_col", F.col("feat").alias("q_feat")))
-    pairs = grid.join(k, (F.col("row") >= F.col("q_row")) & (F.col("col") >= F.col("q_col")))
-    votes = pairs.select(
-        "region_index", "kind", (F.col("row") - F.col("q_row")).alias("out_r"), (F.col("col") - F.col("q_col")).alias("out_c"), dot("feat", "q_feat").alias("sim")
-    )
-    whole = votes.groupBy("region_index", "kind", "out_r", "out_c").agg(F.avg("sim").alias("score"), F.count(F.lit(1)).alias("n"))
-    return whole.where(F.col("n") == cells).drop("n")
-
-
-def best_per_region(scores: DataFrame, digits: int = 9) -> DataFrame:
+def _votes(batches: Iterator[pd.DataFrame], shared, keys: list[str], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Sums and numbers of the votes of a batch's cells for windows; ``query`` numbers the kernels."""
+    vectors, q_row, q_col, query = shared.value
+    for batch in batches:
+        if not len(batch):
+            continue
+        x = np.stack(batch["feat"].to_numpy()).astype(np.float64)
+        place = batch.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+        row, col = batch["row"].to_numpy(dtype=np.int64), batch["col"].to_numpy(dtype=np.int64)
+        first = batch[keys].iloc[np.unique(place, return_index=True)[1]]
+        for at in range(0, len(x), 1024):
+            sims = x[at : at + 1024] @ vectors.T
+            r, c = row[at : at + 1024, None] - q_row, col[at : at + 1024, None] - q_col
+            i, j = np.nonzero((r >= 0) & (c >= 0))
+            votes = np.stack([place[at + i], query[j], r[i, j], c[i, j]])
+            windows, back = np.unique(votes, axis=1, return_inverse=True)
+            back = back.ravel()
+            out = first.iloc[windows[0]].reset_index(drop=True)
+            out["query"], out["out_r"], out["out_c"] = windows[1:]
+            out["total"], out["n"] = np.bincount(back, weights=sims[i, j], minlength=windows.shape[1]), np.bincount(back, minlength=windows.shape[1])
+            yield out[names]
+
+
+def window_similarity(grid: DataFrame, kernel: DataFrame, slide: tuple[str, ...] = (), query: tuple[str, ...] = ()) -> DataFrame:
+    """``([slide, query,] region_index, kind, out_r, out_c, score)``: mean inner product over every whole window.
+
+    ``slide`` names key columns of the grid, ``query`` of the kernels. Kernels are query images: their vectors are
+    sent to all tasks, ``KERNEL_BYTES`` at a time, and every part is one more pass over the grid.
+    """
+    spark = grid.sparkSession
+    numbers = {tuple(r): i for i, r in enumerate(kernel.select(*query).distinct().collect())} if query else {(): 0}
+    keys = [*slide, "region_index", "kind"]
+    fields = [grid.schema[k] for k in keys] + [T.StructField(n, T.LongType()) for n in ("query", "out_r", "out_c")]
+    schema = T.StructType([*fields, T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
+    cells = kernel.select(*query, "q_row", "q_col", "feat")
+    votes, sizes, held, size = None, {i: 0 for i in numbers.values()}, [], 0
+
+    def part(rows: list) -> DataFrame:
+        flat = (np.stack([r["feat"] for r in rows]).astype(np.float64), *(np.array([f(r) for r in rows], dtype=np.int64) for f in (lambda r: r["q_row"], lambda r: r["q_col"], lambda r: numbers[tuple(r[q] for q in query)])))
+        return grid.select(*keys, "row", "col", "feat").mapInPandas(partial(_votes, shared=spark.sparkContext.broadcast(flat), keys=keys, names=schema.names), schema)
+
+    for row in cells.toLocalIterator():
+        sizes[numbers[tuple(row[q] for q in query)]] += 1
+        held.append(row)
+        size += 8 * len(row["feat"])
+        if size >= KERNEL_BYTES:
+            votes = part(held) if votes is None else votes.union(part(held))
+            held, size = [], 0
+    if held or votes is None:
+        votes = (part(held) if held else spark.createDataFrame([], schema)) if votes is None else votes.union(part(held))
+    whole = votes.groupBy(*keys, "query", "out_r", "out_c").agg((F.sum("total") / F.sum("n")).alias("score"), F.sum("n").alias("n"))
+    if not sizes:
+        sizes[0] = 0
+    named = [(i, n, *values) for values, i in numbers.items() for n in (sizes[i],)]
+    told = T.StructType([T.StructField("query", T.LongType()), T.StructField("cells", T.LongType()), *(kernel.schema[q] for q in query)])
+    whole = whole.join(F.broadcast(spark.createDataFrame(named, told)), "query").where(F.col("n") == F.col("cells"))  # a row for each kernel
+    place = [F.col(c).cast("int").alias(c) for c in ("out_r", "out_c")]
+    return whole.select(*slide, *query, "region_index", "kind", *place, "score")
+
+
+def best_per_region(scores: DataFrame, digits: int = 9, keys: tuple[str, ...] = ()) -> DataFrame:
     """The best window of every region and kind; of equal scores the first in row order (A2)."""
     best = F.max_by(F.struct("out_r", "out_c"), F.struct(F.round("score", digits).alias("s"), (-F.col("out_r")).alias("r"), (-F.col("out_c")).alias("c")))
-    return scores.groupBy("region_index", "kind").agg(best.alias("b"), F.max(F.round("score", digits)).alias("score")).select(
-        "region_index", "kind", "b.out_r", "b.out_c", "score"
-    )
+    found = scores.groupBy(*keys, "region_index", "kind").agg(best.alias("b"), F.max(F.round("score", digits)).alias("score"))
+    return found.select(*keys, "region_index", "kind", "b.out_r", "b.out_c", "score")
+
 
+def best_of_kind(per_region: DataFrame, kind: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The best region's window of a kind, the earliest region at equal scores; zeros and -inf if none (A3).
 
-def best_of_kind(per_region: DataFrame, kind: str) -> DataFrame:
-    """One row: the best region's window of a kind, the earliest region at equal scores; zeros and -inf if none (A3)."""
-    best = F.max_by(F.struct("region_index", "out_r", "out_c", "score"), F.struct("score", (-F.col("region_index")).alias("i")))
-    row = per_region.where(F.col("kind") == kind).agg(best.alias("b"))
+    Without keys one row; with keys one for each that occurs in ``per_region``.
+    """
+    of_kind = F.when(F.col("kind") == kind, F.struct("score", (-F.col("region_index")).alias("i")))
+    row = per_region.groupBy(*keys).agg(F.max_by(F.struct("region_index", "out_r", "out_c", "score"), of_kind).alias("b"))
     zero = F.lit(0)
     return row.select(
+        *keys,
         F.coalesce("b.region_index", zero).alias("region_index"),
         F.coalesce("b.out_r", zero).alias("out_r"),
         F.coalesce("b.out_c", zero).alias("out_c"),
@@ -59,23 +113,28 @@ def place(start: Column, cell: Column, kind: Column, tile: Column | int, ds: Col
     return (start / ds).cast("int") + cell * tile + F.when(kind == "overlap", F.floor(tile / 2).cast("int")).otherwise(0)
 
 
-def find_best(scores: DataFrame, regions: DataFrame, tile: int, ds: float) -> DataFrame:
-    """One row: the best main and overlap windows and the better one, overlap only if strictly better (A4).
+def find_best(scores: DataFrame, regions: DataFrame, tile: int, ds: float | str, keys: tuple[str, ...] = (), slide: tuple[str, ...] = ()) -> DataFrame:
+    """The best main and overlap windows and the better one, overlap only if strictly better (A4): one row, or one of each key.
 
-    ``regions`` is ``(region_index, x, y)`` at level 0. Level-0 places are the level's times ``ds``, cut.
+    ``regions`` is ``([slide,] region_index, x, y)`` at level 0; ``ds`` is a number, or a column of ``regions`` if
+    slides have their own. Level-0 places are the level's times ``ds``, cut.
     """
-    per_region = best_per_region(scores)
+    per_region = best_per_region(scores, keys=keys)
+    scale = F.lit(ds) if not isinstance(ds, str) else F.col("r_ds")
+    starts = regions.select(*slide, "region_index", F.col("x").alias("rx"), F.col("y").alias("ry"), *([F.col(ds).alias("r_ds")] if isinstance(ds, str) else []))
     sides = []
     for kind in ("main", "overlap"):
-        one = best_of_kind(per_region, kind).join(regions.select("region_index", F.col("x").alias("rx"), F.col("y").alias("ry")), "region_index", "left")
+        one = best_of_kind(per_region, kind, keys).join(starts, [*slide, "region_index"], "left")
         found = F.col("score") > _NONE
-        at = lambda start, cell, kind=kind: F.when(found, place(F.coalesce(F.col(start), F.lit(0)), F.col(cell), F.lit(kind), tile, F.lit(ds))).otherwise(0)
-        sides.append(one.select(F.struct("region_index", at("rx", "out_c").alias("x"), at("ry", "out_r").alias("y"), "score").alias(kind)))
-    both = sides[0].join(sides[1], F.lit(True))  # one row each
+        at = lambda start, cell, kind=kind: F.when(found, place(F.coalesce(F.col(start), F.lit(0)), F.col(cell), F.lit(kind), tile, scale)).otherwise(0)
+        row = F.struct("region_index", at("rx", "out_c").alias("x"), at("ry", "out_r").alias("y"), "score", scale.alias("ds"))
+        sides.append(one.select(*keys, row.alias(kind)))
+    both = sides[0].join(sides[1], list(keys)) if keys else sides[0].join(sides[1], F.lit(True))  # one row each
     other = F.col("overlap.score") > F.col("main.score")
     best = F.when(other, F.col("overlap")).otherwise(F.col("main"))
-    zero = lambda c: (c * ds).cast("int")
+    zero = lambda c: (c * best["ds"]).cast("int")
     return both.select(
+        *keys,
         F.when(other, "overlap").otherwise("main").alias("kind"),
         best["region_index"].alias("region_index"),
         best["x"].alias("x"), best["y"].alias("y"), zero(best["x"]).alias("x0"), zero(best["y"]).alias("y0"), best["score"].alias("score"),
@@ -84,8 +143,8 @@ def find_best(scores: DataFrame, regions: DataFrame, tile: int, ds: float) -> Da
     )
 
 
-def heat_canvas(scores: DataFrame) -> DataFrame:
-    """``(u_row, u_col, score)`` of a canvas that windows are painted on; the last writer wins.
+def heat_canvas(scores: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``([keys,] u_row, u_col, score)`` of canvases that windows are painted on; the last writer wins.
 
     Regions paint in order, main windows before overlap windows, each in row order.
     """
@@ -94,8 +153,8 @@ def heat_canvas(scores: DataFrame) -> DataFrame:
     cells = scores.withColumns({"u_row": 2 * F.col("out_r") + odd, "u_col": 2 * F.col("out_c") + odd})
     # a window of the unified canvas covers its cell and the half cells right of and below it
     spread = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    painted = cells.withColumn("d", spread).select((F.col("u_row") + F.col("d.i")).alias("u_row"), (F.col("u_col") + F.col("d.j")).alias("u_col"), "score", order.alias("at"))
-    return painted.groupBy("u_row", "u_col").agg(F.max_by("score", "at").alias("score"))
+    painted = cells.withColumn("d", spread).select(*keys, (F.col("u_row") + F.col("d.i")).alias("u_row"), (F.col("u_col") + F.col("d.j")).alias("u_col"), "score", order.alias("at"))
+    return painted.groupBy(*keys, "u_row", "u_col").agg(F.max_by("score", "at").alias("score"))
 
 
 def rotated(kernel: DataFrame) -> DataFrame:
@@ -106,9 +165,3 @@ def rotated(kernel: DataFrame) -> DataFrame:
     row = F.when(F.col("rot") == 0, r).when(F.col("rot") == 1, c).when(F.col("rot") == 2, h - r).otherwise(w - c)
     col = F.when(F.col("rot") == 0, c).when(F.col("rot") == 1, h - r).when(F.col("rot") == 2, w - c).otherwise(r)
     return k.select("rot", row.alias("q_row"), col.alias("q_col"), "feat")
-
-
-def top_windows(scores: DataFrame, n: int) -> DataFrame:
-    """The ``n`` best windows of every region."""
-    order = Window.partitionBy("region_index").orderBy(F.desc("score"), "kind", "out_r", "out_c")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

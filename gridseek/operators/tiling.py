@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridseek.plans.durable import unused
 
-def tile_plan(images: DataFrame, budget: int, max_cuts: int = 40) -> DataFrame:
+
+def tile_plan(images: DataFrame, budget: int) -> DataFrame:
     """``images`` and ``n_h, n_w``: cuts of each side so that ``(h // n_h) * (w // n_w)`` is within ``budget``.
 
-    The longer side of a part is halved first, the height at a tie.
+    The longer side of a part is halved first, the height at a tie. A side can be halved once for each of its
+    bits until a part of it is empty, so that twice as many steps as a number has bits always end it.
     """
     h, w = F.col("height").cast("long"), F.col("width").cast("long")
     start = F.struct(F.lit(1).cast("long").alias("n_h"), F.lit(1).cast("long").alias("n_w"))
@@ -20,8 +23,9 @@ def tile_plan(images: DataFrame, budget: int, max_cuts: int = 40) -> DataFrame:
         halved = F.struct((state["n_h"] * F.when(taller, 2).otherwise(1)).alias("n_h"), (state["n_w"] * F.when(taller, 1).otherwise(2)).alias("n_w"))
         return F.when(part_h * part_w > budget, halved).otherwise(state)
 
-    plan = F.aggregate(F.sequence(F.lit(1), F.lit(max_cuts)), start, cut)
-    return images.withColumn("__plan", plan).select(*images.columns, F.col("__plan.n_h").cast("int").alias("n_h"), F.col("__plan.n_w").cast("int").alias("n_w"))
+    (plan,) = unused(images.columns, "plan")
+    planned = images.withColumn(plan, F.aggregate(F.sequence(F.lit(1), F.lit(2 * 63)), start, cut))
+    return planned.select(*images.columns, F.col(f"{plan}.n_h").cast("int").alias("n_h"), F.col(f"{plan}.n_w").cast("int").alias("n_w"))
 
 
 def halo_tiles(planned: DataFrame, halo: int) -> DataFrame:

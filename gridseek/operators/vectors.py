@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridseek.plans.durable import unused
+
 QUERY_ROWS, BANK_ROWS = 4096, 16384
 #: Places to which similarities are rounded before they are ranked, so that equal vectors tie.
 DIGITS = 9
@@ -40,49 +42,76 @@ def zero_non_finite(df: DataFrame, vec: str = "feat") -> DataFrame:
     return df.withColumn("was_bad", ~ok).withColumn(vec, F.when(ok, F.col(vec)).otherwise(F.transform(vec, lambda x: F.lit(0.0).cast("float"))))
 
 
-def _block_best(rows: pd.DataFrame, k: int, digits: int, skip_self: bool) -> pd.DataFrame:
+def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distances of aligned rows."""
+    return np.sqrt(((q - x) ** 2).sum(axis=1))
+
+
+def _block_best(rows: pd.DataFrame, k: int, digits: int, skip_self: bool, metric: str, carry: bool) -> pd.DataFrame:
+    names = ["query_id", "ref_id", "sim", *["carried"] * carry]
     bank, asked, x, q = _sides(rows)
     if not len(bank) or not len(asked):
-        return pd.DataFrame({"query_id": [], "ref_id": [], "sim": []})
-    ids, out = bank["id"].to_numpy(), []
+        return pd.DataFrame({c: [] for c in names})
+    ids, askers, out = bank["id"].to_numpy(), asked["id"].to_numpy(), []
+    carried = [bank["carried"].to_numpy()] if carry else []
+    most, square = min(k, len(ids)), np.einsum("ij,ij->i", x, x)
     for at in range(0, len(q), 256):
-        sims = np.round(q[at : at + 256] @ x.T, digits)
-        for qid, row in zip(asked["id"].to_numpy()[at : at + 256], sims):
-            if skip_self:
-                row = np.where(ids == qid, -np.inf, row)
-            some = np.argpartition(-row, min(k, len(row) - 1))[: k + 1] if len(row) > k + 1 else np.arange(len(row))
-            edge = np.flatnonzero(row >= row[some].min())  # ties at the edge too
-            best = edge[np.lexsort((ids[edge], -row[edge]))][:k]
-            best = best[np.isfinite(row[best])]
-            out.append(pd.DataFrame({"query_id": qid, "ref_id": ids[best], "sim": row[best]}))
-    return pd.concat(out)
-
-
-def _dealt(queries: DataFrame, bank: DataFrame, vec: str, extra: list[str]) -> DataFrame:
-    """Both sides in blocks, each pair of blocks one group ``(part, side)``; ``extra`` columns are the queries' only."""
-    sides, parts = max(1, -(-queries.count() // QUERY_ROWS)), max(1, -(-bank.count() // BANK_ROWS))
+        part, own = q[at : at + 256], askers[at : at + 256]
+        sims = part @ x.T
+        if metric == "l2":
+            sims -= square / 2  # the nearer the larger
+        else:
+            sims = np.round(sims, digits)
+        if skip_self:
+            sims[ids[None, :] == own[:, None]] = -np.inf
+        edge = np.partition(sims, len(ids) - most, axis=1)[:, len(ids) - most]
+        # ties at the edge too, and of distances what rounding may have put behind it
+        row, col = np.nonzero((sims >= edge[:, None] - (1e-9 * (1 + np.abs(edge[:, None])) if metric == "l2" else 0)) & np.isfinite(sims))
+        score = -np.round(_distances(part[row], x[col]), digits) if metric == "l2" else sims[row, col]
+        order = np.lexsort((ids[col], -score, row))
+        row, col, score = row[order], col[order], score[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((own[row[keep]], ids[col[keep]], score[keep], *(c[col[keep]] for c in carried)))
+    return pd.DataFrame({c: np.concatenate(v) for c, v in zip(names, zip(*out))})
+
+
+def _dealt(queries: DataFrame, bank: DataFrame, vec: str, extra: list[str], carry: str | None = None) -> DataFrame:
+    """Both sides in blocks, each pair of blocks one group ``(part, side)``; ``extra`` columns are the queries', ``carry`` the bank's."""
+    n_asked, n_held = (r[0] for r in queries.agg(F.count(F.lit(1))).union(bank.agg(F.count(F.lit(1)))).collect())
+    sides, parts = max(1, -(-n_asked // QUERY_ROWS)), max(1, -(-n_held // BANK_ROWS))
     block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col(vec).alias("vec"), F.lit(True).alias("asks"), *extra, every(parts).alias("part"), block("query_id", sides).alias("side"))
+    none = [F.lit(None).cast("double").alias("carried")] * (carry is not None)
+    asked = queries.select(
+        F.col("query_id").cast("long").alias("id"), F.col(vec).alias("vec"), F.lit(True).alias("asks"), *extra, *none,
+        every(parts).alias("part"), block("query_id", sides).alias("side"),
+    )
     empty = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in extra]
-    held = bank.select(F.col("ref_id").cast("long").alias("id"), F.col(vec).alias("vec"), F.lit(False).alias("asks"), *empty, block("ref_id", parts).alias("part"), every(sides).alias("side"))
+    carried = [F.col(carry).cast("double").alias("carried")] if carry else []
+    held = bank.select(
+        F.col("ref_id").cast("long").alias("id"), F.col(vec).alias("vec"), F.lit(False).alias("asks"), *empty, *carried,
+        block("ref_id", parts).alias("part"), every(sides).alias("side"),
+    )
     return asked.union(held)
 
 
 def top_k(
-    queries: DataFrame, bank: DataFrame, k: int, vec: str = "feat", skip_self: bool = False, digits: int = DIGITS
-) -> DataFrame:
-    """``(query_id, rank, ref_id, sim)``: the exact ``k`` most similar bank vectors of each query.
-
-    ``queries`` has ``query_id``, ``bank`` has ``ref_id``, both the vector ``vec``. Ties go to the smaller
-    ``ref_id``. Both sides are cut into blocks; each pair of blocks is one matrix product that returns
-    ``k`` rows for a query, so that neither side is broadcast and no pair is shuffled.
+    queries: DataFrame, bank: DataFrame, k: int, vec: str = "feat", skip_self: bool = False, digits: int = DIGITS,
+    metric: str = "dot", carry: str | None = None,
+) -> DataFrame:
+    """``(query_id, rank, ref_id, sim[, carry])``: the exact ``k`` most similar bank vectors of each query.
+
+    ``queries`` has ``query_id``, ``bank`` has ``ref_id``, both the vector ``vec``. ``sim`` is the inner product,
+    or with ``metric="l2"`` the negative Euclidean distance. Ties go to the smaller ``ref_id``. ``carry`` names a
+    number of the bank's rows that comes along. Both sides are cut into blocks; each pair of blocks is one
+    matrix product that returns ``k`` rows for a query, so that neither side is broadcast and no pair is shuffled.
     """
-    best = _dealt(queries, bank, vec, []).groupBy("part", "side").applyInPandas(
-        partial(_block_best, k=k, digits=digits, skip_self=skip_self), "query_id long, ref_id long, sim double"
-    )
+    best = partial(_block_best, k=k, digits=digits, skip_self=skip_self, metric=metric, carry=carry is not None)
+    schema = "query_id long, ref_id long, sim double" + ", carried double" * (carry is not None)
+    found = _dealt(queries, bank, vec, [], carry).groupBy("part", "side").applyInPandas(best, schema)
     rank = Window.partitionBy("query_id").orderBy(F.desc("sim"), "ref_id")
-    return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "sim")
+    found = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    return found.select("query_id", "rank", "ref_id", "sim", *([F.col("carried").alias(carry)] if carry else []))
 
 
 def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
@@ -128,16 +157,19 @@ def pair_similarities(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return _dealt(*sides, "feat", []).groupBy("part", "side").applyInPandas(partial(_block_pairs, digits=digits), "a long, b long, sim double")
 
 
-def average_ranks(df: DataFrame, value: str, out: str, low: float = -1.0, high: float = 1.0, ranges: int = 4096) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, out: str, ranges: int = 256) -> DataFrame:
     """``df`` and the rank of ``value`` over all rows, ties at their mean, without a global window.
 
-    Values are counted by ranges of ``[low, high]``; ranks are the ranges' running sum and a rank inside.
+    Distinct values are counted by ranges between approximate quantiles, so that values that bunch are
+    dealt evenly; ranks are the ranges' running sum and a rank inside.
     """
-    at = F.greatest(F.lit(0), F.least(F.lit(ranges - 1), F.floor((F.col(value) - low) / (high - low) * ranges))).cast("int")
-    counts = df.groupBy(at.alias("__range"), F.col(value).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = counts.groupBy("__range").agg(F.sum("__n").alias("__size"))  # at most ``ranges`` rows
-    before = sizes.withColumn("__before", F.sum("__size").over(Window.orderBy("__range")) - F.col("__size")).select("__range", "__before")
-    inside = F.sum("__n").over(Window.partitionBy("__range").orderBy("__value"))
-    ranked = counts.withColumn("__upto", inside).join(F.broadcast(before), "__range")
-    ranked = ranked.select("__value", (F.col("__before") + F.col("__upto") - (F.col("__n") - 1) / 2).alias(out))
-    return df.join(ranked, df[value] == ranked["__value"]).drop("__value")
+    key, n, size, before, upto = unused(df.columns, "value", "n", "size", "before", "upto")
+    counts = df.groupBy(F.col(value).alias(key)).agg(F.count(F.lit(1)).alias(n))
+    cuts = counts.agg(F.percentile_approx(key, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10 * ranges).alias("cuts"))
+    at = F.size(F.filter("cuts", lambda c: c < F.col(key)))  # one row of cuts
+    counts = counts.join(F.broadcast(cuts), F.lit(True)).select(key, n, at.alias("range"))
+    sizes = counts.groupBy("range").agg(F.sum(n).alias(size))  # at most ``ranges`` rows
+    sizes = sizes.select("range", (F.sum(size).over(Window.orderBy("range")) - F.col(size)).alias(before))
+    inside = counts.withColumn(upto, F.sum(n).over(Window.partitionBy("range").orderBy(key)))
+    ranked = inside.join(F.broadcast(sizes), "range").select(key, (F.col(before) + F.col(upto) - (F.col(n) - 1) / 2).alias(out))
+    return df.join(ranked, df[value] == ranked[key]).drop(key)

@@ -73,8 +73,8 @@ def read_regions(chunks: DataFrame, asked: DataFrame, chunk: int = CHUNK) -> Dat
 
 
 def level0_reads(asked: DataFrame, levels: DataFrame) -> DataFrame:
-    """Reads whose origin ``x0, y0`` is in level-0 pixels, as reads of their level (SRC2); levels are broadcast."""
-    both = asked.join(F.broadcast(levels.select("slide_id", "level", "ds")), ["slide_id", "level"])
+    """Reads whose origin ``x0, y0`` is in level-0 pixels, as reads of their level (SRC2)."""
+    both = asked.join(levels.select("slide_id", "level", "ds"), ["slide_id", "level"])
     return both.withColumns({"px": (F.col("x0") / F.col("ds")).cast("int"), "py": (F.col("y0") / F.col("ds")).cast("int")}).drop("ds")
 
 
