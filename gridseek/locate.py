@@ -1,11 +1,16 @@
-"""The whole search: resolution, window, refinement."""
+"""The whole search: resolution, window, refinement."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridseek.operators import knn, levels, retrieval
+from gridseek.functions.image import IMAGE, decode, encode_images, encode_row
+from gridseek.operators import grid, knn, levels, localize, retrieval
+from gridseek.plans.durable import materialize
+from gridseek.sources.slides import CHUNK, read_regions
 
 
 def estimate_resolution(query_main: DataFrame, bank: DataFrame, k: int) -> DataFrame:
@@ -33,3 +38,76 @@ def locate(grid: DataFrame, kernel: DataFrame, regions: DataFrame, tile: int, ds
     both = best.join(F.broadcast(one), F.lit(True), "left")
     ok = F.coalesce("__ok", F.lit(False))
     return both.withColumns({"x": F.when(ok, F.col("__x")).otherwise(F.col("x")), "y": F.when(ok, F.col("__y")).otherwise(F.col("y")), "refined": ok}).drop("__x", "__y", "__ok")
+
+
+def slide_features(chunks: DataFrame, regions: DataFrame, tile: int, ds: float, level: int, make, chunk: int = CHUNK) -> DataFrame:
+    """``(slide_id, region_index, kind, row, col, x, y, feat)``: encoded tiles of both layers of all regions.
+
+    ``regions`` is ``(slide_id, region_index, x, y, w, h)`` at level 0, ``make`` builds the encoder once in a task.
+    """
+    cut = lambda c: (F.col(c) / ds).cast("int")
+    grids = regions.select(
+        "slide_id", "region_index", cut("w").alias("width"), cut("h").alias("height"), cut("x").alias("x_off"), cut("y").alias("y_off"),
+        F.lit(tile).alias("tile"), F.lit(float(ds)).alias("ds"), F.lit(level).alias("level"),
+    )
+    # fewer than 2^16 regions of a slide and 2^28 tiles of a region
+    number = (F.col("slide_id").cast("long") * (1 << 16) + F.col("region_index")) * (1 << 28) + F.col("flat_idx")
+    tiles = grid.patches(grids).withColumn("read_id", number)
+    asked = tiles.select("read_id", "slide_id", "level", F.col("x").alias("px"), F.col("y").alias("py"), F.col("size_px").alias("pw"), F.col("size_px").alias("ph"))
+    encoded = encode_images(read_regions(chunks, asked, chunk), make).select("read_id", "feat")
+    return tiles.join(encoded, "read_id").select("slide_id", "region_index", "kind", "row", "col", "x", "y", "feat")
+
+
+def query_features(queries: DataFrame, tile: int, make) -> DataFrame:
+    """``(query_id, q_row, q_col, feat)``: encoded main tiles of query images ``(query_id, image)``."""
+    cells = T.ArrayType(T.StructType([T.StructField("q_row", T.IntegerType()), T.StructField("q_col", T.IntegerType()), T.StructField("image", IMAGE)]))
+
+    @F.pandas_udf(cells)
+    def cut(images: pd.DataFrame) -> pd.Series:
+        out = []
+        for row in images.to_dict("records"):
+            p = decode(row)
+            places = [(r, c) for r in range(p.shape[0] // tile) for c in range(p.shape[1] // tile)]
+            out.append([{"q_row": r, "q_col": c, "image": encode_row(p[r * tile : (r + 1) * tile, c * tile : (c + 1) * tile])} for r, c in places])
+        return pd.Series(out, dtype="object")
+
+    tiles = queries.select("query_id", F.explode(cut("image")).alias("tile")).select("query_id", "tile.*")
+    return encode_images(tiles, make).select("query_id", "q_row", "q_col", "feat")
+
+
+def find_in_slides(
+    chunks: DataFrame, regions: DataFrame, queries: DataFrame, tile: int, ds: float, level: int, make_encoder, make_extractor=None,
+    pad: int = 1, least: int = 10, chunk: int = CHUNK,
+) -> DataFrame:
+    """Every query's place in every slide, from images: best window, and its refinement if it succeeds.
+
+    ``(slide_id, query_id, kind, region_index, window_x, window_y, score, x, y, x0, y0, refined)``, one row for each pair of a
+    slide and a query; the best slide of a query is the one of the largest score.
+    """
+    keys = ("slide_id", "query_id")
+    features = slide_features(chunks, regions, tile, ds, level, make_encoder, chunk)
+    kernels = query_features(queries, tile, make_encoder)
+    scores = retrieval.window_similarity(features, kernels, ("slide_id",), ("query_id",))
+    best = retrieval.find_best(scores, regions, tile, ds, keys, ("slide_id",))
+    best = materialize(best.select(*keys, "kind", "region_index", F.col("x").alias("window_x"), F.col("y").alias("window_y"), "score"))
+    if make_extractor is None:
+        placed = best.withColumns({"x": F.col("window_x"), "y": F.col("window_y"), "refined": F.lit(False)})
+    else:
+        # crops around the windows: whole tiles of the query, padded by tiles, inside the region
+        local = {c: (F.col(f"r{c}") / ds).cast("int") for c in "xywh"}
+        where = best.join(regions.select("slide_id", "region_index", *[F.col(c).alias(f"r{c}") for c in "xywh"]), ["slide_id", "region_index"])
+        where = where.join(queries.select("query_id", F.col("image.height").alias("qh"), F.col("image.width").alias("qw")), "query_id")
+        x = grid.search_window(F.col("window_x") - local["x"], F.col("qw"), F.lit(tile), F.lit(pad), local["w"])
+        y = grid.search_window(F.col("window_y") - local["y"], F.col("qh"), F.lit(tile), F.lit(pad), local["h"])
+        group = F.col("slide_id").cast("long") * (1 << 32) + F.col("query_id")  # both below 2^31
+        crops = where.select(
+            group.alias("group_id"), *keys, F.col("window_x").alias("x"), F.col("window_y").alias("y"), (local["x"] + x[0]).alias("crop_x"), (local["y"] + y[0]).alias("crop_y"),
+            (x[1] - x[0]).alias("pw"), (y[1] - y[0]).alias("ph"),
+        )
+        asked = crops.select(F.col("group_id").alias("read_id"), "slide_id", F.lit(level).alias("level"), F.col("crop_x").alias("px"), F.col("crop_y").alias("py"), "pw", "ph")
+        pictures = read_regions(chunks, asked, chunk).withColumnRenamed("read_id", "group_id")
+        asks = crops.select("group_id", "query_id").join(queries.select("query_id", "image"), "query_id").select("group_id", "image")
+        refined = localize.refine(asks, pictures, crops.select("group_id", "x", "y", "crop_x", "crop_y"), make_extractor, least)
+        placed = best.join(crops.select("group_id", *keys).join(refined, "group_id").drop("group_id"), list(keys))
+    zero = lambda c: (F.col(c) * ds).cast("int")
+    return placed.select(*keys, "kind", "region_index", "window_x", "window_y", "score", "x", "y", zero("x").alias("x0"), zero("y").alias("y0"), "refined")
