@@ -336,16 +336,16 @@ def level_spread(spark, sf_dir):
     return spread.select("flag", F.array_join(F.transform("spread", lambda x: F.concat_ws(":", x["level"].cast("string"), x["stat"].cast("string"))), ",").alias("spread"))
 
 
-# Nearest neighbours. Queries are the vectors that 25 divides, the bank is the rest.
+# Nearest neighbours. Queries are the vectors that 20 divides, the bank is every row but the query's own.
 
 
-def _split(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _asked_and_bank(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     e = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("feat"), "label")
-    return e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "feat"), e.where("vec_id % 25 <> 0").select(F.col("vec_id").alias("ref_id"), "feat", "label")
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "feat"), e.withColumnRenamed("vec_id", "ref_id")
 
 
 _SQL_KNN = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS f, label FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, b.vec_id AS ref_id, b.label, round(list_inner_product(q.f, b.f), 9) AS sim FROM e q, e b WHERE q.vec_id % 25 = 0 AND b.vec_id % 25 <> 0),
+s AS (SELECT q.vec_id AS query_id, b.vec_id AS ref_id, b.label, round(list_inner_product(q.f, b.f), 9) AS sim FROM e q, e b WHERE q.vec_id % 20 = 0 AND b.vec_id <> q.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, ref_id) AS rank FROM s QUALIFY rank <= 11),
 v AS (SELECT query_id, median(CAST(label AS DOUBLE)) AS label FROM k GROUP BY query_id)"""
 
@@ -353,25 +353,25 @@ v AS (SELECT query_id, median(CAST(label AS DOUBLE)) AS label FROM k GROUP BY qu
 @_query(f"WITH {_SQL_KNN} SELECT query_id, CAST(rank AS INT) AS rank, ref_id, sim FROM k")
 def knn_topk(spark, sf_dir):
     """J6, W1, W2."""
-    return top_k(*_split(spark, sf_dir), 11)
+    return top_k(*_asked_and_bank(spark, sf_dir), 11, skip_self=True)
 
 
 @_query(f"WITH {_SQL_KNN} SELECT * FROM v")
 def knn_label_votes(spark, sf_dir):
     """A5 per query."""
-    return knn.label_votes(*_split(spark, sf_dir), 11)
+    return knn.label_votes(*_asked_and_bank(spark, sf_dir), 11, True)
 
 
 @_query(f"WITH {_SQL_KNN} SELECT median(label) AS estimate, count(*) AS n_queries FROM v")
 def knn_label_estimate(spark, sf_dir):
     """A5, X17."""
-    return knn.label_estimate(*_split(spark, sf_dir), 11)
+    return knn.label_estimate(*_asked_and_bank(spark, sf_dir), 11, True)
 
 
 @_query(f"WITH {_SQL_KNN} SELECT label, count(*) AS n FROM v GROUP BY label")
 def knn_vote_distribution(spark, sf_dir):
     """A6."""
-    return knn.vote_distribution(knn.label_votes(*_split(spark, sf_dir), 11))
+    return knn.vote_distribution(knn.label_votes(*_asked_and_bank(spark, sf_dir), 11, True))
 
 
 @_query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings)
@@ -892,7 +892,7 @@ def ransac_fit(spark, sf_dir):
     qx, qy = (k * 37 % 1000).cast("double"), (k * k * 91 % 997).cast("double")
     off = F.when(k % 5 == 0, (k % 300 + 40).cast("double")).otherwise(0.0)
     pairs = _t(spark, sf_dir, "orders").select((c % 50).alias("group_id"), qx.alias("qx"), qy.alias("qy"), (1.1 * qx + 0.1 * qy + 30 + off).alias("cx"), (0.9 * qy - 0.05 * qx + 12 + off).alias("cy"))
-    return localize.ransac(pairs, trials=60).select("group_id", "success", "inliers", "matches")
+    return localize.ransac(pairs).select("group_id", "success", "inliers", "matches")
 
 
 from gridseek import slide_queries  # noqa: E402, F401  adds its own
