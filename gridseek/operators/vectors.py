@@ -47,11 +47,11 @@ def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(((q - x) ** 2).sum(axis=1))
 
 
-def _block_best(rows: pd.DataFrame, k: int, digits: int, skip_self: bool, metric: str, carry: bool) -> pd.DataFrame:
+def _block_best(rows: pd.DataFrame, k: int, digits: int, skip_self: bool, metric: str, carry: bool, keys: tuple[str, ...]) -> pd.DataFrame:
     names = ["query_id", "ref_id", "sim", *["carried"] * carry]
     bank, asked, x, q = _sides(rows)
     if not len(bank) or not len(asked):
-        return pd.DataFrame({c: [] for c in names})
+        return pd.DataFrame(columns=[*names, *keys], dtype=object)
     ids, askers, out = bank["id"].to_numpy(), asked["id"].to_numpy(), []
     carried = [bank["carried"].to_numpy()] if carry else []
     most, square = min(k, len(ids)), np.einsum("ij,ij->i", x, x)
@@ -72,46 +72,65 @@ def _block_best(rows: pd.DataFrame, k: int, digits: int, skip_self: bool, metric
         row, col, score = row[order], col[order], score[order]
         keep = np.arange(len(row)) - np.searchsorted(row, row) < k
         out.append((own[row[keep]], ids[col[keep]], score[keep], *(c[col[keep]] for c in carried)))
-    return pd.DataFrame({c: np.concatenate(v) for c, v in zip(names, zip(*out))})
+    return _keyed(pd.DataFrame({c: np.concatenate(v) for c, v in zip(names, zip(*out))}), rows, keys)
 
 
-def _dealt(queries: DataFrame, bank: DataFrame, vec: str, extra: list[str], carry: str | None = None) -> DataFrame:
-    """Both sides in blocks, each pair of blocks one group ``(part, side)``; ``extra`` columns are the queries', ``carry`` the bank's."""
-    n_asked, n_held = (r[0] for r in queries.agg(F.count(F.lit(1))).union(bank.agg(F.count(F.lit(1)))).collect())
+def _keyed(out: pd.DataFrame, rows: pd.DataFrame, keys: tuple[str, ...]) -> pd.DataFrame:
+    """``out`` with the keys of the group that ``rows`` are."""
+    return out.assign(**{c: pd.Series([rows[held].iloc[0]] * len(out), index=out.index, dtype=object) for c, held in zip(keys, _inner(keys))})
+
+
+def _inner(keys: tuple[str, ...]) -> list[str]:
+    """Names of the keys inside blocks."""
+    return [f"key{i}" for i in range(len(keys))]
+
+
+def _key_schema(df: DataFrame, keys: tuple[str, ...]) -> str:
+    return "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
+
+
+def _dealt(queries: DataFrame, bank: DataFrame, vec: str, extra: list[str], carry: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Both sides in blocks, each pair of blocks one group ``(*_inner(keys), part, side)``; ``extra`` columns are the queries', ``carry`` the bank's.
+
+    The number of blocks is that of the key with the most rows.
+    """
+    named = [F.col(c).alias(held) for c, held in zip(keys, _inner(keys))]
+    most = lambda df: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)))
+    n_asked, n_held = (r[0] for r in most(queries).union(most(bank)).collect())
     sides, parts = max(1, -(-n_asked // QUERY_ROWS)), max(1, -(-n_held // BANK_ROWS))
     block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     none = [F.lit(None).cast("double").alias("carried")] * (carry is not None)
     asked = queries.select(
         F.col("query_id").cast("long").alias("id"), F.col(vec).alias("vec"), F.lit(True).alias("asks"), *extra, *none,
-        every(parts).alias("part"), block("query_id", sides).alias("side"),
+        every(parts).alias("part"), block("query_id", sides).alias("side"), *named,
     )
     empty = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in extra]
     carried = [F.col(carry).cast("double").alias("carried")] if carry else []
     held = bank.select(
         F.col("ref_id").cast("long").alias("id"), F.col(vec).alias("vec"), F.lit(False).alias("asks"), *empty, *carried,
-        block("ref_id", parts).alias("part"), every(sides).alias("side"),
+        block("ref_id", parts).alias("part"), every(sides).alias("side"), *named,
     )
     return asked.union(held)
 
 
 def top_k(
     queries: DataFrame, bank: DataFrame, k: int, vec: str = "feat", skip_self: bool = False, digits: int = DIGITS,
-    metric: str = "dot", carry: str | None = None,
+    metric: str = "dot", carry: str | None = None, keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(query_id, rank, ref_id, sim[, carry])``: the exact ``k`` most similar bank vectors of each query.
+    """``(query_id, rank, ref_id, sim[, carry][, *keys])``: the exact ``k`` most similar bank vectors of each query.
 
     ``queries`` has ``query_id``, ``bank`` has ``ref_id``, both the vector ``vec``. ``sim`` is the inner product,
     or with ``metric="l2"`` the negative Euclidean distance. Ties go to the smaller ``ref_id``. ``carry`` names a
-    number of the bank's rows that comes along. Both sides are cut into blocks; each pair of blocks is one
+    number of the bank's rows that comes along. With ``keys`` queries only meet bank rows of equal keys. Both sides are cut into blocks; each pair of blocks is one
     matrix product that returns ``k`` rows for a query, so that neither side is broadcast and no pair is shuffled.
     """
-    best = partial(_block_best, k=k, digits=digits, skip_self=skip_self, metric=metric, carry=carry is not None)
-    schema = "query_id long, ref_id long, sim double" + ", carried double" * (carry is not None)
-    found = _dealt(queries, bank, vec, [], carry).groupBy("part", "side").applyInPandas(best, schema)
-    rank = Window.partitionBy("query_id").orderBy(F.desc("sim"), "ref_id")
+    best = partial(_block_best, k=k, digits=digits, skip_self=skip_self, metric=metric, carry=carry is not None, keys=keys)
+    schema = "query_id long, ref_id long, sim double" + ", carried double" * (carry is not None) + _key_schema(bank, keys)
+    found = _dealt(queries, bank, vec, [], carry, keys).groupBy(*_inner(keys), "part", "side").applyInPandas(best, schema)
+    rank = Window.partitionBy(*keys, "query_id").orderBy(F.desc("sim"), "ref_id")
     found = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-    return found.select("query_id", "rank", "ref_id", "sim", *([F.col("carried").alias(carry)] if carry else []))
+    return found.select("query_id", "rank", "ref_id", "sim", *([F.col("carried").alias(carry)] if carry else []), *keys)
 
 
 def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
@@ -121,55 +140,92 @@ def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray,
     return bank, asked, x, q
 
 
-def _block_ahead(rows: pd.DataFrame, digits: int) -> pd.DataFrame:
+def _block_ahead(rows: pd.DataFrame, digits: int, keys: tuple[str, ...]) -> pd.DataFrame:
     bank, asked, x, q = _sides(rows)
     if not len(bank) or not len(asked):
-        return pd.DataFrame({"query_id": [], "ahead": []})
+        return pd.DataFrame(columns=["query_id", "ahead", *keys], dtype=object)
     ids, out = bank["id"].to_numpy(), []
     for qid, v, target, sim in zip(asked["id"], q, asked["target_id"], asked["target_sim"]):
         row = np.round(x @ v, digits)
         out.append((qid, int((((row > sim) | ((row == sim) & (ids < target))) & (ids != qid)).sum())))
-    return pd.DataFrame(out, columns=["query_id", "ahead"])
+    return _keyed(pd.DataFrame(out, columns=["query_id", "ahead"]), rows, keys)
 
 
-def places_of(queries: DataFrame, bank: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """``(query_id, place)``: how many bank rows come before ``target_id`` in each query's ranking.
+def places_of(queries: DataFrame, bank: DataFrame, digits: int = DIGITS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(*keys, query_id, place)``: how many bank rows come before ``target_id`` in each query's ranking.
 
     ``queries`` is ``(query_id, feat, target_id, target_sim)``, with the target's similarity rounded to
     ``digits``. Blocks return one count for a query; no ranking is ever written out.
     """
-    counts = _dealt(queries, bank, "feat", ["target_id", "target_sim"]).groupBy("part", "side").applyInPandas(partial(_block_ahead, digits=digits), "query_id long, ahead long")
-    return counts.groupBy("query_id").agg(F.sum("ahead").alias("place"))
+    blocks = _dealt(queries, bank, "feat", ["target_id", "target_sim"], keys=keys).groupBy(*_inner(keys), "part", "side")
+    counts = blocks.applyInPandas(partial(_block_ahead, digits=digits, keys=keys), "query_id long, ahead long" + _key_schema(bank, keys))
+    return counts.groupBy(*keys, "query_id").agg(F.sum("ahead").alias("place"))
 
 
-def _block_pairs(rows: pd.DataFrame, digits: int) -> pd.DataFrame:
+def _block_pairs(rows: pd.DataFrame, digits: int, keys: tuple[str, ...]) -> pd.DataFrame:
     bank, asked, x, q = _sides(rows)
     if not len(bank) or not len(asked):
-        return pd.DataFrame({"a": [], "b": [], "sim": []})
+        return pd.DataFrame(columns=["a", "b", "sim", *keys], dtype=object)
     a, b = asked["id"].to_numpy(), bank["id"].to_numpy()
     i, j = np.nonzero(a[:, None] < b[None, :])
-    return pd.DataFrame({"a": a[i], "b": b[j], "sim": np.round(q @ x.T, digits)[i, j]})
+    return _keyed(pd.DataFrame({"a": a[i], "b": b[j], "sim": np.round(q @ x.T, digits)[i, j]}), rows, keys)
 
 
-def pair_similarities(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """``(a, b, sim)`` of all pairs a < b of ``(id, feat)``; quadratic by its meaning, for some thousand rows."""
-    sides = [df.select(F.col("id").alias(c), "feat") for c in ("query_id", "ref_id")]
-    return _dealt(*sides, "feat", []).groupBy("part", "side").applyInPandas(partial(_block_pairs, digits=digits), "a long, b long, sim double")
+def pair_similarities(df: DataFrame, digits: int = DIGITS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(a, b, sim[, *keys])`` of all pairs a < b of ``(id, feat)``; quadratic by its meaning, for some thousand rows."""
+    sides = [df.select(F.col("id").alias(c), "feat", *keys) for c in ("query_id", "ref_id")]
+    blocks = _dealt(*sides, "feat", [], keys=keys).groupBy(*_inner(keys), "part", "side")
+    return blocks.applyInPandas(partial(_block_pairs, digits=digits, keys=keys), "a long, b long, sim double" + _key_schema(df, keys))
 
 
-def average_ranks(df: DataFrame, value: str, out: str, ranges: int = 256) -> DataFrame:
-    """``df`` and the rank of ``value`` over all rows, ties at their mean, without a global window.
+def _less(df: DataFrame, value: str, keys: tuple[str, ...], ranges: int) -> tuple[DataFrame, str, str, str]:
+    """Distinct values of each key, their counts and how many rows are less; and the names of these three columns.
 
-    Distinct values are counted by ranges between approximate quantiles, so that values that bunch are
-    dealt evenly; ranks are the ranges' running sum and a rank inside.
+    Values are counted by ranges between approximate quantiles, so that those that bunch are dealt evenly: what is
+    less is the running sum of the ranges and that inside a range. No window spans more than a range, or the ranges of a key.
+    """
+    val, n, less, cuts, at, size, before = unused(list(keys), "value", "n", "less", "cuts", "range", "size", "before")
+    counts = df.groupBy(*keys, F.col(value).alias(val)).agg(F.count(F.lit(1)).alias(n))
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    edges = counts.groupBy(*keys).agg(F.percentile_approx(val, shares, 10 * ranges).alias(cuts))  # one row a key
+    both = counts.join(edges, list(keys)) if keys else counts.join(F.broadcast(edges), F.lit(True))
+    counts = both.select(*keys, val, n, F.size(F.filter(cuts, lambda c: c < F.col(val))).alias(at))
+    sizes = counts.groupBy(*keys, at).agg(F.sum(n).alias(size))  # at most ``ranges`` rows a key
+    upto = F.sum(size).over(Window.partitionBy(*keys).orderBy(at))
+    sizes = sizes.select(*keys, at, (upto - F.col(size)).alias(before))
+    inside = F.sum(n).over(Window.partitionBy(*keys, at).orderBy(val)) - F.col(n)
+    placed = counts.withColumn(less, inside).join(sizes, [*keys, at])
+    return placed.select(*keys, val, n, (F.col(before) + F.col(less)).alias(less)), val, n, less
+
+
+def average_ranks(df: DataFrame, value: str, out: str, ranges: int = 256, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` and the rank of ``value`` over all rows of equal ``keys``, ties at their mean, without a global window."""
+    counted, val, n, less = _less(df, value, keys, ranges)
+    names = unused(df.columns, "value", *[f"key{i}" for i in range(len(keys))])
+    rank = F.col(less) + (F.col(n) + 1) / 2
+    ranked = counted.select(F.col(val).alias(names[0]), *[F.col(c).alias(i) for c, i in zip(keys, names[1:])], rank.alias(out))
+    same = df[value] == ranked[names[0]]
+    for c, i in zip(keys, names[1:]):
+        same &= df[c] == ranked[i]
+    return df.join(ranked, same).drop(*names)
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], keys: tuple[str, ...] = (), ranges: int = 256) -> DataFrame:
+    """``(*keys, *shares)``: exact quantiles of the values that are not null, linear between two rows; none gives nulls.
+
+    Unlike the built-in percentile no task holds all distinct values of a key.
     """
-    key, n, size, before, upto = unused(df.columns, "value", "n", "size", "before", "upto")
-    counts = df.groupBy(F.col(value).alias(key)).agg(F.count(F.lit(1)).alias(n))
-    cuts = counts.agg(F.percentile_approx(key, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10 * ranges).alias("cuts"))
-    at = F.size(F.filter("cuts", lambda c: c < F.col(key)))  # one row of cuts
-    counts = counts.join(F.broadcast(cuts), F.lit(True)).select(key, n, at.alias("range"))
-    sizes = counts.groupBy("range").agg(F.sum(n).alias(size))  # at most ``ranges`` rows
-    sizes = sizes.select("range", (F.sum(size).over(Window.orderBy("range")) - F.col(size)).alias(before))
-    inside = counts.withColumn(upto, F.sum(n).over(Window.partitionBy("range").orderBy(key)))
-    ranked = inside.join(F.broadcast(sizes), "range").select(key, (F.col(before) + F.col(upto) - (F.col(n) - 1) / 2).alias(out))
-    return df.join(ranked, df[value] == ranked[key]).drop(key)
+    counted, val, n, less = _less(df.where(F.col(value).isNotNull()), value, keys, ranges)
+    (total,) = unused(counted.columns, "total")
+    totals = counted.groupBy(*keys).agg(F.sum(n).alias(total))  # one row a key
+    both = counted.join(totals, list(keys)) if keys else counted.join(F.broadcast(totals), F.lit(True))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col(less) <= place) & (place < F.col(less) + F.col(n)), F.col(val)))
+
+    cuts = []
+    for name, share in shares.items():
+        place = F.lit(float(share)) * (F.col(total) - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        cuts.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return both.groupBy(*keys).agg(*cuts)

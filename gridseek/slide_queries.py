@@ -235,3 +235,33 @@ def place_errors(spark, sf_dir):
         k.alias("id"), (c % 900).alias("x0"), (c % 700).alias("y0"), (c % 900 + k % 60).alias("true_x0"), (c % 700 - k % 80).alias("true_y0"), F.lit(0.25).alias("base_mpp"), (1.0 + k % 3).alias("ds")
     )
     return fidelity.place_errors(pairs, 40).select("id", "error_um", "tolerance_um", "verdict")
+
+
+# Accuracy of several encoders at once: one loses every eighth component, the other every third.
+
+_SQL_CONFIGS = """ba AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings), cf(config, step) AS (VALUES ('every 8th', 8), ('every 3rd', 3)),
+ot AS (SELECT config, vec_id AS id, [CASE WHEN i % step = 0 THEN 0.0 ELSE CAST(embedding[i + 1] AS DOUBLE) END FOR i IN range(64)] AS f FROM embeddings, cf),
+co AS (SELECT config, round(list_inner_product(ba.f, ot.f) / (sqrt(list_inner_product(ba.f, ba.f)) * sqrt(list_inner_product(ot.f, ot.f))), 9) AS cos FROM ba JOIN ot USING (id)),
+st AS (SELECT config, count(*) AS n, round(avg(cos), 6) AS mean, round(stddev_pop(cos), 6) AS std, {cuts} FROM co GROUP BY config),
+xs AS (SELECT a.id AS q, b.id AS r, round(list_inner_product(a.f, b.f), 9) AS sim FROM ba a JOIN ba b ON a.id <> b.id),
+x AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, r) AS k FROM xs),
+ys AS (SELECT a.config, a.id AS q, b.id AS r, round(list_inner_product(a.f, b.f), 9) AS sim FROM ot a JOIN ot b ON a.config = b.config AND a.id <> b.id),
+y AS (SELECT *, row_number() OVER (PARTITION BY config, q ORDER BY sim DESC, r) AS k FROM ys),
+ov AS (SELECT config, {overlaps} FROM y JOIN x USING (q, r) GROUP BY config),
+sh AS (SELECT config, round(median(CAST(y.k - 1 AS DOUBLE)), 6) AS shift_median, round(quantile_cont(CAST(y.k - 1 AS DOUBLE), 0.95), 6) AS shift_p95 FROM y JOIN x USING (q, r) WHERE x.k = 1 GROUP BY config),
+pr AS (SELECT ys.config, xs.sim AS a, ys.sim AS b FROM ys JOIN xs USING (q, r) WHERE q < r),
+rk AS (SELECT config, rank() OVER (PARTITION BY config ORDER BY a) + (count(*) OVER (PARTITION BY config, a) - 1) / 2.0 AS p, rank() OVER (PARTITION BY config ORDER BY b) + (count(*) OVER (PARTITION BY config, b) - 1) / 2.0 AS q FROM pr),
+sp AS (SELECT config, count(*) AS n_pairs, round(corr(p, q), 6) AS rho FROM rk GROUP BY config)""".format(
+    cuts=", ".join(f"round(quantile_cont(cos, {p / 100}), 6) AS p{p}" for p in fidelity.PERCENTILES),
+    overlaps=", ".join(f"round(count(*) FILTER (x.k <= {k} AND y.k <= {k}) / CAST((SELECT count(*) FROM ba) * {k} AS DOUBLE), 6) AS overlap_{k}" for k in (1, 5, 10, 50)),
+)
+
+
+@_query(f"WITH {_SQL_CONFIGS} SELECT * FROM st JOIN ov USING (config) JOIN sh USING (config) JOIN sp USING (config)")
+def encoder_report(spark, sf_dir):
+    """A13-A16 of all encoders in one job."""
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("feat"))
+    configs = F.explode(F.array(*[F.struct(F.lit(c).alias("config"), F.lit(n).alias("step")) for c, n in (("every 8th", 8), ("every 3rd", 3))]))
+    coarse = F.transform("feat", lambda x, i: F.when(i % F.col("c.step") == 0, F.lit(0.0)).otherwise(x))
+    others = e.withColumn("c", configs).select("c.config", "id", coarse.alias("feat"))
+    return fidelity.fidelity_report(e, others)

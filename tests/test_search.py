@@ -8,7 +8,7 @@ from gridseek import locate
 from gridseek.functions import image
 from gridseek.operators import fidelity, levels, localize, retrieval, sampling
 from gridseek.operators.components import connected_components
-from gridseek.operators.vectors import average_ranks, top_k, zero_non_finite
+from gridseek.operators.vectors import average_ranks, quantiles, top_k, zero_non_finite
 from gridseek.sources import slides
 from gridseek.streaming.live import answer_stream
 
@@ -264,3 +264,53 @@ def test_stream(spark, tmp_path):
     query = answer_stream(stream, bank, 3, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), str(tmp_path / "state"))
     assert query.awaitTermination(120)
     assert spark.read.parquet(out).count() == 15
+
+
+def test_quantiles_by_key(spark):
+    rng = np.random.default_rng(3)
+    values = {"a": np.round(rng.normal(size=501), 1), "b": np.full(40, 2.5), "c": np.array([7.0])}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "key string, value double")  # a key named like an internal column would be
+    shares = {"p1": 0.01, "median": 0.5, "p95": 0.95, "most": 1.0}
+    got = {r["key"]: r for r in quantiles(df, "value", shares, ("key",), ranges=16).collect()}
+    assert got.keys() == {"a", "b", "c"}
+    for k, vs in values.items():
+        assert [got[k][n] for n in shares] == pytest.approx([np.quantile(vs, p) for p in shares.values()])
+    everything = np.concatenate(list(values.values()))
+    one = quantiles(df, "value", shares, ranges=16).collect()
+    assert [one[0][n] for n in shares] == pytest.approx([np.quantile(everything, p) for p in shares.values()])
+    assert quantiles(df.where("false"), "value", {"p": 0.5}).collect()[0]["p"] is None
+    assert quantiles(df.where("false"), "value", {"p": 0.5}, ("key",)).count() == 0
+
+
+def test_top_k_by_key(spark, monkeypatch):
+    monkeypatch.setattr("gridseek.operators.vectors.BANK_ROWS", 20)
+    x = np.random.default_rng(5).normal(size=(90, 6))
+    key = ["p" if i % 3 else "q" for i in range(90)]
+    bank = spark.createDataFrame([(key[i], i, x[i].tolist()) for i in range(90)], "side string, ref_id long, feat array<double>")
+    asked = spark.createDataFrame([(s, i, x[i].tolist()) for i in range(9) for s in "pqr"], "side string, query_id long, feat array<double>")
+    got = {(r["side"], r["query_id"], r["rank"]): r["ref_id"] for r in top_k(asked, bank, 4, skip_self=True, keys=("side",)).collect()}
+    want = {}
+    for s in "pq":
+        mine = [i for i in range(90) if key[i] == s]
+        for q in range(9):
+            order = sorted((i for i in mine if i != q), key=lambda i: (-round(float(x[i] @ x[q]), 9), i))
+            want |= {(s, q, n + 1): order[n] for n in range(4)}
+    assert got == want
+
+
+def test_report_of_encoders(spark):
+    x = np.random.default_rng(6).normal(size=(60, 8))
+    vectors = lambda rows: spark.createDataFrame(rows, "config string, id long, feat array<double>")
+    base = vectors([("", i, v.tolist()) for i, v in enumerate(x)]).select("id", "feat")
+    far = np.random.default_rng(7).normal(size=(60, 8))
+    others = vectors([("same", i, v.tolist()) for i, v in enumerate(2 * x)] + [("far", i, v.tolist()) for i, v in enumerate(far)])
+    got = {r["config"]: r for r in fidelity.fidelity_report(base, others, ks=(1, 5)).collect()}
+    same = got["same"]
+    assert (same["n"], same["mean"], same["p1"], same["overlap_1"], same["overlap_5"], same["shift_p95"], same["n_pairs"], same["rho"]) == (60, 1.0, 1.0, 1.0, 1.0, 0.0, 1770, 1.0)
+    alone = others.where("config = 'far'").select("id", "feat")
+    assert got["far"]["rho"] == fidelity.spearman(base, alone).first()["rho"]
+    assert (got["far"]["shift_median"], got["far"]["shift_p95"]) == fidelity.rank_shift(base, alone).first()[:]
+    assert got["far"]["overlap_5"] == {r["k"]: r["overlap"] for r in fidelity.topk_overlap(base, alone, (1, 5)).collect()}[5]
+    cos = [round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 9) for a, b in zip(x, far)]
+    assert got["far"]["p95"] == pytest.approx(np.quantile(cos, 0.95), abs=1e-6)
