@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridseek.llm import ann, chat, decontaminate, licenses, lines, packing, quality, secrets, simhash, substring
+from gridseek.llm import ann, chat, decontaminate, fim, licenses, lines, packing, pieces, quality, secrets, simhash, substring, whitening
+
+
+#: The model of operator 13, by its name among the public tokenizers.
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +76,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(turns.union(probe))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for filling in its middle, as digests."""
+    return fim.fim_digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whitened components of every vector."""
+    return whitening.whitening_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and what they decode to, as digests."""
+    return pieces.piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +104,15 @@ QUERIES = {
         op8_license_scan,
         op9_substring_dedup,
         op10_chat_format,
+        op11_fill_in_middle,
+        op12_embedding_whitening,
+        op13_sentencepiece,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": lines.ORACLE_SQL, "op8_license_scan": licenses.oracle_sql(), "op5_secret_scan": secrets.oracle_sql(), "op10_chat_format": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": lines.ORACLE_SQL,
+    "op5_secret_scan": secrets.oracle_sql(),
+    "op8_license_scan": licenses.oracle_sql(),
+    "op10_chat_format": chat.ORACLE_SQL,
+    "op11_fill_in_middle": fim.ORACLE_SQL,
+}
