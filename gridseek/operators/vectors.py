@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridseek.plans.durable import unused
+from gridseek.plans.durable import broadcast_if_small, materialize, unused
 
-QUERY_ROWS, BANK_ROWS = 4096, 16384
+QUERY_ROWS, BANK_ROWS, PAIR_ROWS = 4096, 16384, 1024
 #: Places to which similarities are rounded before they are ranked, so that equal vectors tie.
 DIGITS = 9
 
@@ -89,17 +89,28 @@ def _key_schema(df: DataFrame, keys: tuple[str, ...]) -> str:
     return "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
 
 
-def _dealt(queries: DataFrame, bank: DataFrame, vec: str, extra: list[str], carry: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Both sides in blocks, each pair of blocks one group ``(*_inner(keys), part, side)``; ``extra`` columns are the queries', ``carry`` the bank's.
+def _taking_part(df: DataFrame, vec: str, id_col: str) -> DataFrame:
+    """Rows with an id and a vector of numbers."""
+    return df.where(F.col(id_col).isNotNull() & F.coalesce(finite(vec), F.lit(False)))
 
-    The number of blocks is that of the key with the most rows.
-    """
+
+def _numbered(queries: DataFrame, bank: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """Both sides, and the numbers of blocks that they are cut into: for each key by its own rows."""
+    if not keys:
+        n_asked, n_held = (r[0] for r in queries.agg(F.count(F.lit(1))).union(bank.agg(F.count(F.lit(1)))).collect())
+        return queries, bank, F.lit(max(1, -(-n_asked // QUERY_ROWS))), F.lit(max(1, -(-n_held // BANK_ROWS)))
+    sides, parts = unused([*queries.columns, *bank.columns], "sides", "parts")
+    blocks = lambda df, rows, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+    sizes = broadcast_if_small(materialize(blocks(queries, QUERY_ROWS, sides).join(blocks(bank, BANK_ROWS, parts), list(keys))))
+    return queries.join(sizes, list(keys)), bank.join(sizes, list(keys)), F.col(sides), F.col(parts)
+
+
+def _dealt(queries: DataFrame, bank: DataFrame, vec: str, extra: list[str], carry: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Both sides in blocks, each pair of blocks one group ``(*_inner(keys), part, side)``; ``extra`` columns are the queries', ``carry`` the bank's."""
+    queries, bank, sides, parts = _numbered(_taking_part(queries, vec, "query_id"), _taking_part(bank, vec, "ref_id"), keys)
     named = [F.col(c).alias(held) for c, held in zip(keys, _inner(keys))]
-    most = lambda df: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)))
-    n_asked, n_held = (r[0] for r in most(queries).union(most(bank)).collect())
-    sides, parts = max(1, -(-n_asked // QUERY_ROWS)), max(1, -(-n_held // BANK_ROWS))
-    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    block = lambda c, m: F.pmod(F.xxhash64(c), m).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
     none = [F.lit(None).cast("double").alias("carried")] * (carry is not None)
     asked = queries.select(
         F.col("query_id").cast("long").alias("id"), F.col(vec).alias("vec"), F.lit(True).alias("asks"), *extra, *none,
@@ -122,8 +133,14 @@ def top_k(
 
     ``queries`` has ``query_id``, ``bank`` has ``ref_id``, both the vector ``vec``. ``sim`` is the inner product,
     or with ``metric="l2"`` the negative Euclidean distance. Ties go to the smaller ``ref_id``. ``carry`` names a
-    number of the bank's rows that comes along. With ``keys`` queries only meet bank rows of equal keys. Both sides are cut into blocks; each pair of blocks is one
-    matrix product that returns ``k`` rows for a query, so that neither side is broadcast and no pair is shuffled.
+    number of the bank's rows that comes along. With ``keys`` queries only meet bank rows of equal keys, none of them null.
+
+    Rows without an id and vectors that are null or hold a null, NaN or infinite component take no part on either
+    side: such a query has no rows, such a bank row is nobody's neighbour (:func:`zero_non_finite` makes them zero
+    vectors that do). Of vectors of different lengths the shorter counts as padded by zeros.
+
+    Both sides are cut into blocks; each pair of blocks is one matrix product that returns ``k`` rows for a query,
+    so that neither side is broadcast and no pair is shuffled.
     """
     best = partial(_block_best, k=k, digits=digits, skip_self=skip_self, metric=metric, carry=carry is not None, keys=keys)
     schema = "query_id long, ref_id long, sim double" + ", carried double" * (carry is not None) + _key_schema(bank, keys)
@@ -136,8 +153,21 @@ def top_k(
 def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
     asks = rows["asks"].to_numpy(dtype=bool)
     bank, asked = rows[~asks], rows[asks]
-    x, q = (np.stack(r["vec"].to_numpy()).astype(np.float64) if len(r) else np.zeros((0, 0)) for r in (bank, asked))
-    return bank, asked, x, q
+    dim = rows["vec"].map(len).max() if len(rows) else 0
+    return bank, asked, _matrix(bank["vec"], dim), _matrix(asked["vec"], dim)
+
+
+def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
+    """Vectors as rows of ``dim`` components, the missing ones zero."""
+    sizes = vectors.map(len).to_numpy(dtype=np.int64)
+    if not len(sizes):
+        return np.zeros((0, dim))
+    flat = np.concatenate(vectors.to_numpy()).astype(np.float64)
+    if (sizes == dim).all():
+        return flat.reshape(len(sizes), dim)
+    out = np.zeros((len(sizes), dim))
+    out[np.arange(dim)[None, :] < sizes[:, None]] = flat
+    return out
 
 
 def _block_ahead(rows: pd.DataFrame, digits: int, keys: tuple[str, ...]) -> pd.DataFrame:
@@ -155,77 +185,167 @@ def places_of(queries: DataFrame, bank: DataFrame, digits: int = DIGITS, keys: t
     """``(*keys, query_id, place)``: how many bank rows come before ``target_id`` in each query's ranking.
 
     ``queries`` is ``(query_id, feat, target_id, target_sim)``, with the target's similarity rounded to
-    ``digits``. Blocks return one count for a query; no ranking is ever written out.
+    ``digits``. Blocks return one count for a query; no ranking is ever written out. Rows take part as in :func:`top_k`.
     """
     blocks = _dealt(queries, bank, "feat", ["target_id", "target_sim"], keys=keys).groupBy(*_inner(keys), "part", "side")
     counts = blocks.applyInPandas(partial(_block_ahead, digits=digits, keys=keys), "query_id long, ahead long" + _key_schema(bank, keys))
     return counts.groupBy(*keys, "query_id").agg(F.sum("ahead").alias("place"))
 
 
-def _block_pairs(rows: pd.DataFrame, digits: int, keys: tuple[str, ...]) -> pd.DataFrame:
-    bank, asked, x, q = _sides(rows)
-    if not len(bank) or not len(asked):
-        return pd.DataFrame(columns=["a", "b", "sim", *keys], dtype=object)
-    a, b = asked["id"].to_numpy(), bank["id"].to_numpy()
-    i, j = np.nonzero(a[:, None] < b[None, :])
-    return _keyed(pd.DataFrame({"a": a[i], "b": b[j], "sim": np.round(q @ x.T, digits)[i, j]}), rows, keys)
+def _block_pairs(rows: pd.DataFrame, digits: int, n: int, keys: tuple[str, ...]) -> pd.DataFrame:
+    """Similarities of the pairs of a block with itself, or of the first block of a group with the second."""
+    one, two = rows[~rows["second"].to_numpy(dtype=bool)], rows[rows["second"].to_numpy(dtype=bool)]
+    a = one["id"].to_numpy()
+    b = two["id"].to_numpy() if len(two) else a
+    both = np.minimum(a[:, None], b[None, :]), np.maximum(a[:, None], b[None, :])
+    keep = np.nonzero(a[:, None] < b[None, :]) if not len(two) else np.nonzero(a[:, None] != b[None, :])
+    out = {"a": both[0][keep], "b": both[1][keep]}
+    for k in range(n):
+        dim = rows[f"vec{k}"].map(len).max()
+        x = _matrix(one[f"vec{k}"], dim)
+        y = _matrix(two[f"vec{k}"], dim) if len(two) else x
+        out[f"sim{k}"] = np.round(x @ y.T, digits)[keep]
+    return _keyed(pd.DataFrame(out), rows, keys)
+
+
+def pair_similarities(df: DataFrame, vecs: dict[str, str] | None = None, digits: int = DIGITS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(a, b, *similarities[, *keys])`` of all pairs a < b of rows ``(id, ...)``; quadratic by its meaning.
+
+    ``vecs`` names a column of vectors for each similarity, ``{"sim": "feat"}`` by default: several are computed
+    in one go, as the same pairs are wanted. Ids are numbers that don't repeat within a key. Rows take part as in
+    :func:`top_k`, if all their vectors do. A key's rows are cut into blocks of some ``PAIR_ROWS`` and each two of
+    them meet in one group, so that tasks are alike however the keys' sizes differ.
+    """
+    vecs = vecs or {"sim": "feat"}
+    for vec in vecs.values():
+        df = _taking_part(df, vec, "id")
+    parts, at, every = unused(df.columns, "parts", "at", "every")
+    if keys:
+        sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PAIR_ROWS).cast("int").alias(parts))
+        df = df.join(broadcast_if_small(materialize(sizes)), list(keys))
+    else:
+        df = df.withColumn(parts, F.lit(max(1, -(-df.count() // PAIR_ROWS))))
+    df = df.withColumn(at, F.pmod(F.xxhash64("id"), F.col(parts)).cast("int"))
+    met = df.withColumn(every, F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
+    rows = met.select(
+        F.col("id").cast("long").alias("id"), *[F.col(c).alias(f"vec{k}") for k, c in enumerate(vecs.values())],
+        F.least(at, every).alias("part"), F.greatest(at, every).alias("side"), (F.col(at) > F.col(every)).alias("second"),
+        *[F.col(c).alias(held) for c, held in zip(keys, _inner(keys))],
+    )
+    schema = "a long, b long" + "".join(f", sim{k} double" for k in range(len(vecs))) + _key_schema(df, keys)
+    made = rows.groupBy(*_inner(keys), "part", "side").applyInPandas(partial(_block_pairs, digits=digits, n=len(vecs), keys=keys), schema)
+    return made.withColumnsRenamed({f"sim{k}": name for k, name in enumerate(vecs)})
 
 
-def pair_similarities(df: DataFrame, digits: int = DIGITS, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``(a, b, sim[, *keys])`` of all pairs a < b of ``(id, feat)``; quadratic by its meaning, for some thousand rows."""
-    sides = [df.select(F.col("id").alias(c), "feat", *keys) for c in ("query_id", "ref_id")]
-    blocks = _dealt(*sides, "feat", [], keys=keys).groupBy(*_inner(keys), "part", "side")
-    return blocks.applyInPandas(partial(_block_pairs, digits=digits, keys=keys), "a long, b long, sim double" + _key_schema(df, keys))
+def _halved(cuts: Column, value: Column, n: Column, step: Column) -> Column:
+    """One step of a search by halves."""
+    return F.when(F.get(cuts, n + step - 1) < value, n + step).otherwise(n)
 
 
-def _less(df: DataFrame, value: str, keys: tuple[str, ...], ranges: int) -> tuple[DataFrame, str, str, str]:
-    """Distinct values of each key, their counts and how many rows are less; and the names of these three columns.
+class _Ranges:
+    """The values of some columns of a written table, cut into ranges for each key.
 
-    Values are counted by ranges between approximate quantiles, so that those that bunch are dealt evenly: what is
-    less is the running sum of the ranges and that inside a range. No window spans more than a range, or the ranges of a key.
+    The cuts are approximate quantiles. A value that is a cut is a range of its own, so that one that very many rows
+    have takes no sorting; what lies between two cuts is a small share of a key's rows whatever the values are.
     """
-    val, n, less, cuts, at, size, before = unused(list(keys), "value", "n", "less", "cuts", "range", "size", "before")
-    counts = df.groupBy(*keys, F.col(value).alias(val)).agg(F.count(F.lit(1)).alias(n))
-    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    edges = counts.groupBy(*keys).agg(F.percentile_approx(val, shares, 10 * ranges).alias(cuts))  # one row a key
-    both = counts.join(edges, list(keys)) if keys else counts.join(F.broadcast(edges), F.lit(True))
-    counts = both.select(*keys, val, n, F.size(F.filter(cuts, lambda c: c < F.col(val))).alias(at))
-    sizes = counts.groupBy(*keys, at).agg(F.sum(n).alias(size))  # at most ``ranges`` rows a key
-    upto = F.sum(size).over(Window.partitionBy(*keys).orderBy(at))
-    sizes = sizes.select(*keys, at, (upto - F.col(size)).alias(before))
-    inside = F.sum(n).over(Window.partitionBy(*keys, at).orderBy(val)) - F.col(n)
-    placed = counts.withColumn(less, inside).join(sizes, [*keys, at])
-    return placed.select(*keys, val, n, (F.col(before) + F.col(less)).alias(less)), val, n, less
+
+    def __init__(self, table: DataFrame, values: list[str], keys: tuple[str, ...], ranges: int):
+        self.values, self.keys = values, keys
+        names = unused([*table.columns, *keys], *[f"{what}{i}" for i in range(len(values)) for what in ("cuts", "range", "told", "before", "upto", "total")], "n", "sizes", "salt")
+        cuts, self.at, self.told, self._before, self._upto, self._total = (names[i:-3:6] for i in range(6))
+        self.salt = names[-1]
+        shares = F.expr(f"array({', '.join(f'{i / ranges}D' for i in range(1, ranges))})")
+        wanted = [F.array_sort(F.array_distinct(F.percentile_approx(v, shares, 10 * ranges))).alias(c) for v, c in zip(values, cuts)]
+        edges = materialize(table.groupBy(*keys).agg(*wanted))  # one row a key
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range((ranges - 1).bit_length()))])
+        spread = F.pmod(F.xxhash64(*values, F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(ranges))
+        rows = self._with(table, edges, ranges).withColumn(self.salt, spread)
+        for v, c, r in zip(values, cuts, self.at):
+            # by halves: how many cuts are less
+            rows = rows.withColumn(r, F.aggregate(steps, F.lit(0), partial(_halved, F.col(c), F.col(v))))
+            rows = rows.withColumn(r, 2 * F.col(r) + F.when(F.get(F.col(c), F.col(r)) == F.col(v), 1).otherwise(0))
+        rows = rows.drop(*cuts)
+        told, (n, held) = None, names[-3:-1]
+        for r, t in zip(self.at, self.told):
+            sizes = rows.groupBy(*keys, r).agg(F.count(F.lit(1)).alias(n))  # at most twice the ranges a key
+            placed = F.map_from_entries(F.collect_list(F.struct(F.col(r), F.col(n))))
+            counts = F.transform(F.sequence(F.lit(0), F.lit(2 * ranges)), lambda i: F.coalesce(F.try_element_at(F.col(held), i), F.lit(0).cast("long")))
+            sums = F.aggregate(counts, F.array(F.lit(0).cast("long")), lambda s, more: F.concat(s, F.array(F.element_at(s, -1) + more)))
+            one = sizes.groupBy(*keys).agg(placed.alias(held)).select(*keys, sums.alias(t))
+            told = one if told is None else (told.join(one, list(keys)) if keys else told.join(F.broadcast(one), F.lit(True)))
+        rows = self._with(rows, materialize(told), ranges)
+        for at, t, before, upto, total in zip(self.at, self.told, self._before, self._upto, self._total):
+            sums = F.col(t)
+            rows = rows.withColumns({before: F.get(sums, F.col(at)), upto: F.get(sums, F.col(at) + 1), total: F.element_at(sums, -1)})
+        self.rows = rows.drop(*self.told)  # before rows are shuffled
+
+    def _with(self, rows: DataFrame, told: DataFrame, ranges: int) -> DataFrame:
+        """``rows`` and what is told of their key, with arrays of ``ranges`` elements for each value."""
+        if not self.keys:
+            return rows.join(F.broadcast(told), F.lit(True))  # one row
+        return rows.join(broadcast_if_small(told, held=told.count() * ranges * len(self.values)), list(self.keys))
+
+    def before(self, i: int) -> Column:
+        """Rows of lower ranges than a row's."""
+        return F.col(self._before[i])
+
+    def upto(self, i: int) -> Column:
+        return F.col(self._upto[i])
+
+    def total(self, i: int) -> Column:
+        return F.col(self._total[i])
+
+    def placed(self, rows: DataFrame, i: int, less: str, same: str) -> DataFrame:
+        """``rows`` with the number of rows whose value ``i`` is less, and of those that share it. Only ranges between cuts are sorted."""
+        cut = F.col(self.at[i]) % 2 == 1
+        group = [*self.keys, F.col(self.at[i]), F.when(cut, F.col(self.salt)).otherwise(0)]
+        value = F.col(self.values[i])
+        order = F.rank().over(Window.partitionBy(*group).orderBy(value))
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
+        lower = F.when(cut, self.before(i)).otherwise(self.before(i) + order - 1)
+        return rows.withColumns({less: lower, same: F.when(cut, self.upto(i) - self.before(i)).otherwise(ties)})
+
+    def drop(self, rows: DataFrame) -> DataFrame:
+        return rows.drop(*self.at, *self._before, *self._upto, *self._total, self.salt)
 
 
 def average_ranks(df: DataFrame, value: str, out: str, ranges: int = 256, keys: tuple[str, ...] = ()) -> DataFrame:
     """``df`` and the rank of ``value`` over all rows of equal ``keys``, ties at their mean, without a global window."""
-    counted, val, n, less = _less(df, value, keys, ranges)
-    names = unused(df.columns, "value", *[f"key{i}" for i in range(len(keys))])
-    rank = F.col(less) + (F.col(n) + 1) / 2
-    ranked = counted.select(F.col(val).alias(names[0]), *[F.col(c).alias(i) for c, i in zip(keys, names[1:])], rank.alias(out))
-    same = df[value] == ranked[names[0]]
-    for c, i in zip(keys, names[1:]):
-        same &= df[c] == ranked[i]
-    return df.join(ranked, same).drop(*names)
+    return ranks_of(df, {value: out}, ranges, keys)
+
+
+def ranks_of(df: DataFrame, values: dict[str, str], ranges: int = 256, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` and, for each of ``values`` (column: name of its rank), what :func:`average_ranks` gives.
+
+    Rows with a null value or key go. The input is written once; then each column costs one shuffle, and no window
+    spans more than a range of values.
+    """
+    less, same = unused([*df.columns, *values.values()], "less", "same")
+    told = [F.col(c).isNotNull() for c in (*values, *keys)]
+    cut = _Ranges(materialize(df.where(reduce(lambda a, b: a & b, told))), list(values), keys, ranges)
+    rows = cut.rows
+    for i, out in enumerate(values.values()):
+        rows = cut.placed(rows, i, less, same).withColumn(out, F.col(less) + (F.col(same) + 1) / 2).drop(less, same)
+    return cut.drop(rows)
 
 
 def quantiles(df: DataFrame, value: str, shares: dict[str, float], keys: tuple[str, ...] = (), ranges: int = 256) -> DataFrame:
     """``(*keys, *shares)``: exact quantiles of the values that are not null, linear between two rows; none gives nulls.
 
-    Unlike the built-in percentile no task holds all distinct values of a key.
+    Only the ranges of values that hold a wanted place are sorted, and no task holds all values of a key.
     """
-    counted, val, n, less = _less(df.where(F.col(value).isNotNull()), value, keys, ranges)
-    (total,) = unused(counted.columns, "total")
-    totals = counted.groupBy(*keys).agg(F.sum(n).alias(total))  # one row a key
-    both = counted.join(totals, list(keys)) if keys else counted.join(F.broadcast(totals), F.lit(True))
+    less, same = unused([value, *keys], "less", "same")
+    cut = _Ranges(materialize(df.where(F.col(value).isNotNull()).select(*keys, value)), [value], keys, ranges)
+    places = {name: F.lit(float(share)) * (cut.total(0) - 1) for name, share in shares.items()}
+    ends = [f(p) for p in places.values() for f in (F.floor, F.ceil)]
+    near = F.exists(F.array(*ends), lambda p: (cut.before(0) <= p) & (p < cut.upto(0)))
+    rows = cut.placed(cut.rows.where(near), 0, less, same)
 
     def at(place: Column) -> Column:
-        return F.max(F.when((F.col(less) <= place) & (place < F.col(less) + F.col(n)), F.col(val)))
+        return F.max(F.when((F.col(less) <= place) & (place < F.col(less) + F.col(same)), F.col(value)))
 
-    cuts = []
-    for name, share in shares.items():
-        place = F.lit(float(share)) * (F.col(total) - 1)
+    found = []
+    for name, place in places.items():
         low, high = at(F.floor(place)), at(F.ceil(place))
-        cuts.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
-    return both.groupBy(*keys).agg(*cuts)
+        found.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return rows.groupBy(*keys).agg(*found)

@@ -356,6 +356,37 @@ def knn_topk(spark, sf_dir):
     return top_k(*_asked_and_bank(spark, sf_dir), 11, skip_self=True)
 
 
+_SQL_ODD = """e AS (SELECT vec_id, CASE WHEN vec_id % 11 = 5 THEN NULL WHEN vec_id % 7 = 3 THEN list_concat([CAST('nan' AS DOUBLE)], CAST(embedding[2:] AS DOUBLE[]))
+  WHEN vec_id % 13 = 8 THEN list_concat([NULL], CAST(embedding[2:] AS DOUBLE[])) WHEN vec_id % 17 = 2 THEN list_concat([CAST('-inf' AS DOUBLE)], CAST(embedding[2:] AS DOUBLE[]))
+  ELSE CAST(embedding AS DOUBLE[]) END AS f FROM embeddings),
+ok AS (SELECT * FROM e WHERE f IS NOT NULL AND f[1] IS NOT NULL AND isfinite(f[1]))"""
+
+
+def _odd_vectors(spark, sf_dir) -> DataFrame:
+    e, first = _t(spark, sf_dir, "embeddings"), F.transform("embedding", lambda x: x.cast("double"))
+    starts = lambda x: F.concat(F.array(x), F.slice(first, 2, 63))
+    i = F.col("vec_id")
+    feat = F.when(i % 11 == 5, F.lit(None)).when(i % 7 == 3, starts(F.lit(float("nan")))).when(i % 13 == 8, starts(F.lit(None).cast("double")))
+    return e.select("vec_id", feat.when(i % 17 == 2, starts(F.lit(float("-inf")))).otherwise(first).alias("feat"))
+
+
+@_query(f"""WITH {_SQL_ODD}, s AS (SELECT q.vec_id AS query_id, b.vec_id AS ref_id, round(list_inner_product(q.f, b.f), 9) AS sim FROM ok q, ok b WHERE q.vec_id % 20 = 0 AND b.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, ref_id) AS INT) AS rank, ref_id, sim FROM s QUALIFY rank <= 5""")
+def knn_odd_vectors(spark, sf_dir):
+    """Vectors that are null or hold a null, NaN or infinite component take no part."""
+    e = _odd_vectors(spark, sf_dir)
+    return top_k(e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "ref_id"), 5, skip_self=True)
+
+
+@_query(f"""WITH {_SQL_ODD}, s AS (SELECT q.vec_id AS query_id, b.vec_id AS ref_id, round(list_distance(q.f, b.f), 9) AS d1 FROM ok q, ok b WHERE q.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+k AS (SELECT *, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY query_id ORDER BY d1, ref_id) QUALIFY n <= 2),
+t AS (SELECT *, lead(d1) OVER (PARTITION BY query_id ORDER BY n) AS d2 FROM k) SELECT query_id, ref_id, d1, d2 FROM t WHERE n = 1 AND d1 < 0.97 * d2""")
+def ratio_odd_vectors(spark, sf_dir):
+    """J14 over the same vectors."""
+    e = _odd_vectors(spark, sf_dir)
+    return localize.ratio_matches(e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "query_id"), e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "ref_id"), ratio=0.97)
+
+
 @_query(f"WITH {_SQL_KNN} SELECT * FROM v")
 def knn_label_votes(spark, sf_dir):
     """A5 per query."""
