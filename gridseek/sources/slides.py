@@ -45,31 +45,69 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").partitionBy("slide_id", "level").parquet(path)
 
 
-def _stitch(rows: pd.DataFrame, chunk: int, keys: list[str], schema_names: list[str]) -> pd.DataFrame:
+_PIECE = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), T.StructField("image", IMAGE)])
+
+
+def _pasted(size: tuple[int, int], pieces: list[dict]) -> np.ndarray:
+    """Pieces at their places on a black image."""
+    out = np.zeros((*size, 3), np.uint8)
+    for p in pieces:
+        part = decode(p["image"])
+        out[p["y"] : p["y"] + part.shape[0], p["x"] : p["x"] + part.shape[1]] = part
+    return out
+
+
+def _pieces(chunk: int):
+    """What a read takes from a chunk, and where it goes; a read of one chunk is whole then, with black around it."""
+
+    @F.pandas_udf(_PIECE)
+    def cut(reads: pd.DataFrame, images: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r, i in zip(reads.to_dict("records"), images.to_dict("records")):
+            top, left, empty = r["ty"] * chunk - r["py"], r["tx"] * chunk - r["px"], i["data"] is None
+            pixels = np.zeros((0, 0, 3), np.uint8) if empty else decode(i)
+            part = pixels[max(-top, 0) : max(r["ph"] - top, 0), max(-left, 0) : max(r["pw"] - left, 0)]
+            place = (max(top, 0), max(left, 0))
+            if r["whole"]:
+                held = [] if not part.size else [{"y": place[0], "x": place[1], "image": encode_row(part)}]
+                part, place = _pasted((r["ph"], r["pw"]), held), (0, 0)
+            out.append({"y": place[0], "x": place[1], "image": encode_row(part) if part.size or r["whole"] else None})
+        return pd.DataFrame(out, columns=_PIECE.names)
+
+    return cut
+
+
+def _stitch(rows: pd.DataFrame) -> pd.DataFrame:
     first = rows.iloc[0]
-    x, y, w, h = (int(first[c]) for c in ("px", "py", "pw", "ph"))
-    out = np.zeros((h, w, 3), np.uint8)
-    for r in rows.to_dict("records"):
-        if r["image"] is None or r["image"]["data"] is None:
-            continue
-        part, top, left = decode(r["image"]), r["ty"] * chunk - y, r["tx"] * chunk - x
-        y0, x0, y1, x1 = max(top, 0), max(left, 0), min(top + part.shape[0], h), min(left + part.shape[1], w)
-        if y1 > y0 and x1 > x0:
-            out[y0:y1, x0:x1] = part[y0 - top : y1 - top, x0 - left : x1 - left]
-    return pd.DataFrame([{**{k: first[k] for k in keys}, "image": encode_row(out)}], columns=schema_names)
+    pieces = [p for p in rows["piece"] if p is not None and p["image"] is not None]
+    return pd.DataFrame([{"read_id": first["read_id"], "image": encode_row(_pasted((int(first["ph"]), int(first["pw"])), pieces))}])
 
 
 def read_regions(chunks: DataFrame, asked: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``(read_id, image)`` of rectangles ``(read_id, slide_id, level, px, py, pw, ph)`` in the level's pixels (SRC2, X12).
 
-    Pixels outside the slide are black. Each rectangle meets only the chunks it touches.
+    Pixels outside the slide are black; rectangles without pixels give empty images. Each rectangle meets only
+    the chunks that it touches. What it takes is cut where the chunk is, so that a rectangle inside one chunk, such
+    as an aligned tile, is ready there and of the others only their own pixels are shuffled.
     """
-    span = lambda a, n: F.explode(F.sequence(F.floor(F.col(a) / chunk).cast("int"), F.floor((F.col(a) + F.col(n) - 1) / chunk).cast("int")))
-    cells = asked.withColumn("ty", span("py", "ph")).withColumn("tx", span("px", "pw"))
-    parts = cells.join(chunks, ["slide_id", "level", "ty", "tx"], "left")
+    low, high = ((lambda a, n, e=e: F.floor((F.col(a) + (F.col(n) - 1) * e) / chunk).cast("int")) for e in (0, 1))
+    span = lambda a, n: F.sequence(low(a, n), F.greatest(low(a, n), high(a, n)))
+    both = asked.withColumns({"tys": span("py", "ph"), "txs": span("px", "pw")})
+    cells = both.withColumn("whole", F.size("tys") * F.size("txs") == 1).withColumn("ty", F.explode("tys")).withColumn("tx", F.explode("txs"))
+    parts = cells.join(chunks.select("slide_id", "level", "ty", "tx", "image"), ["slide_id", "level", "ty", "tx"], "left")
+    asks = F.struct(*[F.col(c).cast("long").alias(c) for c in ("px", "py", "pw", "ph", "ty", "tx")], "whole")
+    cut = parts.select("read_id", "pw", "ph", "whole", _pieces(chunk)(asks, "image").alias("piece"))
+    whole = cut.where("whole").select(F.col("read_id").cast("long").alias("read_id"), "piece.image")
     schema = T.StructType([T.StructField("read_id", T.LongType()), T.StructField("image", IMAGE)])
-    stitch = partial(_stitch, chunk=chunk, keys=["read_id"], schema_names=schema.names)
-    return parts.select("read_id", "px", "py", "pw", "ph", "ty", "tx", "image").groupBy("read_id").applyInPandas(stitch, schema)
+    return whole.union(cut.where("NOT whole").groupBy("read_id").applyInPandas(_stitch, schema))
+
+
+def whole_levels(chunks: DataFrame, levels: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``(slide_id, level, image)`` of whole levels of moderate size, ``(slide_id, level, width, height)`` (SRC3)."""
+    number = F.col("slide_id").cast("long") * 256 + F.col("level")  # fewer than 256 levels
+    asked = levels.select(number.alias("read_id"), "slide_id", "level", F.lit(0).alias("px"), F.lit(0).alias("py"), F.col("width").alias("pw"), F.col("height").alias("ph"))
+    read = read_regions(chunks, asked, chunk)
+    return read.select(F.floor(F.col("read_id") / 256).alias("slide_id"), (F.col("read_id") % 256).cast("int").alias("level"), "image")
 
 
 def level0_reads(asked: DataFrame, levels: DataFrame) -> DataFrame:
