@@ -7,8 +7,9 @@ the prefix before it. An automaton finds the tokens that end at each place, a ta
 each prefix, and the ids are read off backwards from the end of the text. Time and memory are linear in the
 text, however long a word is, as no queue of merges is kept.
 
-Where no piece of a model has a space mark after another character, no merge crosses such a place. Texts are
-cut there and the ids of short parts are remembered, as words recur.
+No merge crosses a place between two characters that stand side by side in no piece. Texts are cut at such
+places, as far as the model has them: before space marks, and between letters and other characters. The ids of
+short parts are remembered, as words recur.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ import hashlib
 import math
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
-import ahocorasick
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import Column, DataFrame
@@ -66,16 +68,72 @@ class Encoder:
             self.ids[c] = len(self.pieces)
             self.pieces.append(c)
         self.sizes = [len(p) for p in self.pieces]
-        self.automaton = ahocorasick.Automaton()
-        for piece, i in self.ids.items():
-            self.automaton.add_word(piece, i)
-        self.automaton.make_automaton()
-        cut = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.parts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if cut else "(?s:.+)").findall
+        self._link()
+        self.parts = re.compile(self._cuts()).findall
         self.known: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
         self.made: dict[int, list[tuple[float, str, str]] | None] = {}
 
+    def _link(self) -> None:
+        """The automaton: a state for each start of a token, whose tokens are those that end there, the longest first."""
+        self.steps: list[dict[str, int]] = [{}]
+        ends: list[int | None] = [None]
+        for piece, i in self.ids.items():
+            state = 0
+            for c in piece:
+                if c not in self.steps[state]:
+                    self.steps[state][c] = len(self.steps)
+                    self.steps.append({})
+                    ends.append(None)
+                state = self.steps[state][c]
+            ends[state] = i
+        self.shorter = [0] * len(self.steps)  # the state of the longest other end of the same text
+        self.tokens: list[tuple[tuple[int, int], ...]] = [()] * len(self.steps)
+        row = [0]
+        for state in row:
+            row += self.steps[state].values()
+            if ends[state] is not None:
+                self.tokens[state] = ((ends[state], self.sizes[ends[state]]),)
+            if state:
+                self.tokens[state] += self.tokens[self.shorter[state]]
+            for c, after in self.steps[state].items():
+                self.shorter[after] = self._step(self.shorter[state], c) if state else 0
+        self.jumps = 0
+
+    def _step(self, state: int, c: str) -> int:
+        while c not in self.steps[state] and state:
+            state = self.shorter[state]
+        return self.steps[state].get(c, 0)
+
+    def _jump(self, state: int, c: str) -> int:
+        """A step that no token has, which is remembered."""
+        after = self._step(state, c)
+        if after and self.jumps < PAIRS:
+            self.steps[state][c] = after
+            self.jumps += 1
+        return after
+
+    def _cuts(self) -> str:
+        """A pattern of parts: runs of the largest group of characters that pieces join, or of others, after space marks."""
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            return "(?s:.+)"
+        group = {c: c for p in self.ids for c in p}
+
+        def top(c: str) -> str:
+            while group[c] != c:
+                group[c] = c = group[group[c]]
+            return c
+
+        for p in self.ids:
+            bare = p.lstrip(SPACE)
+            for a, b in zip(bare, bare[1:]):
+                group[top(a)] = top(b)
+        most = Counter(top(c) for c in group if c != SPACE).most_common(1)
+        if not most:
+            return "(?s:.+)"
+        own = re.escape("".join(sorted(c for c in group if c != SPACE and top(c) == most[0][0])))
+        return f"{SPACE}*[{own}]+|{SPACE}*[^{own}{SPACE}]+|{SPACE}+"
+
     def merges(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
         """What is left of a short text by the model's rule, the best score first and of equal ones the leftmost, and its
         merges: the score of each, and the first and the last symbol after it."""
@@ -128,16 +186,20 @@ class Encoder:
                 begin, j = right[j][1], j + 1
 
     def _part(self, text: str) -> tuple[int, ...]:
-        last = array("i", [-1]) * (len(text) + 1)  # -1 at the start and after a character that no piece has
-        sizes, tested, width = self.sizes, self.pairs.get, len(self.pieces)
-        for at, token in self.automaton.iter(text):
-            at += 1
-            if last[at] < 0:
-                before = last[at - sizes[token]]
+        # -1 at the start and after a character that no piece has
+        last = [-1] * (len(text) + 1) if len(text) < 1000 else array("i", [-1]) * (len(text) + 1)
+        steps, tokens, tested, width, state = self.steps, self.tokens, self.pairs.get, len(self.pieces), 0
+        for at, c in enumerate(text, 1):
+            after = steps[state].get(c)
+            state = self._jump(state, c) if after is None else after
+            for token, size in tokens[state]:
+                before = last[at - size]
                 fits = tested(before * width + token)
                 if fits or (fits is None and self.compatible(before, token)):
                     last[at] = token
-        out, at = array("i"), len(text)
+                    break
+        sizes = self.sizes
+        out, at = [] if len(text) < 1000 else array("i"), len(text)
         while at:
             token = last[at]
             if 0 <= token < len(self.scores):
@@ -149,9 +211,9 @@ class Encoder:
         out.reverse()
         return tuple(out)
 
-    def encode(self, text: str) -> array:
+    def encode(self, text: str) -> list[int]:
         """Ids of a whole text, without begin or end ids; an empty text has none."""
-        out = array("i")
+        out: list[int] = []
         if not text:
             return out
         known = self.known
@@ -163,7 +225,7 @@ class Encoder:
                     if len(known) >= PARTS:
                         known.clear()
                     known[part] = ids
-            out.extend(ids)
+            out += ids
         return out
 
 
@@ -197,8 +259,11 @@ def coded(docs: DataFrame, model_path: str, text: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder, library = _ready(shared.value)
         for texts in batches:
-            ids = [encoder.encode(t) for t in texts]
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([library.decode(i.tolist()) if i else "" for i in ids], dtype=object)})
+            rows = []
+            for text in texts:
+                ids = encoder.encode(text)
+                rows.append((np.array(ids, dtype=np.int32), library.decode(ids) if ids else ""))
+            yield pd.DataFrame(rows, columns=_CODED.names, dtype=object)
 
     return run(F.coalesce(text, F.lit("")))
 

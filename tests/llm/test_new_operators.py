@@ -185,9 +185,20 @@ def test_pieces_as_the_library(coder):
     for k in range(4000):
         sign = draw.choice(signs)
         text = "".join(draw.choice(sign) for _ in range(draw.randint(0, 60))) if k % 2 else "".join(draw.choice(known) for _ in range(draw.randint(1, 8))).replace("▁", draw.choice([" ", "▁", ""]))
-        assert mine.encode(text).tolist() == library.encode(text), repr(text)
+        assert mine.encode(text) == library.encode(text), repr(text)
     for text in ("a" * 50_000, " " * 50_001, "ab" * 30_000, "\U0001f9ff" * 20_000, "x" * 30 + "\n" + "y" * 30):
-        assert mine.encode(text).tolist() == library.encode(text)
+        assert mine.encode(text) == library.encode(text)
+
+
+def test_pieces_cuts(coder):
+    mine, _ = coder
+    side_by_side = {p[i : i + 2] for p in mine.ids for i in range(len(p) - 1)}
+    draw = random.Random(8)
+    for _ in range(2000):
+        text = "".join(draw.choice("▁▁▁abZé9.\n☃\U0001f600字語ж") for _ in range(30))
+        parts = mine.parts(text)
+        assert "".join(parts) == text and all(a[-1] + b[0] not in side_by_side for a, b in zip(parts, parts[1:]))
+        assert len(parts) > 1
 
 
 def test_pieces_compatible_is_the_merge(coder):
@@ -216,7 +227,7 @@ def test_pieces_forget(spark, monkeypatch, coder):
     with open(MODEL, "rb") as file:
         mine = pieces.Encoder(file.read())
     text = "a long text of several words, which are forgotten at once " * 3
-    assert mine.encode(text).tolist() == library.encode(text) and len(mine.known) <= 3 and len(mine.pairs) <= 3
+    assert mine.encode(text) == library.encode(text) and len(mine.known) <= 3 and len(mine.pairs) <= 3
 
 
 def test_pieces_odd(spark, coder):
