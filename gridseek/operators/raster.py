@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseek.operators.components import connected_components
+from gridseek.plans.durable import unused
 
 
 def _keys(slide: str | None) -> list[str]:
@@ -156,19 +157,35 @@ def otsu_mask(pixels: DataFrame, value: str = "g", black: int = 20, slide: str |
 def row_runs(mask: DataFrame, slide: str | None = None) -> DataFrame:
     """Runs ``([slide,] y, x0, x1, run)`` of true cells in rows; ``run`` is unique."""
     by = _keys(slide)
+    (island,) = unused([*mask.columns, "x0", "x1"], "island")
     order = Window.partitionBy(*by, "y").orderBy("x")
-    island = mask.select(*by, "y", "x").distinct().withColumn("__i", F.col("x") - F.row_number().over(order))
-    runs = island.groupBy(*by, "y", "__i").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    found = mask.select(*by, "y", "x").distinct().withColumn(island, F.col("x") - F.row_number().over(order))
+    return _numbered(found.groupBy(*by, "y", island).agg(F.min("x").alias("x0"), F.max("x").alias("x1")), slide)
+
+
+def _numbered(runs: DataFrame, slide: str | None) -> DataFrame:
     y = F.col("y").cast("long")
     run = F.col(slide).cast("long") * (1 << 42) + y * (1 << 21) if slide else y * (1 << 31)
-    return runs.select(*by, "y", "x0", "x1", (run + F.col("x0")).alias("run"))
+    return runs.select(*_keys(slide), "y", "x0", "x1", (run + F.col("x0")).alias("run"))
 
 
 def components(mask: DataFrame, slide: str | None = None) -> DataFrame:
     """``([slide,] y, x0, x1, label)``: runs and their 8-connected component, labelled by its first run."""
-    by, runs = _keys(slide), row_runs(mask, slide)
-    below = runs.select(*by, (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("below"))
-    edges = runs.join(below, [*by, "y"]).where("b0 <= x1 + 1 AND b1 >= x0 - 1").select(F.col("run").alias("src"), F.col("below").alias("dst"))
+    return run_components(row_runs(mask, slide), slide)
+
+
+def run_components(runs: DataFrame, slide: str | None = None, block: int = 1024) -> DataFrame:
+    """:func:`components` of a mask that is given as maximal runs ``([slide,] y, x0, x1)``.
+
+    Runs of adjacent rows meet by blocks of columns, the pair in the block where they begin to touch.
+    """
+    by, runs = _keys(slide), _numbered(runs, slide)
+    blocks = lambda a, b: F.explode(F.sequence(F.floor(a / block).cast("int"), F.floor(b / block).cast("int")))
+    above = runs.select(*by, "y", "run", (F.col("x0") - 1).alias("a0"), (F.col("x1") + 1).alias("a1"))
+    above = above.withColumn("block", blocks(F.col("a0"), F.col("a1")))
+    below = runs.select(*by, (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("below"), blocks(F.col("x0"), F.col("x1")).alias("block"))
+    touch = (F.col("b0") <= F.col("a1")) & (F.col("b1") >= F.col("a0")) & (F.floor(F.greatest("a0", "b0") / block) == F.col("block"))
+    edges = above.join(below, [*by, "y", "block"]).where(touch).select(F.col("run").alias("src"), F.col("below").alias("dst"))
     roots = connected_components(edges)
     return runs.join(roots, runs["run"] == roots["node"], "left").select(*by, "y", "x0", "x1", F.coalesce("component", "run").alias("label"))
 
@@ -179,8 +196,13 @@ def region_boxes(mask: DataFrame, ds_x: float | Column, ds_y: float | Column, mi
     Components are numbered by their first row and column, those of each slide from 0; coordinates and sizes
     are cut separately. Where slides have their own scales they are columns of ``scales``, one row a slide.
     """
+    return run_boxes(row_runs(mask, slide), ds_x, ds_y, min_area, slide, scales)
+
+
+def run_boxes(runs: DataFrame, ds_x: float | Column, ds_y: float | Column, min_area: int = 100, slide: str | None = None, scales: DataFrame | None = None) -> DataFrame:
+    """:func:`region_boxes` of a mask that is given as maximal runs."""
     by = _keys(slide)
-    boxes = components(mask, slide).groupBy(*by, "label").agg(
+    boxes = run_components(runs, slide).groupBy(*by, "label").agg(
         F.sum(F.col("x1") - F.col("x0") + 1).alias("area"),
         F.min("x0").alias("l"), F.min("y").alias("t"), (F.max("x1") - F.min("x0") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"),
     ).where(F.col("area") >= min_area)

@@ -8,14 +8,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridseek.functions.image import decode
 from gridseek.operators.levels import best_level
-from gridseek.operators.raster import close_open, hsv_mask, otsu_mask, region_boxes
+from gridseek.operators.raster import close_open, hsv_mask, otsu_mask, run_boxes
+from gridseek.operators.runs import cells, merged
 from gridseek.operators.tiling import halo_tiles, tile_plan
+from gridseek.plans.durable import materialize
 from gridseek.sources.slides import CHUNK, read_regions
 
+#: Pixels of a part that a segmenter sees at once.
+PART_PIXELS = 1 << 24
+
 
 def tissue_cells(pixels: DataFrame, width, height, method: str = "hsv", radius: int = 3, slide: str | None = None) -> DataFrame:
     """True cells of pixel rows ``([slide,] y, x, r, g, b)`` by a threshold, closed and opened (M6, M7).
@@ -23,11 +27,11 @@ def tissue_cells(pixels: DataFrame, width, height, method: str = "hsv", radius:
     ``method`` is ``hsv``, or ``otsu`` of the pixels' gray values. Sizes are numbers or columns of the pixels.
     """
     if method == "hsv":
-        cells = hsv_mask(pixels, slide)
+        mask = hsv_mask(pixels, slide)
     else:
         gray = F.round(0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")).cast("int")
-        cells = otsu_mask(pixels.withColumn("g", gray), slide=slide)
-    return close_open(cells, width, height, radius)
+        mask = otsu_mask(pixels.withColumn("g", gray), slide=slide)
+    return close_open(mask, width, height, radius)
 
 
 def hsv_segmenter(pixels: np.ndarray, radius: int = 3) -> np.ndarray:
@@ -46,12 +50,24 @@ def hsv_segmenter(pixels: np.ndarray, radius: int = 3) -> np.ndarray:
     return slid(slid(slid(slid(mask, True), False), False), True)
 
 
-def segmented(chunks: DataFrame, images: DataFrame, method: Callable[[np.ndarray], np.ndarray] = hsv_segmenter, budget: int | None = None, halo: int = 128, chunk: int = CHUNK) -> DataFrame:
-    """``(slide_id, y, x)``: true cells of whole levels ``(slide_id, level, width, height)`` by a segmenter.
+def _core_runs(mask: np.ndarray, y: int, x: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and ends of the runs of a mask whose first cell is at ``(y, x)``."""
+    edge = np.zeros((mask.shape[0], mask.shape[1] + 2), dtype=np.int8)
+    edge[:, 1:-1] = mask
+    step = np.diff(edge, axis=1)
+    row, first = np.nonzero(step > 0)
+    return row + y, first + x, np.nonzero(step < 0)[1] - 1 + x
+
+
+def segmented_runs(
+    chunks: DataFrame, images: DataFrame, method: Callable[[np.ndarray], np.ndarray] = hsv_segmenter, budget: int | None = PART_PIXELS, halo: int = 128, chunk: int = CHUNK
+) -> DataFrame:
+    """``(slide_id, y, x0, x1)``: maximal runs of true cells of levels ``(slide_id, level, width, height)`` by a segmenter.
 
-    ``method`` maps an image to a mask of its size; of class numbers pass those that are equal to the class.
-    With a ``budget`` of pixels a level is cut into parts, each read with a halo that is trimmed again; the last
-    parts take what is left over. Without one a level is one image in one task.
+    ``method`` maps an image to a mask of its size; of class numbers pass those that are equal to the class. A level
+    of more than ``budget`` pixels is cut into parts, each read with a halo that is trimmed again; the last parts
+    take what is left over. With None a level is one image in one task, for methods that have to see all of it. A
+    part gives its runs; those that parts cut are joined again.
     """
     sized = images.select("slide_id", "level", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"))
     planned = sized.withColumns({"n_h": F.lit(1), "n_w": F.lit(1)}) if budget is None else tile_plan(sized, budget)
@@ -61,22 +77,27 @@ def segmented(chunks: DataFrame, images: DataFrame, method: Callable[[np.ndarray
     asked = parts.select(
         "read_id", "slide_id", "level", F.col("wx0").alias("px"), F.col("wy0").alias("py"), (F.col("wx1") - F.col("wx0")).alias("pw"), (F.col("wy1") - F.col("wy0")).alias("ph")
     )
-    cells = T.ArrayType(T.StructType([T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType())]))
-
-    @F.pandas_udf(cells)
-    def found(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.Series]:
-        for pictures, places in batches:
-            out = []
-            for picture, p in zip(pictures.to_dict("records"), places.to_dict("records")):
-                mask = np.asarray(method(decode(picture)), dtype=bool)
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                p = r["place"]
+                mask = np.asarray(method(decode(r["image"])), dtype=bool)
                 core = mask[p["y0"] - p["wy0"] : p["y1"] - p["wy0"], p["x0"] - p["wx0"] : p["x1"] - p["wx0"]]
-                y, x = np.nonzero(core)
-                out.append([{"y": a, "x": b} for a, b in zip((y + p["y0"]).tolist(), (x + p["x0"]).tolist())])
-            yield pd.Series(out, dtype="object")
+                y, first, last = _core_runs(core, p["y0"], p["x0"])
+                yield pd.DataFrame({"slide_id": r["slide_id"], "y": y, "x0": first, "x1": last})
 
     place = F.struct("y0", "y1", "x0", "x1", "wy0", "wx0")
     both = read_regions(chunks, asked, chunk).join(parts.select("read_id", "slide_id", place.alias("place")), "read_id")
-    return both.select("slide_id", F.explode(found("image", "place")).alias("cell")).select("slide_id", "cell.y", "cell.x")
+    kind = images.schema["slide_id"].dataType.simpleString()
+    return merged(both.select("slide_id", "image", "place").mapInPandas(found, f"slide_id {kind}, y int, x0 int, x1 int"))
+
+
+def segmented(
+    chunks: DataFrame, images: DataFrame, method: Callable[[np.ndarray], np.ndarray] = hsv_segmenter, budget: int | None = PART_PIXELS, halo: int = 128, chunk: int = CHUNK
+) -> DataFrame:
+    """``(slide_id, y, x)``: the cells of :func:`segmented_runs`, for small masks."""
+    return cells(segmented_runs(chunks, images, method, budget, halo, chunk))
 
 
 def mask_levels(slides: DataFrame, levels: DataFrame, ds: float = 32.0, level: int | None = None) -> DataFrame:
@@ -99,9 +120,21 @@ def mask_levels(slides: DataFrame, levels: DataFrame, ds: float = 32.0, level: i
 
 def slide_regions(
     chunks: DataFrame, slides: DataFrame, levels: DataFrame, ds: float = 32.0, level: int | None = None, method: Callable[[np.ndarray], np.ndarray] = hsv_segmenter,
-    budget: int | None = None, halo: int = 128, min_area: int = 100, chunk: int = CHUNK,
+    budget: int | None = PART_PIXELS, halo: int = 128, min_area: int = 100, chunk: int = CHUNK,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Masks, their scales and the regions of all slides: ``(slide_id, y, x)``, :func:`mask_levels` and boxes.
+
+    Regions are made of the masks' runs, which are written once; cells are listed only where they are read.
+    """
+    runs, scales, boxes = slide_run_regions(chunks, slides, levels, ds, level, method, budget, halo, min_area, chunk)
+    return cells(runs), scales, boxes
+
+
+def slide_run_regions(
+    chunks: DataFrame, slides: DataFrame, levels: DataFrame, ds: float = 32.0, level: int | None = None, method: Callable[[np.ndarray], np.ndarray] = hsv_segmenter,
+    budget: int | None = PART_PIXELS, halo: int = 128, min_area: int = 100, chunk: int = CHUNK,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Masks, their scales and the regions of all slides: ``(slide_id, y, x)``, :func:`mask_levels` and boxes."""
+    """The same with masks as runs ``(slide_id, y, x0, x1)``."""
     scales = mask_levels(slides, levels, ds, level)
-    mask = segmented(chunks, scales, method, budget, halo, chunk)
-    return mask, scales, region_boxes(mask, F.col("ds_x"), F.col("ds_y"), min_area, "slide_id", scales.select("slide_id", "ds_x", "ds_y"))
+    runs = materialize(segmented_runs(chunks, scales, method, budget, halo, chunk))
+    return runs, scales, run_boxes(runs, F.col("ds_x"), F.col("ds_y"), min_area, "slide_id", scales.select("slide_id", "ds_x", "ds_y"))

@@ -926,4 +926,4 @@ def ransac_fit(spark, sf_dir):
     return localize.ransac(pairs).select("group_id", "success", "inliers", "matches")
 
 
-from gridseek import slide_queries  # noqa: E402, F401  adds its own
+from gridseek import mask_queries, slide_queries  # noqa: E402, F401  add their own
