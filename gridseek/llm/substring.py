@@ -12,7 +12,9 @@ are read once: a shard is kept as word numbers and its vocabulary, from which th
 end, so that texts are never shuffled. It sends its block hashes sorted,
 without local copies and delta-coded, one binary cell for each hash range, so that neither a hot passage nor a
 large group of copies makes a hot task, and gets back one bit for each hash it sent. Ranges are as many as the
-bytes of the texts ask for.
+bytes of the texts ask for. A shard sends ``CELLS`` cells at most, whatever the input: where more ranges are asked
+for, a cell spans several of them, and cells of one span from as many shards are merged and cut anew on the way,
+so that cells hold as many hashes in a large input as in a small one.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ _BASE, _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E
 BLOCK_BITS = 40
 #: Words of a shard, and bytes of text for each hash range.
 SHARD_WORDS, RANGE_BYTES = 1_000_000, 12_000_000
+#: Cells of a shard at most.
+CELLS = 1024
 #: Stands for a null id, which sorts first.
 _NULL_ID = -(1 << 63)
 
@@ -193,25 +197,76 @@ def _encode(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFr
         yield _rows_of(_Shard.of_texts(ids, texts), number, buckets)
 
 
-def _match_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each cell, which hashes recur anywhere and which of those are index blocks somewhere."""
+#: What a block's or a window's cell holds for each hash besides it: single bits, or numbers.
+_BLOCK_PARTS = (("again", None), ("index", None))
+_WINDOW_PARTS = (("low", np.uint32), ("ids", np.int64), ("start", np.uint32))
+
+
+def _opened(rows: pd.DataFrame, parts: tuple) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The hashes of some cells and their parts, one cell after another, and the cells' sizes."""
     n = rows["n"].to_numpy(dtype=np.int64)
     values = np.concatenate([unpack(c) for c in rows["cell"]])
-    again = np.concatenate([unpack_bits(c, k) for c, k in zip(rows["again"], n)])
-    index = np.concatenate([unpack_bits(c, k) for c, k in zip(rows["index"], n)])
+    held = [np.concatenate([unpack_bits(c, k) if kind is None else _unsqueezed(c, kind) for c, k in zip(rows[name], n)]) for name, kind in parts]
+    return values, held, n
+
+
+def _split_masks(rows: pd.DataFrame, n: np.ndarray, masks: dict[str, np.ndarray]) -> pd.DataFrame:
+    """One bit for each hash of each cell."""
+    cut = np.cumsum(n)[:-1]
+    packed = {name: [pack_bits(x) for x in np.split(mask, cut)] for name, mask in masks.items()}
+    return pd.DataFrame({"shard": rows["shard"], "bucket": rows["bucket"], "n": n} | packed)
+
+
+def _match_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each cell, which hashes recur anywhere and which of those are index blocks somewhere."""
+    values, (again, index), n = _opened(rows, _BLOCK_PARTS)
     distinct, inverse = np.unique(values, return_inverse=True)
     recurs = np.bincount(inverse, weights=1 + again, minlength=len(distinct)) > 1
     anchor = recurs & (np.bincount(inverse, weights=index, minlength=len(distinct)) > 0)
-    cut = np.cumsum(n)[:-1]
-    return pd.DataFrame(
-        {
-            "shard": rows["shard"],
-            "bucket": rows["bucket"],
-            "n": n,
-            "recurs": [pack_bits(x) for x in np.split(recurs[inverse], cut)],
-            "anchor": [pack_bits(x) for x in np.split(anchor[inverse], cut)],
-        }
+    return _split_masks(rows, n, {"recurs": recurs[inverse], "anchor": anchor[inverse]})
+
+
+def _merge(rows: pd.DataFrame, parts: tuple, bits: int, cells: int, fine: int) -> pd.DataFrame:
+    """Cells of one span from several shards, merged and cut into ``fine`` ranges; the team is the shard of what comes out."""
+    values, held, _ = _opened(rows.sort_values("shard"), parts)
+    order = np.argsort(values, kind="stable")
+    values, held = values[order], [h[order] for h in held]
+    span, team = int(rows["bucket"].iloc[0]), int(rows["team"].iloc[0])
+    inner = range(span * fine + 1, span * fine + fine)
+    edges = [min(-(-(b << bits) // (cells * fine)), (1 << bits) - 1) for b in inner]
+    cuts = [0, *np.searchsorted(values, np.array(edges, dtype=np.uint64)).tolist(), len(values)]
+    out = []
+    for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
+        if y > x:
+            told = [pack_bits(h[x:y]) if kind is None else _squeezed(h[x:y]) for h, (_, kind) in zip(held, parts)]
+            out.append((team, span * fine + k, y - x, pack(values[x:y]), *told))
+    return pd.DataFrame(out, columns=["shard", "bucket", "n", "cell", *(name for name, _ in parts)])
+
+
+def _part_again(rows: pd.DataFrame, answers: pd.DataFrame, names: tuple[str, ...]) -> pd.DataFrame:
+    """The bits of merged cells, back in the order of the cells they were merged from."""
+    rows = rows.sort_values("shard")
+    values, _, n = _opened(rows, ())
+    order = np.argsort(values, kind="stable")
+    masks = {}
+    for name, mask in zip(names, _read_masks(answers, names)):
+        masks[name] = np.empty(len(mask), dtype=bool)
+        masks[name][order] = mask
+    return _split_masks(rows, n, masks)
+
+
+def _answered(sent: DataFrame, match, parts: tuple, names: tuple[str, ...], bits: int, cells: int, fine: int, teams: int) -> DataFrame:
+    """``(shard, bucket, n, *names)``: what ``match`` says of each cell, given all cells of its hash range."""
+    answer = "shard long, bucket int, n long" + "".join(f", {name} binary" for name in names)
+    if fine == 1:
+        return sent.groupBy("bucket").applyInPandas(match, answer)
+    sent = sent.withColumn("team", F.pmod(F.xxhash64("shard"), F.lit(teams)))
+    merged = sent.groupBy("bucket", "team").applyInPandas(
+        partial(_merge, parts=parts, bits=bits, cells=cells, fine=fine), "shard long, bucket int, n long, cell binary" + "".join(f", {name} binary" for name, _ in parts)
     )
+    found = merged.groupBy("bucket").applyInPandas(match, answer)
+    spans = found.withColumns({"span": F.floor(F.col("bucket") / fine).cast("int"), "team": F.col("shard")}).groupBy("span", "team")
+    return sent.select("shard", "bucket", "team", "n", "cell").groupBy("bucket", "team").cogroup(spans).applyInPandas(partial(_part_again, names=names), answer)
 
 
 def _read_masks(masks: pd.DataFrame, names: tuple[str, ...]) -> list[np.ndarray]:
@@ -253,9 +308,7 @@ def _send_windows(rows: pd.DataFrame, masks: pd.DataFrame, buckets: int) -> pd.D
 
 def _match_windows(rows: pd.DataFrame) -> pd.DataFrame:
     """For each cell, which windows have an equal one at an earlier place in another shard."""
-    n = rows["n"].to_numpy(dtype=np.int64)
-    high = np.concatenate([unpack(c) for c in rows["cell"]])
-    low, ids, start = (np.concatenate([_unsqueezed(x, k) for x in rows[c]]) for c, k in (("low", np.uint32), ("ids", np.int64), ("start", np.uint32)))
+    high, (low, ids, start), n = _opened(rows, _WINDOW_PARTS)
     order = np.lexsort((start, ids, low, high))
     h, l, d, s = high[order], low[order], ids[order], start[order]
     new = np.ones(len(order), dtype=bool)
@@ -263,9 +316,7 @@ def _match_windows(rows: pd.DataFrame) -> pd.DataFrame:
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = np.zeros(len(order), dtype=bool)
     later[order] = (d != d[first]) | (s != s[first])
-    return pd.DataFrame(
-        {"shard": rows["shard"], "bucket": rows["bucket"], "n": n, "later": [pack_bits(x) for x in np.split(later, np.cumsum(n)[:-1])]}
-    )
+    return _split_masks(rows, n, {"later": later})
 
 
 def _gone(shard: _Shard, candidates: tuple, later: pd.DataFrame) -> np.ndarray:
@@ -312,15 +363,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives none; other columns are ignored.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("key"), F.col(text_col).alias("text"))
-    buckets = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // range_bytes))
-    encoded = materialize(rows.mapInPandas(partial(_encode, buckets=buckets), _ENCODED))
+    ranges = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // range_bytes))
+    fine = -(-ranges // CELLS)  # ranges of a cell
+    cells = -(-ranges // fine)
+    encoded = materialize(rows.mapInPandas(partial(_encode, buckets=cells), _ENCODED))
     bodies = encoded.where("bucket < 0").select("shard", *(name for name, _ in _BODY), "words").groupBy("shard")
     sent = encoded.where("bucket >= 0").select("bucket", "shard", "n", "cell", "again", "index")
-    blocks = materialize(sent.groupBy("bucket").applyInPandas(_match_blocks, "shard long, bucket int, n long, recurs binary, anchor binary"))
+    teams = 1 if fine == 1 else max(1, -(-encoded.where("bucket < 0").count() // fine))
+    blocks = materialize(_answered(sent, _match_blocks, _BLOCK_PARTS, ("recurs", "anchor"), BLOCK_BITS, cells, fine, teams))
     windows = bodies.cogroup(blocks.groupBy("shard")).applyInPandas(
-        partial(_send_windows, buckets=buckets), "bucket int, shard long, n long, cell binary, low binary, ids binary, start binary"
+        partial(_send_windows, buckets=cells), "bucket int, shard long, n long, cell binary, low binary, ids binary, start binary"
     )
-    later = windows.groupBy("bucket").applyInPandas(_match_windows, "shard long, bucket int, n long, later binary")
+    windows = windows if fine == 1 else materialize(windows)  # it is read twice then
+    later = _answered(windows, _match_windows, _WINDOW_PARTS, ("later",), 64, cells, fine, teams)
     masks = blocks.unionByName(later, allowMissingColumns=True)
     left = bodies.cogroup(masks.groupBy("shard")).applyInPandas(partial(_finish, with_text=with_text), _KEPT)
     names = ["n_words", "n_removed", "kept_sha256", *["kept"] * with_text]

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -589,6 +590,45 @@ def test_substrings(spark, small):
     assert sum(r[2] > 0 for r in got) >= 6
 
 
+@pytest.mark.parametrize("most", [1, 3, 64])
+def test_substrings_where_cells_span_several_ranges(spark, small, monkeypatch, most):
+    monkeypatch.setattr(substring, "CELLS", most)
+    a, b = words(70, 11, 9999), words(45, 12, 9999)
+    text = [r["text"] for r in small.orderBy("doc_id").select("text").limit(60).collect()]
+    text += [" ".join(x) for x in (a, b, a[3:60] + b, b[10:30] + a[:19], ["z"] * 90, a + a, a[:20])] + ["", None, " ".join(a)]
+    rows = list(enumerate(text))
+    df = docs(spark, text).repartition(7)
+    got = sorted(tuple(r) for r in substring.substring_dedup(df, range_bytes=6000).collect())
+    assert got == sorted(plain_substrings(rows)) and sum(r[2] > 0 for r in got) >= 5
+
+
+def test_substring_cells_are_bounded():
+    """At 3 TB of text, 250 000 ranges: few cells a shard, few bytes a hash in them and in what they are merged to."""
+    draw, ranges = np.random.default_rng(15), 250_000
+    fine = -(-ranges // substring.CELLS)
+    cells = -(-ranges // fine)
+    made = []
+    for shard in range(fine):  # the shards of a team, as far as one span of theirs goes
+        n = 1_000_000 if shard == 0 else 1000
+        values = np.unique(draw.integers(0, 1 << substring.BLOCK_BITS, n, dtype=np.uint64))
+        if shard:
+            values = np.unique(values // np.uint64(cells))  # of the first span
+        bits = np.zeros(len(values), dtype=bool)
+        cut = substring._cells(values, substring.BLOCK_BITS, cells)
+        rows = [(shard, 0, b, s.stop - s.start, substring.pack(values[s]), substring.pack_bits(bits[s]), substring.pack_bits(bits[s])) for b, s in cut]
+        if shard == 0:
+            size = sum(len(c) for r in rows for c in r[4:])
+            assert len(rows) <= substring.CELLS and size / len(values) < 4
+        made += [r for r in rows if r[2] == 0]
+    rows = pd.DataFrame(made, columns=["shard", "team", "bucket", "n", "cell", "again", "index"])
+    merged = substring._merge(rows, substring._BLOCK_PARTS, substring.BLOCK_BITS, cells, fine)
+    assert merged["n"].sum() == rows["n"].sum() and len(merged) <= fine
+    assert sum(len(c) for name in ("cell", "again", "index") for c in merged[name]) / merged["n"].sum() < 4
+    answers = substring._match_blocks(merged)
+    back = substring._part_again(rows, answers, ("recurs", "anchor"))
+    assert back["n"].tolist() == rows["n"].tolist() and back["shard"].tolist() == rows["shard"].tolist()
+
+
 def test_substrings_odd(spark, odd, empty):
     out = substring.substring_dedup(odd, with_text=False).collect()
     assert len(out) == len(ODD) and sum(r["n_removed"] for r in out) == 0
