@@ -14,6 +14,7 @@ short parts are remembered, as words recur.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 import re
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 from gridseek.plans.durable import unused
 
 SPACE = "▁"
-#: Remembered parts and tested pairs of a task at most, and characters of a part that is remembered.
-PARTS, PAIRS, SHORT = 200_000, 500_000, 24
+#: Parts of each of two generations that are remembered, tested pairs of a task at most, and characters of a part that is remembered.
+PARTS, PAIRS, SHORT = 130_000, 500_000, 24
 #: Bytes of a model file at most, as it is broadcast.
 MODEL_BYTES = 64 << 20
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6  # kinds of pieces in model files
@@ -71,6 +72,7 @@ class Encoder:
         self._link()
         self.parts = re.compile(self._cuts()).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
         self.made: dict[int, list[tuple[float, str, str]] | None] = {}
 
@@ -220,10 +222,11 @@ class Encoder:
         for part in self.parts(self.start + text.replace(" ", SPACE)):
             ids = known.get(part)
             if ids is None:
-                ids = self._part(part)
+                ids = self.older.get(part) or self._part(part)
                 if len(part) <= SHORT:
                     if len(known) >= PARTS:
-                        known.clear()
+                        self.older = known
+                        self.known = known = {}
                     known[part] = ids
             out += ids
         return out
@@ -237,6 +240,7 @@ def _ready(model: bytes) -> tuple[Encoder, sentencepiece.SentencePieceProcessor]
     key = hashlib.sha256(model).hexdigest()
     if key not in _READY:
         _READY[key] = Encoder(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+        gc.freeze()  # the automaton's many small tables stay; collections needn't look at them
     return _READY[key]
 
 
