@@ -23,7 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +33,9 @@ from gridseek.plans.durable import unused
 
 SPACE = "▁"
 #: Parts of each of two generations that are remembered, tested pairs of a task at most, and characters of a part that is remembered.
-PARTS, PAIRS, SHORT = 130_000, 500_000, 24
+PARTS, PAIRS, SHORT = 80_000, 250_000, 24
+#: Rows whose decoded texts are held as strings.
+ROWS = 500
 #: Bytes of a model file at most, as it is broadcast.
 MODEL_BYTES = 64 << 20
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6  # kinds of pieces in model files
@@ -259,15 +261,23 @@ def coded(docs: DataFrame, model_path: str, text: Column) -> Column:
     Encoder(model)  # an unfit model fails here
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(_CODED)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(_CODED)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, library = _ready(shared.value)
         for texts in batches:
-            rows = []
+            # texts become strings one by one, and results arrays some rows at a time
+            flat, ends, decoded, done = array("i"), array("i", [0]), [], [pa.array([], pa.string())]
             for text in texts:
-                ids = encoder.encode(text)
-                rows.append((np.array(ids, dtype=np.int32), library.decode(ids) if ids else ""))
-            yield pd.DataFrame(rows, columns=_CODED.names, dtype=object)
+                ids = encoder.encode(text.as_py())
+                flat.extend(ids)
+                ends.append(len(flat))
+                decoded.append(library.decode(ids) if ids else "")
+                if len(decoded) == ROWS:
+                    done.append(pa.array(decoded, pa.string()))
+                    decoded = []
+            done.append(pa.array(decoded, pa.string()))
+            lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
+            yield pa.StructArray.from_arrays([lists, pa.concat_arrays(done)], _CODED.names)
 
     return run(F.coalesce(text, F.lit("")))
 
