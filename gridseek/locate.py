@@ -31,7 +31,7 @@ def level_of(estimate: float, level_rows: DataFrame, base_mpp: float) -> int:
 
 def locate(grid: DataFrame, kernel: DataFrame, regions: DataFrame, tile: int, ds: float, refined: DataFrame | None = None) -> DataFrame:
     """One row: the best window, at its refined place ``(x, y, success)`` if refinement succeeded."""
-    best = retrieval.find_best(retrieval.window_similarity(grid, kernel), regions, tile, ds)
+    best = retrieval.find_best(retrieval.window_similarity(grid, kernel, best_only=True), regions, tile, ds)
     if refined is None:
         return best.withColumn("refined", F.lit(False))
     one = refined.select(F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("success").alias("__ok")).limit(1)
@@ -87,7 +87,7 @@ def find_in_slides(
     keys = ("slide_id", "query_id")
     features = slide_features(chunks, regions, tile, ds, level, make_encoder, chunk)
     kernels = query_features(queries, tile, make_encoder)
-    scores = retrieval.window_similarity(features, kernels, ("slide_id",), ("query_id",))
+    scores = retrieval.window_similarity(features, kernels, ("slide_id",), ("query_id",), best_only=True)
     best = retrieval.find_best(scores, regions, tile, ds, keys, ("slide_id",))
     best = materialize(best.select(*keys, "kind", "region_index", F.col("x").alias("window_x"), F.col("y").alias("window_y"), "score"))
     if make_extractor is None:

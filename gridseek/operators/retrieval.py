@@ -1,15 +1,15 @@
 """Sliding-window similarity over feature grids.
 
-A feature grid is ``(region_index, kind, row, col, feat)``, a query kernel ``(q_row, q_col, feat)``. A kernel is
-laid over every window by one matrix product for each batch of grid cells: a cell votes for the window that
-starts at ``(row - q_row, col - q_col)``; votes are summed in the batch before the one shuffle. Keys of slides
-(columns of the grid) and of queries (columns of the kernel) run through all operators, so that many slides
-and many kernels are one job.
+A feature grid is ``([slide,] region_index, kind, row, col, feat)``, a kernel ``([query,] q_row, q_col, feat)``. Grids
+are cut into blocks of windows, each with the halo of cells that its windows reach; blocks are dealt into parts and
+kernels into sides, and each part meets each side in one group. There a whole window is scored by matrix products,
+for all kernels of one layout at once, so that no votes are summed afterwards and neither kernels nor their keys pass
+through the driver. Keys of slides (columns of the grid) and of queries (columns of the kernel) run through all
+operators, so that many slides and many kernels are one job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -18,69 +18,103 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of kernel vectors that are sent to the tasks at once; larger kernels go in several parts.
-KERNEL_BYTES = 64 << 20
+from gridseek.operators.vectors import DIGITS, finite
+from gridseek.plans.durable import broadcast_if_small, materialize, unused
+
+#: Windows along a side of a block at least; cells of a part and of a side; kernels scored at once.
+BLOCK, PART_CELLS, SIDE_CELLS, AT_ONCE = 32, 16_384, 4096, 512
 _NONE = float("-inf")
 
 
-def _votes(batches: Iterator[pd.DataFrame], shared, keys: list[str], names: list[str]) -> Iterator[pd.DataFrame]:
-    """Sums and numbers of the votes of a batch's cells for windows; ``query`` numbers the kernels."""
-    vectors, q_row, q_col, query = shared.value
-    for batch in batches:
-        if not len(batch):
+def _layouts(kernels: pd.DataFrame, query: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]]:
+    """Kernels of one layout together: their rows and columns of cells, vectors ``(cells, kernels, components)`` and keys."""
+    kernels = kernels.sort_values([*query, "q_row", "q_col"], kind="stable").reset_index(drop=True)
+    number = kernels.groupby(query, dropna=False, sort=False).ngroup().to_numpy() if query else np.zeros(len(kernels), dtype=np.int64)
+    place = kernels[["q_row", "q_col"]].to_numpy(dtype=np.int64)
+    starts = np.flatnonzero(np.diff(number, prepend=-1))
+    alike: dict[bytes, list[slice]] = {}
+    for first, last in zip(starts, [*starts[1:], len(kernels)]):
+        alike.setdefault(place[first:last].tobytes(), []).append(slice(first, last))
+    out = []
+    for held in alike.values():
+        vectors = np.stack([np.stack(kernels["feat"].to_numpy()[s]) for s in held], axis=1).astype(np.float64)
+        rows, cols = place[held[0]].T
+        out.append((rows, cols, vectors, kernels[query].iloc[[s.start for s in held]].reset_index(drop=True)))
+    return out
+
+
+def _block_scores(cells: pd.DataFrame, block: int, kernels: list, best: bool):
+    """For each layout and up to ``AT_ONCE`` of its kernels: their keys, which of them, window rows, columns and scores of a block."""
+    top, left = int(cells["block_r"].iloc[0]) * block, int(cells["block_c"].iloc[0]) * block
+    row, col = cells["row"].to_numpy(dtype=np.int64) - top, cells["col"].to_numpy(dtype=np.int64) - left
+    index = np.full((row.max() + block + 1, col.max() + block + 1), -1)
+    index[row, col] = np.arange(len(cells))
+    x = np.stack(cells["feat"].to_numpy()).astype(np.float64)
+    for rows, cols, vectors, keys in kernels:
+        high, wide = min(block, row.max() + 1 - rows.max()), min(block, col.max() + 1 - cols.max())
+        if high <= 0 or wide <= 0:
+            continue
+        at = np.stack([index[r : r + high, c : c + wide] for r, c in zip(rows, cols)])
+        r, c = np.nonzero((at >= 0).all(axis=0))
+        if not len(r):
             continue
-        x = np.stack(batch["feat"].to_numpy()).astype(np.float64)
-        place = batch.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
-        row, col = batch["row"].to_numpy(dtype=np.int64), batch["col"].to_numpy(dtype=np.int64)
-        first = batch[keys].iloc[np.unique(place, return_index=True)[1]]
-        for at in range(0, len(x), 1024):
-            sims = x[at : at + 1024] @ vectors.T
-            r, c = row[at : at + 1024, None] - q_row, col[at : at + 1024, None] - q_col
-            i, j = np.nonzero((r >= 0) & (c >= 0))
-            votes = np.stack([place[at + i], query[j], r[i, j], c[i, j]])
-            windows, back = np.unique(votes, axis=1, return_inverse=True)
-            back = back.ravel()
-            out = first.iloc[windows[0]].reset_index(drop=True)
-            out["query"], out["out_r"], out["out_c"] = windows[1:]
-            out["total"], out["n"] = np.bincount(back, weights=sims[i, j], minlength=windows.shape[1]), np.bincount(back, minlength=windows.shape[1])
-            yield out[names]
-
-
-def window_similarity(grid: DataFrame, kernel: DataFrame, slide: tuple[str, ...] = (), query: tuple[str, ...] = ()) -> DataFrame:
-    """``([slide, query,] region_index, kind, out_r, out_c, score)``: mean inner product over every whole window.
-
-    ``slide`` names key columns of the grid, ``query`` of the kernels. Kernels are query images: their vectors are
-    sent to all tasks, ``KERNEL_BYTES`` at a time, and every part is one more pass over the grid.
+        at = at[:, r, c]
+        for first in range(0, len(keys), AT_ONCE):
+            part = vectors[:, first : first + AT_ONCE]
+            score = sum(x[i] @ v.T for i, v in zip(at, part)) / len(rows)
+            if best:  # windows are in row order, so that the first of the best is the one that counts
+                most = np.round(score, DIGITS).argmax(axis=0)
+                yield keys, np.arange(first, first + part.shape[1]), top + r[most], left + c[most], score[most, np.arange(part.shape[1])]
+            else:
+                which = np.repeat(np.arange(first, first + part.shape[1]), len(r))
+                yield keys, which, np.tile(top + r, part.shape[1]), np.tile(left + c, part.shape[1]), score.T.ravel()
+
+
+def _group_scores(grid: pd.DataFrame, kernels: pd.DataFrame, keys: list[str], query: list[str], names: list[str], block: int, best: bool) -> pd.DataFrame:
+    out = []
+    layouts = _layouts(kernels, query) if len(grid) and len(kernels) else []
+    for _, cells in grid.groupby([*keys, "block_r", "block_c"], dropna=False, sort=False) if layouts else ():
+        for told, which, r, c, score in _block_scores(cells, block, layouts, best):
+            part = told.iloc[which].reset_index(drop=True)
+            for k in keys:
+                part[k] = pd.Series([cells[k].iloc[0]] * len(part), dtype=cells[k].dtype)
+            out.append(part.assign(out_r=r, out_c=c, score=score)[names])
+    return pd.concat(out) if out else pd.DataFrame(columns=names, dtype=object)
+
+
+def window_similarity(grid: DataFrame, kernel: DataFrame, slide: tuple[str, ...] = (), query: tuple[str, ...] = (), match: tuple[str, ...] = (), best_only: bool = False) -> DataFrame:
+    """``([slide, query, match,] region_index, kind, out_r, out_c, score)``: mean inner product over every whole window.
+
+    ``slide`` names key columns of the grid, ``query`` of the kernels, ``match`` columns of both that have to be equal,
+    such as a level. Cells and places are unique within a key and start at 0. Cells without a vector of numbers take no
+    part: no whole window covers one of a grid, and one of a kernel is left out of the mean. With ``best_only`` a group
+    gives its best window for each kernel and region only, which is all that :func:`best_per_region` needs.
     """
-    spark = grid.sparkSession
-    numbers = {tuple(r): i for i, r in enumerate(kernel.select(*query).distinct().collect())} if query else {(): 0}
-    keys = [*slide, "region_index", "kind"]
-    fields = [grid.schema[k] for k in keys] + [T.StructField(n, T.LongType()) for n in ("query", "out_r", "out_c")]
-    schema = T.StructType([*fields, T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
-    cells = kernel.select(*query, "q_row", "q_col", "feat")
-    votes, sizes, held, size = None, {i: 0 for i in numbers.values()}, [], 0
-
-    def part(rows: list) -> DataFrame:
-        flat = (np.stack([r["feat"] for r in rows]).astype(np.float64), *(np.array([f(r) for r in rows], dtype=np.int64) for f in (lambda r: r["q_row"], lambda r: r["q_col"], lambda r: numbers[tuple(r[q] for q in query)])))
-        return grid.select(*keys, "row", "col", "feat").mapInPandas(partial(_votes, shared=spark.sparkContext.broadcast(flat), keys=keys, names=schema.names), schema)
-
-    for row in cells.toLocalIterator():
-        sizes[numbers[tuple(row[q] for q in query)]] += 1
-        held.append(row)
-        size += 8 * len(row["feat"])
-        if size >= KERNEL_BYTES:
-            votes = part(held) if votes is None else votes.union(part(held))
-            held, size = [], 0
-    if held or votes is None:
-        votes = (part(held) if held else spark.createDataFrame([], schema)) if votes is None else votes.union(part(held))
-    whole = votes.groupBy(*keys, "query", "out_r", "out_c").agg((F.sum("total") / F.sum("n")).alias("score"), F.sum("n").alias("n"))
-    if not sizes:
-        sizes[0] = 0
-    named = [(i, n, *values) for values, i in numbers.items() for n in (sizes[i],)]
-    told = T.StructType([T.StructField("query", T.LongType()), T.StructField("cells", T.LongType()), *(kernel.schema[q] for q in query)])
-    whole = whole.join(F.broadcast(spark.createDataFrame(named, told)), "query").where(F.col("n") == F.col("cells"))  # a row for each kernel
-    place = [F.col(c).cast("int").alias(c) for c in ("out_r", "out_c")]
-    return whole.select(*slide, *query, "region_index", "kind", *place, "score")
+    keys = [*slide, *(m for m in match if m not in slide), "region_index", "kind"]
+    own = [q for q in query if q not in match]
+    cells = grid.where(F.coalesce(finite("feat"), F.lit(False))).select(*keys, "row", "col", "feat")
+    asked = kernel.where(F.coalesce(finite("feat"), F.lit(False))).select(*match, *own, "q_row", "q_col", "feat")
+    rows, cols = asked.agg(F.coalesce(F.max("q_row"), F.lit(0)), F.coalesce(F.max("q_col"), F.lit(0))).first()
+    block = max(BLOCK, rows, cols)
+    parts, sides = unused([*keys, *own], "parts", "sides")
+    count = lambda df, n, name: df.groupBy(*match).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / n)).cast("int").alias(name))
+    sizes = count(cells, PART_CELLS, parts), count(asked, SIDE_CELLS, sides)
+    if match:
+        told = broadcast_if_small(materialize(sizes[0].join(sizes[1], list(match))))
+        cells, asked = cells.join(told, list(match)), asked.join(told, list(match))
+    else:
+        n_parts, n_sides = sizes[0].first()[0], sizes[1].first()[0]
+        cells, asked = (df.withColumns({parts: F.lit(n_parts), sides: F.lit(n_sides)}) for df in (cells, asked))
+    near = lambda c, reach: F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col(c) - reach) / block).cast("int"), F.floor(F.col(c) / block).cast("int")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda names, n: F.pmod(F.xxhash64(*names), F.col(n)).cast("int")
+    held = cells.withColumn("block_r", near("row", rows)).withColumn("block_c", near("col", cols))
+    held = held.withColumn("part", dealt([*keys, "block_r", "block_c"], parts)).withColumn("side", every(sides)).drop(parts, sides)
+    asks = asked.withColumn("side", dealt(own, sides) if own else F.lit(0)).withColumn("part", every(parts)).drop(parts, sides)
+    schema = T.StructType([*(kernel.schema[q] for q in own), *(grid.schema[k] for k in keys), T.StructField("out_r", T.IntegerType()), T.StructField("out_c", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    made = partial(_group_scores, keys=keys, query=own, names=schema.names, block=block, best=best_only)
+    scores = held.groupBy(*match, "part", "side").cogroup(asks.groupBy(*match, "part", "side")).applyInPandas(made, schema)
+    return scores.select(*dict.fromkeys([*slide, *query, *match]), "region_index", "kind", "out_r", "out_c", "score")
 
 
 def best_per_region(scores: DataFrame, digits: int = 9, keys: tuple[str, ...] = ()) -> DataFrame:
