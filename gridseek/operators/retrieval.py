@@ -93,7 +93,8 @@ def window_similarity(grid: DataFrame, kernel: DataFrame, slide: tuple[str, ...]
     keys = [*slide, *(m for m in match if m not in slide), "region_index", "kind"]
     own = [q for q in query if q not in match]
     cells = grid.where(F.coalesce(finite("feat"), F.lit(False))).select(*keys, "row", "col", "feat")
-    asked = kernel.where(F.coalesce(finite("feat"), F.lit(False))).select(*match, *own, "q_row", "q_col", "feat")
+    # under new names, as kernels may be cut from the grid itself
+    asked = kernel.where(F.coalesce(finite("feat"), F.lit(False))).select(*[F.col(c).alias(c) for c in (*match, *own, "q_row", "q_col", "feat")])
     rows, cols = asked.agg(F.coalesce(F.max("q_row"), F.lit(0)), F.coalesce(F.max("q_col"), F.lit(0))).first()
     block = max(BLOCK, rows, cols)
     parts, sides = unused([*keys, *own], "parts", "sides")
