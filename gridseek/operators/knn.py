@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from gridseek.operators.vectors import top_k
 
 
-def label_votes(queries: DataFrame, bank: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
-    """``(query_id, label)``: the exact median label of the ``k`` most similar bank rows ``(ref_id, feat, label)``.
+def label_votes(queries: DataFrame, bank: DataFrame, k: int, skip_self: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``([keys,] query_id, label)``: the exact median label of the ``k`` most similar bank rows ``(ref_id, feat, label)``.
 
-    With ``skip_self`` a query doesn't meet the bank row of its own id.
+    With ``skip_self`` a query doesn't meet the bank row of its own id, with ``keys`` only bank rows of equal keys.
     """
-    return top_k(queries, bank, k, carry="label", skip_self=skip_self).groupBy("query_id").agg(F.median("label").alias("label"))
+    found = top_k(queries, bank, k, carry="label", skip_self=skip_self, keys=keys)
+    return found.groupBy(*keys, "query_id").agg(F.median("label").alias("label"))
 
 
 def label_estimate(queries: DataFrame, bank: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
