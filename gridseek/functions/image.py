@@ -137,18 +137,22 @@ def _sampled(pixels: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (pixels[y0, x0] * (1 - fx) + pixels[y0, x1] * fx) * (1 - fy) + (pixels[y1, x0] * (1 - fx) + pixels[y1, x1] * fx) * fy
 
 
+#: What is added to half a side before lengths are measured in it. Fixed value.
+_SIDE = 1e-6
+
+
 def distort(pixels: np.ndarray, k1: float = 0.2, k2: float = 0.0) -> np.ndarray:
     """Lens distortion, bilinear: a pixel is read at its place over ``1 + k1 r^2 + k2 r^4``.
 
     Radii are in half widths and heights from the centre; a positive ``k1`` gives a barrel.
     """
-    cy, cx = ((n - 1) / 2 for n in pixels.shape[:2])
-    y, x = np.indices(pixels.shape[:2])
-    v, u = (y - cy) / (cy + 1e-6), (x - cx) / (cx + 1e-6)
-    square = u * u + v * v
-    scale = 1 + k1 * square + k2 * square * square
-    scale = np.where(np.abs(scale) < 1e-6, 1e-6, scale)
-    return as_rgb(np.round(_sampled(pixels, v / scale * cy + cy, u / scale * cx + cx)))
+    (high, middle_y), (wide, middle_x) = ((n, 0.5 * n - 0.5) for n in pixels.shape[:2])
+    down, across = np.arange(high) - middle_y, np.arange(wide) - middle_x
+    part = lambda d: np.square(d / (d.max() + _SIDE))  # noqa: E731  one side's share of the squared radius
+    with np.errstate(divide="ignore", invalid="ignore"):  # where the polynomial is zero a place is infinitely far, beyond the border
+        gain = np.reciprocal(np.polyval((k2, k1, 1.0), np.add.outer(part(down), part(across))))
+        places = np.nan_to_num(middle_y + down[:, None] * gain), np.nan_to_num(middle_x + across * gain)
+    return as_rgb(np.round(_sampled(pixels, *places)))
 
 
 def defocus(pixels: np.ndarray, radius: int) -> np.ndarray:

@@ -9,8 +9,11 @@ box lists many cells nor does a box meet all others. A pair counts only in the f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from gridseek.operators.components import connected_components
 from gridseek.plans.durable import unused
@@ -126,6 +129,77 @@ class RegionHistory:
         return self.now
 
 
+class RegionLog:
+    """Versions of a region table in a folder that outlives the session.
+
+    Every change appends a version and a row ``(step, version, parent, change)`` to the log; nothing is ever rewritten. Undo
+    and resume append a step that names an older version, so that reading any version is reading its own files. A version
+    whose write failed has no step and is written over by the next one. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _path(self, version: int) -> str:
+        return f"{self.folder}/version-{version}"
+
+    def steps(self) -> DataFrame:
+        return self.spark.read.schema(self._STEP).parquet(f"{self.folder}/steps")
+
+    def _append(self, version: int, parent: int | None, change: str) -> None:
+        try:
+            step = self.steps().agg(F.max("step")).first()[0] or 0
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            step = 0  # the first version
+        self.spark.createDataFrame([(step + 1, version, parent, change)], self._STEP).coalesce(1).write.mode("append").parquet(f"{self.folder}/steps")
+
+    def start(self, boxes: DataFrame) -> DataFrame:
+        """The first version."""
+        boxes.write.mode("overwrite").parquet(self._path(0))
+        self._append(0, None, "start")
+        return self.now()
+
+    def head(self) -> int:
+        """The version that counts."""
+        return self.steps().agg(F.max_by("version", "step")).first()[0]
+
+    def read(self, version: int) -> DataFrame:
+        return self.spark.read.parquet(self._path(version))
+
+    def now(self) -> DataFrame:
+        return self.read(self.head())
+
+    def apply(self, change: Callable[[DataFrame], DataFrame], name: str = "change") -> DataFrame:
+        """A new version out of the present one."""
+        new = self.steps().agg(F.max("version")).first()[0] + 1
+        head = self.head()
+        change(self.read(head)).write.mode("overwrite").parquet(self._path(new))
+        self._append(new, head, name)
+        return self.now()
+
+    def merge(self, slide: str | None = None) -> DataFrame:
+        """Merge overlapping boxes; fewer than two change nothing and append nothing."""
+        return self.now() if len(self.now().take(2)) < 2 else self.apply(lambda b: merge_overlapping(b, slide), "merge")
+
+    def undo(self) -> bool:
+        """Back to the version that the present one was made of."""
+        head = self.head()
+        parent = self.steps().where((F.col("version") == head) & ~F.col("change").isin("undo", "resume")).agg(F.max("parent")).first()[0]
+        if parent is None:
+            return False
+        self._append(parent, None, "undo")
+        return True
+
+    def resume(self) -> DataFrame:
+        """Back to the first version."""
+        self._append(0, None, "resume")
+        return self.now()
+
+    _STEP = "step int, version int, parent int, change string"
+
+
 def regions_for_level(boxes: DataFrame, tile: int, ds: float | Column, min_ratio: float = 0.01, slide: str | None = None) -> DataFrame:
     """Boxes of a level for sampling: filtered, merged, patchable; nothing has to be restored."""
     return patchable(merge_overlapping(filter_regions(boxes, min_ratio, slide), slide), tile, ds)
