@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridseek.operators import raster, runs
-from gridseek.queries import _SQL_GRAY, _SQL_MASK, _SQL_RGB, HEIGHT, WIDTH, _gray, _mask, _query, _rgb, _size
+from gridseek.operators import areas, raster, runs
+from gridseek.queries import _SQL_GRAY, _SQL_MASK, _SQL_RGB, HEIGHT, WIDTH, _gray, _mask, _query, _rgb, _size, _t
 
 _SQL_STEPS = "st(k) AS (SELECT unnest(range(-3, 4)))"
 
@@ -102,3 +102,16 @@ def otsu_threshold_20(spark, sf_dir):
 def otsu_mask_20(spark, sf_dir):
     """M7: at the usual black level."""
     return raster.otsu_mask(_gray(spark, sf_dir).withColumns({"y": F.col("event_id"), "x": F.lit(0)}))
+
+
+@_query(
+    f"""WITH {_SQL_MASK}, t AS (SELECT p_partkey AS tile_id, p_partkey % 130 - 5 AS x, p_partkey * 7 % 6000 - 5 AS y, 1 + p_size % 120 AS w, 1 + p_partkey % 1500 AS h FROM part),
+c AS (SELECT tile_id, (least(x + w, {WIDTH}) - greatest(x, 0)) * (least(y + h, {HEIGHT}) - greatest(y, 0)) AS a, least(x + w, {WIDTH}) > greatest(x, 0) AND least(y + h, {HEIGHT}) > greatest(y, 0) AS ok FROM t)
+SELECT t.tile_id, CASE WHEN any_value(ok) THEN round(count(m.x) / CAST(any_value(a) AS DOUBLE), 9) END AS covered
+FROM t JOIN c USING (tile_id) LEFT JOIN m ON m.x >= t.x AND m.x < t.x + t.w AND m.y >= t.y AND m.y < t.y + t.h GROUP BY t.tile_id"""
+)
+def large_tile_coverage(spark, sf_dir):
+    """By summed areas, tiles up to 120 by 1500 cells."""
+    key = F.col("p_partkey")
+    tiles = _t(spark, sf_dir, "part").select(key.alias("tile_id"), (key % 130 - 5).alias("x"), (key * 7 % 6000 - 5).alias("y"), (1 + F.col("p_size") % 120).alias("w"), (1 + key % 1500).alias("h"))
+    return areas.coverage(tiles, _mask_runs(spark, sf_dir), *_size(spark, sf_dir)).select("tile_id", F.round("covered", 9).alias("covered"))
