@@ -1,6 +1,8 @@
 """Table functions, region versions and small sources that SQL rows don't cover."""
 
 import csv
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -80,3 +82,22 @@ def test_distortion_by_its_formula():
                     want = sum(corner(i, j) * (fy - a if i else 1 - fy + a) * (fx - b if j else 1 - fx + b) for i in (0, 1) for j in (0, 1))
                     assert np.abs(got[y, x] - want).max() <= 0.5 + 1e-6
     assert image.distort(np.zeros((1, 1, 3), np.uint8)).shape == (1, 1, 3)
+
+
+def _png(path, pixels):
+    """A PNG file of gray or RGB bytes."""
+    h, w = pixels.shape[:2]
+    lines = b"".join(b"\0" + pixels[y].tobytes() for y in range(h))
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", w, h, 8, 2 if pixels.ndim == 3 else 0, 0, 0, 0)
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b""))
+
+
+def test_image_files(spark, tmp_path):
+    draw = np.random.default_rng(2)
+    made = {"a.png": draw.integers(0, 256, (20, 31, 3), dtype=np.uint8), "b.png": draw.integers(0, 256, (9, 5), dtype=np.uint8)}
+    for name, pixels in made.items():
+        _png(tmp_path / name, pixels)
+    (tmp_path / "c.png").write_bytes(b"no image")
+    got = {r["path"].rsplit("/", 1)[1]: image.decode(r["image"].asDict()) for r in slides.load_images(spark, str(tmp_path)).collect()}
+    assert got.keys() == made.keys() and all(np.array_equal(p, image.as_rgb(made[n])) for n, p in got.items())
