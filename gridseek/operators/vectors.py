@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridseek.plans.durable import broadcast_if_small, materialize, unused
+from gridseek.plans.durable import broadcast_if_small, discard, materialize, unused
 
 QUERY_ROWS, BANK_ROWS, PAIR_ROWS = 4096, 16384, 1024
 #: Places to which similarities are rounded before they are ranked, so that equal vectors tie.
@@ -237,13 +237,8 @@ def pair_similarities(df: DataFrame, vecs: dict[str, str] | None = None, digits:
     return made.withColumnsRenamed({f"sim{k}": name for k, name in enumerate(vecs)})
 
 
-def _halved(cuts: Column, value: Column, n: Column, step: Column) -> Column:
-    """One step of a search by halves."""
-    return F.when(F.get(cuts, n + step - 1) < value, n + step).otherwise(n)
-
-
 class _Ranges:
-    """The values of some columns of a written table, cut into ranges for each key.
+    """The values of some columns of a table of :func:`materialize`, which is used up, cut into ranges for each key.
 
     The cuts are approximate quantiles. A value that is a cut is a range of its own, so that one that very many rows
     have takes no sorting; what lies between two cuts is a small share of a key's rows whatever the values are.
@@ -257,14 +252,16 @@ class _Ranges:
         shares = F.expr(f"array({', '.join(f'{i / ranges}D' for i in range(1, ranges))})")
         wanted = [F.array_sort(F.array_distinct(F.percentile_approx(v, shares, 10 * ranges))).alias(c) for v, c in zip(values, cuts)]
         edges = materialize(table.groupBy(*keys).agg(*wanted))  # one row a key
-        steps = F.array(*[F.lit(1 << i) for i in reversed(range((ranges - 1).bit_length()))])
         spread = F.pmod(F.xxhash64(*values, F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(ranges))
-        rows = self._with(table, edges, ranges).withColumn(self.salt, spread)
-        for v, c, r in zip(values, cuts, self.at):
-            # by halves: how many cuts are less
-            rows = rows.withColumn(r, F.aggregate(steps, F.lit(0), partial(_halved, F.col(c), F.col(v))))
-            rows = rows.withColumn(r, 2 * F.col(r) + F.when(F.get(F.col(c), F.col(r)) == F.col(v), 1).otherwise(0))
-        rows = rows.drop(*cuts)
+        rows = self._with(table, edges, ranges).withColumn(self.salt, spread).withColumns({r: F.lit(0) for r in self.at})
+        for step in (1 << i for i in reversed(range((ranges - 1).bit_length()))):
+            # by halves: how many cuts are less; plain columns, which are compiled where a fold over an array isn't
+            further = lambda v, c, r, step=step: F.when(F.get(F.col(c), F.col(r) + step - 1) < F.col(v), step).otherwise(0)
+            rows = rows.withColumns({r: F.col(r) + further(v, c, r) for v, c, r in zip(values, cuts, self.at)})
+        own = lambda v, c, r: F.when(F.get(F.col(c), F.col(r)) == F.col(v), 1).otherwise(0)
+        rows = rows.withColumns({r: 2 * F.col(r) + own(v, c, r) for v, c, r in zip(values, cuts, self.at)})
+        rows = materialize(rows.drop(*cuts))  # in the place of the table, so that ranges are looked up once
+        discard(table)
         told, (n, held) = None, names[-3:-1]
         for r, t in zip(self.at, self.told):
             sizes = rows.groupBy(*keys, r).agg(F.count(F.lit(1)).alias(n))  # at most twice the ranges a key
