@@ -54,7 +54,8 @@ def solve(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
     x, y, u, v = p[:, 0], p[:, 1], q[:, 0], q[:, 1]
     one, zero = np.ones_like(x), np.zeros_like(x)
     rows = np.concatenate([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y, -u], 1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y, -v], 1)])
-    h = np.linalg.svd(rows)[2][-1].reshape(3, 3)
+    # four pairs are eight rows, whose null vector only the full form has; of more rows its left side would be square
+    h = np.linalg.svd(rows, full_matrices=len(rows) < 9)[2][-1].reshape(3, 3)
     unit = np.array([[1 / size, 0, -mean[0] / size], [0, 1 / size, -mean[1] / size], [0, 0, 1]])
     h = np.linalg.inv(unit) @ h @ unit
     return h / h[2, 2] if abs(h[2, 2]) > 1e-12 and np.isfinite(h).all() else None

@@ -79,6 +79,21 @@ def test_ransac(spark):
     assert tuple(placed[2]) == (2, 7, 8, False)
 
 
+def test_a_fit_of_many_pairs_takes_little_memory():
+    import tracemalloc
+
+    draw = np.random.default_rng(2)
+    src = draw.random((3000, 2)) * 1000
+    dst = src @ np.array([[1.1, -0.05], [0.1, 0.9]]) + (30, 12)
+    tracemalloc.start()
+    h = localize.solve(src, dst)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(h, [[1.1, 0.1, 30], [-0.05, 0.9, 12], [0, 0, 1]], atol=1e-6)
+    assert np.allclose(localize.solve(src[:4], dst[:4]), h, atol=1e-6)
+    assert most < 10e6  # the left side of a full decomposition alone would take 288 MB
+
+
 def test_level_of(spark):
     rows = spark.createDataFrame([(0, 1.0), (1, 4.0), (2, 16.0)], "level int, ds double")
     assert locate.level_of(1.0, rows, 0.25) == 1
