@@ -7,6 +7,8 @@ differ in size.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def _value(x: int | float | Column) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def _exact(scale: float | Column) -> Column:
+    """A scale, one that is written as a number by its decimal digits: 50 * 2.3 is 115 and not the double below it."""
+    return scale if isinstance(scale, Column) else F.lit(Decimal(format(Decimal(str(scale)), "f")))
+
+
 def to_mask(value: Column, scale: Column, mask_scale: Column) -> Column:
     """A coordinate in mask cells, cut towards zero; scales are downsamples or microns a pixel."""
     return (value * scale / mask_scale).cast("int")
@@ -208,7 +215,7 @@ def run_boxes(runs: DataFrame, ds_x: float | Column, ds_y: float | Column, min_a
     ).where(F.col("area") >= min_area)
     boxes = boxes if scales is None else boxes.join(scales, slide)
     index = (F.row_number().over(Window.partitionBy(*by).orderBy("t", "l", "label")) - 1).cast("int")  # the regions of one slide
-    cut = lambda c, d: (F.col(c) * d).cast("int")
+    cut = lambda c, d: (F.col(c) * _exact(d)).cast("int")
     return boxes.select(*by, index.alias("index"), cut("l", ds_x).alias("x"), cut("t", ds_y).alias("y"), cut("w", ds_x).alias("w"), cut("h", ds_y).alias("h"), "area")
 
 

@@ -93,3 +93,11 @@ def test_masks_hold_late_events_and_many_users(spark, tmp_path):
     assert sorted(tuple(r) for r in QUERIES["mask_components"](spark, str(tmp_path)).select("area").collect()) == [(1,)] * 4
     assert QUERIES["mask_fraction"](spark, str(tmp_path)).first()[0] == round(4 / (161 * 10_001), 9)
     assert {(r["y"], r["x"]) for r in QUERIES["mask_dilated"](spark, str(tmp_path)).collect()} >= {(10_000, 160), (9_999, 159), (0, 0)}
+
+
+def test_scales_are_decimal(spark):
+    # 50 * 2.3 is 115, and a little less in binary
+    mask = np.zeros((63, 60), bool)
+    mask[50:60, 50:55] = True
+    (got,) = _boxes(raster.region_boxes(_cells(spark, mask), 3.7, 2.3, 5))
+    assert got == (185, 115, 18, 23)
