@@ -2,55 +2,144 @@
 
 ``slide`` names a column that tells the boxes of several slides apart, of whole numbers below 2^31.
 
-Overlaps and containments are found by cells of a pyramid: a box is listed in the cells of its own size
-(four at most) and asks for others in the cells of its own and all larger sizes, so that neither a large
-box lists many cells nor does a box meet all others. A pair counts only in the first cell that both touch.
+Overlaps and containments are found by cells of a pyramid: a box is held in the one cell of its own size where its
+corner lies and asks for others in the cells of its own and all larger sizes, so that neither a large box lists many
+cells nor does a box meet all others, and a pair meets once. Spark deals the cells into groups of some ``GROUP_ROWS`` rows;
+a group's pairs are tested some ``BATCH_PAIRS`` at a time, and only what an operator asks for leaves it: index pairs,
+the boxes that lie in others, or a tree of the boxes that hang together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from gridseek.operators.components import connected_components
-from gridseek.plans.durable import unused
+from gridseek.operators.components import connected_components, local_roots
+from gridseek.plans.durable import materialize, unused
 
-
-def _cells(at: str, side: str) -> Column:
-    """Cells along an axis, at the size ``2 ** level``, that a box touches."""
-    size = F.pow(F.lit(2.0), F.col("level"))
-    last = F.col(at) + F.greatest(F.col(side), F.lit(1)) - 1
-    return F.explode(F.sequence(F.floor(F.col(at) / size), F.floor(last / size)))
+#: Rows of a group of cells, and pairs that are tested together.
+GROUP_ROWS, BATCH_PAIRS = 200_000, 1_000_000
 
 
 def _keys(slide: str | None) -> list[str]:
     return [slide] if slide else []
 
 
-def touching(boxes: DataFrame, slide: str | None = None) -> DataFrame:
-    """Pairs ``a.index < b.index`` of boxes of a slide that share pixels, as ``([slide,] a, b)`` with structs."""
-    by = _keys(slide)
-    own = F.ceil(F.log2(F.greatest("w", "h", F.lit(1)).cast("double"))).cast("int")
-    sized = boxes.select(*by, "x", "y", "w", "h", F.struct("index", "x", "y", "w", "h").alias("box"), own.alias("own"))
-    cells = lambda df: df.withColumn("cx", _cells("x", "w")).withColumn("cy", _cells("y", "h"))
-    held = cells(sized.withColumn("level", F.col("own"))).select(*by, "level", "cx", "cy", F.col("box").alias("b"))
-    top = F.broadcast(sized.agg(F.max("own").alias("top")))  # one row
-    asks = cells(sized.join(top, F.lit(True)).withColumn("level", F.explode(F.sequence(F.col("own"), F.col("top")))))
-    asks = asks.select(*by, "level", "cx", "cy", "own", F.col("box").alias("a"))
-    pairs = asks.join(held, [*by, "level", "cx", "cy"]).where("own < level OR (own = level AND a.index < b.index)")
-    pairs = pairs.where("a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")
-    size = F.pow(F.lit(2.0), F.col("level"))
-    first = [F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / size) for c in ("x", "y")]
-    pairs = pairs.where((F.col("cx") == first[0]) & (F.col("cy") == first[1]))
-    turned = F.col("a.index") > F.col("b.index")
-    return pairs.select(*by, F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
-
-
-_A_IN_B = "a.x >= b.x AND a.y >= b.y AND a.x + a.w <= b.x + b.w AND a.y + a.h <= b.y + b.h"
-_B_IN_A = "b.x >= a.x AND b.y >= a.y AND b.x + b.w <= a.x + a.w AND b.y + b.h <= a.y + a.h"
+def _met(boxes: DataFrame, slide: str | None, inside: bool) -> DataFrame:
+    """Boxes as ``(group, slide, level, cx, cy, asks, own, index, x, y, w, h)``, held once and asking in every cell where a partner may be.
+
+    With ``inside`` only boxes that may hold the one that asks are looked for.
+    """
+    known = boxes.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*_keys(slide), "index", "x", "y", "w", "h")))
+    owner = (F.col(slide) if slide else F.lit(0)).cast("long").alias("slide")
+    own = F.ceil(F.log2(F.greatest("w", "h", F.lit(1)).cast("double"))).cast("int").alias("own")
+    sized = known.select(owner, own, *[F.col(c).cast("long").alias(c) for c in ("index", "x", "y", "w", "h")])
+    cell = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("level")))
+    held = sized.withColumn("level", F.col("own")).withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y")), "asks": F.lit(False)})
+    used = F.broadcast(sized.select("slide", F.col("own").alias("level")).distinct())  # a few sizes a slide
+    asks = sized.join(used, "slide").where("level >= own")
+    reach = F.pow(F.lit(2.0), F.col("level"))
+
+    def span(at: str, side: str) -> Column:
+        first, last = (F.col(at) + F.col(side) - reach, F.col(at)) if inside else (F.col(at) - reach, F.col(at) + F.col(side))
+        return F.explode(F.sequence(cell(first), cell(last)))
+
+    asks = asks.withColumn("cx", span("x", "w")).withColumn("cy", span("y", "h")).withColumn("asks", F.lit(True))
+    names = ["slide", "level", "cx", "cy", "asks", "own", "index", "x", "y", "w", "h"]
+    # cells where nothing is held give no pairs
+    full = held.select("slide", "level", "cx", "cy").distinct()
+    rows = materialize(held.select(*names).unionByName(asks.join(full, ["slide", "level", "cx", "cy"], "left_semi").select(*names)))
+    return rows.withColumn("group", F.pmod(F.xxhash64("slide", "level", "cx", "cy"), F.lit(max(1, -(-rows.count() // GROUP_ROWS)))))
+
+
+class _Sides:
+    """A group's rows as arrays: those that ask, those that are held by cell, and of each row that asks the first held one and their number."""
+
+    def __init__(self, rows: pd.DataFrame):
+        cell = rows.groupby(["slide", "level", "cx", "cy"], sort=False).ngroup().to_numpy()
+        asks = rows["asks"].to_numpy(dtype=bool)
+        place = cell * 2 + asks
+        columns = {c: rows[c].to_numpy() for c in ("slide", "level", "own", "index", "x", "y", "w", "h")}
+        # the largest first, which hold most
+        order = np.lexsort((-columns["w"] * columns["h"], place))
+        asked, held = order[asks[order]], order[~asks[order]]
+        self.a, self.b = ({c: v[at] for c, v in columns.items()} for at in (asked, held))
+        self.first = np.searchsorted(cell[held], cell[asked], "left")
+        self.number = np.searchsorted(cell[held], cell[asked], "right") - self.first
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of rows that ask and of held ones that share pixels, each pair of boxes once."""
+        a, b = self.a, self.b
+        for i, j in _expanded(self.first, self.number):
+            near = (a["x"][i] < b["x"][j] + b["w"][j]) & (b["x"][j] < a["x"][i] + a["w"][i])
+            i, j = i[near], j[near]
+            near = (a["y"][i] < b["y"][j] + b["h"][j]) & (b["y"][j] < a["y"][i] + a["h"][i])
+            i, j = i[near], j[near]
+            once = np.where(a["own"][i] < a["level"][i], a["index"][i] != b["index"][j], a["index"][i] < b["index"][j])
+            yield i[once], j[once]
+
+    def partial(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Those of which neither holds the other."""
+        for i, j in self.pairs():
+            apart = ~(_holds(self.b, j, self.a, i) | _holds(self.a, i, self.b, j))
+            yield i[apart], j[apart]
+
+
+def _holds(a: dict, i: np.ndarray, b: dict, j: np.ndarray) -> np.ndarray:
+    """Whether boxes of ``a`` hold those of ``b``."""
+    x = (b["x"][j] >= a["x"][i]) & (b["x"][j] + b["w"][j] <= a["x"][i] + a["w"][i])
+    return x & (b["y"][j] >= a["y"][i]) & (b["y"][j] + b["h"][j] <= a["y"][i] + a["h"][i])
+
+
+def _expanded(first: np.ndarray, number: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every place with each of its ``number`` partners from ``first`` on, some ``BATCH_PAIRS`` at a time."""
+    ends = np.cumsum(number)
+    at = 0
+    while at < len(number):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + BATCH_PAIRS, "right")))
+        some = number[at:to]
+        i = np.repeat(np.arange(at, to), some)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some) + np.repeat(first[at:to], some)
+        yield i, j
+        at = to
+
+
+def _overlaps(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(slide, a, b)``, a < b, of partial overlaps."""
+    sides = _Sides(pd.concat(list(groups)))
+    for i, j in sides.partial():
+        x, y = sides.a["index"][i], sides.b["index"][j]
+        yield pd.DataFrame({"slide": sides.a["slide"][i], "a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+
+def _ties(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(src, dst)``: a tree for each set of boxes that partial overlaps of the group tie; without slides all have the slide 0."""
+    sides = _Sides(pd.concat(list(groups)))
+    a, b = (side["slide"] * (1 << 32) + side["index"] for side in (sides.a, sides.b))
+    src = dst = np.zeros(0, dtype=np.int64)
+    for i, j in sides.partial():
+        src, dst = local_roots(np.concatenate([src, a[i]]), np.concatenate([dst, b[j]]))
+    yield pd.DataFrame({"src": src, "dst": dst})
+
+
+def _inner(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(slide, index)`` of boxes that lie in another; a box that was found is not asked for again."""
+    sides = _Sides(pd.concat(list(groups)))
+    a, b = sides.a, sides.b
+    open_, tried, step = np.arange(len(sides.first)), 0, 8
+    while len(open_ := open_[sides.number[open_] > tried]):
+        found = np.zeros(len(sides.first), dtype=bool)
+        for i, j in _expanded(sides.first[open_] + tried, np.minimum(sides.number[open_] - tried, step)):
+            i = open_[i]
+            found[i[_holds(b, j, a, i) & (a["index"][i] != b["index"][j])]] = True
+        yield pd.DataFrame({"slide": a["slide"][found], "index": a["index"][found]})
+        open_, tried, step = open_[~found[open_]], tried + step, 2 * step
 
 
 def large_enough(boxes: DataFrame, min_ratio: float, slide: str | None = None) -> DataFrame:
@@ -63,9 +152,8 @@ def large_enough(boxes: DataFrame, min_ratio: float, slide: str | None = None) -
 
 def not_contained(boxes: DataFrame, slide: str | None = None) -> DataFrame:
     """Boxes that lie in no other box; equal boxes contain each other and both go."""
-    pairs, by = touching(boxes, slide), _keys(slide)
-    inner = pairs.where(_A_IN_B).select(*by, "a.index").union(pairs.where(_B_IN_A).select(*by, "b.index"))
-    return boxes.join(inner.distinct(), [*by, "index"], "left_anti")
+    inner = _met(boxes, slide, True).groupBy("group").applyInPandas(_inner, "slide long, index long").distinct()
+    return boxes.join(inner.select(*[F.col("slide").alias(c) for c in _keys(slide)], "index"), [*_keys(slide), "index"], "left_anti")
 
 
 def filter_regions(boxes: DataFrame, min_ratio: float, slide: str | None = None) -> DataFrame:
@@ -80,8 +168,9 @@ def patchable(boxes: DataFrame, tile: int, ds: float | Column) -> DataFrame:
 
 def partial_overlaps(boxes: DataFrame, slide: str | None = None) -> DataFrame:
     """``([slide,] a, b)`` indexes, a < b, of boxes that overlap without one containing the other."""
-    kept = touching(boxes, slide).where(f"NOT ({_A_IN_B}) AND NOT ({_B_IN_A})")
-    return kept.select(*_keys(slide), F.col("a.index").alias("a"), F.col("b.index").alias("b"))
+    kept = _met(boxes, slide, False).groupBy("group").applyInPandas(_overlaps, "slide long, a long, b long")
+    of = lambda c, name, as_name: F.col(c).cast(boxes.schema[name].dataType).alias(as_name)
+    return kept.select(*[of("slide", c, c) for c in _keys(slide)], of("a", "index", "a"), of("b", "index", "b"))
 
 
 def merge_overlapping(boxes: DataFrame, slide: str | None = None) -> DataFrame:
@@ -92,7 +181,7 @@ def merge_overlapping(boxes: DataFrame, slide: str | None = None) -> DataFrame:
     """
     by = _keys(slide)
     node = lambda c: (F.col(slide).cast("long") * (1 << 32) if slide else F.lit(0)) + F.col(c).cast("long")
-    roots = connected_components(partial_overlaps(boxes, slide).select(node("a").alias("src"), node("b").alias("dst")))
+    roots = connected_components(_met(boxes, slide, False).groupBy("group").applyInPandas(_ties, "src long, dst long"))
     named = boxes.withColumn("node", node("index")).join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
     merged = named.groupBy(*by, "root").agg(
         F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"), F.count(F.lit(1)).alias("n")

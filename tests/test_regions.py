@@ -1,6 +1,7 @@
 """Worked examples of boxes and masks."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridseek.operators import raster, regions
@@ -101,3 +102,38 @@ def test_scales_are_decimal(spark):
     mask[50:60, 50:55] = True
     (got,) = _boxes(raster.region_boxes(_cells(spark, mask), 3.7, 2.3, 5))
     assert got == (185, 115, 18, 23)
+
+
+@pytest.mark.parametrize("group", [40, 200_000])
+def test_boxes_of_all_sizes_by_definition(spark, monkeypatch, group):
+    monkeypatch.setattr(regions, "GROUP_ROWS", group)
+    monkeypatch.setattr(regions, "BATCH_PAIRS", 7)
+    draw = np.random.default_rng(3)
+    sides = lambda: (2 ** draw.uniform(-1, 9, 150)).astype(int)  # noqa: E731, some of them 0
+    x, y, w, h = draw.integers(-300, 300, 150), draw.integers(-300, 300, 150), sides(), sides()
+    rows = [(i // 2, i % 2, *map(int, r)) for i, r in enumerate(zip(x, y, w, h))]
+    df = spark.createDataFrame(rows, "index int, slide int, x int, y int, w int, h int")
+    within = lambda a, b: a[2] >= b[2] and a[3] >= b[3] and a[2] + a[4] <= b[2] + b[4] and a[3] + a[5] <= b[3] + b[5]
+    meet = lambda a, b: a[2] < b[2] + b[4] and b[2] < a[2] + a[4] and a[3] < b[3] + b[5] and b[3] < a[3] + a[5]
+    both = [(a, b) for a in rows for b in rows if a[1] == b[1] and a[0] != b[0]]
+    pairs = {(a[1], a[0], b[0]) for a, b in both if a[0] < b[0] and meet(a, b) and not within(a, b) and not within(b, a)}
+    got = regions.partial_overlaps(df, "slide")
+    assert [f.dataType.simpleString() for f in got.schema] == ["int"] * 3
+    assert sorted(tuple(r) for r in got.collect()) == sorted(pairs)
+    kept = {a[:2] for a in rows} - {a[:2] for a, b in both if within(a, b)}
+    assert {(r["index"], r["slide"]) for r in regions.not_contained(df, "slide").collect()} == kept
+    root = {a[1::-1]: a[0] for a in rows}
+    for _ in rows:
+        for s, a, b in pairs:
+            root[s, a] = root[s, b] = min(root[s, a], root[s, b])
+    merged = regions.merge_overlapping(df, "slide").collect()
+    assert len(merged) == len({(s, r) for (s, _), r in root.items()}) and sum(r["n"] for r in merged) == 150
+
+
+def test_dense_boxes_send_no_pairs(spark):
+    # 3000 boxes that all overlap have 4.5 million pairs; what leaves the groups is a tree
+    i = F.col("id")
+    df = spark.range(3000).select(i.cast("int").alias("index"), i.alias("x"), (5000 - i).alias("y"), F.lit(5000).alias("w"), F.lit(5000).alias("h"))
+    trees = regions._met(df, None, False).groupBy("group").applyInPandas(regions._ties, "src long, dst long")
+    assert trees.count() < 4 * 4 * 3000
+    assert [r["n"] for r in regions.merge_overlapping(df).collect()] == [3000]
