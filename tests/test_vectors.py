@@ -121,3 +121,22 @@ def test_spearman_computes_each_pair_once(spark):
     told.collect()
     plan = told._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan  # ranks are taken of the written pairs
+
+
+def test_places_in_blocks_by_definition(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MATRIX_CELLS", 1)
+    draw = np.random.default_rng(8)
+    x = draw.integers(-2, 3, (60, 3)) / 2  # many equal similarities
+    sims = np.round(x @ x.T, 9)
+    target = draw.integers(0, 60, 60)
+    asked = spark.createDataFrame([(i, x[i].tolist(), int(t), float(sims[i, t])) for i, t in enumerate(target)], "query_id long, feat array<double>, target_id long, target_sim double")
+    got = {r["query_id"]: r["place"] for r in places_of(asked, frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()}
+    ahead = lambda i, t, j: j != i and (sims[i, j] > sims[i, t] or sims[i, j] == sims[i, t] and j < t)
+    assert got == {i: sum(ahead(i, t, j) for j in range(60)) for i, t in enumerate(target)}
+
+
+def test_blocks_are_dealt_seldom():
+    # copies of the vectors and rows of the best go with the number of blocks
+    assert vectors.QUERY_ROWS >= 16384 and vectors.BANK_ROWS >= 65536
+    most = vectors._rows_at_once(vectors.BANK_ROWS) * vectors.BANK_ROWS * 8
+    assert most <= 32 << 20
