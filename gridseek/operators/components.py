@@ -49,13 +49,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is tied to the least node around it."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("b > a").join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of them; edges run from larger to smaller."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    joined = edges.join(least, "a")
+    joined = edges.join(least.hint("merge"), "a")
     return joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
 
 
@@ -71,7 +71,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Each task first contracts the edges it has to stars, which is exact and leaves at most one edge of a
     node for each task, then large-star and small-star steps alternate until every node is tied to one
-    root. They are aggregations by node and joins, so that no neighbour list is ever collected; the
+    root. They are aggregations by node and joins, so that no neighbour list is ever collected, and no
+    side passes through the driver as a broadcast, whose sum would grow with the rounds; the
     joins of a hub are left to Spark's splitting of skewed joins. Each round is a table in the shared
     folder that replaces the one before. The number of rounds grows with the logarithm of the size.
 

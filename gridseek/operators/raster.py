@@ -192,9 +192,9 @@ def run_components(runs: DataFrame, slide: str | None = None, block: int = 1024)
     above = above.withColumn("block", blocks(F.col("a0"), F.col("a1")))
     below = runs.select(*by, (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("below"), blocks(F.col("x0"), F.col("x1")).alias("block"))
     touch = (F.col("b0") <= F.col("a1")) & (F.col("b1") >= F.col("a0")) & (F.floor(F.greatest("a0", "b0") / block) == F.col("block"))
-    edges = above.join(below, [*by, "y", "block"]).where(touch).select(F.col("run").alias("src"), F.col("below").alias("dst"))
+    edges = above.join(below.hint("merge"), [*by, "y", "block"]).where(touch).select(F.col("run").alias("src"), F.col("below").alias("dst"))
     roots = connected_components(edges)
-    return runs.join(roots, runs["run"] == roots["node"], "left").select(*by, "y", "x0", "x1", F.coalesce("component", "run").alias("label"))
+    return runs.join(roots.hint("merge"), runs["run"] == roots["node"], "left").select(*by, "y", "x0", "x1", F.coalesce("component", "run").alias("label"))
 
 
 def region_boxes(mask: DataFrame, ds_x: float | Column, ds_y: float | Column, min_area: int = 100, slide: str | None = None, scales: DataFrame | None = None) -> DataFrame:

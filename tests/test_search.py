@@ -1,12 +1,13 @@
 """Vectors, retrieval, localisation, effects, slides and streams."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from gridseek import locate
 from gridseek.functions import image
-from gridseek.operators import fidelity, levels, localize, retrieval, sampling
+from gridseek.operators import fidelity, levels, localize, raster, retrieval, sampling
 from gridseek.operators.components import connected_components
 from gridseek.operators.vectors import average_ranks, quantiles, top_k, zero_non_finite
 from gridseek.sources import slides
@@ -40,6 +41,28 @@ def test_non_finite(spark):
     assert [(r["was_bad"], r["feat"]) for r in zero_non_finite(df).collect()] == [(True, [0.0, 0.0]), (False, [1.0, 2.0]), (True, [0.0, 0.0])]
 
 
+def test_components_broadcast_nothing(spark, capsys):
+    mask = spark.range(200).select((F.col("id") % 20).cast("int").alias("y"), (F.col("id") * 7 % 31).cast("int").alias("x"))
+    found = raster.components(mask)
+    found.collect()
+    found.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_statistics_of_some_images_at_once(monkeypatch):
+    monkeypatch.setattr(image, "STACK_PIXELS", 100)
+    draw, sizes = np.random.default_rng(6), []
+    rows = pd.DataFrame([image.encode_row(draw.integers(0, 256, (5, 7, 3))) for _ in range(11)])
+
+    def mean(gray):
+        sizes.append(len(gray))
+        return gray.mean(axis=(1, 2))
+
+    got = image.statistic_udf(mean).func(rows)
+    assert max(sizes) == 2 and sum(sizes) == 11
+    assert np.allclose(got, [image.luma(image.decode(r)).mean() for r in rows.to_dict("records")])
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(3, 3), (None, 5)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
