@@ -140,3 +140,45 @@ def test_blocks_are_dealt_seldom():
     assert vectors.QUERY_ROWS >= 16384 and vectors.BANK_ROWS >= 65536
     most = vectors._rows_at_once(vectors.BANK_ROWS) * vectors.BANK_ROWS * 8
     assert most <= 32 << 20
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_spearman_without_written_pairs(spark, monkeypatch, small):
+    from gridseek.operators import pairs
+
+    draw = np.random.default_rng(9)
+    a = draw.standard_normal((90, 5))
+    a[7] *= 1e6  # the others' similarities are close to each other
+    b = {"copy": 2 * a, "far": a + draw.standard_normal(a.shape), "ties": np.round(a / 2)}
+    base = frame(spark, [(i, v.tolist()) for i, v in enumerate(a)], "id")
+    others = spark.createDataFrame([(c, i, v.tolist()) for c, x in b.items() for i, v in enumerate(x) if c != "far" or i < 50], "config string, id long, feat array<double>")
+    if small:
+        monkeypatch.setattr(pairs, "BLOCK_ROWS", 20)
+        monkeypatch.setattr(pairs, "LEAST_ROWS", 20)
+        monkeypatch.setattr(pairs, "TILE", 7)
+        monkeypatch.setattr(pairs, "KEYS_AT_ONCE", 2)
+    want = {r["config"]: r[1:] for r in fidelity.spearman(base, others, keys=("config",)).select("config", "n_pairs", "rho").collect()}
+    monkeypatch.setattr(fidelity, "WRITTEN_PAIRS", 0)
+    monkeypatch.setattr(fidelity, "pair_similarities", None)  # pairs are not written
+    got = fidelity.spearman(base, others, keys=("config",))
+    assert {r["config"]: r[1:] for r in got.select("config", "n_pairs", "rho").collect()} == want
+    alone = others.where("config = 'far'").select("id", "feat")
+    assert tuple(fidelity.spearman(base, alone).select("n_pairs", "rho").first()) == want["far"]
+
+
+def test_bins_tell_single_values():
+    from gridseek.operators.pairs import Bins
+
+    values = np.sort(np.repeat([-3.0, 1.0, 1.0 + 1e-9, 1.0 + 2e-9, 4e5], [5, 7, 100, 9, 1]))
+    bins = Bins(1e6)
+    for _ in range(12):
+        at = bins.of(values)
+        assert (np.diff(at) >= 0).all()
+        bins.counts = np.bincount(at, minlength=len(bins.counts))
+        bins.value = np.array([np.nan] * len(bins.counts))
+        for i in np.unique(at):
+            bins.value[i] = values[at == i][0] if len(set(values[at == i])) == 1 else np.nan
+        if bins.even():
+            break
+        bins.cut()
+    assert np.allclose(bins.ranks()[bins.of(values)] + (len(values) + 1) / 2, pd.Series(values).rank())
