@@ -166,7 +166,7 @@ def row_runs(mask: DataFrame, slide: str | None = None) -> DataFrame:
     by = _keys(slide)
     (island,) = unused([*mask.columns, "x0", "x1"], "island")
     order = Window.partitionBy(*by, "y").orderBy("x")
-    found = mask.select(*by, "y", "x").distinct().withColumn(island, F.col("x") - F.row_number().over(order))
+    found = mask.select(*by, "y", "x").repartition(*by, "y").distinct().withColumn(island, F.col("x") - F.row_number().over(order))
     return _numbered(found.groupBy(*by, "y", island).agg(F.min("x").alias("x0"), F.max("x").alias("x1")), slide)
 
 

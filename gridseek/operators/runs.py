@@ -2,7 +2,7 @@
 
 Columns besides ``y``, ``x0`` and ``x1``, such as a slide's id and size, tell masks apart. A run is two events in its
 row, one where it begins and one after its end; all operators are running sums of events along rows, so that the
-work follows the runs and never the cells. One operator is one shuffle by row. What an operator gives is maximal:
+work follows the runs and never the cells. One operator is one shuffle by row, closing and opening one by bands of rows. What an operator gives is maximal:
 no two runs of a row touch.
 """
 
@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from gridseek.plans.durable import unused
 
 
+#: Rows of a band, whose runs are swept together.
+BAND_ROWS = 256
+
+
 def _value(x: int | Column) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
@@ -25,26 +29,29 @@ def _names(runs: DataFrame) -> list[str]:
     return [c for c in runs.columns if c not in ("y", "x0", "x1")]
 
 
-def swept(weighted: list[tuple[DataFrame, int]], keep: Callable[[Column], Column]) -> DataFrame:
+def swept(weighted: list[tuple[DataFrame, int]], keep: Callable[[Column], Column], dealt: bool = False) -> DataFrame:
     """Runs of the cells for which ``keep`` holds of the sum of weights of the runs above them, but not of 0.
 
-    Every table of ``weighted`` has a weight; ``keep`` may use the other columns and ``y``.
+    Every table of ``weighted`` has a weight; ``keep`` may use the other columns and ``y``. A single table may be
+    ``dealt`` by some of its columns but ``y`` already.
     """
     names = _names(weighted[0][0])
     x, step, total, after, kept = unused([*names, "y", "x0", "x1"], "x", "step", "total", "after", "kept")
     ends = lambda w: F.inline(F.array(F.struct(F.col("x0").alias(x), F.lit(w).alias(step)), F.struct((F.col("x1") + 1).alias(x), F.lit(-w).alias(step))))
     events = reduce(DataFrame.union, [runs.select(*names, "y", ends(w)) for runs, w in weighted])
+    # events of one place are one before rows are sorted
+    events = (events if dealt else events.repartition(*names, "y")).groupBy(*names, "y", x).agg(F.sum(step).alias(step))
     row = Window.partitionBy(*names, "y").orderBy(x)
-    sums = events.withColumns({total: F.sum(step).over(row.rangeBetween(Window.unboundedPreceding, 0)), after: F.lead(x).over(row)})
-    places = sums.where(F.col(after).isNull() | (F.col(after) > F.col(x))).withColumn(kept, (F.col(total) != 0) & keep(F.col(total)))
+    sums = events.withColumn(total, F.sum(step).over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    places = sums.withColumn(kept, (F.col(total) != 0) & keep(F.col(total)))
     changes = places.withColumn(step, F.lag(kept, 1, False).over(row)).where(F.col(step) != F.col(kept))
     runs = changes.withColumn(after, F.lead(x).over(row)).where(kept)
     return runs.select(*names, "y", F.col(x).alias("x0"), (F.col(after) - 1).cast("int").alias("x1")).withColumn("x0", F.col("x0").cast("int"))
 
 
-def merged(runs: DataFrame) -> DataFrame:
+def merged(runs: DataFrame, dealt: bool = False) -> DataFrame:
     """Maximal runs of runs that may overlap, touch or repeat."""
-    return swept([(runs, 1)], lambda n: n > 0)
+    return swept([(runs, 1)], lambda n: n > 0, dealt)
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -72,24 +79,32 @@ def _near(height: int | Column, radius: int) -> Column:
     return F.sequence(F.greatest(F.lit(0), y - radius), F.least(_value(height) - 1, y + radius))
 
 
-def dilate(runs: DataFrame, width: int | Column, height: int | Column, radius: int = 3) -> DataFrame:
+def dilate(runs: DataFrame, width: int | Column, height: int | Column, radius: int = 3, dealt: bool = False) -> DataFrame:
     """Cells within ``radius`` rows and columns of a true cell, inside the image."""
     wide = runs.withColumns({"x0": F.greatest(F.lit(0), F.col("x0") - radius), "x1": F.least(_value(width) - 1, F.col("x1") + radius)})
-    return merged(wide.withColumn("y", F.explode(_near(height, radius)))).select(*runs.columns)
+    return merged(wide.withColumn("y", F.explode(_near(height, radius))), dealt).select(*runs.columns)
 
 
-def erode(runs: DataFrame, width: int | Column, height: int | Column, radius: int = 3) -> DataFrame:
+def erode(runs: DataFrame, width: int | Column, height: int | Column, radius: int = 3, dealt: bool = False) -> DataFrame:
     """Cells whose whole neighbourhood inside the image is true, of maximal runs."""
     first, last = F.col("x0"), F.col("x1")
     narrow = runs.withColumns({"x0": F.when(first > 0, first + radius).otherwise(first), "x1": F.when(last < _value(width) - 1, last - radius).otherwise(last)})
     spread = narrow.where("x0 <= x1").withColumn("y", F.explode(_near(height, radius)))
-    return swept([(spread, 1)], lambda n: n == F.size(_near(height, radius))).select(*runs.columns)
+    return swept([(spread, 1)], lambda n: n == F.size(_near(height, radius)), dealt).select(*runs.columns)
 
 
-def close_open(runs: DataFrame, width: int | Column, height: int | Column, radius: int = 3) -> DataFrame:
-    """Closing, then opening; runs may overlap."""
-    closed = erode(dilate(runs, width, height, radius), width, height, radius)
-    return dilate(erode(closed, width, height, radius), width, height, radius)
+def close_open(runs: DataFrame, width: int | Column, height: int | Column, radius: int = 3, rows: int = BAND_ROWS) -> DataFrame:
+    """Closing, then opening; runs may overlap.
+
+    Rows are dealt once, in bands with as many rows beside them as the four steps reach; each step then stays inside its band.
+    """
+    (band,) = unused(runs.columns, "band")
+    reach, of = 4 * radius, lambda y: F.floor(y / rows).cast("int")
+    bands = F.explode(F.sequence(of(F.greatest(F.lit(0), F.col("y") - reach)), of(F.least(_value(height) - 1, F.col("y") + reach))))
+    held = runs.withColumn(band, bands).repartition(*_names(runs), band)
+    closed = erode(dilate(held, width, height, radius, True), width, height, radius, True)
+    opened = dilate(erode(closed, width, height, radius, True), width, height, radius, True)
+    return opened.where(of(F.col("y")) == F.col(band)).select(*runs.columns)
 
 
 def areas(runs: DataFrame) -> DataFrame:

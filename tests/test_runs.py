@@ -149,3 +149,16 @@ def test_segmented_runs(spark):
         got = back(tissue.segmented_runs(chunks, levels, budget=budget, halo=16, chunk=64), [p[:, :, 0] > 300 for p in pictures])
         assert all(np.array_equal(a, tissue.hsv_segmenter(p)) for a, p in zip(got, pictures))
     assert tissue.segmented(chunks, levels, budget=4000, halo=16, chunk=64).count() == sum(int(tissue.hsv_segmenter(p).sum()) for p in pictures)
+
+
+@pytest.mark.parametrize("rows", [1, 5, 64])
+def test_closing_and_opening_in_bands(spark, masks, rows):
+    df = of(spark, masks)
+    size = (F.col("width"), F.col("height"))
+    got = runs.close_open(df, *size, rows=rows)
+    for a, m in zip(back(got, masks), masks):
+        closed = plain(plain(m, 3, True), 3, False)
+        assert np.array_equal(a, plain(plain(closed, 3, False), 3, True))
+    # the runs are shuffled once, not for each step
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange ") == 1
