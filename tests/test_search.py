@@ -352,3 +352,13 @@ def test_report_of_encoders(spark):
     assert got["far"]["overlap_5"] == {r["k"]: r["overlap"] for r in fidelity.topk_overlap(base, alone, (1, 5)).collect()}[5]
     cos = [round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 9) for a, b in zip(x, far)]
     assert got["far"]["p95"] == pytest.approx(np.quantile(cos, 0.95), abs=1e-6)
+
+
+def test_report_of_many_pairs_writes_none(spark, monkeypatch):
+    x = np.random.default_rng(11).normal(size=(40, 6))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, feat array<double>")
+    others = spark.createDataFrame([(c, i, (s * v).tolist()) for c, s in (("a", 1.0), ("b", -2.0)) for i, v in enumerate(x)], "config string, id long, feat array<double>")
+    monkeypatch.setattr(fidelity, "WRITTEN_PAIRS", 0)
+    monkeypatch.setattr(fidelity, "pair_similarities", None)
+    got = fidelity.fidelity_report(base, others, ks=(1, 5)).select("config", "overlap_5", "n_pairs", "rho").collect()
+    assert sorted(map(tuple, got)) == [("a", 1.0, 780, 1.0), ("b", 1.0, 780, 1.0)]
