@@ -362,3 +362,16 @@ def test_report_of_many_pairs_writes_none(spark, monkeypatch):
     monkeypatch.setattr(fidelity, "pair_similarities", None)
     got = fidelity.fidelity_report(base, others, ks=(1, 5)).select("config", "overlap_5", "n_pairs", "rho").collect()
     assert sorted(map(tuple, got)) == [("a", 1.0, 780, 1.0), ("b", 1.0, 780, 1.0)]
+
+
+def test_report_seeks_the_baselines_neighbours_once(spark, monkeypatch):
+    x = np.random.default_rng(12).normal(size=(40, 6))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, feat array<double>")
+    others = spark.createDataFrame([("a", i, np.round(v, 1).tolist()) for i, v in enumerate(x)], "config string, id long, feat array<double>")
+    sought, top_k = [], fidelity.top_k
+    monkeypatch.setattr(fidelity, "top_k", lambda *args, **kept: sought.append(kept.get("keys")) or top_k(*args, **kept))
+    got = fidelity.fidelity_report(base, others, ks=(1, 5)).first()
+    assert sought == [(), ("config",)]
+    alone = others.drop("config")
+    assert (got["shift_median"], got["shift_p95"]) == tuple(fidelity.rank_shift(base, alone).first())
+    assert {1: got["overlap_1"], 5: got["overlap_5"]} == {r["k"]: r["overlap"] for r in fidelity.topk_overlap(base, alone, (1, 5)).collect()}

@@ -166,6 +166,41 @@ def test_spearman_without_written_pairs(spark, monkeypatch, small):
     assert tuple(fidelity.spearman(base, alone).select("n_pairs", "rho").first()) == want["far"]
 
 
+def test_passes_over_pairs_shuffle_no_rows(spark, monkeypatch):
+    from gridseek.operators import pairs
+
+    plans, passed = [], pairs._passed
+
+    def told(*args):
+        plans.append(passed(*args))
+        return plans[-1]
+
+    x = np.random.default_rng(4).standard_normal((60, 4))
+    base = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "id")
+    monkeypatch.setattr(pairs, "LEAST_ROWS", 10)
+    monkeypatch.setattr(pairs, "_passed", told)
+    monkeypatch.setattr(fidelity, "WRITTEN_PAIRS", 0)
+    assert tuple(fidelity.spearman(base, base).first()) == (1770, 1.0)
+    assert plans and not any("Exchange" in df._jdf.queryExecution().toString() for df in plans)
+
+
+def test_blocks_of_other_widths_and_repeated_ids(spark, monkeypatch):
+    from gridseek.operators import pairs
+
+    draw = np.random.default_rng(6)
+    rows = [(i % 40, draw.standard_normal(1 + i % 5).tolist(), draw.standard_normal(i % 3).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, one array<double>, two array<double>")
+    got = []
+    for least in (1000, 6):
+        monkeypatch.setattr(pairs, "LEAST_ROWS", least)
+        got.append(tuple(pairs.pair_rank_correlation(df, "one", "two").first()))
+    dot = lambda a, b: round(sum(x * y for x, y in zip(a, b)), 9)
+    met = [(dot(a[1], b[1]), dot(a[2], b[2])) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[0] != b[0]]
+    ranks = pd.DataFrame(met).rank()
+    assert [n for n, _ in got] == [len(met)] * 2
+    assert [rho for _, rho in got] == pytest.approx([np.corrcoef(ranks[0], ranks[1])[0, 1]] * 2, abs=1e-9)
+
+
 def test_bins_tell_single_values():
     from gridseek.operators.pairs import Bins
 
