@@ -184,6 +184,29 @@ def test_passes_over_pairs_shuffle_no_rows(spark, monkeypatch):
     assert plans and not any("Exchange" in df._jdf.queryExecution().toString() for df in plans)
 
 
+def test_counts_tell_single_values():
+    from types import SimpleNamespace
+
+    from gridseek.operators.pairs import Bins, _counted
+
+    x = np.array([[-1.0], [0.0], [1e-7], [1.0], [1.0]])
+    met = {"key": ["a"], "at": [0], "at_": [1], "ids": [np.arange(5).tobytes()], "ids_": [np.arange(5, 10).tobytes()]}
+    rows = pd.DataFrame(met | {c: [x.tobytes()] for c in ("vec0", "vec0_")})
+    bins = Bins(2.0)
+    counts, value = np.zeros(len(bins.counts), dtype=np.int64), np.zeros(len(bins.counts))
+    # the pairs twice, as two pairs of blocks of a task
+    for out in _counted(iter([rows, rows]), SimpleNamespace(value={"a": {0: bins}}), 9):
+        for chunk, n, v in zip(out["chunk"], out["counts"], out["value"]):
+            at = slice(chunk << 14, (chunk << 14) + len(n) // 8)
+            counts[at], value[at] = np.frombuffer(n, dtype=np.int64), np.frombuffer(v)
+    sims = np.repeat(np.round(x @ x.T, 9).ravel(), 2)
+    places = bins.of(sims)
+    assert (counts == np.bincount(places, minlength=len(counts))).all()
+    for at in np.unique(places):
+        held = set(sims[places == at])
+        assert value[at] == held.pop() if len(held) == 1 else np.isnan(value[at])
+
+
 def test_blocks_of_other_widths_and_repeated_ids(spark, monkeypatch):
     from gridseek.operators import pairs
 
