@@ -162,3 +162,25 @@ def test_closing_and_opening_in_bands(spark, masks, rows):
     # the runs are shuffled once, not for each step
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange ") == 1
+
+
+@pytest.mark.parametrize("name", ["mask_closed", "mask_closed_3", "mask_dilated_3", "mask_runs_closed_opened", "mask_runs_sets"])
+def test_masks_beyond_the_rows_of_the_sql(spark, tmp_path, name):
+    """The SQL's image has 8192 rows and the query's as many as the users ask for; with as many the SQL gives the same."""
+    duckdb = pytest.importorskip("duckdb")
+    from gridseek.queries import ORACLE_SQL, QUERIES
+
+    users = F.explode(F.sequence(F.lit(24_540), F.lit(24_602)))  # rows 8180 to 8200
+    day = F.timestamp_seconds(1704067200 + 21600 * (F.xxhash64("id", "user_id") % 20 + 60))
+    events = spark.range(12).withColumn("user_id", users).select(F.col("user_id").cast("long").alias("user_id"), day.cast("timestamp_ntz").alias("ts"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql("SET timezone = 'UTC'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = QUERIES[name](spark, str(tmp_path))
+    rows = sorted(tuple(r) for r in got.collect())
+    columns = ", ".join(f'"{c}"' for c in got.columns)
+    told = lambda sql: sorted(con.sql(f"SELECT {columns} FROM ({sql})").fetchall())
+    sql = ORACLE_SQL[name]
+    assert rows == told(sql.replace("8192", "8201").replace("8191", "8200"))
+    assert rows != told(sql)  # which leaves users from 24 576 on out
