@@ -108,8 +108,8 @@ def close_open(runs: DataFrame, width: int | Column, height: int | Column, radiu
 
 
 def areas(runs: DataFrame) -> DataFrame:
-    """``(..., area)`` of each mask that has cells; no two runs overlap."""
-    return runs.groupBy(*_names(runs)).agg(F.sum(F.col("x1").cast("long") - F.col("x0") + 1).alias("area"))
+    """``(..., area)`` of each mask that has cells, without such columns one row, 0 of no runs; no two runs overlap."""
+    return runs.groupBy(*_names(runs)).agg(F.coalesce(F.sum(F.col("x1").cast("long") - F.col("x0") + 1), F.lit(0)).alias("area"))
 
 
 def cells(runs: DataFrame) -> DataFrame:

@@ -184,3 +184,17 @@ def test_masks_beyond_the_rows_of_the_sql(spark, tmp_path, name):
     sql = ORACLE_SQL[name]
     assert rows == told(sql.replace("8192", "8201").replace("8191", "8200"))
     assert rows != told(sql)  # which leaves users from 24 576 on out
+
+
+@pytest.mark.parametrize("events", [0, 2])
+def test_sets_of_a_mask_without_cells(spark, tmp_path, events):
+    """Areas of nothing are 0, as the SQL counts: no events, or none of three in a cell."""
+    duckdb = pytest.importorskip("duckdb")
+    from gridseek.queries import ORACLE_SQL, QUERIES
+
+    day = F.timestamp_seconds(F.lit(1704067200)).cast("timestamp_ntz")
+    spark.range(events).select(F.lit(7).cast("long").alias("user_id"), day.alias("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = QUERIES["mask_runs_sets"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == con.sql(ORACLE_SQL["mask_runs_sets"]).fetchall() == [(0, 0, 0, 0)]
