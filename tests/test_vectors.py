@@ -240,3 +240,95 @@ def test_bins_tell_single_values():
             break
         bins.cut()
     assert np.allclose(bins.ranks()[bins.of(values)] + (len(values) + 1) / 2, pd.Series(values).rank())
+
+
+def _block(draw, kind):
+    """Queries, bank rows, ids of both; more bank rows than are searched in double precision only."""
+    from gridseek.operators import blocks
+
+    n = 2 * blocks.TILE + 37
+    x = {
+        "plain": draw.standard_normal((n, 24)),
+        "ties": draw.integers(-2, 3, (n, 4)) / 2,
+        "one vector": np.concatenate([draw.standard_normal((n - 900, 6)), np.ones((900, 6))]),
+        "far off": 1e4 + draw.standard_normal((n, 5)),
+        "sizes": draw.standard_normal((n, 8)) * 10.0 ** draw.uniform(-9, 4, (n, 1)),
+        "rising": np.sort(np.abs(draw.standard_normal((n, 1))), axis=0) * np.ones((1, 3)),
+        "near zero": 1e-170 * draw.standard_normal((n, 3)),
+    }[kind]
+    ids = draw.permutation(2 * n)[:n].astype(np.int64)
+    ids[-3:] = ids[0]  # ids that repeat
+    asks = np.concatenate([np.arange(40), np.arange(n - 40, n)])
+    return x[asks], x, np.where(np.arange(80) % 9 == 0, -1 - np.arange(80), ids[asks]), ids
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties", "one vector", "far off", "sizes", "rising", "near zero"])
+def test_blocks_by_tiles(kind):
+    from gridseek.operators import blocks
+
+    q, x, own, ids = _block(np.random.default_rng(3), kind)
+    pick = lambda n, row, col, score: {(int(r), int(ids[c]), float(f"{s:.9g}")) for r, c, s in zip(row, col, score) if r not in n}
+    for metric, k, skip in (("dot", 1, True), ("dot", 50, True), ("dot", 3, False), ("l2", 2, False), ("l2", 7, True)):
+        *some, left = blocks.Block(q, x, own, ids, 9, metric).best(k, skip)
+        assert pick(left, *some) == pick(left, *vectors._best_of_all(q, x, own, ids, k, 9, skip, metric))
+    for step in (1, 30):
+        at = (np.arange(80) * step) % len(x)
+        sim = np.round((q * x[at]).sum(axis=1), 9)
+        got, left = blocks.Block(q, x, own, ids, 9).ahead(ids[at], sim)
+        rest = np.setdiff1d(np.arange(80), left)
+        assert (got[rest] == vectors._ahead_of_all(q, x, own, ids, ids[at], sim, 9)[rest]).all()
+    if kind == "plain":
+        assert not len(left)
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties"])
+def test_few_similarities_are_rounded(monkeypatch, kind):
+    """All were computed and rounded in double precision, which took most of the time of nearest rows and places."""
+    q, x, own, ids = _block(np.random.default_rng(5), kind)
+    x = x + np.arange(x.shape[1]) * (kind == "ties")
+    side = lambda rows, i, asks: pd.DataFrame({"id": i, "vec": list(rows), "asks": asks})
+    asked, bank = side(x[:80], ids[:80], True), side(x, ids, False)
+    rounded, old = [], np.round
+
+    def counted(a, *args, **kept):
+        rounded.append(np.size(a))
+        return old(a, *args, **kept)
+
+    want = vectors._best_of_all(x[:80], x, ids[:80], ids, 3, 9, True, "dot")
+    places = vectors._ahead_of_all(x[:80], x, ids[:80], ids, ids[80:160], old((x[:80] * x[80:160]).sum(axis=1), 9), 9)
+    monkeypatch.setattr(np, "round", counted)
+    got = vectors._block_best(pd.concat([asked, bank]), 3, 9, True, "dot", False, ())
+    asked = asked.assign(target_id=ids[80:160], target_sim=old((x[:80] * x[80:160]).sum(axis=1), 9))
+    ahead = vectors._block_ahead(pd.concat([asked, bank]), 9, ())
+    pairs = lambda i, j: sorted(zip(i.tolist(), j.tolist()))
+    assert pairs(got["query_id"], got["ref_id"]) == pairs(ids[:80][want[0]], ids[want[1]])
+    assert ahead["ahead"].tolist() == places.tolist()
+    if kind == "plain":
+        assert sum(rounded) < 0.05 * len(q) * len(x)
+
+
+@pytest.mark.parametrize("most", [2, 4096])
+def test_each_pair_of_blocks_is_a_task(spark, monkeypatch, most):
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 8)
+    monkeypatch.setattr(vectors, "BANK_ROWS", 16)
+    monkeypatch.setattr(vectors, "SIDES", 3)
+    monkeypatch.setattr(vectors, "PAIRS_IN_TURN", most)
+    draw = np.random.default_rng(4)
+    for keys in ((), ("key",)):
+        rows = [(k, i, draw.standard_normal(3).tolist()) for k, n in (("large", 90), ("small", 5)) for i in range(n if keys or k == "large" else 0)]
+        both = spark.createDataFrame(rows, "key string, id long, feat array<double>")
+        asked, bank = both.withColumnRenamed("id", "query_id"), both.withColumnRenamed("id", "ref_id")
+        dealt = vectors._dealt(asked, bank, "feat", [], keys=keys)
+        tasks = dealt.select("part", "side", F.spark_partition_id().alias("task"), *vectors._inner(keys)).distinct().collect()
+        # blocks of queries grow beyond three, to sixteen rows: six by six of the large key
+        assert len(tasks) == 36 + len(keys)
+        assert dealt.rdd.getNumPartitions() == min(most, 36 + len(keys))
+        if most > 100:
+            assert len({r["task"] for r in tasks}) == len(tasks)
+        found = top_k(asked, bank, 2, skip_self=True, keys=keys)
+        x = {k: np.array([v for name, _, v in rows if name == k]) for k in ("large", "small")}
+        for r in found.where("rank = 1").collect():
+            mine = x[r["key"] if keys else "large"]
+            sims = np.round(mine @ mine[r["query_id"]], 9)
+            sims[r["query_id"]] = -INF
+            assert r["ref_id"] == sims.argmax()
