@@ -332,3 +332,19 @@ def test_each_pair_of_blocks_is_a_task(spark, monkeypatch, most):
             sims = np.round(mine @ mine[r["query_id"]], 9)
             sims[r["query_id"]] = -INF
             assert r["ref_id"] == sims.argmax()
+
+
+def test_evenly_spread_vectors_are_counted_once(spark, monkeypatch):
+    from gridseek.operators import pairs
+
+    passes, passed = [], pairs._passed
+    monkeypatch.setattr(pairs, "_passed", lambda *args: passes.append(args) or passed(*args))
+    monkeypatch.setattr(fidelity, "WRITTEN_PAIRS", 0)
+    x = np.random.default_rng(2).standard_normal((2500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = x * (np.arange(64) % 3 > 0)
+    side = lambda m: spark.createDataFrame(pd.DataFrame({"id": np.arange(len(m)), "feat": m.tolist()}))
+    n, rho = fidelity.spearman(side(x), side(y)).first()
+    one, two = (pd.Series(np.round(m @ m.T, 9)[np.triu_indices(len(m), 1)]).rank() for m in (x, y))
+    assert (n, rho) == (len(one), pytest.approx(np.corrcoef(one, two)[0, 1], abs=1e-6))
+    assert len(passes) == 2  # one that counts, one that multiplies ranks
