@@ -348,3 +348,28 @@ def test_evenly_spread_vectors_are_counted_once(spark, monkeypatch):
     one, two = (pd.Series(np.round(m @ m.T, 9)[np.triu_indices(len(m), 1)]).rank() for m in (x, y))
     assert (n, rho) == (len(one), pytest.approx(np.corrcoef(one, two)[0, 1], abs=1e-6))
     assert len(passes) == 2  # one that counts, one that multiplies ranks
+
+
+@pytest.mark.parametrize("kind", ["even", "ties", "far off", "wide"])
+def test_first_count_in_single_precision(spark, monkeypatch, kind):
+    """It stands where no value is shared by many pairs; else pairs are counted in double precision."""
+    from gridseek.operators import pairs
+
+    draw = np.random.default_rng(8)
+    x = draw.standard_normal((900, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "ties":
+        x = np.round(draw.uniform(-1, 1, (900, 3))) / 3
+    if kind == "far off":
+        x = 1.0 + 1e-5 * x  # single precision doesn't tell the pairs apart
+    y = x + 0.3 * x.std() * draw.standard_normal(x.shape) if kind != "ties" else np.abs(x)
+    if kind == "wide":
+        monkeypatch.setattr(pairs, "ROUGH_WIDTH", 31)
+    rough, passed = [], pairs._passed
+    monkeypatch.setattr(pairs, "_passed", lambda blocks, cuts, *rest: rough.append([b.rough for b in cuts[""].values()]) or passed(blocks, cuts, *rest))
+    monkeypatch.setattr(fidelity, "WRITTEN_PAIRS", 0)
+    side = lambda m: spark.createDataFrame(pd.DataFrame({"id": np.arange(len(m)), "feat": m.tolist()}))
+    n, rho = fidelity.spearman(side(x), side(y), digits=12).first()
+    one, two = (pd.Series(np.round(m @ m.T, 9)[np.triu_indices(len(m), 1)]).rank() for m in (x, y))
+    assert (n, rho) == (len(one), pytest.approx(np.corrcoef(one, two)[0, 1], abs=3e-8))
+    assert rough[0] == [kind != "wide"] * 2 and rough[-1] == [kind == "even"] * 2
