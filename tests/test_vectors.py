@@ -373,3 +373,17 @@ def test_first_count_in_single_precision(spark, monkeypatch, kind):
     one, two = (pd.Series(np.round(m @ m.T, 9)[np.triu_indices(len(m), 1)]).rank() for m in (x, y))
     assert (n, rho) == (len(one), pytest.approx(np.corrcoef(one, two)[0, 1], abs=3e-8))
     assert rough[0] == [kind != "wide"] * 2 and rough[-1] == [kind == "even"] * 2
+
+
+def test_rank_shift_seeks_nearest_rows_once(spark, monkeypatch):
+    asked, places_of = [], fidelity.places_of
+    monkeypatch.setattr(fidelity, "places_of", lambda queries, *args, **kept: asked.append(queries) or places_of(queries, *args, **kept))
+    x = np.random.default_rng(1).standard_normal((30, 4))
+    base, other = (frame(spark, [(i, v.tolist()) for i, v in enumerate(m)], "id") for m in (x, np.round(x)))
+    told = tuple(fidelity.rank_shift(base, other).first())
+    sims, others = np.round(x @ x.T, 9), np.round(np.round(x) @ np.round(x).T, 9)
+    np.fill_diagonal(sims, -INF)
+    shift = [sum(j != i and (others[i, j], -j) > (others[i, t], -t) for j in range(30)) for i, t in enumerate(sims.argmax(axis=1))]
+    assert told == (np.median(shift), pytest.approx(np.quantile(shift, 0.95), abs=1e-6))
+    # the search isn't run again to count the rows that ask
+    assert len(asked) == 1 and "FlatMapGroups" not in asked[0]._jdf.queryExecution().toString()
